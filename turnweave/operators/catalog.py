@@ -38,8 +38,8 @@ def canonical_columns(df: DataFrame, names: dict[str, str] = OLD_COLUMN_NAMES) -
 def union_catalog(artifact_rows: DataFrame, cached_rows: DataFrame, position: str = "catalog_pos") -> DataFrame:
     """Scanned artifacts first, then cached rows whose artifact path (without case) was not seen yet.
 
-    Cached rows without a path are dropped; among cached rows with one path the first wins. Positions of cached
-    rows follow those of the artifacts.
+    Cached rows without a path are dropped; among cached rows with one path the first wins. The
+    added ``catalog_order`` puts artifacts before cached rows.
     """
     path_key = F.lower(strip(F.col("artifact_path")))
     seen = artifact_rows.select(path_key.alias("_path")).distinct()
@@ -47,13 +47,15 @@ def union_catalog(artifact_rows: DataFrame, cached_rows: DataFrame, position: st
     fresh = candidates.join(seen, "_path", "left_anti")
     row = F.struct(*cached_rows.columns)
     firsts = fresh.groupBy("_path").agg(F.min_by(row, F.col(position)).alias("_row")).select("_row.*")
-    ranked_artifacts = artifact_rows.withColumn("catalog_origin", F.lit(0))
-    return ranked_artifacts.unionByName(firsts.withColumn("catalog_origin", F.lit(1)), allowMissingColumns=True)
+    united = artifact_rows.withColumn("_origin", F.lit(0)).unionByName(
+        firsts.withColumn("_origin", F.lit(1)), allowMissingColumns=True
+    )
+    return united.withColumn("catalog_order", F.struct("_origin", position)).drop("_origin")
 
 
 def latest_by_key(catalog: DataFrame, position: str = "catalog_pos") -> DataFrame:
     """One row per (identity, hash, signature), the last one in catalog order; rows without hash or signature
-    are left out."""
+    are left out. ``first_pos`` is where the key first appeared, which orders the keys."""
     usable = catalog.filter(
         (F.coalesce(F.col("source_hash"), F.lit("")) != "")
         & (F.coalesce(F.col("conversion_signature"), F.lit("")) != "")
@@ -64,8 +66,11 @@ def latest_by_key(catalog: DataFrame, position: str = "catalog_pos") -> DataFram
             lowered(F.col("source_hash")).alias("hash_key"),
             lowered(F.col("conversion_signature")).alias("signature_key"),
         )
-        .agg(F.max_by(F.struct(*catalog.columns), F.col(position)).alias("_row"))
-        .select("identity_key", "hash_key", "signature_key", "_row.*")
+        .agg(
+            F.max_by(F.struct(*catalog.columns), F.col(position)).alias("_row"),
+            F.min(position).alias("first_pos"),
+        )
+        .select("identity_key", "hash_key", "signature_key", "first_pos", "_row.*")
     )
 
 
@@ -118,7 +123,7 @@ def file_status(
             strip(F.col("source_file_identity")).alias("_identity"),
             F.col("source_hash").alias("_hash"),
             (F.col("conversion_signature") == signature).alias("_signed"),
-            F.col(position).alias("_pos"),
+            F.col("first_pos").alias("_pos"),
             F.col("audio_id").alias("_audio_id"),
             *([F.col("duration_seconds").alias("_duration")] if "duration_seconds" in catalog.columns else []),
         )
