@@ -29,6 +29,7 @@ EXPORT_CONFIDENCE = 0.4
 TERMINAL_STATES = ("completed", "failed", "skipped_duplicate", "skipped_invalid", "skipped_too_short")
 
 FEATURES = tuple(FEATURE_SCORES)
+FEATURE_COLUMNS = tuple(f"f_{name}" for name in FEATURES)
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -36,13 +37,13 @@ def with_features(rows: DataFrame) -> DataFrame:
     text = lambda name: F.nullif(lowered(F.col(name)), F.lit(""))
     return rows.select(
         "*",
-        F.coalesce(text("compute_mode"), F.lit("cpu")).alias("mode"),
-        text("audio_codec").alias("codec"),
-        F.nullif(F.col("audio_channels").cast("bigint"), F.lit(0).cast("bigint")).alias("channels"),
-        sample_rate_bucket(F.col("audio_sample_rate")).alias("rate"),
-        bitrate_bucket(F.col("bitrate")).alias("bitrate_class"),
-        text("container_name").alias("container"),
-    ).withColumn("bitrate_key", F.col("bitrate_class"))
+        F.coalesce(text("compute_mode"), F.lit("cpu")).alias("f_mode"),
+        text("audio_codec").alias("f_codec"),
+        F.nullif(F.col("audio_channels").cast("string"), F.lit("0")).alias("f_channels"),
+        sample_rate_bucket(F.col("audio_sample_rate")).alias("f_rate"),
+        bitrate_bucket(F.col("bitrate")).alias("f_bitrate"),
+        text("container_name").alias("f_container"),
+    )
 
 
 def usable_history(history: DataFrame) -> DataFrame:
@@ -52,8 +53,24 @@ def usable_history(history: DataFrame) -> DataFrame:
     )
 
 
-def _feature_columns() -> dict[str, str]:
-    return {"codec": "codec", "channels": "channels", "rate": "rate", "bitrate": "bitrate_key", "container": "container"}
+def _by_subset(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """One row per subset of features that the row has a value for; features outside the subset become ``*``."""
+    subsets = [set(chosen) for size in range(len(FEATURES) + 1) for chosen in combinations(FEATURES, size)]
+    variants = [
+        F.struct(
+            F.lit(number).alias("subset"),
+            *[(F.col(f"f_{name}") if name in chosen else F.lit("*")).alias(f"k_{name}") for name in FEATURES],
+            F.lit(BASE_SCORE + sum(FEATURE_SCORES[name] for name in chosen)).alias("score"),
+        )
+        for number, chosen in enumerate(subsets)
+    ]
+    spread = rows.select("f_mode", *kept, F.explode(F.array(*variants)).alias("_v")).select("f_mode", *kept, "_v.*")
+    return spread.dropna(subset=[f"k_{name}" for name in FEATURES])
+
+
+def _first_in_group(rows: DataFrame, keys: list[str], order: list, count: int, name: str = "_n") -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= count)
 
 
 def nearest_samples(items: DataFrame, history: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -64,66 +81,32 @@ def nearest_samples(items: DataFrame, history: DataFrame, neighbours: int = NEIG
     on it, again cut to their first 12: a sample outside the cut of the subset it matches has 12 better-placed
     samples with at least its score. Items meet the groups through equi joins, at most 32 x 12 rows per combination.
     """
-    columns = _feature_columns()
-    names = list(columns.values())
-    extra = [c for c in ("stage_seconds",) if c in history.columns]
-    sample = ["sample_pos", "duration_seconds", "wall_seconds", *extra]
-    samples = with_features(usable_history(history)).select("mode", *names, *sample)
-    first = Window.partitionBy("mode", *names).orderBy("sample_pos")
-    reduced = samples.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= neighbours).drop("_n")
-
-    subsets = [set(chosen) for size in range(len(FEATURES) + 1) for chosen in combinations(FEATURES, size)]
-    patterns = F.array(
-        *[
-            F.struct(
-                F.lit(number).alias("pattern"),
-                *[
-                    (F.col(columns[f]).cast("string") if f in chosen else F.lit("*")).alias(f"k_{f}")
-                    for f in FEATURES
-                ],
-                F.lit(BASE_SCORE + sum(FEATURE_SCORES[f] for f in chosen)).alias("score"),
-            )
-            for number, chosen in enumerate(subsets)
-        ]
-    )
-    keys = ["mode", "pattern", *[f"k_{f}" for f in FEATURES]]
-
-    def spread(df: DataFrame, kept: list[str]) -> DataFrame:
-        exploded = df.select("*", F.explode(patterns).alias("_p")).select("mode", *kept, "_p.*")
-        present = [F.col(f"k_{f}").isNotNull() for f in FEATURES]
-        return exploded.filter(present[0] & present[1] & present[2] & present[3] & present[4])
-
-    grouped = Window.partitionBy(*keys).orderBy("sample_pos")
-    offered = (
-        spread(reduced, sample)
-        .drop("score")
-        .withColumn("_n", F.row_number().over(grouped))
-        .filter(F.col("_n") <= neighbours)
-        .drop("_n")
-    )
-    wanted = with_features(items).select("mode", *names).distinct()
-    combination = F.struct("mode", *names)
-    asked = spread(wanted.withColumn("combination", combination), ["combination"])
+    stages = [c for c in ("stage_seconds",) if c in history.columns]
+    sample = ["sample_pos", "duration_seconds", "wall_seconds", *stages]
+    samples = with_features(usable_history(history)).select("f_mode", *FEATURE_COLUMNS, *sample)
+    reduced = _first_in_group(samples, ["f_mode", *FEATURE_COLUMNS], ["sample_pos"], neighbours).drop("_n")
+    keys = ["f_mode", "subset", *[f"k_{name}" for name in FEATURES]]
+    offered = _first_in_group(
+        _by_subset(reduced, sample).drop("score"), keys, ["sample_pos"], neighbours
+    ).drop("_n")
+
+    wanted = with_features(items).select("f_mode", *FEATURE_COLUMNS).distinct()
+    asked = _by_subset(wanted.withColumn("combination", F.struct("f_mode", *FEATURE_COLUMNS)), ["combination"])
     scored = (
-        asked.join(offered, keys)
-        .groupBy("combination", *sample)
-        .agg(F.max("score").alias("score"))
-    ) if not extra else (
         asked.join(offered, keys)
         .groupBy("combination", "sample_pos")
-        .agg(
-            F.max("score").alias("score"),
-            *[F.first(c).alias(c) for c in sample if c != "sample_pos"],
-        )
+        .agg(F.max("score").alias("score"), *[F.first(c).alias(c) for c in sample[1:]])
     )
-    best = Window.partitionBy("combination").orderBy(F.desc("score"), "sample_pos")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= neighbours)
+    return _first_in_group(scored, ["combination"], [F.desc("score"), F.col("sample_pos")], neighbours, "rank")
 
 
 def _stage_share(neighbour: Column, stage: str) -> Column:
+    """Share of a stage in a sample's known stage times; the default share when it has none."""
     stored = neighbour.getField("stage_seconds")
-    positive = lambda name: F.greatest(F.coalesce(F.try_element_at(stored, F.lit(name)), F.lit(0.0)), F.lit(0.0))
-    total = sum((positive(name) for name in STAGES[1:]), positive(STAGES[0]))
+    positive = lambda name: F.greatest(F.coalesce(stored.getField(name), F.lit(0.0)), F.lit(0.0))
+    total = positive(STAGES[0])
+    for name in STAGES[1:]:
+        total = total + positive(name)
     return F.when(total > 0, positive(stage) / F.nullif(total, F.lit(0.0))).otherwise(
         F.lit(DEFAULT_STAGE_SHARES[stage])
     )
@@ -132,50 +115,53 @@ def _stage_share(neighbour: Column, stage: str) -> Column:
 def predict_time(items: DataFrame, history: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Adds ``total_seconds``, ``confidence``, ``sample_count`` and ``stage_seconds``; null without history.
 
-    The nearest samples are found per feature combination and kept as one small array; each item then scales them to
-    its own duration without further rows.
+    The nearest samples are found per feature combination and kept as one small array (at most ``neighbours``
+    elements); each item then scales them to its own duration without further rows. A sample's ``stage_seconds`` map
+    is optional.
     """
     found = nearest_samples(items, history, neighbours)
     has_stages = "stage_seconds" in found.columns
-    body = ["rank", "score", "duration_seconds", "wall_seconds", *(["stage_seconds"] if has_stages else [])]
-    # At most `neighbours` elements per group.
-    lists = found.groupBy("combination").agg(F.array_sort(F.collect_list(F.struct(*_orderable(body)))).alias("near"))
-    names = list(_feature_columns().values())
-    keyed = with_features(items)
-    flat = lists.select("combination.*", "near")
-    match = [keyed[c].eqNullSafe(flat[c]) for c in ("mode", *names)]
-    condition = match[0]
-    for test in match[1:]:
-        condition = condition & test
-    joined = keyed.join(flat, condition, "left").select(*[keyed[c] for c in items.columns], flat["near"])
+    if has_stages:
+        # A map has no order; as a struct it can follow the rank that already decides.
+        found = found.withColumn(
+            "stage_seconds", F.struct(*[F.try_element_at("stage_seconds", F.lit(s)).alias(s) for s in STAGES])
+        )
+    body = F.struct("rank", "score", "duration_seconds", "wall_seconds", *(["stage_seconds"] if has_stages else []))
+    near_lists = found.groupBy("combination").agg(F.array_sort(F.collect_list(body)).alias("near"))
+    keyed = with_features(items).withColumn("combination", F.struct("f_mode", *FEATURE_COLUMNS))
+    # Features may be null, so combinations are joined by their text form.
+    joined = (
+        keyed.withColumn("_key", F.to_json("combination"))
+        .join(near_lists.select(F.to_json("combination").alias("_key"), "near"), "_key", "left")
+        .select(*items.columns, "near")
+    )
 
     near, duration = F.col("near"), F.col("duration_seconds")
-    weight = F.aggregate(near, F.lit(0.0), lambda acc, s: acc + s.getField("score"))
-    weighted = F.aggregate(
-        near,
-        F.lit(0.0),
-        lambda acc, s: acc
-        + s.getField("score") * scaled_wall_seconds(s.getField("duration_seconds"), s.getField("wall_seconds"), duration),
+
+    def total(value) -> Column:
+        return F.aggregate(near, F.lit(0.0), lambda acc, s: acc + s.getField("score") * value(s))
+
+    scaled = lambda s: scaled_wall_seconds(
+        s.getField("duration_seconds"), s.getField("wall_seconds"), duration
     )
-    count = F.size(near)
-    predicted = joined.withColumn("_weight", weight).withColumn(
-        "_raw", weighted / F.greatest(F.col("_weight"), F.lit(0.1))
+    weighed = joined.withColumn("_weight", total(lambda s: F.lit(1.0))).withColumn(
+        "_raw", total(scaled) / F.greatest(F.col("_weight"), F.lit(0.1))
     )
+    count = F.size(near)
     factor = F.least(F.lit(1.0), count / F.lit(5.0))
     rating = F.least(F.lit(1.0), F.col("_weight") / F.greatest(count, F.lit(1)) / F.lit(RATED_SCORE))
     confidence = F.least(F.lit(0.9), F.lit(0.15) + F.lit(0.55) * factor + F.lit(0.30) * rating)
-    some = near.isNotNull() & (count > 0)
 
     def share(stage: str) -> Column:
         if not has_stages:
             return F.lit(DEFAULT_STAGE_SHARES[stage])
-        total = F.aggregate(near, F.lit(0.0), lambda acc, s: acc + s.getField("score") * _stage_share(s, stage))
-        return total / F.col("_weight")
+        return total(lambda s: _stage_share(s, stage)) / F.col("_weight")
 
     stage_seconds = F.create_map(
         *[part for stage in STAGES for part in (F.lit(stage), round_to(F.col("_raw") * share(stage), 3))]
     )
-    return predicted.select(
+    some = near.isNotNull()
+    return weighed.select(
         *items.columns,
         F.when(some, F.greatest(F.lit(1.0), round_to(F.col("_raw"), 3))).alias("total_seconds"),
         F.when(some, round_to(confidence, 3)).alias("confidence"),
@@ -184,16 +170,6 @@ def predict_time(items: DataFrame, history: DataFrame, neighbours: int = NEIGHBO
     )
 
 
-def _orderable(names: list[str]) -> list[Column]:
-    """Maps have no order, so a stage map travels as a struct after the rank that already decides."""
-    return [
-        F.struct(*[F.try_element_at("stage_seconds", F.lit(s)).alias(s) for s in STAGES]).alias(n)
-        if n == "stage_seconds"
-        else F.col(n)
-        for n in names
-    ]
-
-
 def stage_remaining(stage_seconds: Column, stage: Column, elapsed: Column) -> Column:
     """What is left of the current stage plus all later stages; an unknown stage counts against the total."""
     spent = F.greatest(F.coalesce(elapsed, F.lit(0.0)), F.lit(0.0))
