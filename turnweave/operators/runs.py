@@ -69,10 +69,13 @@ def stage_performance(items: DataFrame, keys: Sequence[str] = ("run_id",)) -> Da
     """
     completed = items.filter(F.lower("status") == "completed")
     sizes = completed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_completed"))
+    # Decimal sums do not depend on the order in which partitions arrive.
     elapsed = completed.select(
         *keys, F.explode("stage_elapsed_seconds").alias("stage", "_value")
-    ).withColumn("_value", F.greatest(F.coalesce("_value", F.lit(0.0)), F.lit(0.0)))
-    sums = elapsed.groupBy(*keys, "stage").agg(F.sum("_value").alias("_total"), F.max("_value").alias("_max"))
+    ).withColumn("_value", F.greatest(F.coalesce("_value", F.lit(0.0)), F.lit(0.0)).cast("decimal(28,6)"))
+    sums = elapsed.groupBy(*keys, "stage").agg(
+        F.sum("_value").cast("double").alias("_total"), F.max("_value").cast("double").alias("_max")
+    )
     return sums.join(sizes, list(keys)).select(
         *keys,
         "stage",

@@ -55,7 +55,7 @@ repeated as (
     case when norm = '' then 0 else count(*) over (partition by media_id, island) end as run_length
   from islands)"""
 
-_VALIDATED = f"""
+VALIDATED = f"""
 {_BEST}, {_OVERLAP}, {_PHRASES},
 facts as (
   select s.*, coalesce(o.speech_overlap, 0) as speech_overlap, b.best_speaker,
@@ -82,7 +82,7 @@ validated as (
     case when no_overlap or silent or invented then 'rejected' else 'validated' end as state
   from judged)"""
 
-_SEGMENT_VIEWS = ("raw_segments", "speaker_turns", "speech_ranges")
+SEGMENT_VIEWS = ("raw_segments", "speaker_turns", "speech_ranges")
 
 
 def speech_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,8 +295,8 @@ QUERIES = {
     "v1_validate_segments": (
         validate_transcript,
         with_views(
-            *_SEGMENT_VIEWS,
-            query=f"with {_VALIDATED} select media_id, seg_index, speech_overlap, best_speaker, reasons, state from validated",
+            *SEGMENT_VIEWS,
+            query=f"with {VALIDATED} select media_id, seg_index, speech_overlap, best_speaker, reasons, state from validated",
         ),
     ),
     "w1_run_lengths": (
@@ -320,8 +320,8 @@ QUERIES = {
     "a13_recording_counts": (
         counts_per_recording,
         with_views(
-            *_SEGMENT_VIEWS,
-            query=f"""with {_VALIDATED}
+            *SEGMENT_VIEWS,
+            query=f"""with {VALIDATED}
             select media_id,
               cast((select count(*) from speech_ranges r where r.media_id = v.media_id) as bigint)
                 as speech_candidate_ranges,
@@ -447,13 +447,13 @@ QUERIES = {
     ),
     "a10_timeline_turns": (
         timeline_turns,
-        with_views(*_SEGMENT_VIEWS, query=f"with {_VALIDATED}, {_TURNS} {_TURN_ROWS}"),
+        with_views(*SEGMENT_VIEWS, query=f"with {VALIDATED}, {_TURNS} {_TURN_ROWS}"),
     ),
     "a10_timeline_documents": (
         timeline_documents,
         with_views(
-            *_SEGMENT_VIEWS,
-            query=f"""with {_VALIDATED}, {_TURNS}, turn_rows as ({_TURN_ROWS}),
+            *SEGMENT_VIEWS,
+            query=f"""with {VALIDATED}, {_TURNS}, turn_rows as ({_TURN_ROWS}),
             parts as (
               select media_id, cast(("index" - 1) // 3 as int) as part,
                 string_agg(cast("index" as varchar) || '|' || coalesce(speaker, '-') || '|' ||
@@ -471,16 +471,16 @@ QUERIES = {
     "a11_text_conservation": (
         text_changes,
         with_views(
-            *_SEGMENT_VIEWS,
-            query=f"""with {_VALIDATED}
+            *SEGMENT_VIEWS,
+            query=f"""with {VALIDATED}
             select cast(count(*) as bigint) as changed, true as checked from validated where text is null""",
         ),
     ),
     "p39_stage_gates": (
         stage_gates,
         with_views(
-            *_SEGMENT_VIEWS,
-            query=f"""with {_VALIDATED},
+            *SEGMENT_VIEWS,
+            query=f"""with {VALIDATED},
             m as (select media_id, count(*) filter (state = 'rejected') as rejected,
               case media_id % 11 when 0 then 'unavailable' when 1 then 'no_segments' else 'ok' end
                 as transcription_status from validated group by 1),

@@ -16,7 +16,7 @@ SOURCE_SCHEMA = (
 PIPELINE_SCHEMA = "struct<pipeline_version:string, generation_signature:string, compute_mode:string>"
 DOCUMENT_SCHEMA = (
     f"schema_version int, artifact_type string, generated_at string, source {SOURCE_SCHEMA}, "
-    f"pipeline {PIPELINE_SCHEMA}, turn_count string, turns array<struct<speaker:string>>"
+    f"pipeline {PIPELINE_SCHEMA}, part int"
 )
 CATALOG_SCHEMA = (
     "run_id string, run_dir string, audio_id string, media_id string, item_dir string, artifact_path string, "
@@ -25,32 +25,50 @@ CATALOG_SCHEMA = (
     "duration_seconds double, duration_sec double, created_at string"
 )
 
-def _documents(spark: SparkSession, folder: str, file: str) -> DataFrame:
+
+def _documents(spark: SparkSession, pattern: str) -> DataFrame:
+    # Documents written by this library are one line per part; others are one pretty-printed object per file.
+    whole_file = "item_id=" not in pattern
     path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^file:/+", "/")
     return (
         spark.read.schema(DOCUMENT_SCHEMA)
-        .option("multiLine", "true")
-        .json(f"{folder.rstrip('/')}/*/{file}")
+        .option("multiLine", whole_file)
+        .json(pattern)
+        .filter("coalesce(part, 0) = 0")
         .select(path.alias("document_path"), "*", F.col("_metadata.file_modification_time").alias("modified_at"))
         .withColumn("item_dir", F.regexp_extract("document_path", r"^(.*)/[^/]+$", 1))
+        .withColumn("audio_id", F.regexp_replace(F.regexp_extract("item_dir", r"([^/]+)$", 1), "^item_id=", ""))
     )
 
 
-def scan_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalog rows of all item folders that hold both documents.
+def scan_items(
+    spark: SparkSession, folder: str, timeline: str = "*/timeline.json", info: str = "*/convert_info.json"
+) -> DataFrame:
+    """Catalog rows of all item folders below ``folder`` that hold both documents.
+
+    The patterns say where the documents lie; for folders written by ``write_documents`` they end in
+    ``item_id=*/*.json``.
+    """
+    base = folder.rstrip("/")
+    return assemble_items(_documents(spark, f"{base}/{timeline}"), _documents(spark, f"{base}/{info}"))
+
+
+def assemble_items(timelines: DataFrame, infos: DataFrame) -> DataFrame:
+    """Join the two documents of each item.
 
     ``source`` and ``pipeline`` come whole from the audit document, else from the timeline; an item with neither is
     left out. Order by ``lower(audio_id)`` gives catalog order.
     """
-    info = _documents(spark, folder, "convert_info.json").select(
-        "item_dir",
+    info = infos.select(
+        "audio_id",
         F.col("document_path").alias("conversion_info_path"),
         F.col("source").alias("_info_source"),
         F.col("pipeline").alias("_info_pipeline"),
         F.col("generated_at").alias("created_at"),
         F.col("modified_at").alias("info_modified_at"),
     )
-    timeline = _documents(spark, folder, "timeline.json").select(
+    timeline = timelines.select(
+        "audio_id",
         "item_dir",
         F.col("document_path").alias("artifact_path"),
         F.col("source").alias("_line_source"),
@@ -58,13 +76,14 @@ def scan_items(spark: SparkSession, folder: str) -> DataFrame:
         F.col("modified_at").alias("timeline_modified_at"),
     )
     joined = (
-        timeline.join(info, "item_dir")
+        timeline.filter(~F.startswith("audio_id", F.lit(".")))
+        .join(info, "audio_id")
         .withColumn("source", F.coalesce("_info_source", "_line_source"))
         .withColumn("pipeline", F.coalesce("_info_pipeline", "_line_pipeline"))
         .filter("source is not null or pipeline is not null")
     )
     return joined.select(
-        F.regexp_extract("item_dir", r"([^/]+)$", 1).alias("audio_id"),
+        "audio_id",
         "item_dir",
         "artifact_path",
         "conversion_info_path",
@@ -87,7 +106,10 @@ def parse_catalog(lines: DataFrame, existing: DataFrame | None = None, line: str
     (``path``) is given."""
     parsed = (
         lines.filter(F.trim(line) != "")
-        .withColumn("_row", F.from_json(F.col(line), CATALOG_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+        .withColumn(
+            "_row",
+            F.from_json(F.col(line), CATALOG_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}),
+        )
         .filter("_row._bad is null")
     )
     kept = [c for c in lines.columns if c != line]
@@ -109,7 +131,11 @@ def parse_catalog(lines: DataFrame, existing: DataFrame | None = None, line: str
 def read_catalog(spark: SparkSession, path: str, existing: DataFrame | None = None) -> DataFrame:
     """The cached catalog of JSON lines, with the byte-order position of each line as ``catalog_pos``."""
     lines = spark.read.text(path).select(
-        "value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("catalog_pos")
+        "value",
+        # Within one file block the ids rise with the lines; across blocks and files the first two fields decide.
+        F.struct(
+            "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")
+        ).alias("catalog_pos"),
     )
     return parse_catalog(lines, existing)
 

@@ -43,16 +43,24 @@ def _documents(spark: SparkSession, parents: Sequence[str], file: str, schema: s
 
 
 def read_runs(spark: SparkSession, parents: Sequence[str]) -> DataFrame:
-    """One row per run folder with request and status below any parent; newest name first when ordered by
-    ``run_name`` descending. The manifest's ``items`` are empty when there is none."""
-    request = _documents(spark, parents, "request.json", REQUEST_SCHEMA).withColumnRenamed("run_id", "_run_id")
-    status = _documents(spark, parents, "status.json", STATUS_SCHEMA)
-    manifest = _documents(spark, parents, "manifest.json", MANIFEST_SCHEMA)
+    """One row per run folder with request and status below any of the parents."""
+    return assemble_runs(
+        _documents(spark, parents, "request.json", REQUEST_SCHEMA),
+        _documents(spark, parents, "status.json", STATUS_SCHEMA),
+        _documents(spark, parents, "manifest.json", MANIFEST_SCHEMA),
+    )
+
+
+def assemble_runs(request: DataFrame, status: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Join the three documents of each run by ``run_dir``; ``items`` is empty without a manifest.
+
+    Newest run first is ``run_name`` descending.
+    """
     old = {"items_total": "videos_total", "items_done": "videos_done", "items_skipped": "videos_skipped",
            "items_failed": "videos_failed"}
     name = F.regexp_extract("run_dir", r"([^/]+)$", 1)
     zero = F.lit(0).cast("bigint")
-    joined = request.join(status, "run_dir").join(manifest, "run_dir", "left")
+    joined = request.withColumnRenamed("run_id", "_run_id").join(status, "run_dir").join(manifest, "run_dir", "left")
     return joined.select(
         F.coalesce("_run_id", name).alias("run_id"),
         "run_dir",
