@@ -6,6 +6,8 @@ offset travels as text because output must repeat it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from turnweave.functions.text import non_blank, stem, strip
@@ -29,50 +31,68 @@ FILE_NAME_OFFSET = "+09:00"
 FILE_NAME_ZONE = "Asia/Tokyo"
 
 
-def _or(text: Column, default: str) -> Column:
-    return F.coalesce(F.nullif(text, F.lit("")), F.lit(default))
+def _iso_parts(text: Column) -> Column:
+    """Date, hour, minute, second, fraction and offset of an ISO text as an array; null when it is not ISO."""
+    cleaned = strip(text)
+    split = F.split(F.regexp_replace(cleaned, ISO_PATTERN, "$1|$2|$3|$4|$5|$6"), r"\|")
+    return F.when(cleaned.rlike(ISO_PATTERN), split)
 
 
-def local_datetime(text: Column) -> Column:
-    """The date-time part of an ISO text, without its offset; null when it is not ISO."""
-    part = lambda group: F.regexp_extract(text, ISO_PATTERN, group)
-    day = F.regexp_replace(part(1), "-", "")
-    dashed = F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))
-    clock = F.concat_ws(":", _or(part(2), "00"), _or(part(3), "00"), _or(part(4), "00"))
-    fraction = F.substring(F.rpad(part(5), 6, "0"), 1, 6)
-    return F.when(
-        text.rlike(ISO_PATTERN), F.concat(dashed, F.lit(" "), clock, F.lit("."), fraction).try_cast("timestamp_ntz")
-    )
+def _with_parts(text: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` applied to the parts, which are taken apart only once per row."""
+    parts = _iso_parts(text)
+    return F.get(F.transform(F.when(parts.isNotNull(), F.array(parts)), build), F.lit(0))
 
 
-def utc_offset(text: Column) -> Column:
-    """``+hh:mm``; empty when the text carries no offset."""
-    raw = F.regexp_replace(F.regexp_extract(text, ISO_PATTERN, 6), "Z", "+0000")
-    digits = F.rpad(F.regexp_replace(raw, ":", ""), 5, "0")
-    return F.when(raw == "", F.lit("")).otherwise(
-        F.concat(F.substring(digits, 1, 3), F.lit(":"), F.substring(digits, 4, 2))
+def _local(parts: Column) -> Column:
+    part = lambda n: F.get(parts, F.lit(n))
+    day = F.regexp_replace(part(0), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    two = lambda n: F.rpad(part(n), 2, "0")
+    return F.concat(
+        day, F.lit(" "), two(1), F.lit(":"), two(2), F.lit(":"), two(3), F.lit("."),
+        F.rpad(F.substring(part(4), 1, 6), 6, "0"),
+    ).try_cast("timestamp_ntz")
+
+
+def _offset(parts: Column) -> Column:
+    """``+hh:mm``, or an empty text."""
+    raw = F.get(parts, F.lit(5))
+    digits = F.rpad(F.replace(raw, F.lit(":"), F.lit("")), 5, "0")
+    return (
+        F.when(raw == "", raw)
+        .when(raw == "Z", F.lit("+00:00"))
+        .otherwise(F.concat(F.substring(digits, 1, 3), F.lit(":"), F.substring(digits, 4, 2)))
     )
 
 
 def _offset_interval(offset: Column) -> Column:
-    sign = F.when(F.startswith(offset, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
-    hours = F.coalesce(F.substring(offset, 2, 2).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.substring(offset, 5, 2).try_cast("int"), F.lit(0))
-    return F.make_dt_interval(F.lit(0), sign * hours, sign * minutes, F.lit(0).cast("decimal(18,6)"))
+    """The interval of ``+hh:mm``; none for an empty text."""
+    signed = lambda start: F.concat(F.substring(offset, 1, 1), F.substring(offset, start, 2)).try_cast("int")
+    zero = F.lit(0)
+    return F.make_dt_interval(
+        zero, F.coalesce(signed(2), zero), F.coalesce(signed(5), zero), zero.cast("decimal(18,6)")
+    )
+
+
+def local_datetime(text: Column) -> Column:
+    """The date-time part of an ISO text, without its offset; null when it is not ISO."""
+    return _with_parts(text, _local)
+
+
+def utc_offset(text: Column) -> Column:
+    """``+hh:mm``; empty when the text carries no offset."""
+    return _with_parts(text, _offset)
 
 
 def utc_datetime(text: Column) -> Column:
     """ISO text as a UTC date-time; text without offset counts as UTC; junk becomes null."""
-    cleaned = strip(text)
-    return local_datetime(cleaned) - _offset_interval(utc_offset(cleaned))
+    return _with_parts(text, lambda parts: _local(parts) - _offset_interval(_offset(parts)))
 
 
 def iso_text(moment: Column) -> Column:
     """``yyyy-mm-ddThh:mm:ss``, with six decimals only when they are not all zero."""
     text = F.replace(moment.cast("string"), F.lit(" "), F.lit("T"))
-    fraction = F.regexp_extract(text, r"\.(\d+)$", 1)
-    whole = F.regexp_replace(text, r"\.\d+$", "")
-    return F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), F.rpad(fraction, 6, "0")))
+    return F.when(F.length(text) == 19, text).otherwise(F.rpad(text, 26, "0"))
 
 
 def seconds_interval(seconds: Column) -> Column:
@@ -81,9 +101,8 @@ def seconds_interval(seconds: Column) -> Column:
 
 def absolute_at(recorded_at: Column, offset_seconds: Column) -> Column:
     """ISO text of ``recorded_at`` plus an offset, in the zone of ``recorded_at``."""
-    base = strip(recorded_at)
-    moved = local_datetime(base) + seconds_interval(F.coalesce(offset_seconds, F.lit(0.0)).cast("double"))
-    return F.concat(iso_text(moved), utc_offset(base))
+    step = seconds_interval(F.coalesce(offset_seconds, F.lit(0.0)).cast("double"))
+    return _with_parts(recorded_at, lambda parts: F.concat(iso_text(_local(parts) + step), _offset(parts)))
 
 
 def iso_from_epoch(epoch_seconds: Column, offset: str = "+00:00") -> Column:

@@ -100,72 +100,80 @@ def nearest_samples(items: DataFrame, history: DataFrame, neighbours: int = NEIG
     return _first_in_group(scored, ["combination"], [F.desc("score"), F.col("sample_pos")], neighbours, "rank")
 
 
-def _stage_share(neighbour: Column, stage: str) -> Column:
-    """Share of a stage in a sample's known stage times; the default share when it has none."""
-    stored = neighbour.getField("stage_seconds")
-    positive = lambda name: F.greatest(F.coalesce(stored.getField(name), F.lit(0.0)), F.lit(0.0))
-    total = positive(STAGES[0])
-    for name in STAGES[1:]:
-        total = total + positive(name)
-    return F.when(total > 0, positive(stage) / F.nullif(total, F.lit(0.0))).otherwise(
-        F.lit(DEFAULT_STAGE_SHARES[stage])
+def _sample_shares(has_stages: bool) -> list[Column]:
+    """Share of each stage in a sample's known stage times; the default shares when it has none."""
+    if not has_stages:
+        return [F.lit(DEFAULT_STAGE_SHARES[stage]) for stage in STAGES]
+    positive = [
+        F.greatest(F.coalesce(F.try_element_at("stage_seconds", F.lit(stage)), F.lit(0.0)), F.lit(0.0))
+        for stage in STAGES
+    ]
+    total = positive[0]
+    for value in positive[1:]:
+        total = total + value
+    return [
+        F.when(total > 0, value / F.nullif(total, F.lit(0.0))).otherwise(F.lit(DEFAULT_STAGE_SHARES[stage]))
+        for stage, value in zip(STAGES, positive)
+    ]
+
+
+def _neighbourhoods(found: DataFrame) -> DataFrame:
+    """Everything about the nearest samples of a combination that no item changes: the samples as one small array,
+    their weight, the confidence and the stage shares."""
+    shares = [value.alias(f"s_{stage}") for stage, value in zip(STAGES, _sample_shares("stage_seconds" in found.columns))]
+    sample = F.struct("rank", "score", "duration_seconds", "wall_seconds", *[f"s_{stage}" for stage in STAGES])
+    # At most `neighbours` elements per combination.
+    lists = (
+        found.select("combination", "rank", "score", "duration_seconds", "wall_seconds", *shares)
+        .groupBy("combination")
+        .agg(F.array_sort(F.collect_list(sample)).alias("near"))
+    )
+    total = lambda field: F.aggregate(
+        "near", F.lit(0.0), lambda acc, s: acc + (s.getField("score") * s.getField(field) if field else s.getField("score"))
+    )
+    weighed = lists.select("combination", "near", F.size("near").alias("sample_count"), total("").alias("weight"))
+    factor = F.least(F.lit(1.0), F.col("sample_count") / F.lit(5.0))
+    rating = F.least(F.lit(1.0), F.col("weight") / F.col("sample_count") / F.lit(RATED_SCORE))
+    confidence = F.least(F.lit(0.9), F.lit(0.15) + F.lit(0.55) * factor + F.lit(0.30) * rating)
+    return weighed.select(
+        # Features may be null, so combinations are joined by their text form.
+        F.to_json("combination").alias("_key"),
+        "near",
+        "sample_count",
+        "weight",
+        round_to(confidence, 3).alias("confidence"),
+        *[(total(f"s_{stage}") / F.col("weight")).alias(f"share_{stage}") for stage in STAGES],
     )
 
 
 def predict_time(items: DataFrame, history: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """Adds ``total_seconds``, ``confidence``, ``sample_count`` and ``stage_seconds``; null without history.
 
-    The nearest samples are found per feature combination and kept as one small array (at most ``neighbours``
-    elements); each item then scales them to its own duration without further rows. A sample's ``stage_seconds`` map
-    is optional.
+    Work happens per feature combination; an item only scales the few nearest samples to its own duration. A
+    sample's ``stage_seconds`` map is optional.
     """
-    found = nearest_samples(items, history, neighbours)
-    has_stages = "stage_seconds" in found.columns
-    if has_stages:
-        # A map has no order; as a struct it can follow the rank that already decides.
-        found = found.withColumn(
-            "stage_seconds", F.struct(*[F.try_element_at("stage_seconds", F.lit(s)).alias(s) for s in STAGES])
-        )
-    body = F.struct("rank", "score", "duration_seconds", "wall_seconds", *(["stage_seconds"] if has_stages else []))
-    near_lists = found.groupBy("combination").agg(F.array_sort(F.collect_list(body)).alias("near"))
-    keyed = with_features(items).withColumn("combination", F.struct("f_mode", *FEATURE_COLUMNS))
-    # Features may be null, so combinations are joined by their text form.
-    joined = (
-        keyed.withColumn("_key", F.to_json("combination"))
-        .join(near_lists.select(F.to_json("combination").alias("_key"), "near"), "_key", "left")
-        .select(*items.columns, "near")
-    )
-
-    near, duration = F.col("near"), F.col("duration_seconds")
-
-    def total(value) -> Column:
-        return F.aggregate(near, F.lit(0.0), lambda acc, s: acc + s.getField("score") * value(s))
-
+    near = _neighbourhoods(nearest_samples(items, history, neighbours))
+    key = F.to_json(F.struct("f_mode", *FEATURE_COLUMNS))
+    joined = with_features(items).select(*items.columns, key.alias("_key")).join(near, "_key", "left")
+    duration = F.col("duration_seconds")
     scaled = lambda s: scaled_wall_seconds(
         s.getField("duration_seconds"), s.getField("wall_seconds"), duration
     )
-    weighed = joined.withColumn("_weight", total(lambda s: F.lit(1.0))).withColumn(
-        "_raw", total(scaled) / F.greatest(F.col("_weight"), F.lit(0.1))
-    )
-    count = F.size(near)
-    factor = F.least(F.lit(1.0), count / F.lit(5.0))
-    rating = F.least(F.lit(1.0), F.col("_weight") / F.greatest(count, F.lit(1)) / F.lit(RATED_SCORE))
-    confidence = F.least(F.lit(0.9), F.lit(0.15) + F.lit(0.55) * factor + F.lit(0.30) * rating)
-
-    def share(stage: str) -> Column:
-        if not has_stages:
-            return F.lit(DEFAULT_STAGE_SHARES[stage])
-        return total(lambda s: _stage_share(s, stage)) / F.col("_weight")
-
+    weighted = F.aggregate("near", F.lit(0.0), lambda acc, s: acc + s.getField("score") * scaled(s))
+    raw = joined.withColumn("_raw", weighted / F.greatest(F.col("weight"), F.lit(0.1)))
+    some = F.col("near").isNotNull()
     stage_seconds = F.create_map(
-        *[part for stage in STAGES for part in (F.lit(stage), round_to(F.col("_raw") * share(stage), 3))]
+        *[
+            part
+            for stage in STAGES
+            for part in (F.lit(stage), round_to(F.col("_raw") * F.col(f"share_{stage}"), 3))
+        ]
     )
-    some = near.isNotNull()
-    return weighed.select(
+    return raw.select(
         *items.columns,
         F.when(some, F.greatest(F.lit(1.0), round_to(F.col("_raw"), 3))).alias("total_seconds"),
-        F.when(some, round_to(confidence, 3)).alias("confidence"),
-        F.when(some, count).otherwise(F.lit(0)).alias("sample_count"),
+        "confidence",
+        F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
         F.when(some, stage_seconds).alias("stage_seconds"),
     )
 

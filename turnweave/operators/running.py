@@ -137,16 +137,20 @@ def run_lengths(df: DataFrame, key: str, position: str, value: str, name: str =
     )
 
 
-def repeat_counts(df: DataFrame, key: str, position: str, value: str, name: str = "repeats") -> DataFrame:
+def repeat_counts(
+    df: DataFrame, key: str, position: str, value: str, name: str = "repeats", counted: DataFrame | None = None
+) -> DataFrame:
     """How often each row's value occurs within its key; 0 for a null value.
 
     Counted per position bin first and joined back per bin, so a value that fills a whole recording stays spread.
+    ``counted`` gives the same rows from a shorter plan when ``df`` is itself the result of much work.
     """
-    binned = df.withColumn("_bin", position_bin(F.col(position)))
-    per_bin = binned.filter(F.col(value).isNotNull()).groupBy(key, "_bin", value).agg(F.count(F.lit(1)).alias("_n"))
+    place = position_bin(F.col(position)).alias("_bin")
+    source = (df if counted is None else counted).filter(F.col(value).isNotNull())
+    per_bin = source.groupBy(key, place, value).agg(F.count(F.lit(1)).alias("_n"))
     totals = per_bin.select(
         key, "_bin", value, F.sum("_n").over(Window.partitionBy(key, value)).alias("_total")
     )
-    return binned.join(totals, [key, "_bin", value], "left").select(
+    return df.withColumn("_bin", place).join(totals, [key, "_bin", value], "left").select(
         *df.columns, F.coalesce(F.col("_total"), F.lit(0)).cast("bigint").alias(name)
     )

@@ -39,7 +39,7 @@ def phrase_repeats(
     """
     numbered = segments.select(key, segment, phrase_number(F.col(text), phrases).alias("phrase_no"))
     runs = run_lengths(numbered, key, segment, "phrase_no").filter(F.col("phrase_no").isNotNull())
-    return repeat_counts(runs, key, segment, "phrase_no")
+    return repeat_counts(runs, key, segment, "phrase_no", counted=numbered)
 
 
 def validate_segments(

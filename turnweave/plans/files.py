@@ -10,7 +10,7 @@ from turnweave.plans import catalogs, runs, segments, views
 from turnweave.plans.views import with_views
 from turnweave.session import scratch_path
 from turnweave.sinks import documents as sinks
-from turnweave.sources.documents import scan_items
+from turnweave.sources.documents import scan_written
 from turnweave.sources.files import content_hashes, discover_files, table
 from turnweave.streaming.intake import start_intake
 from turnweave.streaming.stale import closed_sessions
@@ -66,7 +66,7 @@ def written_items(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_path(spark, "items")
     sinks.write_documents(_timeline_documents(spark, sf), f"{folder}/timeline")
     sinks.write_documents(_conversion_documents(spark, sf), f"{folder}/convert_info")
-    found = scan_items(spark, folder, "timeline/item_id=*/*.json", "convert_info/item_id=*/*.json")
+    found = scan_written(spark, f"{folder}/timeline", f"{folder}/convert_info")
     return found.select("audio_id", "source_hash", "source_file_identity", "conversion_signature", "duration_seconds")
 
 

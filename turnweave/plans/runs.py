@@ -378,10 +378,12 @@ pairs as (
       * 1000 + 0.5::double) / 1000) as scaled
   from open_items i join nearest n using (compute_mode, audio_codec, audio_channels, rate, bits, container_name)),
 sums as (
-  select sample_pos, count(*) as n, sum(score) as weight, sum(score * scaled order by rank) as weighted from pairs
+  select sample_pos, count(*) as n, sum(score) as weight, sum(score * scaled order by rank) as weighted,
+    sum(score * 0.42::double order by rank) / sum(score) as transcribe_share,
+    sum(score * 0.06::double order by rank) / sum(score) as generate_share from pairs
   group by 1),
 predicted as (
-  select sample_pos, n as sample_count, weighted / weight as raw,
+  select sample_pos, n as sample_count, weighted / weight as raw, transcribe_share, generate_share,
     greatest(1::double, floor(weighted / weight * 1000 + 0.5::double) / 1000) as total_seconds,
     floor(least(0.9::double, 0.15::double + 0.55::double * least(1::double, n / 5.0::double) +
       0.30::double * least(1::double, weight / n / 9.0::double)) * 1000 + 0.5::double) / 1000 as confidence
@@ -404,9 +406,9 @@ _STAGED = ", ".join(
 
 
 def _stage_left(elapsed: str) -> str:
-    stage = lambda share: f"floor(p.raw * {share}::double * 1000 + 0.5::double) / 1000"
+    stage = lambda share: f"floor(p.raw * p.{share} * 1000 + 0.5::double) / 1000"
     return (
-        f"floor((greatest(0::double, {stage(0.42)} - {elapsed}) + {stage(0.06)}) * 1000 + 0.5::double) / 1000"
+        f"floor((greatest(0::double, {stage('transcribe_share')} - {elapsed}) + {stage('generate_share')}) * 1000 + 0.5::double) / 1000"
     )
 
 
@@ -571,7 +573,7 @@ QUERIES = {
     "a8_predict_time": (
         predictions,
         with_views("history", query=f"""with {_PREDICTED} select sample_pos, total_seconds, confidence, sample_count,
-          floor(raw * 0.42::double * 1000 + 0.5::double) / 1000 as transcribe_seconds from predicted"""),
+          floor(raw * transcribe_share * 1000 + 0.5::double) / 1000 as transcribe_seconds from predicted"""),
     ),
     "a9_stage_shares": (
         staged_predictions,

@@ -5,6 +5,8 @@ Times are whole milliseconds, so both engines agree to the last digit.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnweave.operators.running import Running, position_bin, running
@@ -25,6 +27,7 @@ def at_ms(moment: Column) -> Column:
     return ((micros - micros % 1000) / 1000).cast(LONG)
 
 
+@cache
 def _conversation_times(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("media_id"),
@@ -38,6 +41,7 @@ def _conversation_times(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def raw_segments(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.col("seg_index")
     phrase = (F.col("media_id") % 3 == 0) & (turn % 6).isin(1, 2, 3)
@@ -52,6 +56,7 @@ def raw_segments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def speaker_turns(spark: SparkSession, sf: str) -> DataFrame:
     turn = F.col("seg_index")
     return (
@@ -67,6 +72,7 @@ def speaker_turns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def speech_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return (
         _conversation_times(spark, sf)
@@ -75,6 +81,7 @@ def speech_ranges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def silence_marks(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "events")
@@ -88,6 +95,7 @@ def silence_marks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def silences(spark: SparkSession, sf: str) -> DataFrame:
     begin = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 613) % 3_600_000
     return table(spark, sf, "lineitem").select(
@@ -97,12 +105,14 @@ def silences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def durations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("media_id"), F.lit(3_600_000).cast(LONG).alias("duration_ms")
     )
 
 
+@cache
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
     relative = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav"))
     return table(spark, sf, "documents").select(
@@ -114,6 +124,7 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     doc = F.col("doc_id")
@@ -139,6 +150,7 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     return first.unionByName(second)
 
 
+@cache
 def history(spark: SparkSession, sf: str) -> DataFrame:
     priority, key, customer = F.col("o_orderpriority"), F.col("o_orderkey"), F.col("o_custkey")
 
@@ -168,6 +180,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def stage_events(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     return table(spark, sf, "events").select(
@@ -183,6 +196,7 @@ def stage_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@cache
 def levels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("user_id").alias("media_id"),

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def write_documents(documents: DataFrame, folder: str, key: str = "media_id", name: str = "item_id") -> None:
-    """One folder per item (``item_id=<id>``) with its documents as JSON; null fields are written out."""
-    (
-        documents.withColumn(name, F.col(key))
-        .repartition(key)
-        .write.mode("overwrite")
-        .option("ignoreNullFields", "false")
-        .partitionBy(name)
-        .json(folder)
-    )
+def _spread(documents: DataFrame, key: str) -> DataFrame:
+    """Hash partitions of a fixed number, so that few bytes in many files are still written by many tasks."""
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.repartition(partitions, key)
+
+
+def write_documents(documents: DataFrame, folder: str, key: str = "media_id", per_item: bool = False) -> None:
+    """Documents as JSON, one line each, with null fields written out.
+
+    ``per_item`` gives every item its own folder (``item_id=<id>``) for readers that expect one; large collections are
+    better off without, since every item then costs a folder and a file.
+    """
+    identified = documents.withColumn("item_id", F.col(key).cast("string"))
+    if per_item:
+        writer = _spread(identified, "item_id").write.partitionBy("item_id")
+    else:
+        writer = identified.write
+    writer.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
 def write_nested(documents: DataFrame, folder: str) -> None:
@@ -76,8 +84,7 @@ def export_package(
     chosen = manifest.select(key)
     for documents, name in ((timelines, "timeline"), (infos, "convert_info")):
         (
-            documents.join(chosen, key, "left_semi")
-            .repartition(key)
+            _spread(documents.join(chosen, key, "left_semi"), key)
             .write.mode("append")
             .option("ignoreNullFields", "false")
             .partitionBy(key)

@@ -16,7 +16,7 @@ SOURCE_SCHEMA = (
 PIPELINE_SCHEMA = "struct<pipeline_version:string, generation_signature:string, compute_mode:string>"
 DOCUMENT_SCHEMA = (
     f"schema_version int, artifact_type string, generated_at string, source {SOURCE_SCHEMA}, "
-    f"pipeline {PIPELINE_SCHEMA}, part int"
+    f"pipeline {PIPELINE_SCHEMA}, part int, item_id string"
 )
 CATALOG_SCHEMA = (
     "run_id string, run_dir string, audio_id string, media_id string, item_dir string, artifact_path string, "
@@ -26,31 +26,38 @@ CATALOG_SCHEMA = (
 )
 
 
-def _documents(spark: SparkSession, pattern: str) -> DataFrame:
-    # Documents written by this library are one line per part; others are one pretty-printed object per file.
-    whole_file = "item_id=" not in pattern
+def _documents(spark: SparkSession, pattern: str, lines: bool) -> DataFrame:
     path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^file:/+", "/")
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     return (
         spark.read.schema(DOCUMENT_SCHEMA)
-        .option("multiLine", whole_file)
+        .option("multiLine", not lines)
         .json(pattern)
         .filter("coalesce(part, 0) = 0")
-        .select(path.alias("document_path"), "*", F.col("_metadata.file_modification_time").alias("modified_at"))
-        .withColumn("item_dir", F.regexp_extract("document_path", r"^(.*)/[^/]+$", 1))
-        .withColumn("audio_id", F.regexp_replace(F.regexp_extract("item_dir", r"([^/]+)$", 1), "^item_id=", ""))
+        .select(
+            path.alias("document_path"),
+            F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("item_dir"),
+            (F.col("item_id") if lines else folder).alias("audio_id"),
+            F.col("_metadata.file_modification_time").alias("modified_at"),
+            "generated_at",
+            "source",
+            "pipeline",
+        )
     )
 
 
-def scan_items(
-    spark: SparkSession, folder: str, timeline: str = "*/timeline.json", info: str = "*/convert_info.json"
-) -> DataFrame:
-    """Catalog rows of all item folders below ``folder`` that hold both documents.
-
-    The patterns say where the documents lie; for folders written by ``write_documents`` they end in
-    ``item_id=*/*.json``.
-    """
+def scan_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalog rows of all ``<folder>/<item>/`` that hold both ``timeline.json`` and ``convert_info.json``."""
     base = folder.rstrip("/")
-    return assemble_items(_documents(spark, f"{base}/{timeline}"), _documents(spark, f"{base}/{info}"))
+    return assemble_items(
+        _documents(spark, f"{base}/*/timeline.json", lines=False),
+        _documents(spark, f"{base}/*/convert_info.json", lines=False),
+    )
+
+
+def scan_written(spark: SparkSession, timelines: str, infos: str) -> DataFrame:
+    """The same for the two folders of ``write_documents``."""
+    return assemble_items(_documents(spark, timelines, lines=True), _documents(spark, infos, lines=True))
 
 
 def assemble_items(timelines: DataFrame, infos: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import pandas as pd
 from pyarrow.fs import FileSystem
@@ -16,7 +17,9 @@ LARGEST_BINARY_VALUE = 512 * 1024 * 1024
 READ_CHUNK = 1024 * 1024
 
 
+@cache
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A parquet table; its footer is read once per session."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
