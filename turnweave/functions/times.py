@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from turnweave.functions.text import non_blank, stem, strip
+from turnweave.functions.text import bind, non_blank, stem, strip
 
 ISO_PATTERN = (
     r"^(\d{4}-\d{2}-\d{2}|\d{8})"
@@ -31,17 +31,13 @@ FILE_NAME_OFFSET = "+09:00"
 FILE_NAME_ZONE = "Asia/Tokyo"
 
 
-def _iso_parts(text: Column) -> Column:
-    """Date, hour, minute, second, fraction and offset of an ISO text as an array; null when it is not ISO."""
-    cleaned = strip(text)
-    split = F.split(F.regexp_replace(cleaned, ISO_PATTERN, "$1|$2|$3|$4|$5|$6"), r"\|")
-    return F.when(cleaned.rlike(ISO_PATTERN), split)
-
-
 def _with_parts(text: Column, build: Callable[[Column], Column]) -> Column:
-    """``build`` applied to the parts, which are taken apart only once per row."""
-    parts = _iso_parts(text)
-    return F.get(F.transform(F.when(parts.isNotNull(), F.array(parts)), build), F.lit(0))
+    """``build`` applied to date, hour, minute, second, fraction and offset of an ISO text; null when it is not ISO.
+
+    The text is matched once: only a full match turns into six parts.
+    """
+    parts = F.split(F.regexp_replace(strip(text), ISO_PATTERN, "$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01")
+    return bind(parts, lambda p: F.when(F.size(p) == 6, build(p)))
 
 
 def _local(parts: Column) -> Column:
@@ -91,8 +87,10 @@ def utc_datetime(text: Column) -> Column:
 
 def iso_text(moment: Column) -> Column:
     """``yyyy-mm-ddThh:mm:ss``, with six decimals only when they are not all zero."""
-    text = F.replace(moment.cast("string"), F.lit(" "), F.lit("T"))
-    return F.when(F.length(text) == 19, text).otherwise(F.rpad(text, 26, "0"))
+    return bind(
+        F.replace(moment.cast("string"), F.lit(" "), F.lit("T")),
+        lambda text: F.when(F.length(text) == 19, text).otherwise(F.rpad(text, 26, "0")),
+    )
 
 
 def seconds_interval(seconds: Column) -> Column:
@@ -152,10 +150,12 @@ def recorded_at(captured_at: Column, path: Column) -> Column:
             zone.alias("recorded_at_timezone"),
         )
 
-    tag, named = non_blank(captured_at), file_name_recorded_at(path)
     nothing = F.lit(None).cast("string")
-    return (
-        F.when(tag.isNotNull(), origin(tag, "metadata", F.lit("UTC")))
-        .when(named.isNotNull(), origin(named, "filename", F.lit(FILE_NAME_ZONE)))
-        .otherwise(origin(nothing, "unknown", nothing))
+    when_known = lambda source, zone: (
+        lambda value: F.when(value.isNotNull(), origin(value, source, F.lit(zone)))
+    )
+    return F.coalesce(
+        bind(non_blank(captured_at), when_known("metadata", "UTC")),
+        bind(file_name_recorded_at(path), when_known("filename", FILE_NAME_ZONE)),
+        origin(nothing, "unknown", nothing),
     )

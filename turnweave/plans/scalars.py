@@ -127,11 +127,13 @@ def tag_times(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("date"), F.when(key % 3 == 0, F.lit("N/A")).otherwise(_stamp(base, ".25+02:00")),
         F.lit("encoded_date"), F.when(key % 2 == 0, base).otherwise(F.lit("soon")),
     )
-    found = times.tag_recorded_times(F.array(tags, later))
-    return table(spark, sf, "orders").select(
+    found = table(spark, sf, "orders").select(
+        "o_orderkey", times.tag_recorded_times(F.array(tags, later)).alias("found")
+    )
+    return found.select(
         "o_orderkey",
-        F.get(found, F.lit(0)).alias("captured_at"),
-        F.array_join(found, ",").alias("candidates"),
+        F.get("found", F.lit(0)).alias("captured_at"),
+        F.array_join("found", ",").alias("candidates"),
     )
 
 
