@@ -66,21 +66,36 @@ def pair_intervals(
     return pairs.filter("_n = 2").drop("_n")
 
 
-def _distinct_starts(intervals: DataFrame, key: str, start: str, end: str, unit: int) -> DataFrame:
-    """Intervals with one start collapse to the longest before any ordered step."""
-    longest = intervals.groupBy(key, F.col(start).alias("_s")).agg(F.max(end).alias("_e"))
-    return longest.withColumn("_bin", time_bin(F.col("_s"), TIME_BIN_SECONDS * unit))
+def _ordered_intervals(intervals: DataFrame, key: str, start: str, end: str, unit: int) -> DataFrame:
+    """Intervals ready for an ordered pass by ``_s``, ``_e``: those with one start collapse to the longest.
+
+    An interval that ends before it starts (from a damaged log) stays a row of its own, copies included, because
+    each of them begins a group.
+    """
+    reversed_end = F.when(F.col(end) < F.col(start), F.col(end))
+    longest = intervals.groupBy(key, F.col(start).alias("_s"), reversed_end.alias("_r")).agg(
+        F.max(end).alias("_e"), F.count(F.lit(1)).alias("_n")
+    )
+    copies = F.when(F.col("_r").isNull(), F.lit(1)).otherwise(F.col("_n")).cast("int")
+    return longest.select(
+        key,
+        "_s",
+        "_e",
+        time_bin(F.col("_s"), TIME_BIN_SECONDS * unit).alias("_bin"),
+        F.explode(F.sequence(F.lit(1), copies)).alias("_copy"),
+    ).drop("_copy")
 
 
 def merge_intervals(
     intervals: DataFrame, key: str = "media_id", start: str = "start", end: str = "end", unit: int = 1
 ) -> DataFrame:
     """Merge overlapping or touching intervals."""
-    starts = _distinct_starts(intervals, key, start, end, unit)
-    reached = running(starts, [key], "_bin", ["_s"], _reach=Running("max", F.col("_e")))
+    starts = _ordered_intervals(intervals, key, start, end, unit)
+    order = ["_s", "_e"]
+    reached = running(starts, [key], "_bin", order, _reach=Running("max", F.col("_e")))
     head = F.col("_reach").isNull() | (F.col("_s") > F.col("_reach"))
     islands = running(
-        reached, [key], "_bin", ["_s"], _island=Running("sum", head.cast("bigint"), inclusive=True)
+        reached, [key], "_bin", order, _island=Running("sum", head.cast("bigint"), inclusive=True)
     )
     return islands.groupBy(key, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
 
@@ -102,13 +117,13 @@ def speech_ranges(
     so far, so merging and inverting share one ordered pass.
     """
     pad, least_length = F.lit(_scaled(padding, unit)), F.lit(_scaled(minimum, unit))
-    starts = _distinct_starts(silences, key, start, end, unit)
+    starts = _ordered_intervals(silences, key, start, end, unit)
     lengths = durations.filter(F.col(duration) > 0).select(key, F.col(duration).alias("_d"))
     reached = running(
         starts,
         [key],
         "_bin",
-        ["_s"],
+        ["_s", "_e"],
         _reach=Running("max", F.col("_e")),
         _before=Running("last", F.struct("_s", "_e")),
     )

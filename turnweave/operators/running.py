@@ -27,8 +27,8 @@ class Running:
     inclusive: bool = False
 
 
-def position_bin(position: Column, size: int = POSITION_BIN) -> Column:
-    return F.floor(position / F.lit(size)).cast("bigint")
+def position_bin(position: Column, size: int | None = None) -> Column:
+    return F.floor(position / F.lit(size or POSITION_BIN)).cast("bigint")
 
 
 def time_bin(moment: Column, width: float) -> Column:
