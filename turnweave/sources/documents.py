@@ -152,17 +152,16 @@ def timeline_summary(documents: DataFrame, payload: str = "timeline_json") -> Da
 
     ``turn_count`` is taken from the document when it is an integer, else from the number of turns.
     """
-    schema = "turn_count string, turns array<struct<speaker:string>>"
+    schema = "turn_count bigint, turns array<struct<speaker:string>>"
     parsed = documents.withColumn("_d", F.from_json(F.col(payload), schema))
     turns = F.coalesce(F.col("_d.turns"), F.array().cast("array<struct<speaker:string>>"))
     speakers = F.array_distinct(
         F.filter(F.transform(turns, lambda t: non_blank(t.getField("speaker"))), lambda s: s.isNotNull())
     )
-    stated = F.when(F.get_json_object(F.col(payload), "$.turn_count").rlike(r"^-?\d+$"), F.col("_d.turn_count"))
     return parsed.select(
         *[c for c in documents.columns if c != payload],
         F.col(payload).isNotNull().alias("has_timeline"),
-        F.coalesce(stated.try_cast("bigint"), F.size(turns).cast("bigint")).alias("turn_count"),
+        F.coalesce("_d.turn_count", F.size(turns).cast("bigint")).alias("turn_count"),
         F.size(speakers).cast("bigint").alias("speaker_count"),
     )
 

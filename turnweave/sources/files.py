@@ -28,10 +28,16 @@ def _local_path(column):
     return F.regexp_replace(column, r"^file:/+", "/")
 
 
-def root_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+def paths_matching(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """The paths or glob patterns that match something; the reader refuses the others."""
+    context = spark.sparkContext
+
+    def matches(pattern: str) -> bool:
+        target = context._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = target.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(target)
+        return found is not None and len(found) > 0
+
+    return [pattern for pattern in patterns if matches(pattern)]
 
 
 def discover_files(
@@ -44,7 +50,8 @@ def discover_files(
     Sort with ``orderBy(lower("path"))`` where order matters.
     """
     allowed = normalize_extensions(extensions)
-    missing = [root["path"] for root in roots if not root_exists(spark, root["path"])]
+    present = paths_matching(spark, [root["path"] for root in roots])
+    missing = [root["path"] for root in roots if root["path"] not in present]
     schema = "source_id string, root_path string, path string, size_bytes bigint, modified_at timestamp"
     found = spark.createDataFrame([], schema)
     for root in roots:

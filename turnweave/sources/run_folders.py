@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from turnweave.sources.files import paths_matching
+
 REQUEST_SCHEMA = (
     "run_id string, created_at string, output_root_path string, compute_mode string, conversion_signature string, "
     "generation_signature string, vad_profile string, reprocess_duplicates boolean, "
@@ -28,14 +30,15 @@ MANIFEST_SCHEMA = (
 
 
 def _documents(spark: SparkSession, parents: Sequence[str], file: str, schema: str) -> DataFrame:
-    patterns = [f"{parent.rstrip('/')}/run-*/{file}" for parent in parents]
+    patterns = paths_matching(spark, [f"{parent.rstrip('/')}/run-*/{file}" for parent in parents])
     folder = F.regexp_extract(
         F.regexp_replace(F.url_decode("_metadata.file_path"), r"^file:/+", "/"), r"^(.*)/[^/]+$", 1
     )
+    if not patterns:
+        return spark.createDataFrame([], f"run_dir string, {schema}")
     return (
         spark.read.schema(schema)
         .option("multiLine", "true")
-        .option("ignoreMissingFiles", "true")
         .json(patterns)
         .select(folder.alias("run_dir"), "*")
         .dropDuplicates(["run_dir"])
