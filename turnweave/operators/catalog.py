@@ -129,27 +129,31 @@ def file_status(
         )
     )
     extras = [c for c in ("_duration",) if c in rows.columns]
-    same_hash = F.col("_file_hash").isNull() | (F.col("_hash") == F.col("_file_hash"))
-    rank = (
-        F.when(F.col("_pos").isNull(), 4)
-        .when(F.col("_signed") & same_hash, 1)
-        .when(F.col("_file_hash").isNotNull() & (F.col("_hash") == F.col("_file_hash")), 2)
-        .otherwise(3)
+    entry = F.struct("_pos", "_audio_id", *extras)
+    # First row per (file, content) and per file, each with and without the signature: every later join finds at most
+    # one row, however many catalog rows a file has.
+    by_hash = rows.groupBy("_identity", "_hash").agg(
+        F.min(F.when(F.col("_signed"), entry)).alias("_signed_same"), F.min(entry).alias("_same")
     )
-    keyed = files.select("_identity", F.col("source_hash").alias("_file_hash"))
-    best = (
-        keyed.join(rows, "_identity")
-        .withColumn("_rank", rank)
-        .groupBy("_identity")
-        .agg(F.min(F.struct("_rank", "_pos", "_audio_id", *extras)).alias("_best"))
+    by_file = by_hash.groupBy("_identity").agg(
+        F.min("_signed_same").alias("_signed_any"), F.min("_same").alias("_any")
     )
+    known = F.col("source_hash").isNotNull()
+    signed = F.when(known, F.col("_signed_same")).otherwise(F.col("_signed_any"))
     status = (
-        F.when(F.col("_best._rank") == 1, "completed")
-        .when(F.col("_best._rank") == 2, "settings_changed")
-        .when(F.col("_best._rank") == 3, "changed")
+        F.when(signed.isNotNull(), "completed")
+        .when(F.col("_same").isNotNull(), "settings_changed")
+        .when(F.col("_any").isNotNull(), "changed")
         .otherwise("unprocessed")
     )
-    joined = files.join(best, "_identity", "left").withColumn("status", status)
+    joined = (
+        files.withColumn("_hash", F.col("source_hash"))
+        .join(by_hash, ["_identity", "_hash"], "left")
+        .join(by_file, "_identity", "left")
+        .withColumn("status", status)
+        .withColumn("_best", F.coalesce(signed, F.col("_same"), F.col("_any")))
+        .drop("_hash", "_signed_same", "_same", "_signed_any", "_any")
+    )
     media = F.col("_best._audio_id")
     if manifest is not None:
         active = F.lower("run_state").isin("pending", "running", "failed")

@@ -43,14 +43,21 @@ def remaining_items(items: DataFrame, requested: DataFrame, item: str = "item_id
     return items.withColumn("id_key", _id_key(item)).join(requested, "id_key", "left_anti").drop("id_key")
 
 
-def folder_is_safe(folder: Column, output_root: str, reserved: Sequence[str] = ()) -> Column:
-    """Whether a folder lies strictly below the output root and in no reserved subfolder."""
+def folder_is_safe(
+    folder: Column, output_root: str, reserved: Sequence[str] = (), run_dir: Column | None = None
+) -> Column:
+    """Whether a folder lies strictly below the output root, in no reserved subfolder, and is not the folder that holds
+    all media of a run."""
     root = output_root.rstrip("/")
     path = F.regexp_replace(folder, "/+$", "")
     parts = F.split(path, "/")
     climbs = F.array_contains(parts, "..")
     kept_out = F.arrays_overlap(parts, F.array(*[F.lit(name) for name in reserved])) if reserved else F.lit(False)
-    return F.coalesce(F.startswith(path, F.lit(f"{root}/")) & ~climbs & ~kept_out, F.lit(False))
+    whole_run = F.lit(False)
+    if run_dir is not None:
+        whole_run = F.coalesce(path == F.concat(F.regexp_replace(run_dir, "/+$", ""), F.lit("/media")), F.lit(False))
+    below = F.startswith(path, F.lit(f"{root}/"))
+    return F.coalesce(below & ~climbs & ~kept_out & ~whole_run, F.lit(False))
 
 
 def plan_removal(
@@ -62,7 +69,8 @@ def plan_removal(
     folder: str = "item_dir",
 ) -> DataFrame:
     """Rows that a removal takes out, with ``folder_safe`` and ``remove_folder`` (never on a dry run)."""
-    safe = folder_is_safe(F.col(folder), output_root, reserved)
+    run_dir = F.col("run_dir") if "run_dir" in items.columns else None
+    safe = folder_is_safe(F.col(folder), output_root, reserved, run_dir)
     return select_items(items, requested).select(
         *items.columns,
         safe.alias("folder_safe"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from turnweave.session import scratch_path
+from turnweave.session import stored
 
 # A top-N of this many rows is merged in one task; larger ones go through the distributed rank.
 ROWS_FOR_ONE_TASK = 100_000
@@ -18,22 +18,15 @@ def ranked(df: DataFrame, order: Sequence[Column | str], name: str = "rank") ->
     Rows are range-partitioned and sorted, their place is written out with them, and the number of rows in earlier
     partitions (one value per partition) is added. ``order`` should end in a unique column.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "ranked")
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-    )
-    placed.write.parquet(path)
-    stored = spark.read.schema(placed.schema).parquet(path)
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_place", 33)
     within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     # One row per range partition, so the broadcast is bounded by the partition count.
-    joined = stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return joined.withColumn(name, F.col("_before") + within + F.lit(1)).drop("_part", "_place", "_before")
 
 

@@ -47,15 +47,15 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _timeline_documents(spark: SparkSession, sf: str) -> DataFrame:
-    turns = timeline.timeline_turns(segments.validated(spark, sf), **segments.MS)
+def _timeline_documents(spark: SparkSession, sf: str, judged: DataFrame) -> DataFrame:
+    turns = timeline.timeline_turns(judged, **segments.MS)
     return timeline.timeline_documents(turns, _sources(spark, sf).select("media_id", "source", "pipeline"))
 
 
-def _conversion_documents(spark: SparkSession, sf: str) -> DataFrame:
+def _conversion_documents(spark: SparkSession, sf: str, judged: DataFrame | None = None) -> DataFrame:
     return timeline.conversion_documents(
         _sources(spark, sf),
-        segments.counts_per_recording(spark, sf),
+        segments.counts_per_recording(spark, sf, judged),
         application="turnweave",
         generated_at=F.lit("2026-01-01T00:00:00+00:00"),
     )
@@ -64,8 +64,9 @@ def _conversion_documents(spark: SparkSession, sf: str) -> DataFrame:
 def written_items(spark: SparkSession, sf: str) -> DataFrame:
     """Write both documents of every recording, then scan the folders as a catalog."""
     folder = scratch_path(spark, "items")
-    sinks.write_documents(_timeline_documents(spark, sf), f"{folder}/timeline")
-    sinks.write_documents(_conversion_documents(spark, sf), f"{folder}/convert_info")
+    judged = segments.stored_validation(spark, sf)
+    sinks.write_documents(_timeline_documents(spark, sf, judged), f"{folder}/timeline")
+    sinks.write_documents(_conversion_documents(spark, sf, judged), f"{folder}/convert_info")
     found = scan_written(spark, f"{folder}/timeline", f"{folder}/convert_info")
     return found.select("audio_id", "source_hash", "source_file_identity", "conversion_signature", "duration_seconds")
 
@@ -140,6 +141,7 @@ def written_performance(spark: SparkSession, sf: str) -> DataFrame:
 def exported(spark: SparkSession, sf: str) -> DataFrame:
     """Export every recording and read the package back."""
     folder = scratch_path(spark, "export")
+    judged = segments.stored_validation(spark, sf)
     as_item = F.concat(F.lit("Item-"), F.col("media_id").cast("string")).alias("item_id")
     stored = _sources(spark, sf).select(as_item, F.lit("available").alias("status"))
     wanted = table(spark, sf, "conversations").select(F.concat(F.lit("item-"), F.col("conv_id").cast("string")).alias("id_key"))
@@ -148,8 +150,8 @@ def exported(spark: SparkSession, sf: str) -> DataFrame:
     sinks.export_package(
         manifest,
         missing,
-        _timeline_documents(spark, sf).select(as_item, "turn_count", "source"),
-        _conversion_documents(spark, sf).select(as_item, "counts"),
+        _timeline_documents(spark, sf, judged).select(as_item, "turn_count", "source"),
+        _conversion_documents(spark, sf, judged).select(as_item, "counts"),
         folder,
     )
     timelines = spark.read.schema("turn_count bigint").json(f"{folder}/timeline/items")

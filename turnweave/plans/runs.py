@@ -9,6 +9,7 @@ from turnweave.operators import forecast, refresh, runs
 from turnweave.plans import views
 from turnweave.plans.views import with_views
 from turnweave.sources.files import table
+from turnweave.sources.run_folders import distinct_run_dirs
 
 STAGES = ("extract_audio", "detect_speech_candidates", "diarize_audio", "transcribe_audio", "generate_artifacts")
 
@@ -32,7 +33,7 @@ manifest as (
 
 
 def rollup(spark: SparkSession, sf: str) -> DataFrame:
-    known = table(spark, sf, "customer").filter("c_custkey < 120").select(F.col("c_custkey").alias("run_id"))
+    known = table(spark, sf, "customer").select(F.col("c_custkey").alias("run_id"))
     return runs.run_rollup(known, manifest(spark, sf))
 
 
@@ -222,6 +223,16 @@ def stale(spark: SparkSession, sf: str) -> DataFrame:
     return runs.classify_stale(_runs(spark, sf), F.lit(100)).select("run_id", "stale", "state_now")
 
 
+def run_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select(
+        F.concat(F.lit("/runs/run-"), (F.col("o_orderkey") % 5000).cast("string")).alias("run_dir")
+    )
+    lines = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("/runs/run-"), F.col("l_orderkey").cast("string"), F.lit("/")).alias("run_dir")
+    )
+    return distinct_run_dirs(orders, lines)
+
+
 def active(spark: SparkSession, sf: str) -> DataFrame:
     return runs.active_run(_runs(spark, sf)).select("run_id", "run_name")
 
@@ -418,7 +429,7 @@ QUERIES = {
         with_views("history", query=f"""with {MANIFEST} select c_custkey as run_id,
           cast(coalesce(sum(size_bytes), 0) as bigint) as total_size_bytes,
           cast(coalesce(sum(duration_seconds), 0) as bigint) as total_duration_sec
-        from customer left join manifest on run_id = c_custkey where c_custkey < 120 group by 1"""),
+        from customer left join manifest on run_id = c_custkey group by 1"""),
     ),
     "a5_item_counts": (
         counts,
@@ -532,6 +543,11 @@ QUERIES = {
         select run_id, stale, case when lower(state) = 'running' and (stale or locked_at is null) then 'interrupted'
           else trim(lower(state)) end as state_now from s""",
     ),
+    "u4_run_dirs": (
+        run_dirs,
+        """select '/runs/' || run_name as run_dir, run_name from (
+          select 'run-' || o_orderkey % 5000 as run_name from orders union select 'run-' || l_orderkey from lineitem)""",
+    ),
     "o6_active_run": (
         active,
         f"""with {_RUNS} select run_id, run_name from runs where lower(state) in ('pending', 'running')

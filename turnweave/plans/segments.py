@@ -10,6 +10,7 @@ from turnweave.operators.running import numbered, repeat_counts, run_lengths
 from turnweave.operators.validate import phrase_repeats, validate_segments
 from turnweave.plans import views
 from turnweave.plans.views import with_views
+from turnweave.session import stored
 
 MS = {"start": "start_ms", "end": "end_ms", "unit": 1000}
 
@@ -102,6 +103,11 @@ def validated(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Validated segments as a stored table, for queries that read them in several branches."""
+    return stored(validated(spark, sf), "validated")
+
+
 def validate_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return validated(spark, sf).select(
         "media_id",
@@ -132,9 +138,9 @@ def known_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return phrase_repeats(views.raw_segments(spark, sf)).select("media_id", "seg_index", "run_length", "repeats")
 
 
-def counts_per_recording(spark: SparkSession, sf: str) -> DataFrame:
+def counts_per_recording(spark: SparkSession, sf: str, judged: DataFrame | None = None) -> DataFrame:
     return timeline.recording_counts(
-        views.speech_ranges(spark, sf), views.speaker_turns(spark, sf), validated(spark, sf)
+        views.speech_ranges(spark, sf), views.speaker_turns(spark, sf), validated(spark, sf) if judged is None else judged
     )
 
 
@@ -154,7 +160,7 @@ def ranges_from_silences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cut_map(spark: SparkSession, sf: str) -> DataFrame:
-    placed = intervals.trimmed_axis(ranges_from_silences(spark, sf), **MS)
+    placed = intervals.trimmed_axis(stored(ranges_from_silences(spark, sf), "ranges"), **MS)
     return placed.select("media_id", "start_ms", "end_ms", "trimmed_start", "trimmed_end")
 
 
@@ -208,7 +214,7 @@ def _recording_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def timeline_turns(spark: SparkSession, sf: str) -> DataFrame:
-    turns = timeline.timeline_turns(validated(spark, sf), _recording_times(spark, sf), **MS)
+    turns = timeline.timeline_turns(stored_validation(spark, sf), _recording_times(spark, sf), **MS)
     return turns.drop("logprob_milli", "no_speech_milli")
 
 
@@ -252,7 +258,7 @@ def timeline_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_changes(spark: SparkSession, sf: str) -> DataFrame:
-    checked = validated(spark, sf)
+    checked = stored_validation(spark, sf)
     return timeline.require_same_text(checked, timeline.timeline_turns(checked, **MS))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from turnweave.functions.text import extension, file_name, normalize_extensions, relative_to, source_identity
 
 # binaryFile holds a whole file in one value; larger files are hashed in chunks instead.
-LARGEST_BINARY_VALUE = 512 * 1024 * 1024
+LARGEST_BINARY_VALUE = 64 * 1024 * 1024
 READ_CHUNK = 1024 * 1024
 
 

@@ -45,6 +45,18 @@ def _documents(spark: SparkSession, parents: Sequence[str], file: str, schema: s
     )
 
 
+def distinct_run_dirs(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Run folders found below several parents, each once (a trailing slash does not matter), with their names."""
+    found = first.select("run_dir")
+    for other in others:
+        found = found.unionByName(other.select("run_dir"))
+    return (
+        found.select(F.regexp_replace("run_dir", "/+$", "").alias("run_dir"))
+        .distinct()
+        .withColumn("run_name", F.regexp_extract("run_dir", r"([^/]+)$", 1))
+    )
+
+
 def read_runs(spark: SparkSession, parents: Sequence[str]) -> DataFrame:
     """One row per run folder with request and status below any of the parents."""
     return assemble_runs(
