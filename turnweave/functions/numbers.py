@@ -63,11 +63,14 @@ def or_zero(value: Column) -> Column:
 
 def optional_int(text: Column) -> Column:
     """``N/A``, blank and junk text become null."""
-    return F.trim(text).try_cast("bigint")
+    digits = F.trim(text)
+    # Testing first is cheaper than a failed cast.
+    return F.when(digits.rlike(r"^[+-]?\d+$"), digits.try_cast("bigint"))
 
 
 def optional_double(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
+    number = F.trim(text)
+    return F.when(~number.isin("", "N/A"), number.try_cast("double"))
 
 
 def optional_ratio(text: Column) -> Column:

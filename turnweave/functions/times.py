@@ -133,10 +133,12 @@ def file_name_recorded_at(path: Column) -> Column:
 
 def tag_recorded_times(tag_maps: Column) -> Column:
     """Distinct tag times of an array of tag maps as UTC ISO text, earliest first."""
-    per_map = F.transform(
-        tag_maps, lambda tags: F.array(*[utc_datetime(F.try_element_at(tags, F.lit(key))) for key in RECORDED_AT_TAGS])
+    values = F.flatten(
+        F.transform(tag_maps, lambda tags: F.array(*[F.try_element_at(tags, F.lit(key)) for key in RECORDED_AT_TAGS]))
     )
-    moments = F.array_distinct(F.filter(F.flatten(per_map), lambda moment: moment.isNotNull()))
+    known = F.filter(values, lambda value: value.isNotNull())
+    parsed = F.transform(known, utc_datetime)
+    moments = F.array_distinct(F.filter(parsed, lambda moment: moment.isNotNull()))
     return F.transform(F.array_sort(moments), lambda moment: F.concat(iso_text(moment), F.lit("Z")))
 
 

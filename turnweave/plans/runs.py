@@ -83,7 +83,7 @@ def run_performance(spark: SparkSession, sf: str) -> DataFrame:
         F.col("duration_seconds.completed_audio").alias("completed_audio"),
         F.col("duration_seconds.run_wall").alias("run_wall"),
         F.col("throughput.completed_audio_seconds_per_wall_second").alias("throughput"),
-        F.coalesce(F.size("stages"), F.lit(0)).alias("stage_count"),
+        F.coalesce(F.array_size(F.map_keys("stages")), F.lit(0)).alias("stage_count"),
         F.try_element_at("stages", F.lit("diarize_audio")).getField("max_wall_seconds").alias("diarize_max"),
     )
 
