@@ -6,8 +6,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
-# Java's \s is ASCII only; this class also covers U+3000, U+00A0, U+0085 and the separators U+001C to U+001F.
-SPACE = r"[\s\x1c-\x1f]"
+# Every character that counts as whitespace.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# The same as a pattern; Java's \\s alone is ASCII only. Measured faster than a class of ranges or a translation.
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 # Letters whose full case folding differs from lowercasing.
 FOLDINGS = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
@@ -16,13 +21,6 @@ FOLDINGS = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"
 DEFAULT_EXTENSIONS = (".mp3", ".wav", ".m4a", ".aac", ".flac")
 
 
-# The characters SPACE stands for, for trimming without a regular expression.
-SPACES = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
-
-
 def bind(value: Column, build: Callable[[Column], Column]) -> Column:
     """``build(value)`` with ``value`` evaluated once per row, however often ``build`` uses it."""
     return F.get(F.transform(F.array(value), build), F.lit(0))
@@ -43,12 +41,12 @@ def forward_slashes(text: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """Runs of whitespace become one blank; leading and trailing whitespace goes."""
-    return F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
 
 
 def comparable(text: Column) -> Column:
     """Text without any whitespace, case folded, for equality tests."""
-    folded = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U){SPACE}+", ""))
+    folded = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, ""))
     for letter, replacement in FOLDINGS:
         folded = F.replace(folded, F.lit(letter), F.lit(replacement))
     return folded
