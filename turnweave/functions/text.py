@@ -11,7 +11,7 @@ SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same as a pattern; Java's \\s alone is ASCII only. Measured faster than a class of ranges or a translation.
+# The same as a pattern; Java's \s alone is ASCII only. Measured faster than a class of ranges or a translation.
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 # Letters whose full case folding differs from lowercasing.
