@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnweave.llm import op_bpe, op_cells, op_media, op_near, op_pack, op_quality, op_substring, op_suffix
+from turnweave.llm import op_bpe, op_cells, op_chat, op_media, op_near, op_pack, op_quality, op_substring, op_suffix
 
 QUERIES = {
     "op1_embedding_near_dedup": (op_cells.op1_embedding_near_dedup, op_cells.SQL),
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": (op_bpe.op3_byte_bpe, None),
     "op4_best_fit_packing": (op_pack.op4_best_fit_packing, None),
     "op6_transport_streams": (op_media.op6_transport_streams, None),
+    "op7_chat_windows": (op_chat.op7_chat_windows, None),
     "op9_minhash_near_dedup": (op_near.op9_minhash_near_dedup, op_near.SQL),
     "op8_substring_dedup": (op_substring.op8_substring_dedup, op_substring.SQL),
     "op10_quality_classifier": (op_quality.op10_quality_classifier, None),
