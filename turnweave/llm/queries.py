@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from turnweave.llm import op_bpe, op_cells, op_chat, op_media, op_near, op_pack, op_quality, op_substring, op_suffix
+from turnweave.llm import op_bpe, op_cells, op_chat, op_media, op_near, op_pack, op_pii, op_quality, op_substring, op_suffix
 
 QUERIES = {
     "op1_embedding_near_dedup": (op_cells.op1_embedding_near_dedup, op_cells.SQL),
     "op2_suffix_array_dedup": (op_suffix.op2_suffix_array_dedup, None),
     "op3_byte_bpe": (op_bpe.op3_byte_bpe, None),
     "op4_best_fit_packing": (op_pack.op4_best_fit_packing, None),
+    "op5_pii_surrogates": (op_pii.op5_pii_surrogates, None),
     "op6_transport_streams": (op_media.op6_transport_streams, None),
     "op7_chat_windows": (op_chat.op7_chat_windows, None),
     "op9_minhash_near_dedup": (op_near.op9_minhash_near_dedup, op_near.SQL),
