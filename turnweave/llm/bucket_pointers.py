@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from turnweave.llm.tables import kept, slices
 
 BLOCK = 32
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 16  # small enough for the arrays of a slice to stay in the processor's cache
 LOWEST = 64  # the shortest repeat the levels are laid out for
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,7 +71,7 @@ class Buckets:
 
     def everywhere(self, depth: int, salt: int) -> np.ndarray:
         level = max(k for k in self.levels if k <= depth)
-        return _paired(_paired(self.levels[level], _later(self.levels[level], depth - level)), np.uint64(salt))
+        return _paired(self.levels[level], _later(self.levels[level], depth - level)) ^ np.uint64(salt)
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -84,10 +84,10 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int):
+def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int, most: int):
     """Half-length identifiers, the smallest of each window (0 where no window starts), and the minimizers' places."""
     half = length // 2
-    buckets = Buckets(data, length)
+    buckets = Buckets(data, most)
     ids = buckets.everywhere(half, 31) | np.uint64(1)
     end = np.repeat(offsets[1:], np.diff(offsets))
     place = np.arange(len(data))
@@ -95,8 +95,8 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int):
     width = length - half + 1
     least = _slide(ids, width, np.minimum)
     least[place + length > end] = 0
-    most = _slide(least[::-1], width, np.maximum)[::-1]
-    return buckets, ids, least, np.flatnonzero((ids == most) & (ids != np.uint64(2**64 - 1)))
+    highest = _slide(least[::-1], width, np.maximum)[::-1]
+    return buckets, ids, least, np.flatnonzero((ids == highest) & (ids != np.uint64(2**64 - 1)))
 
 
 def _halves(length: int):
@@ -104,7 +104,7 @@ def _halves(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
-            _, ids, _, found = _minimizers(data, offsets, length)
+            _, ids, _, found = _minimizers(data, offsets, length, length // 2)
             row = np.searchsorted(offsets, found, "right") - 1
             doc = part.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
@@ -122,7 +122,7 @@ def _blocks(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
-            buckets, ids, least, found = _minimizers(data, offsets, length)
+            buckets, ids, least, found = _minimizers(data, offsets, length, length)
             column = part.column(part.schema.get_field_index("places"))
             counts = np.diff(column.offsets.to_numpy(zero_copy_only=False))
             row = np.repeat(np.arange(len(counts)), counts)
@@ -206,7 +206,9 @@ def _windows(length: int):
 
 
 def _repeated(seen: DataFrame, key: str) -> DataFrame:
-    return seen.join(seen.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), key)
+    often = seen.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
+    # Written first: the join then deals out its rows anew, and adaptive execution can split a frequent identifier.
+    return seen.join(kept(often, "often"), key)
 
 
 def repeated_spans(rows: DataFrame, length: int = 400) -> DataFrame:
@@ -217,7 +219,7 @@ def repeated_spans(rows: DataFrame, length: int = 400) -> DataFrame:
     if length < LOWEST:
         raise ValueError(f"length must be {LOWEST} or more")
     run, kind = _halves(length)
-    halves = rows.mapInArrow(run, kind)
+    halves = kept(rows.mapInArrow(run, kind), "minimizers")
     places = kept(
         _repeated(halves, "h").groupBy("doc").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc", "_row_id"),
         "halves",
