@@ -40,11 +40,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     larger = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
-    return larger.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
+    # Written first, so that the join deals out its rows anew and adaptive execution can split a node of many links.
+    return larger.join(kept(least, "least"), "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = kept(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

@@ -7,9 +7,9 @@ document stops as soon as all its slots hold a value below the current step. Her
 many documents at once.
 
 Rows with equal shingle sets form one class, and only the smallest id of a class goes on. Classes that share a band
-are candidates. A band's members are compared with a few pivots per round, never all with all: members found to belong
-together need no further comparison, and the rounds end when each band holds one component, or all its members were
-pivots. Every link is confirmed on the full sets.
+are candidates. A band's members are first compared with one of them, never all with all: members found to belong
+together need no further comparison, and for the others bounds leave few comparisons over. Every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from turnweave.llm.components import components
 from turnweave.llm.hashing import Windows, mix, word_bounds, word_hashes
@@ -27,10 +27,9 @@ from turnweave.llm.tables import kept, lists, slices
 SLOTS = 128
 BANDS = 32  # of 4 slots: a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8
 SKETCH_BITS = 256  # two bits per slot
-# Sketches of a pair of similarity 0.8 differ in about 26 bits; this leaves over six standard deviations.
-MOST_BITS_APART = 72
+# Sketches of a pair of similarity 0.8 differ in 26 bits, with a deviation below 6; this leaves six deviations.
+MOST_BITS_APART = 60
 SLICE_BYTES = 1 << 21
-MOST_ROUNDS = 60
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,10 +128,6 @@ def _sets(words: int):
     return run, "_row_id long, shingles array<long>"
 
 
-def _apart() -> F.Column:
-    return sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-
-
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row: groups linked by 100 * intersection >= percent * union.
 
@@ -145,14 +140,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     features = kept(rows.mapInArrow(run, kind), "signatures")
     some = features.filter("n_shingles > 0 and _row_id is not null")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = some.groupBy(*key).agg(F.min("_row_id").alias("rep"))
-    members = kept(some.select("_row_id", *key).join(classes, key).select("_row_id", "rep").distinct(), "classes")
-    reps = some.join(classes, key).filter("_row_id = rep").dropDuplicates(["rep"])
+    classes = kept(some.groupBy(*key).agg(F.min("_row_id").alias("rep")), "classes")
+    members = kept(some.select("_row_id", *key).join(classes, key).select("_row_id", "rep").distinct(), "members")
+    reps = some.join(classes.withColumn("_row_id", F.col("rep")), ["_row_id", *key]).dropDuplicates(["rep"])
     reps = kept(reps.select("rep", "n_shingles", "bands", "sketch"), "representatives")
-    links = members.filter("_row_id <> rep").select(F.col("_row_id").alias("a"), F.col("rep").alias("b"))
-    near = class_links(rows, reps, words, percent)
-    groups = components(links.union(near))
-    named = groups.withColumnRenamed("id", "_row_id")
+    # An id that several texts carry joins their classes.
+    shared = members.groupBy("_row_id").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same_id = members.join(shared, "_row_id").select(F.col("rep").alias("a"), "b")
+    groups = components(same_id.union(class_links(rows, reps, words, percent)))
+    named = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").groupBy("_row_id").agg(
+        F.min(F.coalesce("component", "rep")).alias("component")
+    )
     return (
         features.select("_row_id", "n_shingles")
         .join(named, "_row_id", "left")
@@ -166,79 +164,100 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def class_links(rows: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives that connect all classes any chain of links connects."""
-    spark = reps.sparkSession
+    """Confirmed links (a, b) between class representatives that connect all classes any chain of links connects.
+
+    First every band's members meet its smallest member. Bands that then hold several components go on with bounds: a
+    shingle that no other member of such a band has (a dead one) is in no intersection, which limits the similarity
+    of any pair. The member with the smallest dead share is met next, as it links with most of those that link at all. Last,
+    members outside a band's largest component meet all members that the bounds and sketches leave possible.
+    """
     exploded = reps.select(F.explode("bands").alias("band"), F.col("rep"))
-    shared = exploded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    buckets = kept(exploded.join(shared.select("band"), "band").select("band", "rep"), "bands")
-    facts = reps.select("rep", "n_shingles", "sketch")
+    ends = exploded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("high")).filter("pivot < high")
+    shared = kept(ends, "shared-bands")
+    buckets = kept(exploded.join(shared.select("band", "pivot"), "band"), "bands")
+    facts = reps.select("rep", F.col("n_shingles").alias("n"), "sketch")
     ids = buckets.select("rep").distinct()
     wanted = rows.join(ids, rows["_row_id"] == ids["rep"], "left_semi").dropDuplicates(["_row_id"])
     run, kind = _sets(words)
-    sets = kept(wanted.mapInArrow(run, kind), "sets")
-
-    found = spark.createDataFrame([], "a long, b long")
-    compared = None
-    for turn in range(MOST_ROUNDS):
-        pairs = _pairs(buckets, turn)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        x, y = facts.alias("x"), facts.alias("y")
-        small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-        likely = (
-            pairs.join(x, pairs["a"] == F.col("x.rep"))
-            .join(y, pairs["b"] == F.col("y.rep"))
-            .filter((small * 100 >= large * percent) & (_apart() <= MOST_BITS_APART))
-            .select("a", "b")
-        )
-        pairs = kept(pairs, "pairs")
-        links = kept(_confirmed(likely, sets, percent), "confirmed")
-        found = found.union(links)
-        compared = pairs if compared is None else compared.union(pairs)
-        buckets = _open_buckets(buckets, found, turn)
-        if buckets.limit(1).count() == 0:
-            return found
-    raise RuntimeError(f"Bands did not settle in {MOST_ROUNDS} rounds.")
-
-
-def _pivots(buckets: DataFrame, turn: int) -> DataFrame:
-    """The 2**turn members per band that become pivots: smallest component first, then smallest id."""
-    if turn == 0:
-        return buckets.groupBy("band").agg(F.min("rep").alias("pivot"))
-    sized = buckets.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"))
-    # One row per component and band: the smallest components that hold 2**turn members together, the largest left out.
-    line = Window.partitionBy("band").orderBy("size", "least")
-    chosen = sized.select(
-        "band", "component", F.sum("size").over(line).alias("upto"), F.col("size"),
-        F.row_number().over(line).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("band")).alias("all"),
-    ).filter((F.col("nth") < F.col("all")) & ((F.col("upto") <= 2**turn) | (F.col("nth") == 1)))
-    return buckets.join(chosen.select("band", "component"), ["band", "component"]).select("band", F.col("rep").alias("pivot"), "component")
-
-
-def _pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    pivots = _pivots(buckets, turn)
-    a, b = F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")
-    if turn == 0:
-        return buckets.join(pivots, "band").filter("rep <> pivot").select(a, b).distinct()
-    mine = pivots.withColumnRenamed("component", "own")
-    return buckets.join(mine, "band").filter("component <> own").select(a, b).distinct()
+    sets = kept(wanted.mapInArrow(run, kind).withColumnRenamed("_row_id", "rep"), "sets")
+
+    pairs = kept(_pairs(buckets.filter("rep <> pivot").select("rep", F.col("pivot").alias("other"))), "pairs")
+    x, y = _side(facts, "x", "a"), _side(facts, "y", "b")
+    likely = pairs.join(x, "a").join(y, "b").filter(_possible(percent)).select("a", "b")
+    found = kept(_confirmed(likely, sets, percent), "confirmed")
+
+    members = kept(_mixed(buckets.select("band", "rep"), found), "mixed-bands")
+    if members.limit(1).count() == 0:
+        return found
+    members = kept(_promising(members, facts, sets, percent), "promising")
+    central = members.groupBy("band").agg(F.min_by("rep", F.struct(F.col("dead") / F.col("n"), "rep")).alias("other"))
+    found = _met(members, members.join(central, "band").filter("rep = other").drop("other"), pairs, found, sets, percent)
+    members = kept(_mixed(members.drop("component"), found), "open-bands")
+    sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+    outside = members.join(largest, "band").filter("component <> largest").drop("largest")
+    return _met(members, outside, pairs, found, sets, percent)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def _side(facts: DataFrame, name: str, key: str) -> DataFrame:
+    return facts.select(F.col("rep").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in facts.columns if c != "rep"])
+
+
+def _possible(percent: int) -> F.Column:
+    """Whether sizes and sketches of x and y leave the similarity possible."""
+    small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    apart = [F.bit_count(F.col("x_sketch")[k].bitwiseXOR(F.col("y_sketch")[k])) for k in range(SKETCH_BITS // 64)]
+    return (small * 100 >= large * percent) & (sum(apart[1:], apart[0]) <= MOST_BITS_APART)
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the bands that hold two components or more, with their component."""
+    named = (
+        members.join(components(found).withColumnRenamed("id", "rep"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep"))
+        .select(*members.columns, "component")
+    )
+    ends = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return named.join(ends.filter("low < high").select("band"), "band")
+
+
+def _promising(members: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members with their facts and number of dead shingles, without those that can link with none of their band."""
+    inside = sets.join(members.select("rep").distinct(), "rep", "left_semi")
+    single = inside.select("rep", F.explode("shingles").alias("shingle"))
+    single = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("rep")).filter("times = 1")
+    dead = single.groupBy("rep").agg(F.count(F.lit(1)).alias("dead"))
+    named = members.join(facts, "rep").join(dead, "rep", "left").fillna(0, ["dead"])
+    least = named.groupBy("band").agg(F.min("n").alias("least"))
+    live = F.col("n") - F.col("dead")
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    return (
+        named.join(least, "band").filter(live * 100 >= (F.col("n") + partner - live) * percent).drop("least")
+    )
+
+
+def _met(members: DataFrame, some: DataFrame, pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``found`` and the confirmed links between ``some`` members and the members of other components in their bands."""
+    facts = ("component", "n", "dead", "sketch")
+    x = members.select("band", "rep", *[F.col(c).alias(f"x_{c}") for c in facts])
+    y = some.select("band", F.col("rep").alias("other"), *[F.col(c).alias(f"y_{c}") for c in facts])
+    common = F.least(F.col("x_n") - F.col("x_dead"), F.col("y_n") - F.col("y_dead"))
+    bound = common * 100 >= (F.col("x_n") + F.col("y_n") - common) * percent
+    met = x.alias("x").join(
+        y.alias("y"),
+        (F.col("x.band") == F.col("y.band")) & (F.col("x_component") != F.col("y_component")) & bound & _possible(percent),
+    )
+    likely = _pairs(met).join(pairs, ["a", "b"], "left_anti")
+    return found.union(kept(_confirmed(likely, sets, percent), "confirmed"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("_row_id").alias("b"), F.col("shingles").alias("set_b"))
-    other = sets.select(F.col("_row_id").alias("a"), F.col("shingles").alias("set_a"))
+    one = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
+    other = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     return pairs.join(one, "b").join(other, "a").filter(common * 100 >= union * percent).select("a", "b")
-
-
-def _open_buckets(buckets: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """Rows of bands that still hold two components or more, without the pivots of this turn."""
-    groups = components(found)
-    done = _pivots(buckets, turn).select("band", F.col("pivot").alias("rep"))
-    rest = buckets.join(done, ["band", "rep"], "left_anti").select("band", "rep")
-    named = rest.join(groups, rest["rep"] == groups["id"], "left").select(
-        "band", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return kept(named.join(mixed.select("band"), "band").select("band", "rep", "component"), "open-bands")
