@@ -96,7 +96,8 @@ def _flat(column: pa.Array, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _shared(seen: DataFrame) -> DataFrame:
     """Rows whose hash occurs in two documents, with the smallest of these documents."""
     shared = seen.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    return seen.join(shared.select("h", "low"), "h")
+    # Written first: the join then deals out its rows anew, and adaptive execution can split a frequent hash.
+    return seen.join(kept(shared.select("h", "low"), "shared"), "h")
 
 
 def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 50) -> DataFrame:
@@ -175,5 +176,10 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).cast("bigint").alias("_row_id"), F.col(text_column).alias("_text"))
     found = repeated_windows(docs, id_column, text_column, window)
     joined = rows.join(found, "_row_id", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+    return stripped(joined, window).withColumnRenamed("_row_id", id_column)
+
+
+def stripped(rows: DataFrame, window: int = 50) -> DataFrame:
+    """(_row_id, n_words, n_removed, text) for rows (_row_id, _text, starts) of ``repeated_windows``."""
     run, kind = _strip(window)
-    return joined.mapInArrow(run, kind).withColumnRenamed("_row_id", id_column)
+    return rows.select("_row_id", "_text", "starts").mapInArrow(run, kind)

@@ -13,18 +13,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> subwords.Model:
-    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
-    return subwords.fit(docs, labels.select(F.col("doc_id").alias("_row_id"), F.col("quality").alias("_label")))
+def quality_model(docs: DataFrame, labels: DataFrame) -> subwords.Model:
+    """Model of the labelled documents, learned from ids outside the held-out third."""
+    known = labels.filter(~held_out(F.col("doc_id")))
+    return subwords.fit(
+        docs.select(F.col("doc_id").alias("_row_id"), F.col("text").alias("_text")),
+        known.select(F.col("doc_id").alias("_row_id"), F.col("quality").alias("_label")),
+    )
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents; null and empty texts get the score of a text without features."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_row_id"), F.col("text").alias("_text"))
-    found = subwords.scored(docs, quality_model(spark, docs, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = subwords.scored(docs, quality_model(docs, table(spark, sf_dir, "labels")), carried=["doc_id"])
     return found.select(
-        F.col("_row_id").alias("doc_id"),
-        F.coalesce(held_out(F.col("_row_id")), F.lit(False)).alias("held_out"),
+        "row.doc_id",
+        F.coalesce(held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

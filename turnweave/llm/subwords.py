@@ -190,12 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(table.reshape(ENTRIES, WIDTH), weights.reshape(WIDTH, 2), bias)
 
 
-def _score(model: Model):
+def _score(model: Model, column: str):
     worth, bias = model.folded()
-    schema = pa.schema([("_row_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
+        for part, data, offsets in slices(batches, column, SLICE_BYTES):
             rows = len(offsets) - 1
             total, count = np.zeros(rows), np.zeros(rows)
             for text, entry in features(data, offsets):
@@ -203,12 +202,17 @@ def _score(model: Model):
                 count += np.bincount(text, minlength=rows)
             logit = total / np.maximum(count, 1) + bias
             score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-            yield part.select([n for n in part.schema.names if n != "_text"]).append_column("score", pa.array(score))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], names=["row", "score"])
+
+    return run
 
-    return run, schema
 
+def scored(docs: DataFrame, model: Model, text_column: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """(row, score) per row of ``docs``: its ``carried`` columns (all by default) as a struct, and a score from 0 to 1.
 
-def scored(docs: DataFrame, model: Model, keep: str = "_row_id long") -> DataFrame:
-    """The columns named in ``keep`` (a schema text) with a score from 0 to 1 for each row of ``docs`` (also ``_text``)."""
-    run, _ = _score(model)
-    return docs.mapInArrow(run, f"{keep}, score double")
+    Null and empty texts have no features and get the score of the bias alone.
+    """
+    columns = [F.col(f"`{c}`") for c in (docs.columns if carried is None else carried)]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text_column}`").alias("_text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_score(model, "_text"), f"row {kind}, score double")
