@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from turnweave.llm.components import components
-from turnweave.llm.tables import kept
+from turnweave.llm.tables import kept, lists
 
 SAMPLE_ROWS = 20_000  # distinct vectors the centroids are fitted on
 CELL_ROWS = 4_096  # vectors aimed at per cell
@@ -53,10 +54,33 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _units():
+    """Unit vectors of the rows whose components are all finite numbers and not all zero."""
+    schema = pa.schema([("_row_id", pa.int64()), ("label", pa.string()), ("unit", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for width in np.unique(sizes[sizes > 0]).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == width)))
+                # Null components become NaN.
+                vectors = _matrix(part.column(2), width)
+                good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
+                vectors = vectors[good]
+                # Scaling by the largest component first keeps squares in range; adding 0.0 turns -0.0 into 0.0.
+                vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True) + 0.0
+                vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+                ids, labels = (part.column(k).filter(pa.array(good)) for k in (0, 1))
+                units = lists(vectors.reshape(-1), np.full(len(vectors), width), pa.float64())
+                yield pa.RecordBatch.from_arrays([ids, labels, units], schema=schema)
+
+    return run, "_row_id long, label string, unit array<double>"
+
+
 def _homes(centroids: np.ndarray, least: float):
     """Each vector at home in its cell, and as a visitor in the earlier cells that may hold a partner."""
     schema = pa.schema(
-        [("rep", pa.int64()), ("label", pa.int64()), ("cell", pa.int32()), ("home", pa.bool_()), ("unit", pa.list_(pa.float64()))]
+        [("rep", pa.int64()), ("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("unit", pa.list_(pa.float64()))]
     )
     reach = np.sqrt(max(0.0, 1 - least * least)) + SLACK
     width = centroids.shape[1]
@@ -82,7 +106,7 @@ def _homes(centroids: np.ndarray, least: float):
                     schema=schema,
                 )
 
-    return run, "rep long, label long, cell int, home boolean, unit array<double>"
+    return run, "rep long, label string, cell int, home boolean, unit array<double>"
 
 
 def _products(least: float, width: int):
@@ -141,29 +165,20 @@ def embedding_groups(
     """
     rows = vectors.select(
         F.col(id_column).cast("bigint").alias("_row_id"),
-        F.col(label_column).cast("bigint").alias("label"),
+        F.col(label_column).cast("string").alias("label"),
         F.col(vector_column).cast("array<double>").alias("vector"),
     )
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    limit = F.lit(1e308)
-    usable = rows.filter(
-        F.col("_row_id").isNotNull()
-        & F.col("label").isNotNull()
-        & F.col("vector").isNotNull()
-        & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= limit))
-        & F.exists("vector", lambda x: x != 0)
-    )
-    # Scaling by the largest component first keeps the squares in range; adding 0.0 turns -0.0 into 0.0.
-    top = F.array_max(F.transform("vector", F.abs))
-    scaled = F.transform("vector", lambda x: x / top + F.lit(0.0))
-    usable = usable.withColumn("vector", scaled)
-    usable = usable.withColumn("unit", F.transform("vector", lambda x: x / F.sqrt(square)))
+    run, kind = _units()
+    usable = kept(rows.filter("_row_id is not null and label is not null and vector is not null").mapInArrow(run, kind), "units")
     # Equal unit vectors are one; their rows are linked with each other.
     same = kept(
         usable.groupBy("label", "unit").agg(F.min("_row_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors"
     )
     members = usable.join(same, ["label", "unit"]).select("_row_id", "rep", "copies")
-    counted, links = [], members.filter("_row_id <> rep").select(F.col("_row_id").alias("a"), F.col("rep").alias("b"))
+    members = kept(members, "vector-members")
+    # An id that several rows carry joins their vectors; other rows of equal vectors follow their representative.
+    twice = members.groupBy("_row_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a > b")
+    counted, links = [], members.join(twice.select("_row_id", "b"), "_row_id").select(F.col("rep").alias("a"), "b")
     for width in [r[0] for r in same.select(F.size("unit").alias("w")).distinct().limit(MOST_CELLS + 1).collect()]:
         found = kept(_compared(same.filter(F.size("unit") == width), width, least), "products")
         counted.append(found.groupBy("rep").agg(F.sum("links").alias("far")))
@@ -177,13 +192,13 @@ def embedding_groups(
         totals = members.join(far, "rep", "left")
     else:
         totals = members.withColumn("far", F.lit(0).cast("bigint"))
-    totals = totals.groupBy("_row_id").agg(
-        F.max(F.coalesce("far", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links")
+    totals = totals.join(groups.withColumnRenamed("id", "rep"), "rep", "left").groupBy("_row_id").agg(
+        F.max(F.coalesce("far", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"),
+        F.min(F.coalesce("component", "rep")).alias("component"),
     )
     return (
         rows.select("_row_id")
         .join(totals, "_row_id", "left")
-        .join(groups.withColumnRenamed("id", "_row_id"), "_row_id", "left")
         .select(
             F.col("_row_id").alias(id_column),
             F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
