@@ -8,7 +8,7 @@ level combines the identifiers at the place and at a later offset. Buckets of on
 
 1. depth half: only at minimizers. Every window of ``length`` bytes holds the smallest half-length identifier of its own,
    and two equal windows hold the same one at the same place, so unrepeated minimizers rule out all windows around them.
-2. blocks: windows with a repeated minimizer are taken in blocks of up to 32 starts at fixed distances from it. All
+2. blocks: windows with a repeated minimizer are taken in blocks of neighbouring starts at fixed distances from it. All
    windows of a block share a core of bytes, and lie within its hull. A core that occurs once rules the block out; a hull that occurs
    twice proves it whole.
 3. windows: what is left, the blocks across which a repeat ends, is compared window by window at full depth.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnweave.llm.tables import kept, slices
 
-BLOCK = 32
+MOST_STARTS = 32  # window starts per block
 SLICE_BYTES = 1 << 16  # small enough for the arrays of a slice to stay in the processor's cache
 LOWEST = 64  # the shortest repeat the levels are laid out for
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -84,6 +84,12 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
+def block_starts(length: int) -> int:
+    """Window starts per block: the hull, one more byte per start, has to lie within one doubling of a level."""
+    level = 1 << (length.bit_length() - 1)
+    return min(MOST_STARTS, 2 * level - length + 1)
+
+
 def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int, most: int):
     """Half-length identifiers, the smallest of each window (0 where no window starts), and the minimizers' places."""
     half = length // 2
@@ -116,6 +122,7 @@ def _halves(length: int):
 
 
 def _blocks(length: int):
+    starts = block_starts(length)
     schema = pa.schema(
         [("core", pa.int64()), ("hull", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("more", pa.int32())]
     )
@@ -137,13 +144,13 @@ def _blocks(length: int):
             if not len(start):
                 continue
             anchor = _first_equal(found, ids, start, least[start])
-            block = (anchor - start) // BLOCK
+            block = (anchor - start) // starts
             new = np.ones(len(start), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]) | (start[1:] != start[:-1] + 1)
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:], [len(start)]]) - 1
-            low, high, top = start[first], start[last], (anchor - BLOCK * block)[first]
-            core = buckets.at(top, length - BLOCK + 1, 41)
+            low, high, top = start[first], start[last], (anchor - starts * block)[first]
+            core = buckets.at(top, length - starts + 1, 41)
             hull = buckets.at(low, high - low + length, 42)
             # Blocks of equal hulls must also sit alike around their minimizer.
             with np.errstate(over="ignore"):

@@ -95,8 +95,10 @@ def windows(
     )
     own = placed.select("_conv", "_cell", F.lit(2).alias("_part"), "_start", "_turn", "_role", "_text", "_tokens")
     # The next window begins where this one ends; what starts within the limit before that is its history.
-    before = placed.filter(F.col("_start") >= F.col("_end") - history).select(
-        "_conv", F.floor(F.col("_end") / F.col("_share")).alias("_cell"), F.lit(1).alias("_part"),
+    following = F.floor(F.col("_end") / F.col("_share"))
+    late = (F.col("_start") >= F.col("_end") - history) & (following > F.col("_cell"))
+    before = placed.filter(late).select(
+        "_conv", following.alias("_cell"), F.lit(1).alias("_part"),
         "_start", "_turn", "_role", "_text", "_tokens",
     ).join(cells.select("_conv", "_cell"), ["_conv", "_cell"], "left_semi")
     both = own.union(before)

@@ -22,7 +22,7 @@ from turnweave.llm.tables import kept, slices
 
 # Perfect difference sets by period: each non-zero residue is one difference of two members.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 18
 SEEN = "h long, doc long, place int"
 SEEN_ARROW = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int32())])
 

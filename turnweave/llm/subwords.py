@@ -23,11 +23,11 @@ TRAIN_ROWS = 4_000  # labelled rows used for training, the smallest by a hash of
 ENTRIES = 1 << 15
 WIDTH = 8
 GRAMS = (3, 4, 5)
-EPOCHS = 8
+STEPS = 2_000  # updates, in as many rounds over the sample as they take
 BATCH = 16
 RATE = 0.5
 RECALL = 16  # words within which a pair counts as recurring
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 17
 
 
 def _separated(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +103,9 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed:
     # Classes weigh alike in the gradient's start: the bias begins at their log share.
     share = (np.bincount(labels, minlength=2) + 1.0) / (len(labels) + 2.0)
     bias[:] = np.log(share)
-    steps, done = max(1, EPOCHS * -(-len(texts) // BATCH)), 0
-    for _ in range(EPOCHS):
+    rounds = -(-STEPS // -(-len(texts) // BATCH))
+    steps, done = rounds * -(-len(texts) // BATCH), 0
+    for _ in range(rounds):
         order = rng.permutation(len(texts))
         for first in range(0, len(order), BATCH):
             rate = RATE * (1 - done / steps)
