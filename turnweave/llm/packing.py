@@ -26,15 +26,37 @@ from turnweave.llm.hashing import word_bounds, word_hashes
 from turnweave.llm.tables import kept, slices
 from turnweave.operators.ordering import ranked
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
+BULK = 2_000  # words per string given to the tokenizer
 MOST_WORDS = 1 << 20  # distinct words whose ids a task remembers
 
 
+_CODES = np.arange(256)
+_LETTER = ((_CODES | 32) >= 97) & ((_CODES | 32) <= 122)
+_MARK = (_CODES > 32) & (_CODES < 127) & ~_LETTER & ~((_CODES >= 48) & (_CODES <= 57)) & (_CODES != 39)
+_LOWERED = np.where(_LETTER, _CODES | 32, _CODES).astype(np.uint8)
+_SPECIAL = b"<|"
+
+
+def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut further where ASCII letters and marks meet, without the apostrophe, which may begin an ending ('s)."""
+    starts, ends, _ = word_bounds(data, offsets)
+    if not len(starts):
+        return starts, ends, np.zeros(len(offsets), np.int64)
+    letter, mark = _LETTER[data], _MARK[data]
+    cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+    # Texts lie end to end, so a cut may fall on a start.
+    cut = np.setdiff1d(cut, starts, assume_unique=True)
+    first, last = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return first, last, np.searchsorted(first, offsets)
+
+
 class WordTokens:
     """Token ids per distinct word, for a tokenizer whose tokens never reach across a blank.
 
     Normalising, splitting and merging of ``word_bpe_49k.json`` all stop at blanks, so the ids of a text are those
-    of its words in turn.
+    of its words in turn. They also ignore the case of letters, and stop where letters and marks meet; only special
+    tokens reach across that, and texts that may hold one are taken by whole words. The tokenizer needs a special token of its own, to set words apart in bulk.
     """
 
     def __init__(self, definition: str):
@@ -42,6 +64,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.mark_id, token = max(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark = token.content
         self._clear()
 
     def _clear(self) -> None:
@@ -53,30 +77,53 @@ class WordTokens:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids per text."""
-        starts, ends, before = word_bounds(data, offsets)
+        if _SPECIAL not in data.tobytes():
+            data = _LOWERED[data]
+            starts, ends, before = _segments(data, offsets)
+        else:
+            starts, ends, before = word_bounds(data, offsets)
         hashes = word_hashes(data, starts, ends)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.place) + len(first) > MOST_WORDS:
             self._clear()
         keys = hashes[first].tolist()
-        places = [self.place.get(k, -1) for k in keys]
-        missing = [k for k, p in enumerate(places) if p < 0]
-        if missing:
-            raw = data.tobytes()
-            words = [raw[starts[first[k]] : ends[first[k]]].decode("utf-8", "replace") for k in missing]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            for k in missing:
-                places[k] = self.place[keys[k]] = len(self.place)
-            self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in found], np.int64)])
-            self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+        places = np.array([self.place.get(k, -1) for k in keys], np.int64)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            sizes, flat = self._new(data, starts[first[missing]], ends[first[missing]])
+            places[missing] = len(self.place) + np.arange(len(missing))
+            self.place.update(zip((keys[k] for k in missing.tolist()), places[missing].tolist(), strict=True))
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
             self.begin = np.cumsum(self.sizes) - self.sizes
-        word = np.array(places, np.int64)[which] if len(keys) else np.zeros(0, np.int64)
+        word = places[which]
         size = self.sizes[word]
         total = np.concatenate([[0], np.cumsum(size)])
         source = np.repeat(self.begin[word] - total[:-1], size) + np.arange(total[-1])
         return self.flat[source], np.diff(total[before])
 
 
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids per word, and the ids end to end. Words are encoded in bulk, with a special token between."""
+        mark = np.frombuffer(self.mark.encode(), np.uint8)
+        width = ends - starts + len(mark)
+        at = np.concatenate([[0], np.cumsum(width)])
+        source = np.repeat(starts - at[:-1], width) + np.arange(at[-1])
+        joined = data[np.minimum(source, len(data) - 1)]
+        joined[(at[1:, None] - len(mark) + np.arange(len(mark))[None, :]).reshape(-1)] = np.tile(mark, len(starts))
+        raw = joined.tobytes()
+        edges = [*range(0, len(starts), BULK), len(starts)]
+        texts = [raw[at[a] : at[b]].decode("utf-8") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        stops = np.flatnonzero(flat == self.mark_id)
+        if len(stops) != len(starts):  # some word holds the special token itself
+            words = [data[a:b].tobytes().decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([len(x) for x in each], np.int64), np.concatenate(each)
+        return np.diff(stops, prepend=-1) - 1, np.delete(flat, stops)
+
+
 def _pieces(definition: str, capacity: int, end: int):
     schema = pa.schema(
         [("_row_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
@@ -190,6 +237,8 @@ def packed(found: DataFrame, capacity: int = 4096) -> DataFrame:
     No sequence holds more than ``capacity``; offsets leave no hole. Equal lengths are placed in the order of
     (_row_id, piece). An empty table packs into nothing.
     """
+    # Written first: range sorting reads its input twice, once to choose the bounds.
+    found = kept(found, "pieces")
     placed = kept(ranked(found, ["length", "_row_id", "piece"], "_nth"), "ranked-pieces")
     classes = placed.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.min("_nth").alias("_first"))
     # One row per length: at most ``capacity`` of them, also in the broadcast.

@@ -40,43 +40,51 @@ _BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CAPITAL = r"\p{Lu}\p{L}++"
 
 
-def _after(titles: tuple[str, ...], more: str = "") -> str:
-    return rf"(?<=\b(?:{'|'.join(titles)})\.? {more})"
+def _title(titles: tuple[str, ...]) -> str:
+    return rf"(?:{'|'.join(titles)})\.? "
 
 
-_NAMES = [
-    (f"{kind}_name", rf"{_after(titles)}{_CAPITAL}(?= \p{{Lu}}\p{{L}})") for kind, titles in (("female", FEMALE), ("male", MALE))
-]
-# (kind, pattern): a part of a text is what the first fitting pattern says. Fixed values.
+# (kind, pattern): a part of a text is what the first fitting pattern says; all begin where no letter or digit stands before.
+# Names and secrets include what introduces them. Fixed values.
 PATTERNS = [
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,8}\p{L}{2,24}"),
-    ("secret", r"(?<=\b(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'=:]{6,}+"),
-    ("access_key", r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"),
-    ("card", r"(?<![\d.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\d-])"),
-    ("phone", r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\p{L}\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"),
-    ("address", rf"(?<![\p{{L}}\d.])(?:{_BYTE}\.){{3}}{_BYTE}(?![\p{{L}}\d]|\.\d)"),
-    *_NAMES,
-    ("family_name", rf"{_after(FEMALE + MALE)}{_CAPITAL}|{_after(FEMALE + MALE, r'\p{Lu}\p{L}{1,30} ')}{_CAPITAL}"),
+    ("email", r"[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,8}\p{L}{2,24}"),
+    ("secret", r"(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'=:]{6,}+"),
+    ("access_key", r"AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"),
+    ("card", r"(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\d-])"),
+    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"),
+    ("address", rf"(?<!\.)(?:{_BYTE}\.){{3}}{_BYTE}(?![\p{{L}}\d]|\.\d)"),
+    ("female_name", rf"{_title(FEMALE)}{_CAPITAL}(?= \p{{Lu}}\p{{L}})"),
+    ("male_name", rf"{_title(MALE)}{_CAPITAL}(?= \p{{Lu}}\p{{L}})"),
+    ("family_name", rf"{_title(FEMALE + MALE)}{_CAPITAL}"),
 ]
+# A family name behind a given name begins where that match ended.
+_FAMILY = rf"(?<!^)\G(?<={_title(FEMALE + MALE)}\p{{Lu}}\p{{L}}{{1,30}}) {_CAPITAL}"
 KINDS = [kind for kind, _ in PATTERNS]
-PATTERN = "|".join(f"({pattern})" for _, pattern in PATTERNS)
+PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'({p})' for _, p in PATTERNS)})|{_FAMILY}"
 
 
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with an entity passes: a digit, an at sign, a title or a key word."""
-    words = (*FEMALE, *MALE, "passw", "pwd", "secret", "token", "api")
+    words = (*FEMALE, *MALE, "AKIA", "passw", "pwd", "secret", "token", "api")
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words], text.rlike("[0-9@]"))
 
 
 def found_in(text: Column) -> Column:
-    """Entities of a text in order: (kind, mention)."""
+    """Entities of a text in order: (kind, lead, mention). The lead introduces the mention and stays."""
     groups = [F.regexp_extract_all(text, F.lit(PATTERN), F.lit(k + 1)) for k in range(len(KINDS))]
     whole = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    zipped = F.arrays_zip(whole.alias("mention"), *[g.alias(k) for g, k in zip(groups, KINDS, strict=True)])
+    zipped = F.arrays_zip(whole.alias("whole"), *[g.alias(k) for g, k in zip(groups, KINDS, strict=True)])
 
     def entity(row: Column) -> Column:
-        kind = reduce(lambda c, k: c.when(F.length(row[k]) > 0, k), KINDS[1:], F.when(F.length(row[KINDS[0]]) > 0, KINDS[0]))
-        return F.struct(kind.alias("kind"), row["mention"].alias("mention"))
+        first = F.when(F.length(row[KINDS[0]]) > 0, KINDS[0])
+        kind = reduce(lambda c, k: c.when(F.length(row[k]) > 0, k), KINDS[1:], first).otherwise("family_name")
+        lead = (
+            F.when(kind == "secret", F.regexp_extract(row["whole"], r"^(.*[=:]\s{0,3}[\"']?)", 1))
+            .when(kind.endswith("_name"), F.regexp_extract(row["whole"], "^(.* )", 1))
+            .otherwise("")
+        )
+        mention = F.substring(row["whole"], F.char_length(lead) + 1, F.char_length(row["whole"]))
+        return F.struct(kind.alias("kind"), lead.alias("lead"), mention.alias("mention"))
 
     return F.transform(zipped, entity)
 
@@ -218,18 +226,18 @@ def replaced(docs: DataFrame, text_column: str = "text", key: str = "turnweave",
     count = [] if count_column is None else [F.lit(0).alias(count_column)]
     clean = docs.filter(~holds).select(*docs.columns, *count)
     row = F.struct(*docs.columns).alias("row")
-    held = docs.filter(holds).select(row, text.alias("body"), F.sha2(text, 256).alias("place"))
+    held = kept(docs.filter(holds).select(row, text.alias("body"), F.sha2(text, 256).alias("place")), "held-texts")
     # Texts are told apart by their digest; copies of a text are looked at once.
     mentions = kept(
         held.groupBy("place")
         .agg(F.first("body").alias("body"))
         .select("place", F.posexplode(found_in(F.col("body"))).alias("nth", "found"))
-        .select("place", "nth", "found.kind", "found.mention", canonical(F.col("found.kind"), F.col("found.mention")).alias("value")),
+        .select("place", "nth", "found.*", canonical(F.col("found.kind"), F.col("found.mention")).alias("value")),
         "mentions",
     )
     table = surrogate_table(mentions.select("kind", "value").distinct(), key)
     written = mentions.join(table, ["kind", "value"]).select(
-        "place", "nth", rendered(F.col("kind"), F.col("mention"), F.col("replacement")).alias("shown")
+        "place", "nth", F.concat("lead", rendered(F.col("kind"), F.col("mention"), F.col("replacement"))).alias("shown")
     )
     lines = written.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("nth", "shown"))).alias("shown"))
     gaps = F.split("body", PATTERN, -1)
