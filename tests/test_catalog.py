@@ -59,7 +59,6 @@ def test_batch_limit_takes_the_smallest(spark, monkeypatch):
     planned = actions(refresh.plan_refresh(found, empty, "sig", limit=1))
     assert planned["s::1"] == ("queued", None)
     assert planned["s::0"] == planned["s::2"] == ("deferred", "batch_limit")
-    monkeypatch.setattr(ordering, "ROWS_FOR_ONE_TASK", 0)
     assert actions(refresh.plan_refresh(found, empty, "sig", limit=1)) == planned
     five = files(spark, *[(f"{n}.wav", f"s::{n}", f"h{n}", 10) for n in range(5)])
     summary = refresh.refresh_summary(refresh.plan_refresh(five, empty, "sig", limit=2)).head()
@@ -94,7 +93,6 @@ def test_pages(spark, monkeypatch):
     assert (whole.mode, whole.page, whole.range_end) == ("all", None, 3)
     beyond = ordering.page_summary(rows, 9, 2).head()
     assert (beyond.returned_rows, beyond.range_start, beyond.range_end) == (0, 0, 0)
-    monkeypatch.setattr(ordering, "ROWS_FOR_ONE_TASK", 0)
     assert [r.v for r in ordering.page_rows(rows, order, 1, 2).collect()] == ["c", "b"]
     with pytest.raises(ValueError):
         ordering.page_rows(rows, order, 0, 2)
@@ -213,3 +211,32 @@ def test_collect_inputs(spark):
     existing = spark.createDataFrame([("/A.wav",)], "path string")
     with pytest.raises(Exception, match="Input file was not found"):
         refresh.require_found(offered, existing).collect()
+
+
+def test_limit_counts_rows_not_identities(spark):
+    none = stored(spark, (0, "z", "s::z", "h", "sig", True))
+    found = files(spark, ("b", "s::x", "1", 5), ("a", "s::x", "2", 5), ("c", None, "3", 1), ("d", "s::d", "4", 9))
+    for limit in (1, 2, 3):
+        plan = refresh.plan_refresh(found, none, "sig", limit=limit)
+        rows = {r.path: r.action for r in plan.collect()}
+        assert [p for p in "cabd" if rows[p] == "queued"] == list("cabd")[:limit] and len(rows) == 4
+    numbered = refresh.work_list(refresh.plan_refresh(found, none, "sig", limit=3), limited=True).collect()
+    assert {r.path: r.input_id for r in numbered} == {"c": "ref-0001", "a": "ref-0002", "b": "ref-0003"}
+
+
+def test_blank_runs_prune_nothing(spark):
+    rows = spark.createDataFrame([("r1", ""), ("", "/runs/1"), (None, None)], "run_id string, run_dir string")
+    assert catalog.prune_run(rows, "", "").count() == 3
+    blank = spark.createDataFrame([("", " "), (None, "")], "run_id string, run_dir string")
+    assert catalog.prune_runs(rows, blank).count() == 3
+
+
+def test_runs_that_decide_bring_their_duration(spark):
+    rows = stored(spark, (0, "a", "s::a", "h", "sig", True)).withColumn("duration_seconds", F.lit(5.0))
+    manifest = spark.createDataFrame(
+        [("s::a", "running", "queued", "run-1", 0, "run-1", "m", 77.0)],
+        "source_file_identity string, run_state string, status string, run_name string, item_pos int, run_id string, "
+        "audio_id string, duration_seconds double",
+    )
+    found = catalog.file_status(files(spark, ("a", "s::a", "h", 1)), rows, "sig", manifest).collect()
+    assert [(r.status, r.duration_sec) for r in found] == [("processing", 77.0)]

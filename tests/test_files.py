@@ -33,9 +33,8 @@ def test_discovery_and_hashes(spark, tmp_path):
     digest = hashlib.sha256(b"two").hexdigest()
     hashed = {r.path: r.source_hash for r in files.hash_files(found).collect()}
     assert hashed[str(root / "deep" / "b c.mp3")] == digest
-    for limit in (2, 1000):
-        whole = {r.path: r.source_hash for r in files.content_hashes(spark, str(root), limit).collect()}
-        assert whole[str(root / "deep" / "b c.mp3")] == digest and len(whole) == 3
+    whole = {r.path: r.source_hash for r in files.content_hashes(spark, str(root)).collect()}
+    assert whole[str(root / "deep" / "b c.mp3")] == digest and len(whole) == 3
 
 
 def test_item_folders(spark, tmp_path):
@@ -104,6 +103,19 @@ def test_probe_facts(spark):
     assert full.captured_at == "2026-03-24T23:59:59Z"
     assert full.metadata_timestamp_candidates == ["2026-03-24T23:59:59Z", "2026-03-25T00:30:00Z", "2026-03-25T01:02:03Z"]
     assert not facts["/a/d"].readable and facts["/a/c"].captured_at is None
+    assert facts["/a/c"].readable and facts["/a/c"].duration_seconds == 0
+    stated = [("N/A", "5"), ("3.5", "N/A"), ("", "5"), (" 2 ", " 7 ")]
+    rows = spark.createDataFrame(
+        [(f"/{k}", json.dumps({"format": {"duration": d, "size": s}})) for k, (d, s) in enumerate(stated)],
+        "path string, probe_json string",
+    )
+    assert [r.readable for r in probe.probe_facts(rows).orderBy("path").collect()] == [False, False, True, True]
+
+
+def test_broken_silence_marks_take_no_part(spark):
+    lines = spark.createDataFrame([("silence_start: 1.2.3",), ("silence_end: 4.5",), ("other",)], "line string")
+    assert [(r.kind, r["at"]) for r in silence.silence_marks(lines).collect()] == [("E", 4.5)]
+    assert [r.line for r in silence.broken_marks(lines).collect()] == ["silence_start: 1.2.3"]
 
 
 def test_silence_logs(spark, tmp_path):
@@ -160,7 +172,11 @@ def test_written_documents_and_export(spark, tmp_path):
     chosen, missing = items.export_items(listed, items.requested_ids(spark, ["M"]))
     sinks.export_package(chosen, missing, named(lines), named(infos), str(tmp_path / "out"))
     assert (tmp_path / "out" / "timeline" / "items" / "item_id=m").is_dir()
-    for wanted, message in ((["m", "zzz"], "Item not found: zzz"), (["n"], "No completed item artifacts")):
+    sinks.export_package(chosen, missing, named(lines), named(infos), str(tmp_path / "out"))
+    again = spark.read.json(str(tmp_path / "out" / "timeline" / "items"))
+    assert again.filter("item_id = 'm'").count() == lines.filter("media_id = 'm'").count()
+    assert [r.package_path for r in chosen.collect()] == ["timeline/items/item_id=m"]
+    for wanted, message in ((["m", "zzz", "yyy"], "Item not found: 2 requested ids"), (["n"], "No completed item artifacts")):
         with pytest.raises(ValueError, match=message):
             chosen, missing = items.export_items(listed, items.requested_ids(spark, wanted))
             sinks.export_package(chosen, missing, named(lines), named(infos), str(tmp_path / "out2"))
@@ -193,7 +209,7 @@ def test_sessions_close_after_the_gap(spark, tmp_path):
     rows.select("run_id", F.timestamp_seconds("at").alias("updated_at")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("run_id string, updated_at timestamp").parquet(str(tmp_path / "in"))
     query = (
-        closed_sessions(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        closed_sessions(stream, "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     )
     query.awaitTermination()

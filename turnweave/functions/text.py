@@ -14,8 +14,10 @@ SPACES = (
 # The same as a pattern; Java's \s alone is ASCII only. Measured faster than a class of ranges or a translation.
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
-# Letters whose full case folding differs from lowercasing.
-FOLDINGS = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
+# Lower-case letters that full case folding changes, by Unicode's own tables: one to one, and one to several.
+_FOLDED = [(c, c.casefold()) for c in map(chr, range(0x110000)) if c == c.lower() != c.casefold()]
+FOLDED_ALIKE = [(c, folded) for c, folded in _FOLDED if len(folded) == 1]
+FOLDED_LONGER = [(c, folded) for c, folded in _FOLDED if len(folded) > 1]
 
 # File extensions accepted when none are configured.
 DEFAULT_EXTENSIONS = (".mp3", ".wav", ".m4a", ".aac", ".flac")
@@ -47,9 +49,16 @@ def compact(text: Column) -> Column:
 def comparable(text: Column) -> Column:
     """Text without any whitespace, case folded, for equality tests."""
     folded = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, ""))
-    for letter, replacement in FOLDINGS:
-        folded = F.replace(folded, F.lit(letter), F.lit(replacement))
-    return folded
+    folded = F.translate(folded, "".join(c for c, _ in FOLDED_ALIKE), "".join(f for _, f in FOLDED_ALIKE))
+
+    def longer(value: Column) -> Column:
+        for letter, replacement in FOLDED_LONGER:
+            value = F.replace(value, F.lit(letter), F.lit(replacement))
+        return value
+
+    # Few texts have such letters; the others skip the replacements.
+    some = "[" + "".join(c for c, _ in FOLDED_LONGER) + "]"
+    return bind(folded, lambda value: F.when(value.rlike(some), longer(value)).otherwise(value))
 
 
 def identity_key(identity: Column) -> Column:

@@ -113,7 +113,8 @@ def file_status(
 
     Identities are compared as they are. ``inventory.source_hash`` may be null; the signature alone decides then.
     ``manifest`` has ``source_file_identity``, ``run_state``, ``status``, ``run_name``, ``item_pos``; the oldest run
-    and in it the last item wins.
+    and in it the last item wins. A file that its run decides also has the run's media id and ``duration_seconds``, where
+    the manifest has that column.
     """
     files = inventory.withColumn("_identity", strip(F.col("source_file_identity")))
     rows = (
@@ -154,7 +155,8 @@ def file_status(
         .withColumn("_best", F.coalesce(signed, F.col("_same"), F.col("_any")))
         .drop("_hash", "_signed_same", "_same", "_signed_any", "_any")
     )
-    media = F.col("_best._audio_id")
+    media, timed = F.col("_best._audio_id"), manifest is not None and "duration_seconds" in manifest.columns
+    duration = F.col("_best._duration") if extras else F.lit(None).cast("double")
     if manifest is not None:
         active = F.lower("run_state").isin("pending", "running", "failed")
         runs = (
@@ -169,6 +171,7 @@ def file_status(
                         F.coalesce(F.nullif("status", F.lit("")), F.lower("run_state")).alias("item"),
                         "run_id",
                         "audio_id",
+                        *([F.col("duration_seconds").alias("duration")] if timed else []),
                     ),
                     F.struct("run_name", -F.col("item_pos")),
                 ).alias("_run")
@@ -189,9 +192,11 @@ def file_status(
             )
         )
         media = F.when(F.col("_by_run"), F.col("_run.audio_id")).otherwise(media)
+        if timed:
+            duration = F.when(F.col("_by_run"), F.col("_run.duration")).otherwise(duration)
     kept = joined.withColumn("media_id", F.coalesce(media, F.lit("")))
-    if extras:
-        kept = kept.withColumn("duration_sec", round_to(F.nullif(F.col("_best._duration"), F.lit(0.0)), 3))
+    if extras or timed:
+        kept = kept.withColumn("duration_sec", round_to(F.nullif(duration, F.lit(0.0)), 3))
     return kept.drop("_identity", "_best", "_run", "_by_run")
 
 
@@ -216,17 +221,22 @@ def with_item_ids(catalog: DataFrame, extra: Column | None = None) -> DataFrame:
 
 
 def prune_run(catalog: DataFrame, run_id: str, run_dir: str) -> DataFrame:
-    """Catalog without the rows of one run: same run id (without case) or same run folder. Rows with neither stay."""
-    same_run = F.coalesce(F.lower("run_id") == run_id.lower(), F.lit(False))
-    folder = F.regexp_replace(F.col("run_dir"), "/+$", "")
-    same_folder = F.coalesce(folder == run_dir.rstrip("/"), F.lit(False))
-    return catalog.filter(~same_run).filter(~same_folder)
+    """Catalog without the rows of one run: same run id (without case) or same run folder. Rows with neither stay, and
+    a blank id or folder matches nothing."""
+    kept = catalog
+    if run_id.strip():
+        kept = kept.filter(~F.coalesce(F.lower("run_id") == run_id.lower(), F.lit(False)))
+    if run_dir.strip():
+        folder = F.regexp_replace(F.col("run_dir"), "/+$", "")
+        kept = kept.filter(~F.coalesce(folder == run_dir.rstrip("/"), F.lit(False)))
+    return kept
 
 
 def prune_runs(catalog: DataFrame, runs: DataFrame) -> DataFrame:
     """The same for a table of runs with ``run_id`` and ``run_dir``: two anti joins instead of one with OR."""
-    by_id = runs.select(F.lower("run_id").alias("_id")).distinct()
-    by_folder = runs.select(F.regexp_replace("run_dir", "/+$", "").alias("_folder")).distinct()
+    by_id = runs.select(F.lower("run_id").alias("_id")).filter(strip(F.col("_id")) != "").distinct()
+    folders = runs.filter(strip(F.col("run_dir")) != "").select(F.regexp_replace("run_dir", "/+$", "").alias("_folder"))
+    by_folder = folders.distinct()
     kept = catalog.withColumn("_id", F.lower("run_id")).join(by_id, "_id", "left_anti")
     kept = kept.withColumn("_folder", F.regexp_replace("run_dir", "/+$", "")).join(by_folder, "_folder", "left_anti")
     return kept.drop("_id", "_folder")

@@ -301,11 +301,18 @@ def stitch_chunks(
     end: str = "end",
     text: str = "text",
 ) -> DataFrame:
-    """Chunk-local segments on the recording's own axis, compact text, renumbered across chunks from 1."""
+    """Chunk-local segments on the recording's own axis, compact text, renumbered across chunks from 1.
+
+    A segment whose chunk is not in the plan has no place on the axis; it stops the query with its recording and chunk.
+    """
+    unknown = F.raise_error(
+        F.concat(F.lit("Chunk is not in the plan: "), F.col(key).cast("string"), F.lit("/"), F.col("chunk_no").cast("string"))
+    ).cast("bigint")
     shifted = (
         chunk_segments.withColumn(text, compact(F.coalesce(F.col(text), F.lit(""))))
         .filter(F.col(text) != "")
-        .join(plan.select(key, "chunk_no", "chunk_start"), [key, "chunk_no"])
+        .join(plan.select(key, "chunk_no", "chunk_start"), [key, "chunk_no"], "left")
+        .withColumn("chunk_start", F.coalesce(F.col("chunk_start"), unknown))
         .withColumn(start, F.col("chunk_start") + F.coalesce(F.col(start), F.lit(0)))
         .withColumn(end, F.col("chunk_start") + F.coalesce(F.col(end), F.lit(0)))
         .withColumn("_order", F.shiftleft(F.col("chunk_no").cast("bigint"), 32) + F.col(local_index))

@@ -171,7 +171,7 @@ def export_items(items: DataFrame, requested: DataFrame) -> tuple[DataFrame, Dat
     """Items to export with their place in the package, and the requested ids without an item."""
     chosen = select_items(items, requested)
     manifest = chosen.filter("status = 'available'").withColumn(
-        "package_path", F.concat(F.lit("items/"), F.col("item_id"), F.lit("/timeline.json"))
+        "package_path", F.concat(F.lit("timeline/items/item_id="), F.col("item_id"))
     )
     return manifest, missing_ids(requested, items)
 

@@ -71,7 +71,7 @@ def remap_paths(
 def drive_to_mount(path: Column) -> Column:
     """``C:\\folder`` as ``/mnt/c/folder``; other paths stay."""
     text = strip(path)
-    rest = F.regexp_replace(forward_slashes(F.substring(text, 4, 1 << 20)), "^/+", "")
+    rest = F.regexp_replace(forward_slashes(F.substr(text, F.lit(4))), "^/+", "")
     return F.when(
         text.rlike(DRIVE), F.concat(F.lit("/mnt/"), F.lower(F.substring(text, 1, 1)), F.lit("/"), rest)
     ).otherwise(text)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnweave.functions.text import extension, media_id, normalize_extensions
 from turnweave.functions.vocabulary import MIN_DURATION_SECONDS, skip_warning
 from turnweave.operators.catalog import look_up
-from turnweave.operators.ordering import first_rows, ranked
+from turnweave.operators.ordering import ranked
 from turnweave.operators.running import Running, position_bin, running
 
 
@@ -46,24 +46,21 @@ def plan_refresh(
         return planned
     if limit <= 0:
         raise ValueError("max_items must be greater than 0.")
-    order = [F.coalesce("size_bytes", F.lit(0)), F.lower(path), F.col("source_file_identity")]
-    chosen = first_rows(
-        planned.filter("action = 'queued'").select("size_bytes", path, "source_file_identity"), order, limit
-    ).select("source_file_identity", F.lit(True).alias("_chosen"))
-    marked = planned.join(chosen, "source_file_identity", "left")
-    over = (F.col("action") == "queued") & F.col("_chosen").isNull()
-    return marked.select(
-        *inventory.columns,
-        F.when(over, "deferred").otherwise(F.col("action")).alias("action"),
-        F.when(over, "batch_limit").otherwise(F.col("reason")).alias("reason"),
-        "duplicate_of",
-        "existing_conversion_signature",
-        "requested_conversion_signature",
+    # Every queued row has a rank of its own, so rows that share an identity, or have none, are counted one by one.
+    placed = ranked(planned.filter("action = 'queued'"), _smallest_first(path), "_rank")
+    over = F.col("_rank") > limit
+    limited = placed.withColumn("action", F.when(over, "deferred").otherwise(F.col("action"))).withColumn(
+        "reason", F.when(over, "batch_limit").otherwise(F.col("reason"))
     )
+    return planned.filter("action <> 'queued'").unionByName(limited.select(planned.columns))
+
+
+def _smallest_first(path: str) -> list[Column]:
+    return [F.coalesce("size_bytes", F.lit(0)), F.lower(path), F.col("source_file_identity")]
 
 
 def refresh_summary(plan: DataFrame) -> DataFrame:
-    """One row: discovered, selected, queued, skipped and deferred files."""
+    """One row: selected, queued, skipped and deferred files."""
     of = lambda name: F.count_if(F.col("action") == name)
     return plan.agg(
         F.count(F.lit(1)).alias("selected_count"),
@@ -73,10 +70,11 @@ def refresh_summary(plan: DataFrame) -> DataFrame:
     )
 
 
-def work_list(plan: DataFrame, path: str = "path", prefix: str = "ref") -> DataFrame:
-    """Queued files with running ids ``ref-0001``, ``ref-0002``, ... in path order."""
+def work_list(plan: DataFrame, path: str = "path", prefix: str = "ref", limited: bool = False) -> DataFrame:
+    """Queued files with running ids ``ref-0001``, ``ref-0002``, ... in path order, or smallest first as a limited plan
+    chose them."""
     queued = plan.filter("action = 'queued'")
-    order = [F.lower(path), F.col("source_file_identity")]
+    order = _smallest_first(path) if limited else [F.lower(path), F.col("source_file_identity")]
     return ranked(queued, order, "_n").withColumn(
         "input_id", F.format_string(f"{prefix}-%04d", F.col("_n"))
     ).drop("_n")

@@ -109,6 +109,7 @@ def file_status(spark: SparkSession, sf: str) -> DataFrame:
         F.when(number % 3 == 0, "failed").otherwise("queued").alias("status"),
         number.alias("item_pos"),
         F.concat(F.lit("m-"), number.cast("string")).alias("audio_id"),
+        (number % 50 + F.lit(0.5)).alias("duration_seconds"),
     )
     known = inventory.withColumn("source_hash", F.when(doc % 6 == 5, None).otherwise(F.col("source_hash")))
     return catalog.file_status(known, stored, SIGNATURE, manifest).select(
@@ -483,7 +484,8 @@ QUERIES = {
         select source_file_identity, case when state = 'running' then 'processing' when state = 'pending' then 'queued'
           when by_run then 'failed' else st end as status,
           coalesce(case when by_run then run_audio else audio_id end, '') as media_id,
-          floor(nullif((last_pos % 1000) / 8.0, 0) * 1000 + 0.5) / 1000 as duration_sec from joined"""),
+          case when by_run then d % 50 + 0.5::double else floor(nullif((last_pos % 1000) / 8.0, 0) * 1000 + 0.5) / 1000 end
+            as duration_sec from joined"""),
     ),
     "p26_classify_inputs": (
         classified,

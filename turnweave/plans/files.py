@@ -150,11 +150,13 @@ def exported(spark: SparkSession, sf: str) -> DataFrame:
     sinks.export_package(
         manifest,
         missing,
-        _timeline_documents(spark, sf, judged).select(as_item, "turn_count", "source"),
-        _conversion_documents(spark, sf, judged).select(as_item, "counts"),
+        _timeline_documents(spark, sf, judged).withColumn("item_id", as_item),
+        _conversion_documents(spark, sf, judged).withColumn("item_id", as_item),
         folder,
     )
-    timelines = spark.read.schema("turn_count bigint").json(f"{folder}/timeline/items")
+    # Turns are counted in the documents that were read back.
+    read = spark.read.schema("turns array<struct<text:string>>").json(f"{folder}/timeline/items")
+    timelines = read.groupBy("item_id").agg(F.coalesce(F.sum(F.size("turns")), F.lit(0)).alias("turn_count"))
     infos = spark.read.schema("counts struct<transcript_segments:bigint>").json(f"{folder}/convert_info/items")
     return timelines.join(infos, "item_id").select(
         "item_id", "turn_count", F.col("counts.transcript_segments").alias("transcript_segments")
@@ -190,7 +192,7 @@ def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("run_id"), F.timestamp_millis(views.at_ms(F.col("ts"))).alias("updated_at")
     )
     query = (
-        closed_sessions(updates, gap="2 hours")
+        closed_sessions(updates, "0 seconds", gap="2 hours")
         .select(
             "run_id",
             F.unix_millis("first_update").alias("first_ms"),

@@ -70,7 +70,7 @@ def slugs(spark: SparkSession, sf: str) -> DataFrame:
 
 def id_lists(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
-        "doc_id", F.explode(text.id_list(F.substring_index("text", ".", 3))).alias("id")
+        "doc_id", F.explode(text.id_list(F.col("text"))).alias("id")
     )
 
 
@@ -365,9 +365,7 @@ QUERIES = {
     ),
     "p30_id_lists": (
         id_lists,
-        """with d as (select doc_id, case when length(text) - length(replace(text, '.', '')) < 3 then text
-            else array_to_string(string_split(text, '.')[1:3], '.') end as head from documents),
-        parts as (select doc_id, unnest(string_split_regex(head, '[,\\r\\n]')) as part from d)
+        """with parts as (select doc_id, unnest(string_split_regex(text, '[,\\r\\n]')) as part from documents)
         select distinct doc_id, regexp_replace(part, '^\\s+|\\s+$', '', 'g') as id from parts
         where regexp_replace(part, '^\\s+|\\s+$', '', 'g') <> ''""",
     ),
@@ -437,7 +435,7 @@ QUERIES = {
           case when sample_pos % 9 <> 0 then audio_sample_rate end as audio_sample_rate,
           case when bitrate > 0 then bitrate when sample_pos % 9 <> 0 then 64000 end as bitrate,
           '2026-03-' || lpad(cast(1 + sample_pos % 28 as varchar), 2, '0') || 'T01:02:03Z' as captured_at,
-          true as readable from history"""),
+          sample_pos % 2 = 0 as readable from history"""),
     ),
     "s8_silence_log": (
         log_marks,

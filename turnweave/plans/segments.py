@@ -189,9 +189,10 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def stitched_chunks(spark: SparkSession, sf: str) -> DataFrame:
     plan = intervals.chunk_plan(_chunk_durations(spark, sf), duration="duration_ms", unit=1000)
-    local = views.raw_segments(spark, sf).select(
+    last = plan.groupBy("media_id").agg(F.max("chunk_no").alias("last"))
+    local = views.raw_segments(spark, sf).join(last, "media_id").select(
         "media_id",
-        (F.col("seg_index") % 2).cast("int").alias("chunk_no"),
+        F.least(F.col("seg_index") % 2, F.col("last")).cast("int").alias("chunk_no"),
         F.col("seg_index").alias("local_index"),
         "start_ms",
         "end_ms",
@@ -440,11 +441,12 @@ QUERIES = {
             "raw_segments",
             query="""with d as (select media_id, max(end_ms) * 200 as d from raw_segments group by 1),
             moved as (
-              select s.media_id, cast(seg_index % 2 as int) as chunk_no, seg_index as local_index,
-                (seg_index % 2) * 600000 + start_ms as start_ms, (seg_index % 2) * 600000 + end_ms as end_ms,
+              select s.media_id, case when d > 600000 then cast(seg_index % 2 as int) else 0 end as chunk_no,
+                seg_index as local_index, case when d > 600000 then seg_index % 2 else 0 end * 600000 + start_ms as start_ms,
+                case when d > 600000 then seg_index % 2 else 0 end * 600000 + end_ms as end_ms,
                 trim(regexp_replace(text, '\\s+', ' ', 'g')) as text
               from raw_segments s join d using (media_id)
-              where seg_index % 5 <> 4 and (seg_index % 2 = 0 or d > 600000))
+              where seg_index % 5 <> 4)
             select media_id, chunk_no, row_number() over (partition by media_id order by chunk_no, local_index)
               as seg_index, cast(start_ms as bigint) as start_ms, cast(end_ms as bigint) as end_ms,
               cast(length(text) as int) as chars

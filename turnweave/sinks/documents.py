@@ -71,21 +71,23 @@ def write_work_list(plan: DataFrame, folder: str) -> None:
 def export_package(
     manifest: DataFrame, missing: DataFrame, timelines: DataFrame, infos: DataFrame, folder: str, key: str = "item_id"
 ) -> None:
-    """Write the chosen items' two documents below ``items/item_id=<id>/``.
+    """Write the chosen items' two documents, whole, below ``<document>/items/item_id=<id>/``, and a manifest that names
+    these folders. A second export into the same folder replaces the first.
 
-    Fails when an id is unknown, or when no chosen item has an artifact. ``missing`` holds ids from the caller's own
-    list, so reading it back is bounded by that list.
+    Fails when an id is unknown, or when no chosen item has an artifact. All unknown ids are then listed below
+    ``missing`` in the folder.
     """
-    unknown = [row.requested_id for row in missing.limit(20).collect()]
-    if unknown:
-        raise ValueError(f"Item not found: {', '.join(sorted(unknown))}")
+    missing.write.mode("overwrite").json(f"{folder}/missing")
+    count = missing.sparkSession.read.schema(missing.schema).json(f"{folder}/missing").count()
+    if count:
+        raise ValueError(f"Item not found: {count} requested ids, listed in {folder}/missing")
     if manifest.limit(1).count() == 0:
         raise ValueError("No completed item artifacts are available to download.")
     chosen = manifest.select(key)
     for documents, name in ((timelines, "timeline"), (infos, "convert_info")):
         (
             _spread(documents.join(chosen, key, "left_semi"), key)
-            .write.mode("append")
+            .write.mode("overwrite")
             .option("ignoreNullFields", "false")
             .partitionBy(key)
             .json(f"{folder}/{name}/items")

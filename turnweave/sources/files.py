@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from turnweave.functions.text import extension, file_name, normalize_extensions, relative_to, source_identity
 
-# binaryFile holds a whole file in one value; larger files are hashed in chunks instead.
-LARGEST_BINARY_VALUE = 64 * 1024 * 1024
 READ_CHUNK = 1024 * 1024
 
 
@@ -86,17 +84,10 @@ def select_roots(inventory: DataFrame, source_ids: Sequence[str]) -> DataFrame:
     return inventory.filter(F.lower("source_id").isin(*[value.lower() for value in source_ids]))
 
 
-def content_hashes(spark: SparkSession, folder: str, largest_value: int = LARGEST_BINARY_VALUE) -> DataFrame:
-    """``path`` and ``source_hash`` of every file below a folder.
-
-    Files up to ``largest_value`` bytes are hashed inside the JVM; only larger ones take the chunked reader.
-    """
+def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` and ``source_hash`` of every file below a folder; no task holds more than a chunk of a file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    small = files.filter(F.col("length") <= largest_value).select(
-        _local_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("source_hash")
-    )
-    large = files.filter(F.col("length") > largest_value).select(_local_path(F.col("path")).alias("path"))
-    return small.unionByName(hash_files(large))
+    return hash_files(files.select(_local_path(F.col("path")).alias("path")))
 
 
 def hash_files(files: DataFrame) -> DataFrame:

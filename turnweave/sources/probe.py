@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from turnweave.functions.numbers import optional_int, truthy
 from turnweave.functions.text import extension, non_blank, strip
@@ -17,7 +17,11 @@ PROBE_SCHEMA = (
 
 def probe_facts(probes: DataFrame, payload: str = "probe_json", path: str = "path", size: str | None = None) -> DataFrame:
     """Flat facts per file: the first audio stream, the first container name, bitrate of the container or the stream,
-    and the recording times in the tags. ``size`` names a column used when the probe has no size."""
+    and the recording times in the tags. ``size`` names a column used when the probe has no size.
+
+    A file is unreadable when its payload is no JSON, or states a duration or size that is no number (``N/A``); a payload
+    without ``format`` is readable with duration 0.
+    """
     parsed = probes.withColumn("_p", F.from_json(F.col(payload), PROBE_SCHEMA))
     streams = F.coalesce(F.col("_p.streams"), F.array().cast(parsed.schema["_p"].dataType["streams"].dataType))
     audio = F.get(
@@ -30,6 +34,13 @@ def probe_facts(probes: DataFrame, payload: str = "probe_json", path: str = "pat
     times = tag_recorded_times(tag_maps)
     stored_size = optional_int(F.col("_p.format.size"))
     facts = parsed.withColumn("_a", audio).withColumn("metadata_timestamp_candidates", times)
+    # Payloads with a format have been parsed already; only the others are looked at again.
+    parses = F.when(F.col("_p.format").isNotNull(), True).otherwise(F.try_parse_json(F.col(payload)).isNotNull())
+
+    def number_like(field: str, pattern: str) -> Column:
+        stated = F.coalesce(strip(F.col(f"_p.format.{field}")), F.lit(""))
+        return (stated == "") | stated.rlike(f"^{pattern}$")
+
     as_int = lambda field: optional_int(F.col(f"_a.{field}"))
     return facts.select(
         *probes.columns,
@@ -43,5 +54,7 @@ def probe_facts(probes: DataFrame, payload: str = "probe_json", path: str = "pat
         truthy(optional_int(F.col("_p.format.bit_rate")), as_int("bit_rate")).alias("bitrate"),
         F.get("metadata_timestamp_candidates", F.lit(0)).alias("captured_at"),
         "metadata_timestamp_candidates",
-        F.col("_p.format").isNotNull().alias("readable"),
+        (parses & number_like("duration", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?") & number_like("size", r"[+-]?\d+")).alias(
+            "readable"
+        ),
     )

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def closed_sessions(
-    updates: DataFrame, key: str = "run_id", at: str = "updated_at", gap: str = "30 seconds", delay: str = "0 seconds"
+    updates: DataFrame, delay: str, key: str = "run_id", at: str = "updated_at", gap: str = "30 seconds"
 ) -> DataFrame:
     """One row per stretch of updates that ended: no update of the run for ``gap``, as the watermark shows.
 
-    A closed stretch of a running run means that it was interrupted. Updates later than ``delay`` are dropped.
+    A closed stretch of a running run means that it was interrupted. Updates that
+    come more than ``delay`` behind the latest one are dropped, so it has to cover how far updates get out of order.
     """
     sessions = updates.withWatermark(at, delay).groupBy(key, F.session_window(at, gap).alias("session"))
     return sessions.agg(F.count(F.lit(1)).alias("updates")).select(
