@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +27,29 @@ QUERY_BYTES = 1 << 19  # bytes of new pieces per query
 ROUNDS = 48
 MEMORY = "600MB"
 
-# A rank is also the id of the merged token. Rank and place in one number order pairs by rank, then from the left.
+# Rows know their next token, so a contraction is a matter of joins. A rank is also the id of the merged token. Rank and
+# place in one number order pairs by rank, then from the left.
 CONTRACT = f"""
 with recursive state as (
-  select piece, place, id, 0 as round from tokens
+  select piece, place, id, lead(place) over line as next_place, lead(id) over line as next_id, 0 as round
+  from tokens window line as (partition by piece order by place)
   union all
-  select piece, place, id, round from (
+  select piece, place, id, next_place, next_id, round from (
     with pairs as (
-      select s.piece, s.place, s.id, s.round, s.next_place, m.rank
-      from (
-        select piece, place, id, round, lead(id) over line as next_id, lead(place) over line as next_place
-        from state window line as (partition by piece order by place)) s
-      left join merges m on m.first_id = s.id and m.second_id = s.next_id
+      select s.piece, s.place, s.id, s.next_place, s.next_id, s.round, m.rank
+      from state s left join merges m on m.first_id = s.id and m.second_id = s.next_id
       where s.round < {ROUNDS}),
     best as (
       select piece, min(rank * 4294967296 + place) as pair, arg_min(next_place, rank * 4294967296 + place) as gone
-      from pairs where rank is not null group by piece)
+      from pairs where rank is not null group by piece),
+    chosen as (
+      select b.piece, b.pair // 4294967296 as merged, b.pair % 4294967296 as cut, b.gone, g.next_place, g.next_id
+      from best b join pairs g on g.piece = b.piece and g.place = b.gone)
     select p.piece, p.place, p.round + 1 as round,
-      case when p.place = b.pair % 4294967296 then b.pair // 4294967296 else p.id end as id
-    from pairs p join best b on b.piece = p.piece and p.place <> b.gone))
+      case when p.place = c.cut then c.merged else p.id end as id,
+      case when p.place = c.cut then c.next_place else p.next_place end as next_place,
+      case when p.place = c.cut then c.next_id when p.next_place = c.cut then c.merged else p.next_id end as next_id
+    from pairs p join chosen c on c.piece = p.piece and p.place <> c.gone))
 select piece, place, id, round = {ROUNDS} as going from state
 qualify round = max(round) over (partition by piece)
 order by piece, place
@@ -75,6 +80,15 @@ class RankTokens:
         ids = np.array([self.ranks[n] for n in names], np.int64)
         vocabulary = pa.table({"id": ids, "hex": [n.hex() for n in names]})
         self.db.execute("create table vocabulary as select * from vocabulary")
+        self.bytes = np.array([self.ranks.get(bytes([k]), -1) for k in range(256)], np.int64)
+        self.ready = False
+        self._clear()
+
+    def _prepare(self) -> None:
+        """The merge table: every way to split a token into two tokens."""
+        if self.ready:
+            return
+        self.ready = True
         found = [
             (self.ranks[a], self.ranks[b], rank)
             for whole, rank in self.ranks.items()
@@ -84,8 +98,6 @@ class RankTokens:
         first, second, merged = (np.array(x, np.int64) for x in zip(*found, strict=True))
         merges = pa.table({"first_id": first, "second_id": second, "rank": merged})
         self.db.execute("create table merges as select * from merges")
-        self.bytes = np.array([self.ranks.get(bytes([k]), -1) for k in range(256)], np.int64)
-        self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
@@ -95,6 +107,7 @@ class RankTokens:
 
     def merged(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece, by contraction to the fixpoint."""
+        self._prepare()
         # A piece that is a token as a whole needs no merging.
         done = [np.array([self.ranks[p]]) if p in self.ranks else None for p in pieces]
         size = np.array([len(p) for p in pieces], np.int64)
@@ -122,7 +135,7 @@ class RankTokens:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids per text."""
         split = [self.split(t) for t in texts]
-        words = {w for pieces in split for w in pieces}
+        words = set(chain.from_iterable(split))
         if len(self.place) + len(words) > MOST_PIECES:
             self._clear()
         new = [w for w in words if w not in self.place]
@@ -133,8 +146,8 @@ class RankTokens:
             self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
             self.begin = np.cumsum(self.sizes) - self.sizes
         count = np.array([len(p) for p in split], np.int64)
-        look = self.place.__getitem__
-        word = np.fromiter((look(w) for p in split for w in p), np.int64, int(count.sum()))
+        look = map(self.place.__getitem__, chain.from_iterable(split))
+        word = np.fromiter(look, np.int64, int(count.sum()))
         size = self.sizes[word]
         total = np.concatenate([[0], np.cumsum(size)])
         source = np.repeat(self.begin[word] - total[:-1], size) + np.arange(total[-1])
