@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from turnweave.functions.times import absolute_at
 from turnweave.functions.vocabulary import TOOL_NAMES, silence_profile, silence_profile_ms
@@ -10,6 +10,8 @@ from turnweave.operators.running import numbered
 
 # A document row holds at most this many turns; longer recordings continue in further parts.
 TURNS_PER_PART = 10_000
+# Turns per recording that are joined with its source together.
+STRETCH = 4_096
 
 # The steps listed in every audit document (name, description, persistent output).
 PROCESSING_FLOW = (
@@ -46,7 +48,11 @@ def timeline_turns(
     finish = F.coalesce(F.nullif(F.col(end), zero), begin)
     turns = turns.withColumn(start, begin).withColumn(end, finish)
     if sources is not None:
-        turns = turns.join(sources.select(key, "recorded_at"), key, "left")
+        # Sources are repeated for every stretch of turns, so the join deals out a long recording by its stretches.
+        turns = turns.withColumn("_stretch", F.floor((F.col("index") - 1) / F.lit(STRETCH)))
+        stretches = turns.select(key, "_stretch").distinct()
+        moments = stretches.join(sources.select(key, "recorded_at"), key, "left")
+        turns = turns.join(moments, [key, "_stretch"], "left").drop("_stretch")
         recorded = F.col("recorded_at")
     else:
         recorded = F.lit(None).cast("string")
@@ -67,16 +73,25 @@ def timeline_turns(
 
 def turn_parts(turns: DataFrame, key: str = "media_id", per_part: int = TURNS_PER_PART) -> DataFrame:
     """Turns as ordered arrays, one row per recording and part; ``turn_count`` covers all parts."""
-    body = F.struct("index", *[c for c in turns.columns if c not in (key, "index")])
-    parts = (
-        turns.withColumn("part", F.floor((F.col("index") - 1) / F.lit(per_part)).cast("int"))
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(body)).alias("turns"))
-    )
-    whole = Window.partitionBy(key)
-    return parts.withColumn("turn_count", F.sum(F.size("turns")).over(whole)).withColumn(
-        "parts", F.count(F.lit(1)).over(whole).cast("int")
+    return part_counts(turns, key, per_part).join(_part_bodies(turns, key, per_part), [key, "part"])
+
+
+def part_counts(turns: DataFrame, key: str = "media_id", per_part: int = TURNS_PER_PART) -> DataFrame:
+    """(key, part, turn_count, parts): narrow rows, so that totals of a recording need none of its text."""
+    sizes = _with_part(turns, per_part).groupBy(key, "part").agg(F.count(F.lit(1)).alias("_size"))
+    totals = sizes.groupBy(key).agg(
+        F.sum("_size").alias("turn_count"), F.count(F.lit(1)).cast("int").alias("parts")
     )
+    return sizes.drop("_size").join(totals, key)
+
+
+def _with_part(turns: DataFrame, per_part: int) -> DataFrame:
+    return turns.withColumn("part", F.floor((F.col("index") - 1) / F.lit(per_part)).cast("int"))
+
+
+def _part_bodies(turns: DataFrame, key: str, per_part: int) -> DataFrame:
+    body = F.struct("index", *[c for c in turns.columns if c not in (key, "index")])
+    return _with_part(turns, per_part).groupBy(key, "part").agg(F.array_sort(F.collect_list(body)).alias("turns"))
 
 
 def timeline_documents(
@@ -86,10 +101,11 @@ def timeline_documents(
 
     A recording without turns gets an empty array; one with more than ``per_part`` turns gets several parts.
     """
-    parts = turn_parts(turns, key, per_part)
-    element = parts.schema["turns"].dataType
-    empty = F.array().cast(element)
-    return sources.join(parts, key, "left").select(
+    bodies = _part_bodies(turns, key, per_part)
+    empty = F.array().cast(bodies.schema["turns"].dataType)
+    # Sources meet the narrow counts by recording; turns join by recording and part only.
+    placed = sources.join(part_counts(turns, key, per_part), key, "left")
+    return placed.join(bodies, [key, "part"], "left").select(
         key,
         F.lit(1).alias("schema_version"),
         F.lit("timeline").alias("artifact_type"),
