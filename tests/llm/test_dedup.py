@@ -3,11 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, docs, words
 from pyspark.sql import functions as F
 
-from turnweave.llm import bucket_pointers, difference_cover, superminhash
+from turnweave.llm import bucket_pointers, difference_cover, superminhash, tables
 from turnweave.llm.components import components
 from turnweave.llm.embedding_cells import embedding_groups, spherical_k_means
 
@@ -89,6 +90,22 @@ def test_signatures_estimate_similarity_with_low_variance():
     assert np.var(errors) < (70 / 90) * (20 / 90) / superminhash.SLOTS
 
 
+def test_features_do_not_depend_on_how_rows_are_batched(monkeypatch):
+    rows = [(i, t) for i, t in awkward() if i is not None]
+    table = pa.table({"_row_id": pa.array([i for i, _ in rows], pa.int64()), "_text": pa.array([t for _, t in rows], pa.string())})
+
+    def features():
+        run, _ = superminhash._features(4)
+        return pa.Table.from_batches(list(run(iter(table.to_batches())))).to_pylist()
+
+    whole = features()
+    monkeypatch.setattr(tables, "ROWS", 3)
+    monkeypatch.setattr(superminhash, "SLICE_BYTES", 100)
+    assert features() == whole
+    copies = {r["_row_id"]: (r["set_a"], r["set_b"]) for r in whole}
+    assert copies[6] == copies[7]
+
+
 def test_covers_meet_every_pair_of_places():
     for period, cover in difference_cover.COVERS.items():
         for apart in range(period):
