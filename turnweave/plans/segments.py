@@ -145,8 +145,13 @@ def counts_per_recording(spark: SparkSession, sf: str, judged: DataFrame | None
 
 
 def speakers_per_recording(spark: SparkSession, sf: str) -> DataFrame:
-    recordings = views.raw_segments(spark, sf).select("media_id").distinct()
-    return timeline.speaker_counts(views.speaker_turns(spark, sf).filter("media_id % 10 <> 7"), recordings)
+    return timeline.speaker_counts(views.speaker_turns(spark, sf), _recordings(spark, sf))
+
+
+def _recordings(spark: SparkSession, sf: str) -> DataFrame:
+    """All recordings, and some of which nothing else is known."""
+    known = views.raw_segments(spark, sf).select("media_id").distinct()
+    return known.union(known.filter("media_id % 10 = 7").select(F.col("media_id") + 10_000_000))
 
 
 def merged_silences(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,17 +271,13 @@ def text_changes(spark: SparkSession, sf: str) -> DataFrame:
 def stage_gates(spark: SparkSession, sf: str) -> DataFrame:
     media = F.col("media_id")
     recordings = (
-        views.raw_segments(spark, sf)
-        .select("media_id")
-        .distinct()
+        _recordings(spark, sf)
         .withColumn(
             "transcription_status",
             F.when(media % 11 == 0, "unavailable").when(media % 11 == 1, "no_segments").otherwise("ok"),
         )
     )
-    gated = timeline.stage_gates(
-        recordings, views.speaker_turns(spark, sf).filter("media_id % 10 <> 7"), validated(spark, sf)
-    )
+    gated = timeline.stage_gates(recordings, views.speaker_turns(spark, sf), validated(spark, sf))
     return gated.withColumn("warnings", F.array_join("warnings", ";"))
 
 
@@ -348,8 +349,9 @@ QUERIES = {
             select m.media_id, nullif(count(distinct t.speaker), 0) as speaker_count,
               case when count(distinct t.speaker) > 0 then 'confirmed' else 'unavailable' end as speaker_count_status,
               case when count(distinct t.speaker) = 0 then 'No speaker turns were available.' end as speaker_count_note
-            from (select distinct media_id from raw_segments) m
-            left join speaker_turns t on t.media_id = m.media_id and t.media_id % 10 <> 7
+            from (select media_id from raw_segments union
+              select media_id + 10000000 from raw_segments where media_id % 10 = 7) m
+            left join speaker_turns t on t.media_id = m.media_id
             group by m.media_id""",
         ),
     ),
@@ -489,10 +491,12 @@ QUERIES = {
         with_views(
             *SEGMENT_VIEWS,
             query=f"""with {VALIDATED},
-            m as (select media_id, count(*) filter (state = 'rejected') as rejected,
+            r as (select media_id, count(*) filter (state = 'rejected') as rejected from validated group by 1
+              union all select distinct media_id + 10000000, 0 from validated where media_id % 10 = 7),
+            m as (select media_id, rejected,
               case media_id % 11 when 0 then 'unavailable' when 1 then 'no_segments' else 'ok' end
-                as transcription_status from validated group by 1),
-            t as (select media_id, count(*) as n from speaker_turns where media_id % 10 <> 7 group by 1)
+                as transcription_status from r),
+            t as (select media_id, count(*) as n from speaker_turns group by 1)
             select m.media_id, transcription_status,
               case when coalesce(n, 0) = 0 then 'no_speaker_turns' else 'ok' end as diarization_status,
               transcription_status <> 'unavailable' as continues,

@@ -58,34 +58,30 @@ def raw_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @cache
 def speaker_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth turn has no length, so that stretches without a speaker occur."""
     turn = F.col("seg_index")
-    return (
-        _conversation_times(spark, sf)
-        .filter(turn % 4 != 3)
-        .select(
-            "media_id",
-            turn.alias("turn_pos"),
-            F.concat(F.lit("SPEAKER_0"), (turn % 3).cast("string")).alias("speaker"),
-            (F.col("start_ms") + (turn * 137) % 900).cast(LONG).alias("start_ms"),
-            (F.col("end_ms") + (turn * 53) % 700).cast(LONG).alias("end_ms"),
-        )
+    begin = F.col("start_ms") + (turn * 137) % 900
+    return _conversation_times(spark, sf).select(
+        "media_id",
+        turn.alias("turn_pos"),
+        F.concat(F.lit("SPEAKER_0"), (turn % 3).cast("string")).alias("speaker"),
+        begin.cast(LONG).alias("start_ms"),
+        F.when(turn % 4 == 3, begin).otherwise(F.col("end_ms") + (turn * 53) % 700).cast(LONG).alias("end_ms"),
     )
 
 
 @cache
 def speech_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        _conversation_times(spark, sf)
-        .filter(F.col("seg_index") % 3 != 1)
-        .select("media_id", (F.col("start_ms") + 50).alias("start_ms"), (F.col("end_ms") - 20).alias("end_ms"))
-    )
+    """Every third range has no length, so that segments outside speech occur."""
+    begin = F.col("start_ms") + 50
+    end = F.when(F.col("seg_index") % 3 == 1, begin).otherwise(F.col("end_ms") - 20)
+    return _conversation_times(spark, sf).select("media_id", begin.alias("start_ms"), end.alias("end_ms"))
 
 
 @cache
 def silence_marks(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "events")
-        .filter("event_type <> 'signup'")
         .select(
             F.col("user_id").alias("media_id"),
             F.col("event_id").alias("line_no"),
@@ -224,18 +220,20 @@ SQL_VIEWS = {
         select * from (
           select conv_id as media_id, turn as turn_pos, concat('SPEAKER_0', cast(turn % 3 as varchar)) as speaker,
             cast({_CUMULATIVE} - (100 + length(text) % 4000) + (turn * 137) % 900 as bigint) as start_ms,
-            cast({_CUMULATIVE} + (turn * 53) % 700 as bigint) as end_ms
-          from conversations) where turn_pos % 4 <> 3""",
+            case when turn % 4 = 3 then cast({_CUMULATIVE} - (100 + length(text) % 4000) + (turn * 137) % 900 as bigint)
+              else cast({_CUMULATIVE} + (turn * 53) % 700 as bigint) end as end_ms
+          from conversations)""",
     "speech_ranges": f"""
-        select media_id, start_ms + 50 as start_ms, end_ms - 20 as end_ms from (
+        select media_id, start_ms + 50 as start_ms,
+          case when seg_index % 3 = 1 then start_ms + 50 else end_ms - 20 end as end_ms from (
           select conv_id as media_id, turn as seg_index,
             cast({_CUMULATIVE} - (100 + length(text) % 4000) as bigint) as start_ms,
             cast({_CUMULATIVE} as bigint) as end_ms
-          from conversations) where seg_index % 3 <> 1""",
+          from conversations)""",
     "silence_marks": f"""
         select user_id as media_id, event_id as line_no,
           case when event_type in ('view', 'click') then 'S' else 'E' end as kind, {_AT_MS} as at_ms
-        from events where event_type <> 'signup'""",
+        from events""",
     "silences": """
         select l_suppkey as media_id,
           cast((l_orderkey * 7919 + l_linenumber * 613) % 3600000 as bigint) as start_ms,
