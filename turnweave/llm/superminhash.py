@@ -26,10 +26,10 @@ from turnweave.llm.tables import kept, lists, slices
 
 SLOTS = 128
 BANDS = 32  # of 4 slots: a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8
-SKETCH_BITS = 256  # two bits per slot
-# Sketches of a pair of similarity 0.8 differ in 26 bits, with a deviation below 6; this leaves six deviations.
-MOST_BITS_APART = 60
-SLICE_BYTES = 1 << 21
+SKETCH_BITS = 512  # four bits per slot
+# Of the slots of a pair of similarity 0.8, 24 sketches differ, with a deviation below 4.4; this leaves over five of them.
+MOST_SLOTS_APART = 48
+SLICE_BYTES = 1 << 17
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,15 +95,15 @@ def _features(words: int):
             values = signatures(shingles, counts)
             begin = np.concatenate([[0], np.cumsum(counts)])
             with np.errstate(over="ignore"):
-                sums = [np.concatenate([[0], np.cumsum(mix(shingles, salt), dtype=np.uint64)]).astype(np.uint64) for salt in (3, 4)]
+                zero = np.zeros(1, np.uint64)
+                sums = [np.concatenate([zero, np.cumsum(mix(shingles, salt), dtype=np.uint64)]) for salt in (3, 4)]
                 keys = [(s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums]
             bands = np.zeros((len(counts), BANDS), np.uint64)
             for k in range(width):
                 bands = mix(bands ^ values[:, k::width].astype(np.uint64), 5 + k)
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B9), 6)
-            bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(len(counts), SLOTS, 4)[:, :, 0], axis=1)
-            two = bits.reshape(len(counts), SLOTS, 8)[:, :, :2].reshape(len(counts), SKETCH_BITS)
-            sketch = np.packbits(two, axis=1).view("<i8")
+            low = (values & np.uint32(15)).astype(np.uint8)
+            sketch = np.ascontiguousarray(low[:, ::2] | low[:, 1::2] << np.uint8(4)).view("<i8")
             some = counts > 0
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(counts, pa.int64()), pa.array(keys[0]), pa.array(keys[1]),
@@ -167,7 +167,7 @@ def class_links(rows: DataFrame, reps: DataFrame, words: int, percent: int) -> D
     """Confirmed links (a, b) between class representatives that connect all classes any chain of links connects.
 
     First every band's members meet its smallest member. Bands that then hold several components go on with bounds: a
-    shingle that no other member of such a band has (a dead one) is in no intersection, which limits the similarity
+    shingle that occurs in one component only (a dead one) is in no intersection that matters, which limits the similarity
     of any pair. The member with the smallest dead share is met next, as it links with most of those that link at all. Last,
     members outside a band's largest component meet all members that the bounds and sketches leave possible.
     """
@@ -189,14 +189,15 @@ def class_links(rows: DataFrame, reps: DataFrame, words: int, percent: int) -> D
     members = kept(_mixed(buckets.select("band", "rep"), found), "mixed-bands")
     if members.limit(1).count() == 0:
         return found
-    members = kept(_promising(members, facts, sets, percent), "promising")
+    members = kept(_promising(members, facts, sets, percent, once=False), "promising")
     central = members.groupBy("band").agg(F.min_by("rep", F.struct(F.col("dead") / F.col("n"), "rep")).alias("other"))
-    found = _met(members, members.join(central, "band").filter("rep = other").drop("other"), pairs, found, sets, percent)
-    members = kept(_mixed(members.drop("component"), found), "open-bands")
+    found = _met(members, members.join(central, "band").filter("rep = other").drop("other"), pairs, found, sets, percent, once=False)
+    members = _mixed(members.select("band", "rep"), found)
+    members = kept(_promising(kept(members, "open-bands"), facts, sets, percent, once=True), "promising")
     sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    outside = members.join(largest, "band").filter("component <> largest").drop("largest")
-    return _met(members, outside, pairs, found, sets, percent)
+    outside = members.join(kept(largest, "largest"), "band").filter("component <> largest").drop("largest")
+    return _met(members, outside, pairs, found, sets, percent, once=True)
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -210,8 +211,16 @@ def _side(facts: DataFrame, name: str, key: str) -> DataFrame:
 def _possible(percent: int) -> F.Column:
     """Whether sizes and sketches of x and y leave the similarity possible."""
     small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    apart = [F.bit_count(F.col("x_sketch")[k].bitwiseXOR(F.col("y_sketch")[k])) for k in range(SKETCH_BITS // 64)]
-    return (small * 100 >= large * percent) & (sum(apart[1:], apart[0]) <= MOST_BITS_APART)
+
+    def apart(k: int) -> F.Column:
+        """Slots in the k-th number of the sketch, four bits each, that differ."""
+        bits = F.col("x_sketch")[k].bitwiseXOR(F.col("y_sketch")[k])
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+
+    total = sum((apart(k) for k in range(1, SKETCH_BITS // 64)), apart(0))
+    return (small * 100 >= large * percent) & (total <= MOST_SLOTS_APART)
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -225,31 +234,48 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(ends.filter("low < high").select("band"), "band")
 
 
-def _promising(members: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members with their facts and number of dead shingles, without those that can link with none of their band."""
-    inside = sets.join(members.select("rep").distinct(), "rep", "left_semi")
-    single = inside.select("rep", F.explode("shingles").alias("shingle"))
-    single = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("rep").alias("rep")).filter("times = 1")
-    dead = single.groupBy("rep").agg(F.count(F.lit(1)).alias("dead"))
+def _promising(members: DataFrame, facts: DataFrame, sets: DataFrame, percent: int, once: bool) -> DataFrame:
+    """Members with their facts and number of dead shingles, without those that can link with none of their band.
+
+    A shingle is dead if it occurs in one component only, as links to be found are those between components. ``once``
+    adds ``before``, the smaller bands of a member, so that a pair can be met in its smallest band alone.
+    """
+    known = members.groupBy("rep").agg(F.min("component").alias("component"), F.collect_set("band").alias("all_bands"))
+    known = kept(known, "open-members")
+    inside = sets.join(known, "rep").select("rep", "component", F.explode("shingles").alias("shingle"))
+    ends = inside.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    single = kept(ends.filter("low = high").select("shingle"), "dead-shingles")
+    dead = inside.join(single, "shingle").groupBy("rep").agg(F.count(F.lit(1)).alias("dead"))
     named = members.join(facts, "rep").join(dead, "rep", "left").fillna(0, ["dead"])
-    least = named.groupBy("band").agg(F.min("n").alias("least"))
+    if once:
+        named = named.join(known.select("rep", "all_bands"), "rep")
+        named = named.withColumn("before", F.filter("all_bands", lambda b: b < F.col("band"))).drop("all_bands")
+    least = kept(named.groupBy("band").agg(F.min("n").alias("least")), "least-sizes")
     live = F.col("n") - F.col("dead")
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    return (
-        named.join(least, "band").filter(live * 100 >= (F.col("n") + partner - live) * percent).drop("least")
-    )
+    hopeful = live * 100 >= (F.col("n") + partner - live) * percent
+    return named.join(least, "band").filter(hopeful).drop("least")
 
 
-def _met(members: DataFrame, some: DataFrame, pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``found`` and the confirmed links between ``some`` members and the members of other components in their bands."""
-    facts = ("component", "n", "dead", "sketch")
+def _met(
+    members: DataFrame, some: DataFrame, pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int, once: bool
+) -> DataFrame:
+    """``found`` and the confirmed links between ``some`` members and the members of other components in their bands.
+
+    ``once`` meets a pair in its smallest common band only, which is right where every band has one of the two among its ``some``.
+    """
+    facts = ("component", "n", "dead", "sketch", *(["before"] if once else []))
     x = members.select("band", "rep", *[F.col(c).alias(f"x_{c}") for c in facts])
     y = some.select("band", F.col("rep").alias("other"), *[F.col(c).alias(f"y_{c}") for c in facts])
     common = F.least(F.col("x_n") - F.col("x_dead"), F.col("y_n") - F.col("y_dead"))
     bound = common * 100 >= (F.col("x_n") + F.col("y_n") - common) * percent
     met = x.alias("x").join(
         y.alias("y"),
-        (F.col("x.band") == F.col("y.band")) & (F.col("x_component") != F.col("y_component")) & bound & _possible(percent),
+        (F.col("x.band") == F.col("y.band"))
+        & (F.col("x_component") != F.col("y_component"))
+        & bound
+        & _possible(percent)
+        & (~F.arrays_overlap("x_before", "y_before") if once else F.lit(True)),
     )
     likely = _pairs(met).join(pairs, ["a", "b"], "left_anti")
     return found.union(kept(_confirmed(likely, sets, percent), "confirmed"))

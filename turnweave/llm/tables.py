@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnweave.session import scratch_path
 
+ROWS = 1_024  # rows of an Arrow batch that are laid end to end at once
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,18 +56,20 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row ranges of the batches with about ``most`` bytes of text each (a longer text is a range of its own)."""
-    for batch in batches:
-        data, offsets = bytes_of(batch.column(batch.schema.get_field_index(column)))
-        first, rows = 0, batch.num_rows
-        while first < rows:
-            last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
-            last = min(rows, max(first + 1, last))
-            yield (
-                batch.slice(first, last - first),
-                data[offsets[first] : offsets[last]],
-                offsets[first : last + 1] - offsets[first],
-            )
-            first = last
+    for whole in batches:
+        for begin in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(begin, ROWS)
+            data, offsets = bytes_of(batch.column(batch.schema.get_field_index(column)))
+            first, rows = 0, batch.num_rows
+            while first < rows:
+                last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
+                last = min(rows, max(first + 1, last))
+                yield (
+                    batch.slice(first, last - first),
+                    data[offsets[first] : offsets[last]],
+                    offsets[first : last + 1] - offsets[first],
+                )
+                first = last
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
