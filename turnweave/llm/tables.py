@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from turnweave.session import scratch_path
 
 ROWS = 1_024  # rows of an Arrow batch that are laid end to end at once
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Settings while a table is written: its shuffle files go afterwards, and Python workers get small batches of long texts.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
@@ -22,16 +26,18 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     table are of no more use, therefore Spark is told to remove them when the write ends.
     """
     spark = df.sparkSession
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    before = {name: spark.conf.get(name, None) for name in WHILE_WRITING}
+    for name, value in WHILE_WRITING.items():
+        spark.conf.set(name, value)
     path = scratch_path(spark, label)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(FREE_SHUFFLES)
-        else:
-            spark.conf.set(FREE_SHUFFLES, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
