@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,17 +31,24 @@ MANIFEST_SCHEMA = (
 
 
 def _documents(spark: SparkSession, parents: Sequence[str], file: str, schema: str) -> DataFrame:
-    patterns = paths_matching(spark, [f"{parent.rstrip('/')}/run-*/{file}" for parent in parents])
+    # Only the parents are looked up on the driver; the reader lists the run folders below them.
+    present = paths_matching(spark, parents)
+    below = [re.sub(r"^file:/+", "/", parent).rstrip("/") for parent in present]
     folder = F.regexp_extract(
         F.regexp_replace(F.url_decode("_metadata.file_path"), r"^file:/+", "/"), r"^(.*)/[^/]+$", 1
     )
-    if not patterns:
+    if not present:
         return spark.createDataFrame([], f"run_dir string, {schema}")
     return (
         spark.read.schema(schema)
         .option("multiLine", "true")
-        .json(patterns)
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", file)
+        .json(list(present))
         .select(folder.alias("run_dir"), "*")
+        .filter(
+            F.regexp_extract("run_dir", r"^(.*)/[^/]+$", 1).isin(*below) & F.regexp_extract("run_dir", r"([^/]+)$", 1).startswith("run-")
+        )
         .dropDuplicates(["run_dir"])
     )
 

@@ -7,7 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from turnweave.functions.text import extension, file_name, normalize_extensions, relative_to, source_identity
+from turnweave.functions.text import (
+    extension,
+    file_name,
+    identity_key,
+    normalize_extensions,
+    relative_to,
+    source_identity,
+)
 from turnweave.operators.refresh import plan_refresh
 from turnweave.sources.files import hash_files
 
@@ -37,21 +44,24 @@ def start_intake(
     output: str,
     checkpoint: str,
     hash_content: bool = False,
+    trigger: dict | None = None,
     **plan_options,
 ) -> StreamingQuery:
     """Plan every micro-batch against the catalog as it is then and write it below ``output``.
 
-    A batch writes its own folder and overwrites it when repeated, so a restart leaves no duplicates.
+    Only catalog rows of the batch's own identities are aggregated. A batch writes its own folder and overwrites it when
+    repeated, so a restart leaves no duplicates. ``trigger`` is given to the stream writer, by default
+    ``{"availableNow": True}``.
     """
 
     def plan_batch(batch: DataFrame, batch_id: int) -> None:
-        files = hash_files(batch) if hash_content else batch
-        planned = plan_refresh(files, read_catalog(), signature, **plan_options)
+        files = (hash_files(batch) if hash_content else batch).persist()
+        wanted = files.select(identity_key(F.col("source_file_identity")).alias("_wanted")).distinct()
+        rows = read_catalog()
+        known = rows.join(wanted, identity_key(rows["source_file_identity"]) == F.col("_wanted"), "left_semi")
+        planned = plan_refresh(files, known, signature, **plan_options)
         planned.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        files.unpersist()
 
-    return (
-        inventory.writeStream.foreachBatch(plan_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = inventory.writeStream.foreachBatch(plan_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
