@@ -18,6 +18,8 @@ from turnweave.functions.numbers import (
 from turnweave.functions.text import lowered
 
 NEIGHBOURS = 12
+# Tasks among which the items of one feature combination are dealt.
+SHARES = 16
 
 # Score of each equal feature on top of the base score 1; the best score is 10, rated against 9.
 FEATURE_SCORES = {"codec": 3.0, "channels": 2.0, "rate": 1.5, "bitrate": 1.5, "container": 1.0}
@@ -136,8 +138,7 @@ def _neighbourhoods(found: DataFrame) -> DataFrame:
     rating = F.least(F.lit(1.0), F.col("weight") / F.col("sample_count") / F.lit(RATED_SCORE))
     confidence = F.least(F.lit(0.9), F.lit(0.15) + F.lit(0.55) * factor + F.lit(0.30) * rating)
     return weighed.select(
-        # Features may be null, so combinations are joined by their text form.
-        F.to_json("combination").alias("_key"),
+        F.col("combination").alias("_key"),
         "near",
         "sample_count",
         "weight",
@@ -153,8 +154,16 @@ def predict_time(items: DataFrame, history: DataFrame, neighbours: int = NEIGHBO
     sample's ``stage_seconds`` map is optional.
     """
     near = _neighbourhoods(nearest_samples(items, history, neighbours))
-    key = F.to_json(F.struct("f_mode", *FEATURE_COLUMNS))
-    joined = with_features(items).select(*items.columns, key.alias("_key")).join(near, "_key", "left")
+    # A few hundred combinations serve all items, so a popular one is dealt to several tasks: its row is repeated per
+    # share, and items are spread over the shares by their duration. Features may be null.
+    spread = near.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    own = with_features(items).select(
+        *items.columns,
+        F.struct("f_mode", *FEATURE_COLUMNS).alias("_own"),
+        F.pmod(F.xxhash64("duration_seconds"), F.lit(SHARES)).cast("int").alias("_own_share"),
+    )
+    same = F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_own_share") == F.col("_share"))
+    joined = own.join(spread, same, "left")
     duration = F.col("duration_seconds")
     scaled = lambda s: scaled_wall_seconds(
         s.getField("duration_seconds"), s.getField("wall_seconds"), duration
