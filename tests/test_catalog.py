@@ -137,12 +137,12 @@ def test_removal(spark):
         [("Item-1", "/out/one"), ("item-2", "/out/../etc"), ("item-3", "/out/three")], "item_id string, item_dir string"
     )
     requested = items.requested_ids(spark, ["item-1", "ITEM-2", " ", "nope"])
-    planned = {r.item_id: r for r in items.plan_removal(rows, requested, "/out").collect()}
+    planned = {r.item_id: r for r in items.plan_removal(rows, requested, "/out", ()).collect()}
     assert set(planned) == {"Item-1", "item-2"}
     assert planned["Item-1"].remove_folder and not planned["item-2"].folder_safe
     assert [r.requested_id for r in items.missing_ids(requested, rows).collect()] == ["nope"]
     assert [r.item_id for r in items.remaining_items(rows, requested).collect()] == ["item-3"]
-    dry = items.removal_summary(items.plan_removal(rows, requested, "/out", dry_run=True)).head()
+    dry = items.removal_summary(items.plan_removal(rows, requested, "/out", (), dry_run=True)).head()
     assert (dry.matched_count, dry.catalog_rows_removed, dry.media_dirs_removed, dry.unsafe_media_dirs) == (2, 2, 0, 1)
     with pytest.raises(ValueError):
         items.requested_ids(spark, ["  "])
@@ -240,3 +240,15 @@ def test_runs_that_decide_bring_their_duration(spark):
     )
     found = catalog.file_status(files(spark, ("a", "s::a", "h", 1)), rows, "sig", manifest).collect()
     assert [(r.status, r.duration_sec) for r in found] == [("processing", 77.0)]
+
+
+def test_removal_falls_back_to_the_run_folder(spark):
+    rows = spark.createDataFrame(
+        [("i1", None, "/out/run-1/", "m1"), ("i2", " ", "/out/.data", "m2"), ("i3", "/out/x", "/out/run-1", "m3")],
+        "item_id string, item_dir string, run_dir string, audio_id string",
+    )
+    requested = items.requested_ids(spark, ["i1", "i2", "i3"])
+    planned = {r.item_id: r for r in items.plan_removal(rows, requested, "/out", (".data",)).collect()}
+    assert planned["i1"].item_dir == "/out/run-1/media/m1" and planned["i1"].remove_folder
+    assert planned["i2"].item_dir == "/out/.data/media/m2" and not planned["i2"].folder_safe
+    assert planned["i3"].item_dir == "/out/x"

@@ -17,6 +17,7 @@ ISO_PATTERN = (
     r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?)?"
     r"(Z|[+-]\d{2}(?::?\d{2})?)?$"
 )
+# Fixed value: how recorders put a time into a file name.
 FILE_NAME_PATTERN = r"\d{4}-\d{2}-\d{2}[ _]\d{2}-\d{2}-\d{2}|\d{8}-?\d{6}"
 
 # Metadata tags that may hold a recording time, in reading order.

@@ -64,14 +64,24 @@ def plan_removal(
     items: DataFrame,
     requested: DataFrame,
     output_root: str,
+    reserved: Sequence[str],
     dry_run: bool = False,
-    reserved: Sequence[str] = (),
     folder: str = "item_dir",
+    media: str = "audio_id",
 ) -> DataFrame:
-    """Rows that a removal takes out, with ``folder_safe`` and ``remove_folder`` (never on a dry run)."""
+    """Rows that a removal takes out, with ``folder_safe`` and ``remove_folder`` (never on a dry run).
+
+    ``reserved`` names the folders below the output root that hold no items. An item without a folder of its own has the
+    one below its run, ``<run_dir>/media/<media>``, where the table has these columns.
+    """
     run_dir = F.col("run_dir") if "run_dir" in items.columns else None
+    place = F.col(folder)
+    if run_dir is not None and media in items.columns:
+        below_run = F.concat(F.regexp_replace(run_dir, "/+$", ""), F.lit("/media/"), strip(F.col(media)))
+        place = F.coalesce(non_blank(place), below_run)
+    chosen = select_items(items, requested).withColumn(folder, place)
     safe = folder_is_safe(F.col(folder), output_root, reserved, run_dir)
-    return select_items(items, requested).select(
+    return chosen.select(
         *items.columns,
         safe.alias("folder_safe"),
         (safe & F.lit(not dry_run)).alias("remove_folder"),

@@ -17,6 +17,7 @@ STALE_SECONDS = 30
 ERROR_STATES = ("failed", "completed_with_errors", "interrupted")
 DONE_STATES = ("completed", "completed_with_errors")
 
+# Fixed value: what an interrupted run reports.
 INTERRUPTED_MESSAGE = (
     "Run was interrupted while the worker was stopped. It will not be resumed "
     "automatically; queue a new refresh to retry."

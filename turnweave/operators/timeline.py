@@ -264,6 +264,7 @@ def stage_gates(recordings: DataFrame, turns: DataFrame, validated: DataFrame, k
     rejected = validated.groupBy(key).agg(F.count_if(F.col("state") == "rejected").alias("_rejected"))
     no_turns = F.coalesce(F.col("_turns"), F.lit(0)) == 0
     dropped = F.coalesce(F.col("_rejected"), F.lit(0))
+    # The warnings of each gate.
     warnings = F.array(
         F.when(no_turns, "Speaker diarization completed, but no speaker turns were found."),
         F.when(F.col("transcription_status") == "no_segments", "Speech transcription produced no segments."),

@@ -11,6 +11,7 @@ from turnweave.plans.views import with_views
 from turnweave.sources.files import select_roots, table
 
 SIGNATURE = "sig-cpu"
+RESERVED = (".data",)
 
 
 def _inventory(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,13 +203,13 @@ def remaining_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def removal(spark: SparkSession, sf: str) -> DataFrame:
-    return items.plan_removal(_items(spark, sf), _requested(spark, sf), "/out").select(
+    return items.plan_removal(_items(spark, sf), _requested(spark, sf), "/out", RESERVED).select(
         "catalog_pos", "item_id", "folder_safe", "remove_folder", "dry_run"
     )
 
 
 def removal_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return items.removal_summary(items.plan_removal(_items(spark, sf), _requested(spark, sf), "/out", dry_run=True))
+    return items.removal_summary(items.plan_removal(_items(spark, sf), _requested(spark, sf), "/out", RESERVED, dry_run=True))
 
 
 def pruned(spark: SparkSession, sf: str) -> DataFrame:

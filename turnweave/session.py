@@ -34,12 +34,6 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a table written between two stages."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -25,11 +25,6 @@ def write_documents(documents: DataFrame, folder: str, key: str = "media_id", pe
     writer.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
-def write_nested(documents: DataFrame, folder: str) -> None:
-    """The same documents as nested columns, for later queries."""
-    documents.write.mode("overwrite").parquet(folder)
-
-
 def append_catalog(rows: DataFrame, path: str) -> None:
     """Add catalog rows; earlier rows stay as they are."""
     rows.write.mode("append").parquet(path)
