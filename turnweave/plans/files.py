@@ -16,13 +16,29 @@ from turnweave.streaming.intake import start_intake
 from turnweave.streaming.stale import closed_sessions
 
 
+def _supplier_files(spark: SparkSession, sf: str) -> str:
+    """A folder with one text file per supplier, which holds its name."""
+    folder = scratch_path(spark, "supplier-files")
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("value"))
+    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    return folder
+
+
 def discovered(spark: SparkSession, sf: str) -> DataFrame:
-    found, _ = discover_files(spark, [{"source_id": "tables", "path": sf}], ["PARQUET"])
-    return found.select("source_id", "relative_path", "file_name", "size_bytes", "source_file_identity")
+    found, _ = discover_files(spark, [{"source_id": "names", "path": _supplier_files(spark, sf)}], ["TXT"])
+    return found.select(
+        "source_id",
+        F.regexp_extract("relative_path", r"^s_suppkey=(\d+)/[^/]+$", 1).cast("bigint").alias("s_suppkey"),
+        "size_bytes",
+        F.regexp_extract("source_file_identity", "^(.*)/[^/]+$", 1).alias("identity_folder"),
+        F.regexp_extract("file_name", r"(\.[^.]+)$", 1).alias("extension"),
+    )
 
 
 def hashed(spark: SparkSession, sf: str) -> DataFrame:
-    return content_hashes(spark, sf).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), "source_hash")
+    return content_hashes(spark, _supplier_files(spark, sf)).select(
+        F.regexp_extract("path", r"/s_suppkey=(\d+)/[^/]+$", 1).cast("bigint").alias("s_suppkey"), "source_hash"
+    )
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,8 +232,15 @@ _DOCUMENTED = f"""with {segments.VALIDATED},
     from validated group by 1)"""
 
 QUERIES = {
-    "s1_discover_files": (discovered, None),
-    "s3_content_hashes": (hashed, None),
+    "s1_discover_files": (
+        discovered,
+        """select 'names' as source_id, cast(s_suppkey as bigint) as s_suppkey, length(s_name) + 1 as size_bytes,
+          'names::s_suppkey=' || s_suppkey as identity_folder, '.txt' as extension from supplier""",
+    ),
+    "s3_content_hashes": (
+        hashed,
+        "select cast(s_suppkey as bigint) as s_suppkey, sha256(s_name || chr(10)) as source_hash from supplier",
+    ),
     "k1_k2_s4_written_items": (
         written_items,
         """select cast(conv_id as varchar) as audio_id, sha256(cast(conv_id as varchar)) as source_hash,

@@ -13,6 +13,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("turnweave")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="turnweave-"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
