@@ -13,6 +13,7 @@ TEXT = {
     5: "Mrs. Mary Smith met Mr John Smith; MR. SMITH left. Mr Smith and Frau Müller stayed.",
     6: "Господин Иванов и Госпожа Анна Иванова",
     7: "clean text with 12 numbers, 3.14 and an @ sign, https://example.org/a?b=1",
+    9: "id 078-05-1120 and ghp_abcdefghijABCDEFGHIJ0123456789abcd, xoxb-12345-abcdeFGHIJ or sk-abcdefghijklmnopqrstuv",
     8: "почта иван@пример.рф",
 }
 
@@ -39,6 +40,9 @@ def test_replacements_keep_kind_format_and_reference(spark):
     assert spaced.replace(" ", "") == plain and luhn(plain) and plain[0] == "4" and plain != "4" + "1" * 15
     assert re.fullmatch(r"server (\d{1,3}\.){3}\d{1,3}, not 4\.0\. and 1\.2\.3 or 999\.1\.1\.1", text[3]) and "97.51.17.173" not in text[3]
     assert re.fullmatch(r'token = "[0-9a-f]{40}" and password=[0-9a-f]{18} AKIA[0-9A-Z]{16}', text[4])
+    assert got[9]["n"] == 4
+    m = re.fullmatch(r"id (\d{3}-\d\d-\d{4}) and (ghp_[a-zA-Z0-9]{34}), (xoxb-\d{5}-[a-z]{5}[A-Z]{5}) or (sk-[a-z]{22})", text[9])
+    assert m and not any(x in TEXT[9] for x in m.groups())
     assert not {"24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "b7db7aa4a5fcc78305"} & set(re.findall(r"\w+", text[4]))
 
 

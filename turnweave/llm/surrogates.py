@@ -49,9 +49,10 @@ def _title(titles: tuple[str, ...]) -> str:
 PATTERNS = [
     ("email", r"[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,8}\p{L}{2,24}"),
     ("secret", r"(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'=:]{6,}+"),
-    ("access_key", r"AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])"),
+    ("access_key", r"(?:AKIA[0-9A-Z]{16}|[sp]k-[A-Za-z0-9]{20,}+|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![\p{L}\p{N}])"),
     ("card", r"(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\d-])"),
     ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"),
+    ("national_id", r"(?<![.-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("address", rf"(?<!\.)(?:{_BYTE}\.){{3}}{_BYTE}(?![\p{{L}}\d]|\.\d)"),
     ("female_name", rf"{_title(FEMALE)}{_CAPITAL}(?= \p{{Lu}}\p{{L}})"),
     ("male_name", rf"{_title(MALE)}{_CAPITAL}(?= \p{{Lu}}\p{{L}})"),
@@ -65,7 +66,7 @@ PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'({p})' for _, p in PATTERNS)})|
 
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with an entity passes: a digit, an at sign, a title or a key word."""
-    words = (*FEMALE, *MALE, "AKIA", "passw", "pwd", "secret", "token", "api")
+    words = (*FEMALE, *MALE, "AKIA", "passw", "pwd", "secret", "token", "api", "sk-", "pk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words], text.rlike("[0-9@]"))
 
 
@@ -94,7 +95,7 @@ def canonical(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, r"\D", "")
     return (
         F.when(kind == "phone", F.right(digits, F.lit(10)))
-        .when(kind == "card", digits)
+        .when(kind.isin("card", "national_id"), digits)
         .when(kind.isin("secret", "access_key", "address"), mention)
         .otherwise(F.lower(mention))
     )
@@ -153,6 +154,7 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     octets = [(_drawn(noise, F.lit(0), 223) + 1), *[_drawn(noise, F.lit(k), 256) for k in (1, 2, 3)]]
     top = F.substring_index(value, ".", -1)
     email = F.concat(_like(F.left(value, F.char_length(value) - F.char_length(top)), noise), top)
+    issuer = F.regexp_extract(value, "^(AKIA|[sp]k-|gh[pousr]_|xox[abprs]-)", 1)
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     names = {
         k: F.when(cyrillic, _name(k, "cyrillic", noise)).otherwise(_name(k, "latin", noise)) for k in ("female", "male", "family")
@@ -163,7 +165,8 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
         .when((kind == "card") & (_luhn(value) == 0), card)
         .when(kind == "card", F.concat(number, _digits(noise, 16, 1)))
         .when(kind == "address", F.concat_ws(".", *[o.cast("string") for o in octets]))
-        .when(kind == "access_key", F.concat(F.lit("AKIA"), _like(F.substring(value, 5, 16), noise)))
+        .when(kind == "access_key", F.concat(issuer, _like(F.substring(value, F.char_length(issuer) + 1, F.char_length(value)), noise)))
+        .when(kind == "national_id", F.concat(above(0), _digits(noise, 1, 8)))
         .when(kind == "secret", _like(value, noise))
         .when(kind == "female_name", names["female"])
         .when(kind == "male_name", names["male"])
@@ -193,7 +196,7 @@ def rendered(kind: Column, mention: Column, replacement: Column) -> Column:
         .when(F.upper(first) == first, F.concat(F.upper(F.left(replacement, F.lit(1))), F.substring(replacement, F.lit(2), F.char_length(replacement))))
         .otherwise(replacement)
     )
-    return F.when(kind.isin("phone", "card"), grouped).when(kind.isin("secret", "access_key", "address"), replacement).otherwise(cased)
+    return F.when(kind.isin("phone", "card", "national_id"), grouped).when(kind.isin("secret", "access_key", "address"), replacement).otherwise(cased)
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
