@@ -28,7 +28,7 @@ from turnweave.operators.ordering import ranked
 
 SLICE_BYTES = 1 << 20
 BULK = 2_000  # words per string given to the tokenizer
-MOST_WORDS = 1 << 20  # distinct words whose ids a task remembers
+MOST_WORDS = 1 << 19  # distinct words whose ids a task remembers
 
 
 _CODES = np.arange(256)
