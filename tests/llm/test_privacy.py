@@ -88,3 +88,22 @@ def test_no_replacement_is_a_value_of_the_corpus(spark):
     rows = surrogates.surrogate_table(entities, "k").collect()
     assert len({r["replacement"] for r in rows}) == 300
     assert not {r["replacement"] for r in rows} & {r["value"] for r in rows}
+
+
+def test_secrets_and_mails_of_any_script_are_replaced(spark):
+    rows = {
+        1: "password: ********", 2: "token = ------", 3: "password=请输入您的登录密码", 4: "mail 老师@张三.com now", 5: "secret: ተማሪቤትገብ", 6: "secret: !@$%^&*!",
+        7: "token = ٠١٢٣٤٥٦٧", 8: "pwd: ab12cd34", 9: "password: ********, then more",
+    }
+    got = found(spark, list(rows.items()))
+    assert {k: r["n"] for k, r in got.items()} == {k: int(k not in (1, 2, 9)) for k in rows}
+    assert all((got[k]["text"] != t) == (k not in (1, 2, 9)) for k, t in rows.items())
+    assert not set(rows[3][9:]) <= set(got[3]["text"][9:]) and re.fullmatch(r"password=[\u4e00-\u9fa5]{9}", got[3]["text"])
+    assert re.fullmatch(r"mail [\u4e00-\u9fa5]{2}@[\u4e00-\u9fa5]{2}\.com now", got[4]["text"])
+
+
+def test_values_with_few_forms_get_distinct_replacements(spark):
+    # All 26 values of this form are taken by the corpus itself.
+    rows = [(k, f"secret: {chr(97 + k)}*****") for k in range(26)] + [(50 + k, f"to {k}@-.com now") for k in range(10)]
+    got = {k: r["text"] for k, r in found(spark, rows).items()}
+    assert len(set(got.values())) == 36 and not set(got.values()) & {t for _, t in rows}

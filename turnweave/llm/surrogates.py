@@ -8,6 +8,8 @@ distinct entities, and entities in conflict draw again. The table grows with the
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,6 +25,21 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 # Letters by script for replaced letters, and syllables and endings for drawn names.
 LOWER, UPPER, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 LATIN, GREEK, CYRILLIC = "àáâãäåçèéêëìíîïñòóôõöùúûüý", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшэюя"
+# Code points from which the letters and digits of further scripts are drawn, (test, first, last, step).
+SCRIPTS = [
+    (r"\p{IsHan}", 0x4E00, 0x9FA5, 83), (r"\p{IsHiragana}", 0x3042, 0x3093, 1), (r"\p{IsKatakana}", 0x30A2, 0x30F3, 1),
+    (r"\p{IsHangul}", 0xAC00, 0xD7A3, 53), (r"\p{IsArabic}(?<=\p{L})", 0x0627, 0x064A, 1), (r"\p{IsHebrew}(?<=\p{L})", 0x05D0, 0x05EA, 1),
+    (r"\p{IsDevanagari}(?<=\p{L})", 0x0905, 0x0939, 1), (r"\p{IsThai}(?<=\p{L})", 0x0E01, 0x0E30, 1),
+    (r"\p{IsArmenian}(?<=\p{L})", 0x0561, 0x0586, 1), (r"\p{IsGeorgian}(?<=\p{L})", 0x10D0, 0x10F0, 1),
+    (r"[\u0660-\u0669]", 0x0660, 0x0669, 1), (r"[\u06F0-\u06F9]", 0x06F0, 0x06F9, 1), (r"[\u0966-\u096F]", 0x0966, 0x096F, 1), (r"[\uFF10-\uFF19]", 0xFF10, 0xFF19, 1),
+]
+FURTHER = [
+    (test, "".join(c for c in map(chr, range(first, last + 1, step)) if unicodedata.category(c) in ("Lo", "Ll", "Nd")))
+    for test, first, last, step in SCRIPTS
+]
+SYMBOLS = "!#$%&()*+,-./;<>?@[]^_{|}~"
+# A secret of these characters only is a mask or a ruler and hides nothing, so it is no entity.
+_MASK = r"[*•●∙·…._#~+\-–—,;!?()\[\]{}<>|/]"
 SYLLABLES = {
     "latin": ("ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "ka", "ke", "la", "le", "li", "ma", "me", "mi", "na", "ne", "no", "ra", "re", "ri", "ro", "sa", "se", "so", "ta", "te", "ti", "va", "vi"),
     "cyrillic": ("ба", "ве", "да", "ди", "жа", "за", "ка", "ке", "ла", "ле", "ма", "ми", "на", "не", "ра", "ри", "са", "ти", "та", "фе"),
@@ -48,7 +65,7 @@ def _title(titles: tuple[str, ...]) -> str:
 # Names and secrets include what introduces them. Fixed values.
 PATTERNS = [
     ("email", r"[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,8}\p{L}{2,24}"),
-    ("secret", r"(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'=:]{6,}+"),
+    ("secret", r"(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?" rf"(?!{_MASK}++(?:[\s\"'=:]|$))" r"[^\s\"'=:]{6,}+"),
     ("access_key", r"(?:AKIA[0-9A-Z]{16}|[sp]k-[A-Za-z0-9]{20,}+|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![\p{L}\p{N}])"),
     ("card", r"(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\d-])"),
     ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"),
@@ -121,18 +138,35 @@ def _letter(alphabet: str, number: Column) -> Column:
     return F.substring(F.lit(alphabet), number + 1, F.lit(1))
 
 
+def _bound(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of the values, which are computed once."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
 def _like(value: Column, noise: Column) -> Column:
-    """Each letter and digit replaced by one of its script, class and case; other characters stay."""
-    alphabets = [("[0-9]", "0123456789"), ("[a-z]", LOWER), ("[A-Z]", UPPER), (r"\p{IsGreek}", GREEK), (r"\p{IsCyrillic}", CYRILLIC), (r"\p{IsLatin}", LATIN)]
-    hexadecimal = value.rlike("^[0-9a-f]{16,}$")
-
-    def one(at: Column) -> Column:
-        char = F.substring(value, at, F.lit(1))
-        choices = [(char.rlike(test), _letter(a, _drawn(noise, at + F.floor(at / 31).cast("int"), len(a)))) for test, a in alphabets]
-        picked = F.when(hexadecimal, _letter(HEX, _drawn(noise, at, 16)))
+    """Each letter and digit replaced by one of its script, class and case; other characters stay.
+
+    Letters and digits of scripts without an alphabet become Latin letters and ASCII digits. In a value without any letter
+    or digit the symbols themselves are drawn, so no value stays as it is in every draw.
+    """
+    alphabets = [
+        ("[0-9]", "0123456789"), ("[a-z]", LOWER), ("[A-Z]", UPPER), (r"\p{IsGreek}(?<=\p{L})", GREEK), (r"\p{IsCyrillic}(?<=\p{L})", CYRILLIC),
+        (r"\p{IsLatin}(?<=\p{L})", LATIN), *FURTHER, (r"\p{L}", LOWER), (r"\p{N}", "0123456789"),
+    ]
+
+    def one(row: Column, at: Column, char: Column) -> Column:
+        drawn = lambda a: _letter(a, _drawn(row["noise"], at + F.floor(at / 31).cast("int"), len(a)))
+        choices = [(char.rlike(test), drawn(a)) for test, a in alphabets]
+        picked = F.when(row["hexadecimal"], drawn(HEX)).when(row["plain"], drawn(SYMBOLS))
         return reduce(lambda c, choice: c.when(*choice), choices, picked).otherwise(char)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(value)), one), "")
+    def whole(row: Column) -> Column:
+        places = F.sequence(F.lit(1), F.char_length(row["value"]))
+        chars = F.transform(places, lambda at: F.struct(at.alias("at"), F.substring(row["value"], at, F.lit(1)).alias("char")))
+        return F.array_join(F.transform(chars, lambda c: one(row, c["at"], c["char"])), "")
+
+    hexadecimal, plain = value.rlike("^[0-9a-f]{16,}$"), ~value.rlike(r"[\p{L}\p{N}]")
+    return F.when(F.char_length(value) > 0, _bound(whole, value=value, noise=noise, hexadecimal=hexadecimal, plain=plain)).otherwise("")
 
 
 def _name(kind: str, script: str, noise: Column) -> Column:
@@ -148,26 +182,33 @@ def _digits(noise: Column, first: int, count: int) -> Column:
 def surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     """The replacement of a canonical entity in a draw; cards with a right checksum get one again."""
     noise = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, draw.cast("string"), value), 512)
+    issuer = F.when(kind == "access_key", F.regexp_extract(value, "^(AKIA|[sp]k-|gh[pousr]_|xox[abprs]-)", 1)).otherwise("")
+    top = F.when(kind == "email", F.substring_index(value, ".", -1)).otherwise("")
+    return _bound(_surrogate, kind=kind, value=value, draw=draw, noise=noise, issuer=issuer, top=top)
+
+
+def _surrogate(row: Column) -> Column:
+    kind, value, draw, noise, issuer, top = [row[c] for c in ("kind", "value", "draw", "noise", "issuer", "top")]
     above = lambda k: (_drawn(noise, F.lit(k), 8) + 2).cast("string")  # noqa: E731  (2 to 9)
     number = F.concat(F.left(value, F.lit(1)), _digits(noise, 0, 14))
     card = F.concat(number, ((10 - _luhn(number, 1)) % 10).cast("string"))
     octets = [(_drawn(noise, F.lit(0), 223) + 1), *[_drawn(noise, F.lit(k), 256) for k in (1, 2, 3)]]
-    top = F.substring_index(value, ".", -1)
-    email = F.concat(_like(F.left(value, F.char_length(value) - F.char_length(top)), noise), top)
-    issuer = F.regexp_extract(value, "^(AKIA|[sp]k-|gh[pousr]_|xox[abprs]-)", 1)
+    # What is drawn letter by letter; few letters give few values, so further draws add some before the at sign or behind.
+    size = F.char_length(value) - F.char_length(issuer) - F.char_length(top)
+    free = _like(F.substring(value, F.char_length(issuer) + 1, size), noise)
+    more = F.translate(F.left(F.sha2(F.concat(noise, F.lit("more")), 512), F.greatest(draw - 2, F.lit(0))), "0123456789", "ghijklmnop")
+    free = F.when(kind == "email", F.replace(free, F.lit("@"), F.concat(more, F.lit("@")))).otherwise(F.concat(free, more))
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     names = {
         k: F.when(cyrillic, _name(k, "cyrillic", noise)).otherwise(_name(k, "latin", noise)) for k in ("female", "male", "family")
     }
     return (
-        F.when(kind == "email", email)
+        F.when(kind.isin("email", "access_key", "secret"), F.concat(issuer, free, top))
         .when(kind == "phone", F.concat(above(0), _digits(noise, 1, 2), above(3), _digits(noise, 4, 6)))
         .when((kind == "card") & (_luhn(value) == 0), card)
         .when(kind == "card", F.concat(number, _digits(noise, 16, 1)))
         .when(kind == "address", F.concat_ws(".", *[o.cast("string") for o in octets]))
-        .when(kind == "access_key", F.concat(issuer, _like(F.substring(value, F.char_length(issuer) + 1, F.char_length(value)), noise)))
         .when(kind == "national_id", F.concat(above(0), _digits(noise, 1, 8)))
-        .when(kind == "secret", _like(value, noise))
         .when(kind == "female_name", names["female"])
         .when(kind == "male_name", names["male"])
         .otherwise(names["family"])
