@@ -107,3 +107,14 @@ def test_values_with_few_forms_get_distinct_replacements(spark):
     rows = [(k, f"secret: {chr(97 + k)}*****") for k in range(26)] + [(50 + k, f"to {k}@-.com now") for k in range(10)]
     got = {k: r["text"] for k, r in found(spark, rows).items()}
     assert len(set(got.values())) == 36 and not set(got.values()) & {t for _, t in rows}
+
+
+def test_more_names_than_two_syllables_give(spark):
+    # 4,096 Latin and 1,600 Cyrillic names have two syllables and an ending.
+    entities = spark.range(20_000).selectExpr("'family_name' as kind", "concat('zz', lower(hex(id))) as value").union(
+        spark.range(5_000).selectExpr("'family_name' as kind", "concat('ю', translate(id, '0123456789', 'абвгдежзик')) as value")
+    )
+    rows = surrogates.surrogate_table(entities, "k").collect()
+    assert len({r["replacement"] for r in rows}) == len(rows) == 25_000
+    assert not {r["replacement"] for r in rows} & {r["value"] for r in rows}
+    assert all(re.fullmatch("[а-я]+" if r["value"][0] == "ю" else "[a-z]+", r["replacement"]) for r in rows)

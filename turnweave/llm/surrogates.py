@@ -175,6 +175,13 @@ def _name(kind: str, script: str, noise: Column) -> Column:
     return F.concat(*parts, F.element_at(F.array(*map(F.lit, endings)), _drawn(noise, F.lit(2), len(endings)) + 1))
 
 
+def _longer(script: str, noise: Column, draw: Column) -> Column:
+    """Syllables before a name: one more in each draw from the third on, so names never run out."""
+    syllables = F.array(*map(F.lit, SYLLABLES[script]))
+    drawn = lambda k: F.element_at(syllables, _drawn(noise, k + 2, len(SYLLABLES[script])) + 1)
+    return F.when(draw > 1, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(draw - 1, F.lit(1))), drawn), "")).otherwise("")
+
+
 def _digits(noise: Column, first: int, count: int) -> Column:
     return F.concat(*[_drawn(noise, F.lit(first + k), 10).cast("string") for k in range(count)])
 
@@ -200,7 +207,9 @@ def _surrogate(row: Column) -> Column:
     free = F.when(kind == "email", F.replace(free, F.lit("@"), F.concat(more, F.lit("@")))).otherwise(F.concat(free, more))
     cyrillic = value.rlike(r"\p{IsCyrillic}")
     names = {
-        k: F.when(cyrillic, _name(k, "cyrillic", noise)).otherwise(_name(k, "latin", noise)) for k in ("female", "male", "family")
+        k: F.when(cyrillic, F.concat(_longer("cyrillic", noise, draw), _name(k, "cyrillic", noise)))
+        .otherwise(F.concat(_longer("latin", noise, draw), _name(k, "latin", noise)))
+        for k in ("female", "male", "family")
     }
     return (
         F.when(kind.isin("email", "access_key", "secret"), F.concat(issuer, free, top))
