@@ -118,3 +118,26 @@ def test_more_names_than_two_syllables_give(spark):
     assert len({r["replacement"] for r in rows}) == len(rows) == 25_000
     assert not {r["replacement"] for r in rows} & {r["value"] for r in rows}
     assert all(re.fullmatch("[а-я]+" if r["value"][0] == "ю" else "[a-z]+", r["replacement"]) for r in rows)
+
+
+def test_key_words_in_any_case_and_further_groupings(spark):
+    hidden = {
+        1: ('TOKEN = "{}"', "9233A8ECF7C5D01B9233A8ECF7C5D01B"), 2: ("Password: {} end", "Hunter22x"), 3: ("API_KEY={}", "q8w7e6r5"),
+        4: ("aws_secret_access_key={}", "wJalrXUtnFEMIK7MDENG"), 5: ('{{"dbPassword": "{}"}}', "tr0ub4dor"), 6: ("SECRET_KEY: {}", "abcdef123"),
+        7: ("call 212 {} now", "555 0123"), 8: ("call +44 20 {}.", "7946 0958"), 9: ("call 212-{}.", "555-0123"), 10: ("ring +33 1 {}", "23 45 67 89"),
+        11: ("card {} end", "3782 822463 10005"), 12: ("card {}", "378282246310005"), 13: ("card {}", "3056 930902 5904"),
+        14: ("password\n = {}", "zzxxyy11"), 15: ("met mr {} there", "Holgersson"), 16: ("DB_TOKEN_2={}", "XKCD-9361"),
+    }
+    clean = {50: "my secretary: Jonathan", 51: "tokenizer: sentencepiece", 52: "it took 5 ms Then", 53: "in 100 200 300 4000 rows"}
+    got = found(spark, [(k, t.format(v)) for k, (t, v) in hidden.items()] + list(clean.items()))
+    for k, (template, value) in hidden.items():
+        before, after = template.format("\0").split("\0")
+        text = got[k]["text"]
+        assert got[k]["n"] == 1 and value not in text, (k, text)
+        assert text.endswith(after) and (text.startswith(before) or k in (7, 8, 9, 10)), (k, text)
+        shape = lambda t: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", t))
+        assert k in (1, 15) or shape(text) == shape(template.format(value)), (k, text)
+    assert re.fullmatch('TOKEN = "[0-9A-F]{32}"', got[1]["text"])
+    for k in (11, 12, 13):
+        assert luhn(re.sub(r"\D", "", got[k]["text"])), got[k]["text"]
+    assert {k: got[k]["text"] for k in clean} == clean

@@ -22,8 +22,11 @@ MOST_DRAWS = 30
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 
+# Titles that are no other word when written small.
+SMALL = ("Mrs", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Mr", "Herr", "Monsieur", "Señor", "Господин")
+
 # Letters by script for replaced letters, and syllables and endings for drawn names.
-LOWER, UPPER, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+LOWER, UPPER, HEX, UPPER_HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF"
 LATIN, GREEK, CYRILLIC = "àáâãäåçèéêëìíîïñòóôõöùúûüý", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшэюя"
 # Code points from which the letters and digits of further scripts are drawn, (test, first, last, step).
 SCRIPTS = [
@@ -58,17 +61,19 @@ _CAPITAL = r"\p{Lu}\p{L}++"
 
 
 def _title(titles: tuple[str, ...]) -> str:
-    return rf"(?:{'|'.join(titles)})\.? "
+    words = [f"[{t[0]}{t[0].lower()}]{t[1:]}" if t in SMALL else t for t in titles]
+    return rf"(?:{'|'.join(words)})\.? "
 
 
-# (kind, pattern): a part of a text is what the first fitting pattern says; all begin where no letter or digit stands before.
-# Names and secrets include what introduces them. Fixed values.
+# (kind, pattern): a part of a text is what the first fitting pattern says; all but secrets begin where no letter or digit
+# stands before. Names and secrets include what introduces them; key words of secrets are read without case, also inside
+# longer names. Fixed values.
 PATTERNS = [
+    ("secret", rf"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:[_.-]?(?i:key|value|hash|string)(?![\p{{L}}\p{{N}}])|[_.-][\p{{L}}\p{{N}}_.-]{{0,40}}+|\d{{1,4}}+)?[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?!{_MASK}++(?:[\s\"'=:]|$))[^\s\"'=:]{{6,}}+"),
     ("email", r"[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,8}\p{L}{2,24}"),
-    ("secret", r"(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?" rf"(?!{_MASK}++(?:[\s\"'=:]|$))" r"[^\s\"'=:]{6,}+"),
     ("access_key", r"(?:AKIA[0-9A-Z]{16}|[sp]k-[A-Za-z0-9]{20,}+|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![\p{L}\p{N}])"),
-    ("card", r"(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\d-])"),
-    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"),
+    ("card", r"(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\d-])|(?<![.-])3[47]\d\d[ -]?\d{6}[ -]?\d{5}(?![\d-])|(?<![.-])3(?:0[0-5]|[68]\d)\d[ -]?\d{6}[ -]?\d{4}(?![\d-])"),
+    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?=(?:[ .-]?[()]?\d){8,15}+(?!\d))\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}+(?!\d)|(?<![.-])(?<!\d )\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d|[.-]\d)"),
     ("national_id", r"(?<![.-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("address", rf"(?<!\.)(?:{_BYTE}\.){{3}}{_BYTE}(?![\p{{L}}\d]|\.\d)"),
     ("female_name", rf"{_title(FEMALE)}{_CAPITAL}(?= \p{{Lu}}\p{{L}})"),
@@ -78,13 +83,16 @@ PATTERNS = [
 # A family name behind a given name begins where that match ended.
 _FAMILY = rf"(?<!^)\G(?<={_title(FEMALE + MALE)}\p{{Lu}}\p{{L}}{{1,30}}) {_CAPITAL}"
 KINDS = [kind for kind, _ in PATTERNS]
-PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'({p})' for _, p in PATTERNS)})|{_FAMILY}"
+PATTERN = rf"({PATTERNS[0][1]})|(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'({p})' for _, p in PATTERNS[1:])})|{_FAMILY}"
 
 
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with an entity passes: a digit, an at sign, a title or a key word."""
-    words = (*FEMALE, *MALE, "AKIA", "passw", "pwd", "secret", "token", "api", "sk-", "pk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words], text.rlike("[0-9@]"))
+    titles = [*FEMALE, *MALE, *[f"{t.lower()}{end}" for t in SMALL for end in (" ", ". ")]]
+    words = ("passw", "pwd", "secret", "token", "api")
+    issued = ("AKIA", "sk-", "pk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")
+    tests = [text.contains(w) for w in (*titles, *issued)] + [F.lower(text).contains(w) for w in words]
+    return reduce(lambda a, b: a | b, tests, text.rlike("[0-9@]"))
 
 
 def found_in(text: Column) -> Column:
@@ -97,7 +105,7 @@ def found_in(text: Column) -> Column:
         first = F.when(F.length(row[KINDS[0]]) > 0, KINDS[0])
         kind = reduce(lambda c, k: c.when(F.length(row[k]) > 0, k), KINDS[1:], first).otherwise("family_name")
         lead = (
-            F.when(kind == "secret", F.regexp_extract(row["whole"], r"^(.*[=:]\s{0,3}[\"']?)", 1))
+            F.when(kind == "secret", F.regexp_extract(row["whole"], r"(?s)^(.*[=:]\s{0,3}[\"']?)", 1))
             .when(kind.endswith("_name"), F.regexp_extract(row["whole"], "^(.* )", 1))
             .otherwise("")
         )
@@ -157,7 +165,7 @@ def _like(value: Column, noise: Column) -> Column:
     def one(row: Column, at: Column, char: Column) -> Column:
         drawn = lambda a: _letter(a, _drawn(row["noise"], at + F.floor(at / 31).cast("int"), len(a)))
         choices = [(char.rlike(test), drawn(a)) for test, a in alphabets]
-        picked = F.when(row["hexadecimal"], drawn(HEX)).when(row["plain"], drawn(SYMBOLS))
+        picked = F.when(row["hexadecimal"], drawn(HEX)).when(row["upper_hex"], drawn(UPPER_HEX)).when(row["plain"], drawn(SYMBOLS))
         return reduce(lambda c, choice: c.when(*choice), choices, picked).otherwise(char)
 
     def whole(row: Column) -> Column:
@@ -166,7 +174,8 @@ def _like(value: Column, noise: Column) -> Column:
         return F.array_join(F.transform(chars, lambda c: one(row, c["at"], c["char"])), "")
 
     hexadecimal, plain = value.rlike("^[0-9a-f]{16,}$"), ~value.rlike(r"[\p{L}\p{N}]")
-    return F.when(F.char_length(value) > 0, _bound(whole, value=value, noise=noise, hexadecimal=hexadecimal, plain=plain)).otherwise("")
+    row = {"hexadecimal": hexadecimal, "upper_hex": value.rlike("^[0-9A-F]{16,}$"), "plain": plain}
+    return F.when(F.char_length(value) > 0, _bound(whole, value=value, noise=noise, **row)).otherwise("")
 
 
 def _name(kind: str, script: str, noise: Column) -> Column:
@@ -197,7 +206,9 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
 def _surrogate(row: Column) -> Column:
     kind, value, draw, noise, issuer, top = [row[c] for c in ("kind", "value", "draw", "noise", "issuer", "top")]
     above = lambda k: (_drawn(noise, F.lit(k), 8) + 2).cast("string")  # noqa: E731  (2 to 9)
-    number = F.concat(F.left(value, F.lit(1)), _digits(noise, 0, 14))
+    # Cards of 14 and 15 digits keep the two digits that tell their kind.
+    issued = F.when(F.char_length(value) < 16, 2).otherwise(1)
+    number = F.left(F.concat(F.left(value, issued), _digits(noise, 0, 14)), F.char_length(value) - 1)
     card = F.concat(number, ((10 - _luhn(number, 1)) % 10).cast("string"))
     octets = [(_drawn(noise, F.lit(0), 223) + 1), *[_drawn(noise, F.lit(k), 256) for k in (1, 2, 3)]]
     # What is drawn letter by letter; few letters give few values, so further draws add some before the at sign or behind.
@@ -213,7 +224,7 @@ def _surrogate(row: Column) -> Column:
     }
     return (
         F.when(kind.isin("email", "access_key", "secret"), F.concat(issuer, free, top))
-        .when(kind == "phone", F.concat(above(0), _digits(noise, 1, 2), above(3), _digits(noise, 4, 6)))
+        .when(kind == "phone", F.left(F.concat(above(0), _digits(noise, 1, 2), above(3), _digits(noise, 4, 6)), F.char_length(value)))
         .when((kind == "card") & (_luhn(value) == 0), card)
         .when(kind == "card", F.concat(number, _digits(noise, 16, 1)))
         .when(kind == "address", F.concat_ws(".", *[o.cast("string") for o in octets]))
