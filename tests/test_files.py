@@ -149,6 +149,18 @@ def test_timeline_summary_and_source_info(spark):
     assert found == {1: (True, 5, 1), 2: (True, 1, 0), 3: (True, 0, 0), 4: (False, 0, 0), 5: (True, 1, 1)}
 
 
+def test_timeline_summary_of_a_recording_in_parts(spark):
+    turns = spark.createDataFrame(
+        [("m", n, f"s{n % 5}") for n in range(1, 7)] + [("n", 1, "A")], "media_id string, index int, speaker string"
+    )
+    sources = spark.sql("select id as media_id, struct(id as source_hash) as source, struct(id as s) as pipeline from values ('m'), ('n'), ('o') as t(id)")
+    lines = timeline.timeline_documents(turns, sources, per_part=2)
+    for columns, key in ((["media_id"], None), (["media_id", "part"], None), (["media_id", "part"], "media_id")):
+        rows = lines.select(*columns, F.to_json(F.struct("part", "parts", "turn_count", "turns")).alias("timeline_json"))
+        found = documents.timeline_summary(rows, key=key).select("media_id", "has_timeline", "turn_count", "speaker_count")
+        assert sorted(map(tuple, found.collect())) == [("m", True, 6, 5), ("n", True, 1, 1), ("o", True, 0, 0)]
+
+
 def test_written_documents_and_export(spark, tmp_path):
     turns = spark.createDataFrame(
         [("m", n, n * 1.0, f"t{n}") for n in range(1, 6)], "media_id string, index int, start double, text string"

@@ -147,23 +147,51 @@ def read_catalog(spark: SparkSession, path: str, existing: DataFrame | None = No
     return parse_catalog(lines, existing)
 
 
-def timeline_summary(documents: DataFrame, payload: str = "timeline_json") -> DataFrame:
+def timeline_summary(documents: DataFrame, payload: str = "timeline_json", key: str | None = None) -> DataFrame:
     """Turn and distinct speaker counts of timeline documents held as text; unreadable text counts zero.
 
-    ``turn_count`` is taken from the document when it is an integer, else from the number of turns.
+    ``turn_count`` is taken from the document when it is an integer, else from the number of turns. Documents that say they
+    are one of several ``parts`` become one row per recording: rows with equal ``key``, or without one with equal
+    other columns apart from ``part`` and ``parts``; what differs between them is taken from the first part.
     """
-    schema = "turn_count bigint, turns array<struct<speaker:string>>"
+    schema = "part int, parts int, turn_count bigint, turns array<struct<speaker:string>>"
     parsed = documents.withColumn("_d", F.from_json(F.col(payload), schema))
     turns = F.coalesce(F.col("_d.turns"), F.array().cast("array<struct<speaker:string>>"))
     speakers = F.array_distinct(
         F.filter(F.transform(turns, lambda t: non_blank(t.getField("speaker"))), lambda s: s.isNotNull())
     )
-    return parsed.select(
-        *[c for c in documents.columns if c != payload],
+    several = F.coalesce(F.col("_d.parts") > 1, F.lit(False))
+    others = [c for c in documents.columns if c != payload]
+    whole = parsed.filter(~several).select(
+        *others,
         F.col(payload).isNotNull().alias("has_timeline"),
         F.coalesce("_d.turn_count", F.size(turns).cast("bigint")).alias("turn_count"),
         F.size(speakers).cast("bigint").alias("speaker_count"),
     )
+    same = [key] if key is not None else [c for c in others if c not in ("part", "parts")]
+    if not same:
+        raise ValueError("Parts of a recording need a key or another column that tells recordings apart.")
+    # Speakers of a part meet those of the others as narrow rows; the turns themselves are not gathered.
+    pieces = parsed.filter(several).select(
+        *others,
+        F.col("_d.part").alias("_part"),
+        F.col("_d.turn_count").alias("_total"),
+        F.size(turns).cast("bigint").alias("_size"),
+        F.explode_outer(speakers).alias("_speaker"),
+    )
+    per_part = pieces.groupBy(*same, "_part").agg(
+        F.max("_total").alias("_total"), F.max("_size").alias("_size"), F.min(F.struct(*others)).alias("_row")
+    )
+    first = F.min_by("_row", "_part")
+    counts = per_part.groupBy(*same).agg(
+        F.coalesce(F.max("_total"), F.sum("_size")).alias("turn_count"), first.alias("_row")
+    )
+    named = pieces.groupBy(*same).agg(F.count_distinct("_speaker").alias("speaker_count"))
+    matched = [counts[c].eqNullSafe(named[c]) for c in same]
+    joined = counts.join(named, matched).select(
+        *[F.col("_row").getField(c).alias(c) for c in others], F.lit(True).alias("has_timeline"), "turn_count", "speaker_count"
+    )
+    return whole.unionByName(joined)
 
 
 def source_info(items: DataFrame, record: str, source: str, timeline_source: str) -> DataFrame:
