@@ -220,3 +220,13 @@ def test_k_means_fills_all_cells():
     centroids = spherical_k_means(points, 4)
     assert (np.bincount((points @ centroids.T).argmax(axis=1), minlength=4) > 0).sum() >= 3
     assert np.allclose(np.linalg.norm(centroids, axis=1), 1)
+
+
+def test_vectors_of_more_lengths_than_cells_are_compared(spark, monkeypatch):
+    from turnweave.llm import embedding_cells
+
+    monkeypatch.setattr(embedding_cells, "MOST_CELLS", 1)
+    rows = [(10 * n + k, "en", [1.0] * n + [k / 1000]) for n in (1, 2, 3) for k in (0, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    found = embedding_groups(table).collect()
+    assert sorted((r[0], r["component_id"]) for r in found) == [(10 * n + k, 10 * n) for n in (1, 2, 3) for k in (0, 1)]

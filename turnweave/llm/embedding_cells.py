@@ -179,7 +179,7 @@ def embedding_groups(
     # An id that several rows carry joins their vectors; other rows of equal vectors follow their representative.
     twice = members.groupBy("_row_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a > b")
     counted, links = [], members.join(twice.select("_row_id", "b"), "_row_id").select(F.col("rep").alias("a"), "b")
-    for width in [r[0] for r in same.select(F.size("unit").alias("w")).distinct().limit(MOST_CELLS + 1).collect()]:
+    for width in [r[0] for r in same.select(F.size("unit").alias("w")).distinct().collect()]:
         found = kept(_compared(same.filter(F.size("unit") == width), width, least), "products")
         counted.append(found.groupBy("rep").agg(F.sum("links").alias("far")))
         links = links.union(found.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
