@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from turnweave.llm import op_bpe, op_cells, op_chat, op_media, op_near, op_pack, op_pii, op_quality, op_substring, op_suffix
+from turnweave.llm import (
+    op_bpe,
+    op_cells,
+    op_chat,
+    op_divergence,
+    op_media,
+    op_near,
+    op_pack,
+    op_pii,
+    op_quality,
+    op_substring,
+    op_suffix,
+)
 
 QUERIES = {
     "op1_embedding_near_dedup": (op_cells.op1_embedding_near_dedup, op_cells.SQL),
@@ -15,4 +27,5 @@ QUERIES = {
     "op9_minhash_near_dedup": (op_near.op9_minhash_near_dedup, op_near.SQL),
     "op8_substring_dedup": (op_substring.op8_substring_dedup, op_substring.SQL),
     "op10_quality_classifier": (op_quality.op10_quality_classifier, None),
+    "op11_source_divergence": (op_divergence.op11_source_divergence, op_divergence.SQL),
 }
