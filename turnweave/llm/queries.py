@@ -14,6 +14,7 @@ from turnweave.llm import (
     op_quality,
     op_substring,
     op_suffix,
+    op_trie,
 )
 
 QUERIES = {
@@ -28,4 +29,5 @@ QUERIES = {
     "op8_substring_dedup": (op_substring.op8_substring_dedup, op_substring.SQL),
     "op10_quality_classifier": (op_quality.op10_quality_classifier, None),
     "op11_source_divergence": (op_divergence.op11_source_divergence, op_divergence.SQL),
+    "op12_conversation_trie": (op_trie.op12_conversation_trie, op_trie.SQL),
 }
