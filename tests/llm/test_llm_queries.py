@@ -22,7 +22,7 @@ def texts(spark):
 
 
 def test_every_number_is_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_byte_repeats(spark, texts):

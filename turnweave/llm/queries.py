@@ -8,6 +8,7 @@ from turnweave.llm import (
     op_chat,
     op_divergence,
     op_media,
+    op_mixture,
     op_near,
     op_pack,
     op_pii,
@@ -30,4 +31,5 @@ QUERIES = {
     "op10_quality_classifier": (op_quality.op10_quality_classifier, None),
     "op11_source_divergence": (op_divergence.op11_source_divergence, op_divergence.SQL),
     "op12_conversation_trie": (op_trie.op12_conversation_trie, op_trie.SQL),
+    "op13_source_mixture": (op_mixture.op13_source_mixture, None),
 }
