@@ -8,10 +8,10 @@ from turnweave.functions.times import absolute_at
 from turnweave.functions.vocabulary import TOOL_NAMES, silence_profile, silence_profile_ms
 from turnweave.operators.running import numbered
 
-# A document row holds at most this many turns; longer recordings continue in further parts.
-TURNS_PER_PART = 10_000
-# Turns per recording that are joined with its source together.
+# Turns of a recording that lie together: joined with its source, kept in one place of the turn table.
 STRETCH = 4_096
+# Turns rendered as one piece of a document's text.
+PIECE = 256
 
 # The steps listed in every audit document (name, description, persistent output).
 PROCESSING_FLOW = (
@@ -71,12 +71,62 @@ def timeline_turns(
     )
 
 
-def turn_parts(turns: DataFrame, key: str = "media_id", per_part: int = TURNS_PER_PART) -> DataFrame:
+def turn_table(turns: DataFrame, key: str = "media_id") -> DataFrame:
+    """Turns as rows, clustered by recording and stretch of the index, so a long recording spreads over many tasks and files.
+
+    This is how timelines are stored and joined, whatever the length of a recording; documents are made at export only.
+    """
+    rows = turns.withColumn("stretch", F.floor((F.col("index") - 1) / F.lit(STRETCH)))
+    return rows.repartitionByRange(key, "stretch").sortWithinPartitions(key, "index")
+
+
+def timeline_headers(turns: DataFrame, sources: DataFrame, key: str = "media_id") -> DataFrame:
+    """One row per row of ``sources``: everything of a timeline document but its turns."""
+    counts = turns.groupBy(key).agg(F.count(F.lit(1)).alias("turn_count"))
+    return sources.join(counts, key, "left").select(
+        key,
+        F.lit(1).alias("schema_version"),
+        F.lit("timeline").alias("artifact_type"),
+        "source",
+        "pipeline",
+        F.coalesce("turn_count", F.lit(0)).cast("bigint").alias("turn_count"),
+    )
+
+
+def document_pieces(headers: DataFrame, turns: DataFrame, infos: DataFrame, key: str = "media_id") -> DataFrame:
+    """Both documents of every item as text in pieces (item_id, document, piece, text) for ``item_folders``.
+
+    A timeline is its header up to the opened list of turns, ``PIECE`` turns per further piece, and the end of the list, so
+    no row holds a whole recording. ``infos`` are audit documents, one piece each. Null fields are written out.
+    """
+    item, options = F.col(key).cast("string").alias("item_id"), {"ignoreNullFields": "false"}
+
+    def body(rows: DataFrame) -> Column:
+        return F.to_json(F.struct(*[c for c in rows.columns if c not in (key, "stretch")]), options)
+
+    def piece(rows: DataFrame, document: str, place: Column, text: Column) -> DataFrame:
+        return rows.select(item, F.lit(document).alias("document"), place.cast("bigint").alias("piece"), text.alias("text"))
+
+    opened = F.concat(F.regexp_replace(body(headers), r"\}$", ""), F.lit(',"turns":['))
+    line = F.struct("index", body(turns).alias("line"))
+    place = F.floor((F.col("index") - 1) / F.lit(PIECE)) + 1
+    grouped = turns.select(key, place.alias("piece"), line.alias("line")).groupBy(key, "piece")
+    lines = grouped.agg(F.array_join(F.array_sort(F.collect_list("line")).getField("line"), ",").alias("lines"))
+    comma = F.when(F.col("piece") > 1, ",").otherwise("")
+    return (
+        piece(headers, "timeline", F.lit(0), opened)
+        .union(piece(lines, "timeline", F.col("piece"), F.concat(comma, "lines")))
+        .union(piece(headers, "timeline", F.lit(2**62), F.lit("]}")))
+        .union(piece(infos, "convert_info", F.lit(0), body(infos)))
+    )
+
+
+def turn_parts(turns: DataFrame, key: str = "media_id", per_part: int | None = None) -> DataFrame:
     """Turns as ordered arrays, one row per recording and part; ``turn_count`` covers all parts."""
     return part_counts(turns, key, per_part).join(_part_bodies(turns, key, per_part), [key, "part"])
 
 
-def part_counts(turns: DataFrame, key: str = "media_id", per_part: int = TURNS_PER_PART) -> DataFrame:
+def part_counts(turns: DataFrame, key: str = "media_id", per_part: int | None = None) -> DataFrame:
     """(key, part, turn_count, parts): narrow rows, so that totals of a recording need none of its text."""
     sizes = _with_part(turns, per_part).groupBy(key, "part").agg(F.count(F.lit(1)).alias("_size"))
     totals = sizes.groupBy(key).agg(
@@ -85,21 +135,24 @@ def part_counts(turns: DataFrame, key: str = "media_id", per_part: int = TURNS_P
     return sizes.drop("_size").join(totals, key)
 
 
-def _with_part(turns: DataFrame, per_part: int) -> DataFrame:
+def _with_part(turns: DataFrame, per_part: int | None) -> DataFrame:
+    if per_part is None:
+        return turns.withColumn("part", F.lit(0))
     return turns.withColumn("part", F.floor((F.col("index") - 1) / F.lit(per_part)).cast("int"))
 
 
-def _part_bodies(turns: DataFrame, key: str, per_part: int) -> DataFrame:
+def _part_bodies(turns: DataFrame, key: str, per_part: int | None) -> DataFrame:
     body = F.struct("index", *[c for c in turns.columns if c not in (key, "index")])
     return _with_part(turns, per_part).groupBy(key, "part").agg(F.array_sort(F.collect_list(body)).alias("turns"))
 
 
 def timeline_documents(
-    turns: DataFrame, sources: DataFrame, key: str = "media_id", per_part: int = TURNS_PER_PART
+    turns: DataFrame, sources: DataFrame, key: str = "media_id", per_part: int | None = None
 ) -> DataFrame:
     """Timeline documents for every row of ``sources``: ``source`` and ``pipeline`` structs plus the turns.
 
-    A recording without turns gets an empty array; one with more than ``per_part`` turns gets several parts.
+    For views that want nested arrays: a recording without turns gets an empty array, and only where the caller sets ``per_part``
+    a longer one has several parts. Stores and files use ``turn_table`` and ``document_pieces``, which hold no recording whole.
     """
     bodies = _part_bodies(turns, key, per_part)
     empty = F.array().cast(bodies.schema["turns"].dataType)

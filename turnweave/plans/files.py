@@ -8,10 +8,11 @@ from turnweave.operators import items, timeline
 from turnweave.operators.runs import run_performance
 from turnweave.plans import catalogs, runs, segments, views
 from turnweave.plans.views import with_views
-from turnweave.session import scratch_path
+from turnweave.session import scratch_path, stored
 from turnweave.sinks import documents as sinks
-from turnweave.sources.documents import scan_written
+from turnweave.sources.documents import read_items
 from turnweave.sources.files import content_hashes, discover_files, table
+from turnweave.sources.item_folders import read_pieces
 from turnweave.streaming.intake import start_intake
 from turnweave.streaming.stale import closed_sessions
 
@@ -63,9 +64,10 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _timeline_documents(spark: SparkSession, sf: str, judged: DataFrame) -> DataFrame:
-    turns = timeline.timeline_turns(judged, **segments.MS)
-    return timeline.timeline_documents(turns, _sources(spark, sf).select("media_id", "source", "pipeline"))
+def _timeline(spark: SparkSession, sf: str, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers and stored turns of all recordings."""
+    turns = stored(timeline.turn_table(timeline.timeline_turns(judged, **segments.MS)), "turns")
+    return timeline.timeline_headers(turns, _sources(spark, sf).select("media_id", "source", "pipeline")), turns
 
 
 def _conversion_documents(spark: SparkSession, sf: str, judged: DataFrame | None = None) -> DataFrame:
@@ -77,16 +79,43 @@ def _conversion_documents(spark: SparkSession, sf: str, judged: DataFrame | None
     )
 
 
-def written_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Write both documents of every recording, then scan the folders as a catalog."""
+def _written(spark: SparkSession, sf: str) -> str:
+    """A folder with both documents of every recording, by item."""
     folder = scratch_path(spark, "items")
     judged = segments.stored_validation(spark, sf)
-    sinks.write_documents(_timeline_documents(spark, sf, judged), f"{folder}/timeline")
-    sinks.write_documents(_conversion_documents(spark, sf, judged), f"{folder}/convert_info")
-    found = scan_written(spark, f"{folder}/timeline", f"{folder}/convert_info")
+    sinks.write_items(*_timeline(spark, sf, judged), _conversion_documents(spark, sf, judged), folder)
+    return folder
+
+
+def written_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Write both documents of every recording, then scan the folders as a catalog."""
+    found = read_items(spark, _written(spark, sf))
     return found.select("audio_id", "source_hash", "source_file_identity", "conversion_signature", "duration_seconds")
 
 
+def written_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of the written timeline files."""
+    documents = read_pieces(spark, _written(spark, sf)).filter("document = 'timeline'")
+    turn = "struct<index:bigint, start_ms:bigint, end_ms:bigint, speaker:string, transcription_segment_index:bigint, text:string>"
+    parsed = documents.select("item_id", F.from_json("text", f"turn_count bigint, turns array<{turn}>").alias("d"))
+    return parsed.select("item_id", "d.turn_count", F.inline("d.turns")).withColumnRenamed("transcription_segment_index", "seg_index")
+
+
+def stored_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turn table and headers, counted per recording from what was stored."""
+    headers, turns = _timeline(spark, sf, segments.stored_validation(spark, sf))
+    per_stretch = turns.groupBy("media_id", "stretch").agg(
+        F.count(F.lit(1)).alias("n"), F.min("index").alias("first"), F.max("index").alias("last"), F.sum(F.length("text")).alias("chars")
+    )
+    counted = per_stretch.groupBy("media_id").agg(
+        F.sum("n").alias("n_turns"), F.max("last").alias("last_index"), F.min("first").alias("first_index"), F.sum("chars").alias("chars")
+    )
+    return headers.join(counted, "media_id", "left").select(
+        "media_id", "turn_count", F.coalesce("n_turns", F.lit(0)).alias("n_turns"), "first_index", "last_index", "chars",
+        F.col("source.source_hash").alias("source_hash"),
+    )
+
+
 def conversion_counts(spark: SparkSession, sf: str) -> DataFrame:
     documents = _conversion_documents(spark, sf)
     return documents.select(
@@ -163,19 +192,16 @@ def exported(spark: SparkSession, sf: str) -> DataFrame:
     wanted = table(spark, sf, "conversations").select(F.concat(F.lit("item-"), F.col("conv_id").cast("string")).alias("id_key"))
     requested = wanted.distinct().withColumn("requested_id", F.col("id_key"))
     manifest, missing = items.export_items(stored, requested)
-    sinks.export_package(
-        manifest,
-        missing,
-        _timeline_documents(spark, sf, judged).withColumn("item_id", as_item),
-        _conversion_documents(spark, sf, judged).withColumn("item_id", as_item),
-        folder,
-    )
+    headers, turns = (df.withColumn("item_id", as_item).drop("media_id") for df in _timeline(spark, sf, judged))
+    infos = _conversion_documents(spark, sf, judged).withColumn("item_id", as_item).drop("media_id")
+    sinks.export_items(manifest, missing, timeline.document_pieces(headers, turns, infos, "item_id"), folder)
     # Turns are counted in the documents that were read back.
-    read = spark.read.schema("turns array<struct<text:string>>").json(f"{folder}/timeline/items")
-    timelines = read.groupBy("item_id").agg(F.coalesce(F.sum(F.size("turns")), F.lit(0)).alias("turn_count"))
-    infos = spark.read.schema("counts struct<transcript_segments:bigint>").json(f"{folder}/convert_info/items")
-    return timelines.join(infos, "item_id").select(
-        "item_id", "turn_count", F.col("counts.transcript_segments").alias("transcript_segments")
+    read = read_pieces(spark, f"{folder}/items").withColumn(
+        "d", F.from_json("text", "turns array<struct<text:string>>, counts struct<transcript_segments:bigint>")
+    )
+    return read.groupBy("item_id").agg(
+        F.max(F.when(F.col("document") == "timeline", F.size("d.turns"))).cast("bigint").alias("turn_count"),
+        F.max("d.counts.transcript_segments").alias("transcript_segments"),
     )
 
 
@@ -247,6 +273,23 @@ QUERIES = {
           'src::' || conv_id as source_file_identity, 'sig-cpu' as conversion_signature,
           cast(sum(100 + length(text) % 4000) as double) / 1000 as duration_seconds from conversations group by conv_id""",
     ),
+    "k1_written_turns": (
+        written_turns,
+        with_views(*segments.SEGMENT_VIEWS, query=f"""with {segments.VALIDATED}
+        select cast(media_id as varchar) as item_id, count(*) over (partition by media_id) as turn_count,
+          row_number() over (partition by media_id order by seg_index) as index, start_ms, end_ms, best_speaker as speaker,
+          seg_index, text from validated where state = 'validated'"""),
+    ),
+    "a10_k1_turn_table": (
+        stored_turns,
+        with_views(*segments.SEGMENT_VIEWS, query=f"""with {segments.VALIDATED}
+        select media_id, count(*) filter (state = 'validated') as turn_count, count(*) filter (state = 'validated') as n_turns,
+          case when count(*) filter (state = 'validated') > 0 then 1 end as first_index,
+          nullif(count(*) filter (state = 'validated'), 0) as last_index,
+          cast(sum(length(text)) filter (state = 'validated') as bigint) as chars,
+          sha256(cast(media_id as varchar)) as source_hash
+        from validated group by media_id"""),
+    ),
     "k2_conversion_documents": (
         conversion_counts,
         with_views(*segments.SEGMENT_VIEWS, query=f"""{_DOCUMENTED}

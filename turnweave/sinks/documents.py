@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from turnweave.operators.timeline import document_pieces
+from turnweave.sources.item_folders import write_pieces
+
 
 def _spread(documents: DataFrame, key: str) -> DataFrame:
     """Hash partitions of a fixed number, so that few bytes in many files are still written by many tasks."""
@@ -63,6 +66,36 @@ def write_work_list(plan: DataFrame, folder: str) -> None:
     plan.write.mode("overwrite").partitionBy("action").parquet(folder)
 
 
+def _require_items(manifest: DataFrame, missing: DataFrame, folder: str) -> None:
+    """Fails when an id is unknown, listing all of them below ``missing``, or when no chosen item has an artifact."""
+    missing.write.mode("overwrite").json(f"{folder}/missing")
+    count = missing.sparkSession.read.schema(missing.schema).json(f"{folder}/missing").count()
+    if count:
+        raise ValueError(f"Item not found: {count} requested ids, listed in {folder}/missing")
+    if manifest.limit(1).count() == 0:
+        raise ValueError("No completed item artifacts are available to download.")
+
+
+def write_items(headers: DataFrame, turns: DataFrame, infos: DataFrame, root: str, key: str = "media_id") -> int:
+    """Both documents of every item as ``<root>/<item>/timeline.json`` and ``convert_info.json``; the number of documents.
+
+    ``headers`` and ``infos`` have one row per item, ``turns`` the rows of ``turn_table``. An item that is written again is replaced.
+    """
+    return write_pieces(document_pieces(headers, turns, infos, key), root)
+
+
+def export_items(manifest: DataFrame, missing: DataFrame, pieces: DataFrame, folder: str, key: str = "item_id") -> int:
+    """Write the chosen items' two documents below ``items/<item>/`` under their own names, and a manifest.
+
+    ``pieces`` are document pieces of at least the chosen items. Fails as ``export_package`` does.
+    """
+    _require_items(manifest, missing, folder)
+    chosen = manifest.select(F.col(key).alias("item_id"))
+    written = write_pieces(pieces.join(chosen, "item_id", "left_semi"), f"{folder}/items")
+    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+    return written
+
+
 def export_package(
     manifest: DataFrame, missing: DataFrame, timelines: DataFrame, infos: DataFrame, folder: str, key: str = "item_id"
 ) -> None:
@@ -72,12 +105,7 @@ def export_package(
     Fails when an id is unknown, or when no chosen item has an artifact. All unknown ids are then listed below
     ``missing`` in the folder.
     """
-    missing.write.mode("overwrite").json(f"{folder}/missing")
-    count = missing.sparkSession.read.schema(missing.schema).json(f"{folder}/missing").count()
-    if count:
-        raise ValueError(f"Item not found: {count} requested ids, listed in {folder}/missing")
-    if manifest.limit(1).count() == 0:
-        raise ValueError("No completed item artifacts are available to download.")
+    _require_items(manifest, missing, folder)
     chosen = manifest.select(key)
     for documents, name in ((timelines, "timeline"), (infos, "convert_info")):
         (

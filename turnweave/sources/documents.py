@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnweave.functions.text import non_blank
+from turnweave.session import stored
+from turnweave.sources.item_folders import read_pieces
 
 SOURCE_SCHEMA = (
     "struct<file_name:string, display_name:string, original_path:string, source_kind:string, source_id:string, "
@@ -60,6 +62,23 @@ def scan_written(spark: SparkSession, timelines: str, infos: str) -> DataFrame:
     return assemble_items(_documents(spark, timelines, lines=True), _documents(spark, infos, lines=True))
 
 
+def read_items(spark: SparkSession, root: str) -> DataFrame:
+    """``scan_items`` over the ``item_folders`` data source, whose tasks take the item folders by turns."""
+    text = read_pieces(spark, root).withColumn("_d", F.from_json("text", DOCUMENT_SCHEMA))
+    rows = text.select(
+        "document",
+        "document_path",
+        F.regexp_extract("document_path", r"^(.*)/[^/]+$", 1).alias("item_dir"),
+        F.col("item_id").alias("audio_id"),
+        "modified_at",
+        "_d.generated_at",
+        "_d.source",
+        "_d.pipeline",
+    )
+    found = stored(rows, "item-documents")
+    return assemble_items(found.filter("document = 'timeline'"), found.filter("document = 'convert_info'"))
+
+
 def assemble_items(timelines: DataFrame, infos: DataFrame) -> DataFrame:
     """Join the two documents of each item.
 
