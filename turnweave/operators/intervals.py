@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnweave.functions.text import compact, non_blank
-from turnweave.operators.running import TIME_BIN_SECONDS, Running, numbered, position_bin, running, time_bin
+from turnweave.operators.running import TIME_BIN_SECONDS, Running, even_bins, numbered, running, time_bin
 
 JOIN_BIN_SECONDS = 60
 
@@ -35,23 +35,17 @@ def pair_intervals(
     then belongs to the n-th end that remains.
     """
     is_start = F.col(kind) == "S"
-    binned = marks.select(
-        key,
-        position,
-        F.col(at).alias("_at"),
-        is_start.alias("_start"),
-        position_bin(F.col(position)).alias("_bin"),
-    )
+    rows = marks.select(key, position, F.col(at).alias("_at"), is_start.alias("_start"))
     step = F.when(F.col("_start"), F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
-    balanced = running(
-        binned,
+    lows = running(
+        even_bins(rows, [key], position),
         [key],
         "_bin",
         [position],
         _balance=Running("sum", step, inclusive=True),
         _starts=Running("sum", F.col("_start").cast("bigint"), inclusive=True),
+        _low=Running("low", step),
     )
-    lows = running(balanced, [key], "_bin", [position], _low=Running("min", F.col("_balance")))
     low_before = F.least(F.coalesce(F.col("_low"), F.lit(0)), F.lit(0))
     low_now = F.least(low_before, F.col("_balance"))
     matched_ends = F.col("_starts") - F.col("_balance") + low_now
@@ -261,10 +255,8 @@ def quiet_intervals(
     ``at_least`` is in the unit of ``at``.
     """
     loud = (F.col(level) >= F.lit(below)).cast("bigint")
-    binned = levels.select(
-        key, position, F.col(at).alias("_at"), loud.alias("_loud"), position_bin(F.col(position)).alias("_bin")
-    )
-    grouped = running(binned, [key], "_bin", [position], _group=Running("sum", F.col("_loud")))
+    rows = levels.select(key, position, F.col(at).alias("_at"), loud.alias("_loud"))
+    grouped = running(even_bins(rows, [key], position), [key], "_bin", [position], _group=Running("sum", F.col("_loud")))
     spans = grouped.groupBy(key, "_group").agg(
         F.min(F.when(F.col("_loud") == 0, F.col("_at"))).alias("start"), F.max("_at").alias("end")
     )

@@ -10,7 +10,7 @@ from turnweave.functions.text import extension, media_id, normalize_extensions
 from turnweave.functions.vocabulary import MIN_DURATION_SECONDS, skip_warning
 from turnweave.operators.catalog import look_up
 from turnweave.operators.ordering import ranked
-from turnweave.operators.running import Running, position_bin, running
+from turnweave.operators.running import Running, even_bins, running
 
 
 def plan_refresh(
@@ -159,7 +159,7 @@ def running_duration(
     """Adds ``processed_duration``: durations of finished items up to and including each item of its run."""
     finished = F.lit(True) if done is None else done
     value = F.when(finished, F.col(duration)).otherwise(F.lit(0))
-    binned = items.withColumn("_bin", position_bin(F.col(position))).withColumn("_value", value)
+    binned = even_bins(items.withColumn("_value", value), [key], position)
     return running(
         binned, [key], "_bin", [position], processed_duration=Running("sum", F.col("_value"), inclusive=True)
     ).drop("_bin", "_value")

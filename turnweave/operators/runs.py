@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnweave.functions.numbers import overall_percent, round_to
 from turnweave.functions.text import lowered
 from turnweave.functions.vocabulary import job_state
-from turnweave.operators.running import Running, position_bin, running
+from turnweave.operators.running import Running, even_bins, running
 
 STALE_SECONDS = 30
 
@@ -181,9 +181,7 @@ def stage_durations(
     A stage lasts until the next event; the last one until the item's end (``ends`` with the key and ``ended_at``),
     or for no time when that is unknown.
     """
-    binned = events.select(
-        key, position, F.col(at).alias("_at"), F.col(stage).alias("_stage"), position_bin(F.col(position)).alias("_bin")
-    )
+    binned = even_bins(events.select(key, position, F.col(at).alias("_at"), F.col(stage).alias("_stage")), [key], position)
     stepped = running(binned, [key], "_bin", [position], _before=Running("last", F.struct("_at", "_stage")))
     inner = stepped.filter(F.col("_before").isNotNull()).select(
         key, F.col("_before._stage").alias(stage), (F.col("_at") - F.col("_before._at")).alias("_elapsed")
