@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnweave.llm.tables import kept
 
-MOST_ROUNDS = 60
-
 
 def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable from each linked id. Null ids and self links are left out."""
@@ -23,16 +21,29 @@ def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFra
         .distinct(),
         "links",
     )
-    seen = None
-    for _ in range(MOST_ROUNDS):
+    seen, now = None, _digest(edges)
+    # Links only ever move to smaller ids, so the rounds end by themselves.
+    while now != seen:
         edges = kept(_small_star(_large_star(edges)), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        seen = now
-    raise RuntimeError(f"Components did not settle in {MOST_ROUNDS} rounds.")
+        seen, now = now, _digest(edges)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+        edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    )
+
+
+def regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (id, component) after further links (a, b): only the groups' names are linked, which are few."""
+    names = [groups.select(F.col("id").alias(c), F.col("component").alias(f"group_{c}")) for c in "ab"]
+    met = links.join(names[0], "a", "left").join(names[1], "b", "left")
+    merged = components(met.select(F.coalesce("group_a", "a").alias("a"), F.coalesce("group_b", "b").alias("b")))
+    merged = kept(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "merged")
+    known = groups.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    alone = merged.withColumnRenamed("component", "id").join(groups.select("id"), "id", "left_anti")
+    return known.union(alone.select("id", F.col("to").alias("component")))
+
+
+def _digest(edges: DataFrame):
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

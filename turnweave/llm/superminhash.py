@@ -6,10 +6,12 @@ receive ranks that are correlated within an element, which lowers the variance a
 document stops as soon as all its slots hold a value below the current step. Here one step is done for all elements of
 many documents at once.
 
-Rows with equal shingle sets form one class, and only the smallest id of a class goes on. Classes that share a band
-are candidates. A band's members are first compared with one of them, never all with all: members found to belong
-together need no further comparison, and for the others bounds leave few comparisons over. Every link is confirmed on
-the full sets.
+Rows with equal shingle sets form one class, and only one row of a class goes on. Classes that share a band are candidates.
+A band's members are first compared with one of them, never all with all: members found to belong together need no
+further comparison. What is left are families of texts that differ from a common core in a few places, and the rest of them is
+found by what they lack: two members of a family are similar only if they lack or add the same shingles in enough
+places, so a join on these rare differences takes the place of a join on the common ones. Every link is confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnweave.llm.components import components
+from turnweave.llm.components import components, regrouped
 from turnweave.llm.hashing import Windows, mix, word_bounds, word_hashes
 from turnweave.llm.tables import kept, lists, slices
 
@@ -93,11 +95,7 @@ def _features(words: int):
         for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
             shingles, counts = shingle_sets(data, offsets, words)
             values = signatures(shingles, counts)
-            begin = np.concatenate([[0], np.cumsum(counts)])
-            with np.errstate(over="ignore"):
-                zero = np.zeros(1, np.uint64)
-                sums = [np.concatenate([zero, np.cumsum(mix(shingles, salt), dtype=np.uint64)]) for salt in (3, 4)]
-                keys = [(s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums]
+            keys = _set_keys(shingles, counts)
             bands = np.zeros((len(counts), BANDS), np.uint64)
             for k in range(width):
                 bands = mix(bands ^ values[:, k::width].astype(np.uint64), 5 + k)
@@ -115,45 +113,65 @@ def _features(words: int):
     return run, "_row_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
+def _set_keys(shingles: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two sums of mixed shingles per text: texts of equal sets have equal keys."""
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    with np.errstate(over="ignore"):
+        zero = np.zeros(1, np.uint64)
+        sums = [np.concatenate([zero, np.cumsum(mix(shingles, salt), dtype=np.uint64)]) for salt in (3, 4)]
+        return [(s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums]
+
+
 def _sets(words: int):
-    schema = pa.schema([("_row_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [("_row_id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("shingles", pa.list_(pa.int64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
             shingles, counts = shingle_sets(data, offsets, words)
+            keys = _set_keys(shingles, counts)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), lists(shingles.view(np.int64), counts, pa.int64())], schema=schema
+                [part.column(0), pa.array(keys[0]), pa.array(keys[1]), lists(shingles.view(np.int64), counts, pa.int64())],
+                schema=schema,
             )
 
-    return run, "_row_id long, shingles array<long>"
+    return run, "_row_id long, set_a long, set_b long, shingles array<long>"
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row: groups linked by 100 * intersection >= percent * union.
 
     Sets hold the distinct shingles of ``words`` words, ASCII letters in lower case. Null, empty and blank texts have
-    no shingles and link with nothing. Rows that repeat an id are one node of the graph; rows with a null id stand
-    alone (component null, kept). Other columns are ignored, whatever their names.
+    no shingles and link with nothing. Rows that repeat an id are one node of the graph, with the links of all their texts;
+    rows with a null id stand alone (component null, kept). Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_column).cast("bigint").alias("_row_id"), F.col(text_column).alias("_text"))
+    rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("_row_id"), F.col(f"`{text_column}`").alias("_text"))
     run, kind = _features(words)
     features = kept(rows.mapInArrow(run, kind), "signatures")
     some = features.filter("n_shingles > 0 and _row_id is not null")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = kept(some.groupBy(*key).agg(F.min("_row_id").alias("rep")), "classes")
+    # A class is known by a number of its own, as one id can carry texts of several classes.
+    classes = some.groupBy(*key).agg(F.min("_row_id").alias("least")).withColumn("rep", F.monotonically_increasing_id())
+    classes = kept(classes, "classes")
     members = kept(some.select("_row_id", *key).join(classes, key).select("_row_id", "rep").distinct(), "members")
-    reps = some.join(classes.withColumn("_row_id", F.col("rep")), ["_row_id", *key]).dropDuplicates(["rep"])
-    reps = kept(reps.select("rep", "n_shingles", "bands", "sketch"), "representatives")
-    # An id that several texts carry joins their classes.
+    reps = some.join(classes.withColumnRenamed("least", "_row_id"), ["_row_id", *key]).dropDuplicates(["rep"])
+    reps = kept(reps.select("rep", "_row_id", *key, "bands", "sketch"), "representatives")
     shared = members.groupBy("_row_id").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     same_id = members.join(shared, "_row_id").select(F.col("rep").alias("a"), "b")
-    groups = components(same_id.union(class_links(rows, reps, words, percent)))
-    named = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").groupBy("_row_id").agg(
-        F.min(F.coalesce("component", "rep")).alias("component")
-    )
+    linked, late = class_groups(rows, reps, words, percent)
+    groups = regrouped(linked, same_id if late is None else same_id.union(late))
+    # A component is named by the smallest id among its classes.
+    inside = kept(classes.select("rep", "least").join(groups.withColumnRenamed("id", "rep"), "rep"), "inside")
+    names = kept(inside.groupBy("component").agg(F.min("least").alias("name")), "names")
+    named = kept(inside.join(names, "component").select("rep", "name"), "named")
+    found = members.join(named, "rep").groupBy("_row_id").agg(F.min("name").alias("component"))
+    # Without a link, an id has texts of one class only, whose smallest id names it.
+    alone = members.join(named, "rep", "left_anti").join(classes.select("rep", "least"), "rep")
+    found = found.union(alone.select("_row_id", F.col("least").alias("component")))
     return (
         features.select("_row_id", "n_shingles")
-        .join(named, "_row_id", "left")
+        .join(found, "_row_id", "left")
         .select(
             F.col("_row_id").alias(id_column),
             "n_shingles",
@@ -163,41 +181,40 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def class_links(rows: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives that connect all classes any chain of links connects.
+def class_groups(rows: DataFrame, reps: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Groups (id, component) of classes, and confirmed links (a, b) that are still to join them.
 
-    First every band's members meet its smallest member. Bands that then hold several components go on with bounds: a
-    shingle that occurs in one component only (a dead one) is in no intersection that matters, which limits the similarity
-    of any pair. The member with the smallest dead share is met next, as it links with most of those that link at all. Last,
-    members outside a band's largest component meet all members that the bounds and sketches leave possible.
+    First every band's members meet its smallest member. Members of bands that then hold several components form
+    families, chained by their bands, and are compared by their differences from the family's core.
     """
     exploded = reps.select(F.explode("bands").alias("band"), F.col("rep"))
     ends = exploded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("high")).filter("pivot < high")
     shared = kept(ends, "shared-bands")
     buckets = kept(exploded.join(shared.select("band", "pivot"), "band"), "bands")
     facts = reps.select("rep", F.col("n_shingles").alias("n"), "sketch")
-    ids = buckets.select("rep").distinct()
-    wanted = rows.join(ids, rows["_row_id"] == ids["rep"], "left_semi").dropDuplicates(["_row_id"])
+    wanted = reps.select("rep", "_row_id", "set_a", "set_b").join(buckets.select("rep").distinct(), "rep")
+    texts = rows.join(wanted.select("_row_id").distinct(), "_row_id", "left_semi")
     run, kind = _sets(words)
-    sets = kept(wanted.mapInArrow(run, kind).withColumnRenamed("_row_id", "rep"), "sets")
+    sets = texts.mapInArrow(run, kind).join(wanted, ["_row_id", "set_a", "set_b"]).dropDuplicates(["rep"])
+    sets = kept(sets.select("rep", "shingles"), "sets")
 
     pairs = kept(_pairs(buckets.filter("rep <> pivot").select("rep", F.col("pivot").alias("other"))), "pairs")
     x, y = _side(facts, "x", "a"), _side(facts, "y", "b")
     likely = pairs.join(x, "a").join(y, "b").filter(_possible(percent)).select("a", "b")
     found = kept(_confirmed(likely, sets, percent), "confirmed")
+    groups = kept(components(found), "groups")
 
-    members = kept(_mixed(buckets.select("band", "rep"), found), "mixed-bands")
+    members = kept(_mixed(buckets.select("band", "rep"), groups), "mixed-bands")
     if members.limit(1).count() == 0:
-        return found
-    members = kept(_promising(members, facts, sets, percent, once=False), "promising")
-    central = members.groupBy("band").agg(F.min_by("rep", F.struct(F.col("dead") / F.col("n"), "rep")).alias("other"))
-    found = _met(members, members.join(central, "band").filter("rep = other").drop("other"), pairs, found, sets, percent, once=False)
-    members = _mixed(members.select("band", "rep"), found)
-    members = kept(_promising(kept(members, "open-bands"), facts, sets, percent, once=True), "promising")
-    sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
-    outside = members.join(kept(largest, "largest"), "band").filter("component <> largest").drop("largest")
-    return _met(members, outside, pairs, found, sets, percent, once=True)
+        return groups, None
+    family = kept(_families(members, facts), "families")
+    differing = kept(_differences(family, sets, percent), "differences")
+    sure = kept(_confirmed(_pairs(_surely(differing, percent)), sets, percent), "confirmed")
+    groups = kept(regrouped(groups, sure), "groups")
+    now = groups.select(F.col("id").alias("rep"), F.col("component").alias("now"))
+    differing = differing.join(now, "rep", "left").withColumn("component", F.coalesce("now", "rep")).drop("now")
+    likely = _pairs(_met(kept(differing, "open-members"), percent)).join(pairs, ["a", "b"], "left_anti")
+    return groups, kept(_confirmed(likely, sets, percent), "confirmed")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -223,62 +240,118 @@ def _possible(percent: int) -> F.Column:
     return (small * 100 >= large * percent) & (total <= MOST_SLOTS_APART)
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of the bands that hold two components or more, with their component."""
     named = (
-        members.join(components(found).withColumnRenamed("id", "rep"), "rep", "left")
+        members.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
         .select(*members.columns, "component")
     )
     ends = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return named.join(ends.filter("low < high").select("band"), "band")
+    return named.join(ends.filter("low < high").select("band", "low"), "band")
+
 
+def _families(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """(rep, component, family, n, sketch): components chained by common bands are one family."""
+    chained = components(members.select("component", "low").distinct(), "component", "low")
+    known = members.groupBy("rep").agg(F.min("component").alias("component"))
+    named = known.join(chained.select(F.col("id").alias("component"), F.col("component").alias("family")), "component")
+    return named.join(facts, "rep").select("rep", "component", "family", "n", "sketch")
 
-def _promising(members: DataFrame, facts: DataFrame, sets: DataFrame, percent: int, once: bool) -> DataFrame:
-    """Members with their facts and number of dead shingles, without those that can link with none of their band.
 
-    A shingle is dead if it occurs in one component only, as links to be found are those between components. ``once``
-    adds ``before``, the smaller bands of a member, so that a pair can be met in its smallest band alone.
+def _differences(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members with ``core`` (shingles that over half of the family holds), ``lacks`` (how many of them a member lacks) and
+    ``differs``: shingles in which it differs from the core, rarest difference first, without those of one component only.
+
+    For any two members, intersection = core - lacks of one - lacks of the other + differences in common, whatever the core.
+    """
+    inside = family.select("rep", "component", "family").join(sets, "rep").select("rep", "component", "family", F.explode("shingles").alias("shingle"))
+    inside = kept(inside, "family-shingles")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    counts = inside.groupBy("family", "shingle").agg(
+        F.count(F.lit(1)).alias("held"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    counts = kept(counts.join(sizes, "family").withColumn("is_core", F.col("held") * 2 > F.col("size")), "shingle-counts")
+    core = kept(counts.filter("is_core").select("family", "shingle", "size", "held"), "core")
+    added = counts.filter("not is_core and low < high").select("family", "shingle", F.col("held").alias("rarity"))
+    adds = inside.join(added, ["family", "shingle"]).select("rep", "shingle", "rarity")
+    # A member lacks the core's shingles that it does not hold: those of the family without its own.
+    lacking = kept(core.filter("held < size").select("family", "shingle", (F.col("size") - F.col("held")).alias("rarity")), "lacking")
+    listed = lacking.groupBy("family").agg(F.sort_array(F.collect_list("shingle")).alias("core_list"))
+    own = family.select("rep", "family").join(listed, "family").join(sets, "rep")
+    lost = own.select("rep", "family", F.explode(F.array_except("core_list", "shingles")).alias("shingle"))
+    lost = kept(lost.join(lacking, ["family", "shingle"]).select("rep", "shingle", "rarity"), "lost")
+    lacks = lost.groupBy("rep").agg(F.count(F.lit(1)).alias("lacks"))
+    order = F.array_sort(F.collect_list(F.struct("rarity", "shingle")))
+    differs = lost.filter("rarity > 1").union(adds).groupBy("rep").agg(order.alias("differs"))
+    cores = core.groupBy("family").agg(F.count(F.lit(1)).alias("core"))
+    joined = family.join(cores, "family", "left").join(lacks, "rep", "left").join(differs, "rep", "left")
+    listed = F.coalesce(F.col("differs.shingle"), F.array().cast("array<bigint>"))
+    rows = joined.fillna(0, ["core", "lacks"]).withColumn("differs", listed)
+    # The more a member lacks for its size, the more differences it must have in common with a partner.
+    return rows.withColumn("gap", F.col("lacks") * (100 + percent) + F.col("n") * percent)
+
+
+def _needed(percent: int, one: str, other: str) -> F.Column:
+    """How many differences two members must have in common to be similar, from their gaps and their core."""
+    return F.expr(f"({one} + {other} + {99 + percent}) div {100 + percent} - core")
+
+
+def _surely(members: DataFrame, percent: int) -> DataFrame:
+    """(rep, other): members similar to the member of the least gap of their family whatever they have in common with it.
+
+    Whoever is similar to any member in this way is so to that one, so these links connect all of them.
     """
-    known = members.groupBy("rep").agg(F.min("component").alias("component"), F.collect_set("band").alias("all_bands"))
-    known = kept(known, "open-members")
-    inside = sets.join(known, "rep").select("rep", "component", F.explode("shingles").alias("shingle"))
-    ends = inside.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    single = kept(ends.filter("low = high").select("shingle"), "dead-shingles")
-    dead = inside.join(single, "shingle").groupBy("rep").agg(F.count(F.lit(1)).alias("dead"))
-    named = members.join(facts, "rep").join(dead, "rep", "left").fillna(0, ["dead"])
-    if once:
-        named = named.join(known.select("rep", "all_bands"), "rep")
-        named = named.withColumn("before", F.filter("all_bands", lambda b: b < F.col("band"))).drop("all_bands")
-    least = kept(named.groupBy("band").agg(F.min("n").alias("least")), "least-sizes")
-    live = F.col("n") - F.col("dead")
-    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    hopeful = live * 100 >= (F.col("n") + partner - live) * percent
-    return named.join(least, "band").filter(hopeful).drop("least")
-
-
-def _met(
-    members: DataFrame, some: DataFrame, pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int, once: bool
-) -> DataFrame:
-    """``found`` and the confirmed links between ``some`` members and the members of other components in their bands.
-
-    ``once`` meets a pair in its smallest common band only, which is right where every band has one of the two among its ``some``.
+    centre = F.min_by(F.struct(F.col("rep").alias("other"), F.col("gap").alias("least"), F.col("component").alias("its")), F.struct("gap", "rep"))
+    centres = kept(members.groupBy("family").agg(centre.alias("centre")).select("family", "centre.*"), "centres")
+    met = members.join(centres, "family").filter("rep <> other and component <> its")
+    return met.filter(_needed(percent, "gap", "least") <= 0).select("rep", "other")
+
+
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """(rep, other): members outside their family's largest component, and members of other components that may be similar.
+
+    Two members that need ``s`` differences in common share one among the rarest of each, all but the last s - 1. Bits of their
+    differences limit how many they have in common, sizes and sketches limit their similarity.
     """
-    facts = ("component", "n", "dead", "sketch", *(["before"] if once else []))
-    x = members.select("band", "rep", *[F.col(c).alias(f"x_{c}") for c in facts])
-    y = some.select("band", F.col("rep").alias("other"), *[F.col(c).alias(f"y_{c}") for c in facts])
-    common = F.least(F.col("x_n") - F.col("x_dead"), F.col("y_n") - F.col("y_dead"))
-    bound = common * 100 >= (F.col("x_n") + F.col("y_n") - common) * percent
-    met = x.alias("x").join(
-        y.alias("y"),
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x_component") != F.col("y_component"))
-        & bound
+    mask = [
+        F.aggregate(
+            F.filter("differs", lambda e, k=k: F.pmod(e, F.lit(4)) == k),
+            F.lit(0).cast("bigint"),
+            lambda bits, e: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(e, 2), F.lit(64)).cast("int"))),
+        ).alias(f"mask{k}")
+        for k in range(4)
+    ]
+    rows = members.select("*", F.size("differs").alias("many"), *mask)
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("size"), F.min("gap").alias("gap"))
+    heads = sizes.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.min("gap").alias("least"))
+    heads = kept(heads, "largest")
+    outside = kept(rows.join(heads, "family").filter("component <> largest"), "outside")
+    nearest = kept(outside.groupBy("family").agg(F.min("gap").alias("least")), "nearest")
+
+    def listed(side: DataFrame, name: str) -> DataFrame:
+        """The rarest differences of each member that a partner of the least gap may share."""
+        most = F.col("many") - F.greatest(_needed(percent, "gap", "least"), F.lit(1)) + 1
+        first = side.filter(most > 0).withColumn("rare", F.slice("differs", F.lit(1), F.greatest(most, F.lit(0)).cast("int")))
+        columns = ["rep", "component", "n", "sketch", "many", "gap", *[f"mask{k}" for k in range(4)]]
+        return first.select(
+            "family", *(["core"] if name == "x" else []), *[F.col(c).alias(f"{name}_{c}") for c in columns],
+            F.posexplode("rare").alias(f"{name}_at", "shingle"),
+        )
+
+    x = listed(outside, "x")
+    y = listed(rows.join(nearest, "family"), "y")
+    need = _needed(percent, "x_gap", "y_gap")
+    shared = sum((F.bit_count(F.col(f"x_mask{k}").bitwiseAND(F.col(f"y_mask{k}"))) for k in range(4)), F.lit(0))
+    doubled = F.col("x_many") - sum((F.bit_count(f"x_mask{k}") for k in range(4)), F.lit(0))
+    met = x.join(y, ["family", "shingle"]).filter(
+        (F.col("x_component") != F.col("y_component"))
+        & (F.col("x_at") + need <= F.col("x_many"))
+        & (F.col("y_at") + need <= F.col("y_many"))
+        & (shared + doubled >= need)
         & _possible(percent)
-        & (~F.arrays_overlap("x_before", "y_before") if once else F.lit(True)),
     )
-    likely = _pairs(met).join(pairs, ["a", "b"], "left_anti")
-    return found.union(kept(_confirmed(likely, sets, percent), "confirmed"))
+    return met.select(F.col("x_rep").alias("rep"), F.col("y_rep").alias("other"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
