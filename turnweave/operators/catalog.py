@@ -77,10 +77,11 @@ def latest_by_key(catalog: DataFrame, position: str = "catalog_pos") -> DataFram
 def look_up(
     inventory: DataFrame, catalog: DataFrame, signature: str, position: str = "catalog_pos"
 ) -> DataFrame:
-    """Adds ``exact_*`` (same identity, hash and signature; the last catalog row) and ``reusable_*`` (same identity
-    and hash, any signature, artifact present; the first catalog row).
+    """Adds ``exact`` (same identity, hash and signature; the last catalog row) and ``reusable`` (same identity and
+    hash, any signature, artifact present; the first catalog row).
 
-    Both look-ups come from one aggregation of the catalog by (identity, hash) and one join.
+    A file without an identity is matched by its hash alone: any row with that hash and an artifact is reusable, and a row that
+    has no identity either is exact. Both look-ups come from one aggregation of the catalog by (identity, hash) and one join.
     """
     identity, digest = identity_key(F.col("source_file_identity")), lowered(F.col("source_hash"))
     row = F.struct("audio_id", "conversion_signature", "artifact_exists", *(
@@ -95,10 +96,16 @@ def look_up(
         .agg(
             F.max_by(row, F.when(stored == signature.strip().lower(), F.col(position))).alias("exact"),
             F.min_by(row, F.when(F.col("artifact_exists"), F.col(position))).alias("reusable"),
+            F.min(F.when(F.col("artifact_exists"), F.col(position))).alias("_first"),
         )
     )
+    # Rows without an identity look up by hash: their exact row comes from rows without one, the reusable one from all.
+    by_hash = found.groupBy("_hash").agg(
+        F.max(F.when(F.col("_identity") == "", F.col("exact"))).alias("exact"), F.min_by("reusable", "_first").alias("reusable")
+    )
+    either = found.filter("_identity <> ''").drop("_first").unionByName(by_hash.withColumn("_identity", F.lit("")))
     keyed = inventory.withColumn("_identity", identity).withColumn("_hash", digest)
-    return keyed.join(found, ["_identity", "_hash"], "left").drop("_identity", "_hash")
+    return keyed.join(either, ["_identity", "_hash"], "left").drop("_identity", "_hash")
 
 
 def file_status(

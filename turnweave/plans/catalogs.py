@@ -14,12 +14,12 @@ SIGNATURE = "sig-cpu"
 RESERVED = (".data",)
 
 
-def _inventory(spark: SparkSession, sf: str) -> DataFrame:
+def named_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return views.inventory(spark, sf).withColumnRenamed("relative_path", "path")
 
 
 def plan(spark: SparkSession, sf: str, **options) -> DataFrame:
-    return refresh.plan_refresh(_inventory(spark, sf), views.catalog(spark, sf), SIGNATURE, **options)
+    return refresh.plan_refresh(named_inventory(spark, sf), views.catalog(spark, sf), SIGNATURE, **options)
 
 
 _FOUND = """
@@ -52,8 +52,8 @@ limited as (
     partition by action order by size_bytes, lower(relative_path), source_file_identity) end as n from planned)"""
 
 
-def look_up(spark: SparkSession, sf: str) -> DataFrame:
-    found = catalog.look_up(views.inventory(spark, sf), views.catalog(spark, sf), SIGNATURE)
+def looked_up(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    found = catalog.look_up(views.inventory(spark, sf), rows, SIGNATURE)
     return found.select(
         "source_file_identity",
         F.col("exact.audio_id").alias("exact_id"),
@@ -63,6 +63,24 @@ def look_up(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def look_up(spark: SparkSession, sf: str) -> DataFrame:
+    return looked_up(spark, sf, views.catalog(spark, sf))
+
+
+def look_up_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Files without an identity, looked up by their hash alone."""
+    files = table(spark, sf, "documents").select(
+        F.col("doc_id"), F.lit(None).cast("string").alias("source_file_identity"), F.sha2("text", 256).alias("source_hash")
+    )
+    found = catalog.look_up(files, views.catalog(spark, sf), SIGNATURE)
+    return found.select(
+        "doc_id",
+        F.col("exact.audio_id").alias("exact_id"),
+        F.col("reusable.audio_id").alias("reusable_id"),
+        F.col("reusable.conversion_signature").alias("reusable_signature"),
+    )
+
+
 def plan_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return plan(spark, sf).select("source_file_identity", "action", "reason", "duplicate_of")
 
@@ -91,7 +109,7 @@ def latest(spark: SparkSession, sf: str) -> DataFrame:
 
 def file_status(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint")
-    inventory = _inventory(spark, sf)
+    inventory = named_inventory(spark, sf)
     stored = views.catalog(spark, sf).withColumn(
         "source_file_identity", F.lower("source_file_identity")
     ).withColumn("duration_seconds", (F.col("catalog_pos") % 1000) / F.lit(8.0))
@@ -120,7 +138,7 @@ def file_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def classify(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint")
-    inputs = _inventory(spark, sf).select(
+    inputs = named_inventory(spark, sf).select(
         "*", (doc % 17 != 0).alias("readable"), ((doc % 40) / F.lit(4.0)).alias("duration_seconds")
     )
     return refresh.classify_inputs(inputs, views.catalog(spark, sf), SIGNATURE)
@@ -263,7 +281,7 @@ def item_page_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked_files(spark: SparkSession, sf: str) -> DataFrame:
     order = [F.lower("path"), F.col("source_file_identity")]
-    return ordering.ranked(_inventory(spark, sf), order).select("source_file_identity", "rank")
+    return ordering.ranked(named_inventory(spark, sf), order).select("source_file_identity", "rank")
 
 
 def union_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,17 +353,17 @@ def file_page(spark: SparkSession, sf: str) -> DataFrame:
     modified = F.concat(
         F.lit("2026-0"), (1 + F.col("size_bytes") % 9).cast("string"), F.lit("-01T00:00:00+00:00")
     )
-    rows = _inventory(spark, sf).withColumn("modified_at", modified)
+    rows = named_inventory(spark, sf).withColumn("modified_at", modified)
     order = items.newest_first("modified_at", "source_file_identity")
     return ordering.page_rows(rows, order, page=2, page_size=100).select("source_file_identity", "modified_at")
 
 
 def chosen_roots(spark: SparkSession, sf: str) -> DataFrame:
-    return select_roots(_inventory(spark, sf), ["SRC3", "src11"]).select("source_id", "source_file_identity")
+    return select_roots(named_inventory(spark, sf), ["SRC3", "src11"]).select("source_id", "source_file_identity")
 
 
 def collected_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _inventory(spark, sf)
+    rows = named_inventory(spark, sf)
     doc = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint")
     single = rows.filter(doc % 3 == 0).select(
         F.lit("local_file").alias("source_kind"), F.upper("path").alias("path"), doc.alias("offer_pos")
@@ -360,7 +378,7 @@ def collected_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 def media_ids(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint")
-    inputs = _inventory(spark, sf).select(
+    inputs = named_inventory(spark, sf).select(
         "path",
         "source_hash",
         F.when(doc % 4 != 0, F.col("source_file_identity")).alias("source_file_identity"),
@@ -425,6 +443,14 @@ QUERIES = {
         _inv(f"""with {_FOUND} select source_file_identity, exact_id, exact_artifact, reusable_id, reusable_signature
         from planned"""),
     ),
+    "j2_hash_look_up": (
+        look_up_by_hash,
+        _inv("""with first as (
+          select source_hash, arg_min(audio_id, catalog_pos) as audio_id, arg_min(conversion_signature, catalog_pos) as signature
+          from catalog where artifact_exists group by 1)
+        select doc_id, cast(null as varchar) as exact_id, audio_id as reusable_id, signature as reusable_signature
+        from documents left join first on source_hash = sha256(text)"""),
+    ),
     "u2_latest_by_key": (
         latest,
         _inv("""select lower(source_file_identity) || '::' || source_hash || '::' || conversion_signature as catalog_key,

@@ -10,6 +10,7 @@ from turnweave.plans import catalogs, runs, segments, views
 from turnweave.plans.views import with_views
 from turnweave.session import scratch_path, stored
 from turnweave.sinks import documents as sinks
+from turnweave.sinks.catalog_log import append_log, compact_log, read_log
 from turnweave.sources.documents import read_items
 from turnweave.sources.files import content_hashes, discover_files, table
 from turnweave.sources.item_folders import read_pieces
@@ -225,6 +226,35 @@ def streamed_plan(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/plan").select("source_file_identity", "action", "reason", "duplicate_of")
 
 
+def _logged_catalog(spark: SparkSession, sf: str) -> str:
+    """The made catalog, appended to a log in three commits."""
+    folder = scratch_path(spark, "catalog-log")
+    rows = views.catalog(spark, sf).withColumn("artifact_path", F.concat(F.lit("/out/"), "audio_id", F.lit("/timeline.json")))
+    limits = rows.agg(F.expr("percentile_approx(catalog_pos, array(0.4, 0.7))")).first()[0] or [0, 0]
+    for low, high in ((None, limits[0]), (limits[0], limits[1]), (limits[1], None)):
+        part = rows if low is None else rows.filter(F.col("catalog_pos") > low)
+        part = part if high is None else part.filter(F.col("catalog_pos") <= high)
+        append_log(part, folder, ["catalog_pos"])
+    return folder
+
+
+def logged_look_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Look-ups in the catalog log after it was compacted."""
+    folder = _logged_catalog(spark, sf)
+    compact_log(spark, folder)
+    return catalogs.looked_up(spark, sf, read_log(spark, folder))
+
+
+def indexed_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The refresh plan from a stream of several batches, each of which reads its own buckets of the catalog's index."""
+    folder, log = scratch_path(spark, "indexed"), _logged_catalog(spark, sf)
+    inventory = catalogs.named_inventory(spark, sf)
+    inventory.repartition(4, "source_file_identity").write.parquet(f"{folder}/files")
+    stream = spark.readStream.schema(inventory.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/files")
+    start_intake(stream, log, catalogs.SIGNATURE, f"{folder}/plan", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/plan").select("source_file_identity", "action", "reason", "duplicate_of")
+
+
 def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Stretches of events per user that a two-hour silence closed."""
     folder = scratch_path(spark, "sessions")
@@ -329,6 +359,8 @@ QUERIES = {
         with_views(*segments.SEGMENT_VIEWS, query=f"""{_DOCUMENTED}
         select 'Item-' || media_id as item_id, accepted as turn_count, accepted as transcript_segments from m"""),
     ),
+    "k3_s5_catalog_log": (logged_look_up, catalogs.QUERIES["j1_j2_catalog_look_up"][1]),
+    "t1_indexed_plan": (indexed_plan, catalogs.QUERIES["k7_plan_refresh"][1]),
     "t1_streamed_plan": (streamed_plan, catalogs.QUERIES["k7_plan_refresh"][1]),
     "t2_streamed_sessions": (
         streamed_sessions,

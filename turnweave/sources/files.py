@@ -38,6 +38,14 @@ def paths_matching(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     return [pattern for pattern in patterns if matches(pattern)]
 
 
+def paths_of(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a glob pattern matches, in byte order."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(status.getPath().toString() for status in found or [])
+
+
 def discover_files(
     spark: SparkSession, roots: Sequence[dict], extensions: Sequence[str] | None = None
 ) -> tuple[DataFrame, list[str]]:

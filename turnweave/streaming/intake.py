@@ -11,11 +11,13 @@ from turnweave.functions.text import (
     extension,
     file_name,
     identity_key,
+    lowered,
     normalize_extensions,
     relative_to,
     source_identity,
 )
 from turnweave.operators.refresh import plan_refresh
+from turnweave.sinks.catalog_log import known_rows, merge_index
 from turnweave.sources.files import hash_files
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -39,7 +41,7 @@ def new_files(spark: SparkSession, source_id: str, folder: str, extensions: Sequ
 
 def start_intake(
     inventory: DataFrame,
-    read_catalog: Callable[[], DataFrame],
+    read_catalog: Callable[[], DataFrame] | str,
     signature: str,
     output: str,
     checkpoint: str,
@@ -49,19 +51,34 @@ def start_intake(
 ) -> StreamingQuery:
     """Plan every micro-batch against the catalog as it is then and write it below ``output``.
 
-    Only catalog rows of the batch's own identities are aggregated. A batch writes its own folder and overwrites it when
-    repeated, so a restart leaves no duplicates. ``trigger`` is given to the stream writer, by default
+    ``read_catalog`` is a function that reads the catalog, of which only rows of the batch's own identities (or hashes, for files
+    without one) are aggregated, or the root of a ``catalog_log``: then every batch first brings its index up to date and
+    reads only the buckets of its own files. A batch writes its own folder and overwrites it when repeated, so a restart
+    leaves no duplicates. ``trigger`` is given to the stream writer, by default
     ``{"availableNow": True}``.
     """
 
     def plan_batch(batch: DataFrame, batch_id: int) -> None:
         files = (hash_files(batch) if hash_content else batch).persist()
-        wanted = files.select(identity_key(F.col("source_file_identity")).alias("_wanted")).distinct()
-        rows = read_catalog()
-        known = rows.join(wanted, identity_key(rows["source_file_identity"]) == F.col("_wanted"), "left_semi")
+        if isinstance(read_catalog, str):
+            merge_index(files.sparkSession, read_catalog)
+            known = known_rows(files, read_catalog)
+        else:
+            known = rows_for(files, read_catalog())
         planned = plan_refresh(files, known, signature, **plan_options)
         planned.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
         files.unpersist()
 
     writer = inventory.writeStream.foreachBatch(plan_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def rows_for(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Catalog rows with the identity of a file, or with the hash of a file that has no identity."""
+    identity, digest = identity_key(F.col("source_file_identity")), lowered(F.col("source_hash"))
+    wanted = files.select(identity.alias("_identity"), digest.alias("_hash"))
+    keyed = catalog.withColumn("_identity", identity).withColumn("_hash", digest)
+    by_name = keyed.join(wanted.filter("_identity <> ''").select("_identity").distinct(), "_identity", "left_semi")
+    by_hash = keyed.join(wanted.filter("_identity = ''").select("_hash").distinct(), "_hash", "left_semi")
+    # A row that is found both ways counts once for each, which changes no look-up.
+    return by_name.unionByName(by_hash).drop("_identity", "_hash")
