@@ -71,6 +71,34 @@ def test_near_duplicates(spark, size):
     assert found[None]["component_id"] is None and found[None]["kept"]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_without_their_core(spark, seed):
+    """Texts that differ from a missing core in places of their own or in common: pairs lie closely around the limit."""
+    rng = random.Random(seed)
+    rows, base, other = [], words(5, 130, 10**6), words(6, 70, 10**6)
+    for k in range(220):
+        edited = list(base if k % 4 else other)
+        for at in rng.sample(range(len(edited)), rng.randrange(2, 6)):
+            edited[at] = f"e{at}" if rng.random() < 0.4 else f"z{k}{at}"
+        if k % 9 == 0:
+            edited = edited + words(k % 27, rng.randrange(5, 40), 10**6)
+        rows.append((k, " ".join(edited)))
+    found = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(docs(spark, rows), words=4).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert found == united(sets, links)
+
+
+def test_texts_of_one_id_are_all_compared(spark):
+    a, b = words(1, 200), words(2, 200)
+    near = lambda w: " ".join([*w[:100], "other", *w[101:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(words(3, 200))), (4, None)]
+    found = superminhash.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found) == [
+        (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)
+    ]
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_ids(spark):
     assert superminhash.near_duplicates(docs(spark, [])).collect() == []
     a, b = " ".join(words(1, 50)), " ".join(words(2, 50))
@@ -106,6 +134,15 @@ def test_features_do_not_depend_on_how_rows_are_batched(monkeypatch):
     assert copies[6] == copies[7]
 
 
+def test_texts_of_one_id_keep_their_own_words(spark):
+    a, b, c = (" ".join(words(k, 60)) for k in (1, 2, 3))
+    rows = [(1, a), (2, a + " x"), (2, b), (2, None), (3, c + " " + b), (3, a), (3, c)]
+    found = difference_cover.without_repeats(docs(spark, rows), window=20).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in found) == sorted(
+        [(1, 60, 0, a), (2, 61, 60, "x"), (2, 60, 0, b), (2, 0, 0, ""), (3, 120, 60, c), (3, 60, 60, ""), (3, 60, 0, c)]
+    )
+
+
 def test_covers_meet_every_pair_of_places():
     for period, cover in difference_cover.COVERS.items():
         for apart in range(period):

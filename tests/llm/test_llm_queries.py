@@ -2,12 +2,14 @@
 
 import hashlib
 import os
+import re
 import zlib
 
 import corpus_pipeline
 import pytest
 from helpers import docs
-from test_dedup import brute_bytes, shingles, united
+from pyspark.sql import functions as F
+from test_dedup import brute_bytes, brute_words, shingles, united
 
 from turnweave.llm.queries import QUERIES
 from turnweave.llm.tables import kept
@@ -70,6 +72,16 @@ def test_stages(spark, texts):
     assert set(out["minhash_near_dedup"]) == set(united(sets, links).values())
     after = out["substring_dedup"]
     assert set(after) == set(out["minhash_near_dedup"]) == set(out["pii"])
+    words = brute_words(sorted(out["minhash_near_dedup"].items()), 50)
+    for i, text in out["minhash_near_dedup"].items():
+        n_words, n_removed, kept_text = words[i]
+        assert after[i] == (kept_text if n_removed else text)
+    private = re.compile(r"[\w.]+@[\w-]+\.[\w.]+|\b\d{3}-\d{3}-\d{4}\b|AKIA[0-9A-Z]{16}|\b[0-9a-f]{32,}\b")
+    for i, text in after.items():
+        mentions = set(private.findall(text or ""))
+        assert not mentions & set(private.findall(out["pii"][i] or "")), i
+        if not mentions and not re.search(r"\d|@|[Tt]oken|[Pp]assw|secret|api|\b[MSFHГ]", text or ""):
+            assert out["pii"][i] == text
     assert {r["doc_id"] for r in out["best_fit_packing"]} == set(after)
 
 
@@ -83,3 +95,19 @@ def test_stages_bear_awkward_tables(spark, tmp_path):
         assert found.count() >= 3
         if name != corpus_pipeline.STAGES[-1][0]:
             assert found.columns == rows.columns
+
+
+def test_stages_bear_repeated_ids_and_odd_names(spark):
+    a, b, c = (" ".join(f"w{(k * 31 + seed) % 97}" for k in range(80)) for seed in (1, 40, 70))
+    rows = docs(spark, [(1, a), (2, a + " x"), (2, b), (3, c + " mail me@here.org"), (3, ""), (4, None), (5, "long " * 30000)])
+    rows = rows.select("*", F.lit("k").alias("a.b"), F.lit(1).alias("_row"), F.lit(2).alias("_copy"), F.lit(3).alias("b`c"))
+    stages = dict(corpus_pipeline.STAGES)
+    found = {n: kept(stages[n](spark, rows, FOLDER), "odd") for n in ("quality_classifier", "minhash_near_dedup", "substring_dedup", "pii")}
+    assert all(f.columns == rows.columns for f in found.values())
+    texts = {n: sorted((r["doc_id"], r["text"]) for r in f.filter("doc_id < 4").collect()) for n, f in found.items()}
+    assert texts["substring_dedup"] == sorted([(1, a), (2, "x"), (2, b), (3, c + " mail me@here.org"), (3, "")])
+    # The texts of an id stay or go together: 2 is a near copy of 1 by one of its texts.
+    assert [i for i, _ in texts["minhash_near_dedup"]] == [1, 3, 3]
+    assert [i for i, _ in texts["pii"]] == [1, 2, 2, 3, 3] and not any("me@here.org" in t for _, t in texts["pii"])
+    places = kept(stages["best_fit_packing"](spark, rows, FOLDER), "odd").collect()
+    assert {r["doc_id"] for r in places} == {1, 2, 3, 4, 5}

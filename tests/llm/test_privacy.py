@@ -78,7 +78,6 @@ def test_clashing_draws_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(surrogates, "_name", lambda kind, script, noise: F.concat(
         F.element_at(F.array(*map(F.lit, few["latin"])), surrogates._drawn(noise, F.lit(0), 10) + 1),
         F.element_at(F.array(*map(F.lit, few["latin"])), surrogates._drawn(noise, F.lit(1), 10) + 1)))
-    monkeypatch.setattr(surrogates, "MOST_DRAWS", 60)
     names = [r["text"].split()[1] for r in found(spark, rows).values()]
     assert len(set(names)) == 60
 
@@ -141,3 +140,28 @@ def test_key_words_in_any_case_and_further_groupings(spark):
     for k in (11, 12, 13):
         assert luhn(re.sub(r"\D", "", got[k]["text"])), got[k]["text"]
     assert {k: got[k]["text"] for k in clean} == clean
+
+
+def test_clashes_of_fixed_forms_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "DRAWS", 1)
+    monkeypatch.setattr(surrogates, "CHUNK", 7)
+    # 72 of the 100 forms of this card are values themselves, and most first draws clash.
+    values = [("card", f"42{k:02d}") for k in range(100) if not luhn(f"42{k:02d}")][:72]
+    values += [("phone", "2001234567"), ("national_id", "078051120"), ("address", "1.2.3.4"), ("secret", "a"), ("secret", "b")]
+    got = surrogates.surrogate_table(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    assert len(got) == len(values) == len({(r["kind"], r["replacement"]) for r in got})
+    cards = [r["replacement"] for r in got if r["kind"] == "card"]
+    assert all(re.fullmatch(r"42\d\d", c) for c in cards) and len(set(cards) - {v for _, v in values}) >= 28
+
+
+def test_numbered_forms_fit_their_kinds(spark):
+    given = [("phone", f"20012345{k:02d}") for k in range(30)] + [("national_id", f"0780511{k:02d}") for k in range(30)]
+    given += [("address", f"9.9.9.{k}") for k in range(30)] + [("card", "4111111111111111"), ("card", "378282246310005"), ("phone", "5550123")]
+    late = spark.createDataFrame(given, "kind string, value string")
+    settled = spark.createDataFrame([("phone", "2345678901")], "kind string, replacement string")
+    got = surrogates.numbered_forms(late, settled, late, "k").collect()
+    assert {(r["kind"], r["value"]) for r in got} == set(given) and len({(r["kind"], r["replacement"]) for r in got}) == len(given)
+    assert not {(r["kind"], r["replacement"]) for r in got} & set(given)
+    fits = {"phone": r"[2-9]\d\d[2-9]\d{3}(\d{3})?", "national_id": r"[2-9]\d{8}", "address": r"(\d{1,3}\.){3}\d{1,3}", "card": r"4\d{15}|37\d{13}"}
+    assert all(re.fullmatch(fits[r["kind"]], r["replacement"]) and (r["kind"] != "card" or luhn(r["replacement"])) for r in got)
+    assert all(max(map(int, r["replacement"].split("."))) < 256 for r in got if r["kind"] == "address")

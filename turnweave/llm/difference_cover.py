@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnweave.llm.hashing import Windows, word_bounds, word_hashes
 from turnweave.llm.tables import kept, slices
+from turnweave.operators.ordering import ranked
 
 # Perfect difference sets by period: each non-zero residue is one difference of two members.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 SLICE_BYTES = 1 << 18
-SEEN = "h long, doc long, place int"
-SEEN_ARROW = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int32())])
+# ``at`` is a word place, above it the number of the text where an id has several.
+SEEN = "h long, doc long, at long"
+SEEN_ARROW = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
 
 def period_for(window: int) -> int:
@@ -37,10 +39,10 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return Windows(word_hashes(data, starts, ends)), starts, ends, before
 
 
-def _emit(hashes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32))], schema=SEEN_ARROW
-    )
+def _emit(hashes: np.ndarray, part: pa.RecordBatch, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    doc, copy = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    at = (copy[row] << 32) + place
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc[row]), pa.array(at)], schema=SEEN_ARROW)
 
 
 def _anchors(window: int):
@@ -57,8 +59,7 @@ def _anchors(window: int):
             place = np.arange(len(row)) - before[:-1][row]
             # Documents of fewer words than a window cannot hold one.
             chosen = np.flatnonzero(covered[place % period] & (place + length <= count[row]) & (count[row] >= window))
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            yield _emit(windows(chosen, chosen + length, 21), ids[row[chosen]], place[chosen])
+            yield _emit(windows(chosen, chosen + length, 21), part, row[chosen], place[chosen])
 
     return run
 
@@ -78,8 +79,7 @@ def _candidates(window: int):
             near = np.cumsum(step)[:-1] > 0
             text_of = np.repeat(np.arange(len(before) - 1), np.diff(before))
             chosen = np.flatnonzero(near & (np.arange(total) + window <= before[1:][text_of]))
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            yield _emit(windows(chosen, chosen + window, 22), ids[text_of[chosen]], chosen - before[:-1][text_of[chosen]])
+            yield _emit(windows(chosen, chosen + window, 22), part, text_of[chosen], chosen - before[:-1][text_of[chosen]])
 
     return run
 
@@ -100,23 +100,35 @@ def _shared(seen: DataFrame) -> DataFrame:
     return seen.join(kept(shared.select("h", "low"), "shared"), "h")
 
 
-def repeated_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 50) -> DataFrame:
-    """(_row_id, starts): the word places at which a window starts that also starts in a document of a smaller id."""
-    rows = docs.select(F.col(id_column).cast("bigint").alias("_row_id"), F.col(text_column).alias("_text")).filter(
-        "_row_id is not null and length(_text) > 0"
-    )
+def numbered_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with _row_id, _copy and _text before its columns: _copy tells the texts of one id apart, 0 where it has one."""
+    rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("_row_id"), F.col(f"`{text_column}`").alias("_text"), F.struct("*").alias("_row"))
+    seen = rows.filter("_row_id is not null").select("_row_id", F.xxhash64("_text").alias("_digest"))
+    ends = seen.groupBy("_row_id").agg(F.min("_digest").alias("low"), F.max("_digest").alias("high"))
+    several = kept(ends.filter("low < high").select("_row_id"), "ids-of-several-texts")
+    texts = ranked(seen.join(several, "_row_id", "left_semi").distinct(), ["_row_id", "_digest"], "_copy")
+    named = rows.withColumn("_digest", F.xxhash64("_text")).join(texts, ["_row_id", "_digest"], "left")
+    return named.select("_row_id", F.coalesce("_copy", F.lit(0)).cast("bigint").alias("_copy"), "_text", "_row")
+
+
+def _listed(seen: DataFrame, name: str) -> DataFrame:
+    """Places per text, as a list."""
+    copy, place = F.shiftright("at", 32).alias("_copy"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return seen.groupBy(F.col("doc").alias("_row_id"), copy).agg(F.collect_list(place).alias(name))
+
+
+def repeated_windows(texts: DataFrame, window: int = 50) -> DataFrame:
+    """(_row_id, _copy, starts) of ``numbered_texts``: the word places at which a window starts that also starts in a text of a smaller id."""
+    rows = texts.select("_row_id", "_copy", "_text").filter("_row_id is not null and length(_text) > 0")
     seen = rows.mapInArrow(_anchors(window), SEEN)
-    places = kept(_shared(seen).groupBy("doc").agg(F.collect_list("place").alias("places")), "anchors")
-    whole = rows.join(places.withColumnRenamed("doc", "_row_id"), "_row_id")
-    wide = whole.mapInArrow(_candidates(window), SEEN)
-    later = _shared(wide).filter("doc > low").groupBy("doc").agg(F.collect_list("place").alias("starts"))
-    return kept(later.withColumnRenamed("doc", "_row_id"), "repeats")
+    places = kept(_listed(_shared(seen), "places"), "anchors")
+    wide = rows.join(places, ["_row_id", "_copy"]).mapInArrow(_candidates(window), SEEN)
+    return kept(_listed(_shared(wide).filter("doc > low"), "starts"), "repeats")
 
 
 def _strip(window: int):
-    schema = pa.schema(
-        [("_row_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]
-    )
+    names = ["_row_id", "_copy", "n_words", "n_removed", "text"]
+    schema = pa.schema([*[(name, pa.int64()) for name in names[:-1]], (names[-1], pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
@@ -133,6 +145,7 @@ def _strip(window: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array(count, pa.int64()),
                     pa.array(count - left, pa.int64()),
                     pa.StringArray.from_buffers(
@@ -142,7 +155,7 @@ def _strip(window: int):
                 schema=schema,
             )
 
-    return run, "_row_id long, n_words long, n_removed long, text string"
+    return run, "_row_id long, _copy long, n_words long, n_removed long, text string"
 
 
 def _joined(data, starts, ends, before, stay) -> tuple[np.ndarray, np.ndarray]:
@@ -169,17 +182,16 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     A window of ``window`` words is repeated when the same words also start in a document of a smaller id; windows are
     judged on the input. Words are runs of bytes other than the six ASCII blanks, compared as they are. Null and empty
-    texts have no words. Rows with a null id are neither compared nor changed. Ids are expected to be unique: rows that
-    repeat an id count as one document, and a place found in one of them is removed from all. Further columns are
-    ignored, whatever their names.
+    texts have no words. Rows with a null id are neither compared nor changed. Texts that share an id are documents of one
+    rank: none is compared with the others, each keeps its own words. Further columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_column).cast("bigint").alias("_row_id"), F.col(text_column).alias("_text"))
-    found = repeated_windows(docs, id_column, text_column, window)
-    joined = rows.join(found, "_row_id", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
-    return stripped(joined, window).withColumnRenamed("_row_id", id_column)
+    rows = numbered_texts(docs, id_column, text_column).select("_row_id", "_copy", "_text")
+    joined = rows.join(repeated_windows(rows, window), ["_row_id", "_copy"], "left")
+    joined = joined.withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+    return stripped(joined, window).select(F.col("_row_id").alias(id_column), "n_words", "n_removed", "text")
 
 
 def stripped(rows: DataFrame, window: int = 50) -> DataFrame:
-    """(_row_id, n_words, n_removed, text) for rows (_row_id, _text, starts) of ``repeated_windows``."""
+    """(_row_id, _copy, n_words, n_removed, text) for rows (_row_id, _copy, _text, starts) of ``repeated_windows``."""
     run, kind = _strip(window)
-    return rows.select("_row_id", "_text", "starts").mapInArrow(run, kind)
+    return rows.select("_row_id", "_copy", "_text", "starts").mapInArrow(run, kind)

@@ -32,7 +32,7 @@ BLOCK = 256  # words
 SHARD_SLOTS = 4_096
 MOST_TIMES = 3
 SOURCES_AT_ONCE = 1_024  # sources whose counts a shard draws in one step
-PLACES = 65_536
+PLACES = 8_192  # of a range that one task adds up
 SLICE_BYTES = 1 << 20
 
 

@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
-A text is the average of learned vectors of its words and of their character n-grams, all hashed into one table; a
-softmax layer turns the average into class probabilities (the model of Joulin et al., 2016). Training is stochastic
+A text is the average of learned vectors of its words, of pairs of neighbouring words and of the words' character n-grams, all
+hashed into one table; a softmax layer turns the average into class probabilities (the model of Joulin et al., 2016). Training is stochastic
 gradient descent in numpy, inside one task, on a bounded sample of labelled rows. Scoring reads whole texts: the
 output layer is linear, so the two classes' difference is folded into one number per table entry, and a text needs one
 look-up per word and n-gram.
@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from turnweave.llm.hashing import byte_windows, word_bounds
-from turnweave.llm.tables import kept, slices
+from turnweave.llm.hashing import byte_windows, mix, word_bounds
+from turnweave.llm.tables import kept, named, slices
 
 TRAIN_ROWS = 4_000  # labelled rows used for training, the smallest by a hash of their id
 ENTRIES = 1 << 15
@@ -26,6 +27,7 @@ GRAMS = (3, 4, 5)
 STEPS = 2_000  # updates, in as many rounds over the sample as they take
 BATCH = 16
 RATE = 0.5
+RESERVED = 2  # entries of a word that repeats the one before it, and of a pair of words that recurs
 RECALL = 16  # words within which a pair counts as recurring
 SLICE_BYTES = 1 << 17
 
@@ -40,7 +42,7 @@ def _separated(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, table entry) of all words, then of the n-grams of each size. N-grams may begin or end in a word's mark."""
+    """(text, table entry) of all words, of word pairs, then of the n-grams of each size, which may begin or end in a word's mark."""
     data, offsets = _separated(data, offsets)
     starts, ends, _ = word_bounds(data, offsets + 0)
     marks = np.ones(len(data), bool)
@@ -50,10 +52,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     marks[np.cumsum(step)[:-1] > 0] = False
     data = np.where(marks, np.uint8(0x20), data)
     hashes = byte_windows(data)
-    mask = np.uint64(ENTRIES - 1)
     text = np.searchsorted(offsets, starts, "right") - 1
     words = hashes(starts, ends, 50)
-    yield text, (words & mask).astype(np.int64)
+    yield text, _entries(words)
+    together = text[1:] == text[:-1]
+    with np.errstate(over="ignore"):
+        pairs = mix(words[1:] * np.uint64(3) + words[:-1])
+    yield text[1:][together], _entries(pairs[together])
     yield from _recurring(text, words)
     # Characters: bytes that do not continue one. A gram lies between two characters of which only the outer ones are marks.
     begin = np.flatnonzero((data & 0xC0) != 0x80)
@@ -66,12 +71,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         first = first[inner == 0]
         at = begin[first]
         text = np.minimum(np.searchsorted(offsets, at + 1, "right") - 1, len(offsets) - 2)
-        yield text, (hashes(at, stops[first + size], 50 + size) & mask).astype(np.int64)
+        yield text, _entries(hashes(at, stops[first + size], 50 + size))
+
+
+def _entries(hashes: np.ndarray) -> np.ndarray:
+    """Table entries of hashed words, word pairs and n-grams; the first ones are those of recurrence."""
+    return (hashes % np.uint64(ENTRIES - RESERVED)).astype(np.int64) + RESERVED
 
 
 def _recurring(text: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word n-grams by recurrence instead of identity, which unseen words share: a word that equals the one before it,
-    and a pair of words that came up shortly before."""
+    """Words and pairs by recurrence, which unseen words share: a word that equals the one before it, and a pair of words that
+    came up shortly before. They have entries of their own."""
     again = np.zeros(len(words), bool)
     again[1:] = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
     yield text[again], np.full(int(again.sum()), 0, np.int64)
@@ -181,8 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     )
     present = known.join(docs.select("_row_id"), "_row_id", "left_semi")
     sample = kept(present.orderBy(F.xxhash64("_row_id"), "_row_id").limit(rows), "labelled")
-    # At most ``rows`` ids, so both the broadcast and the one training task are bounded.
-    texts = docs.join(F.broadcast(sample), "_row_id").dropDuplicates(["_row_id"]).select("_row_id", "_text", "_label")
+    # At most ``rows`` ids, so both the broadcast and the one training task are bounded. Of several texts the one of the
+    # smallest digest stands for its id.
+    texts = docs.join(F.broadcast(sample), "_row_id").groupBy("_row_id")
+    texts = texts.agg(F.min_by("_text", F.coalesce(F.sha2("_text", 256), F.lit(""))).alias("_text"), F.min("_label").alias("_label"))
     run, kind = _fit()
     found = texts.repartition(1).mapInArrow(run, kind).collect()
     if not found:
@@ -213,7 +225,7 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text", carried: li
 
     Null and empty texts have no features and get the score of the bias alone.
     """
-    columns = [F.col(f"`{c}`") for c in (docs.columns if carried is None else carried)]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text_column}`").alias("_text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_score(model, "_text"), f"row {kind}, score double")
+    row = F.struct(*named(docs.columns if carried is None else carried)).alias("row")
+    rows = docs.select(row, *[c.alias("_text") for c in named([text_column])])
+    kind = StructType([rows.schema["row"], StructField("score", DoubleType())])
+    return rows.mapInArrow(_score(model, "_text"), kind)

@@ -14,9 +14,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from turnweave.llm.tables import kept
+from turnweave.llm.tables import kept, named
+from turnweave.operators.ordering import ranked
 
-MOST_DRAWS = 30
+# Draws after which the clashes of kinds with a fixed number of forms are numbered instead.
+DRAWS = 12
+FIXED = ("phone", "card", "national_id", "address")
+CHUNK = 65_536  # numbers that a row is split into at once
 
 # Titles by gender.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
@@ -267,16 +271,92 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     # Given names and family names are told apart by nothing in a text, so all names share one space.
     family = F.when(F.col("kind").endswith("_name"), "name").otherwise(F.col("kind")).alias("family")
     values = now.select(family, F.col("value").alias("replacement")).distinct().withColumn("taken", F.lit(True))
-    for _ in range(MOST_DRAWS):
-        drawn = now.withColumn("replacement", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key))
-        ranked = drawn.withColumn("family", family).withColumn("nth", F.row_number().over(same))
-        checked = ranked.join(values, ["family", "replacement"], "left")
+    drawn, settled = 0, None
+    # Names, mails, keys and secrets grow with the draw, so their clashes end by themselves.
+    while True:
+        found = now.withColumn("replacement", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key))
+        ranked_rows = found.withColumn("family", family).withColumn("nth", F.row_number().over(same))
+        checked = ranked_rows.join(values, ["family", "replacement"], "left")
         clash = (F.col("nth") > 1) | F.col("taken").isNotNull()
         checked = kept(checked.select("kind", "value", "draw", "replacement", clash.alias("clash")), "drawn")
+        drawn += 1
+        if drawn == DRAWS:
+            late = checked.filter(F.col("clash") & F.col("kind").isin(*FIXED))
+            settled = kept(numbered_forms(late.select("kind", "value"), checked.filter("not clash"), now, key), "numbered")
+            checked = checked.filter(~(F.col("clash") & F.col("kind").isin(*FIXED)))
         if checked.filter("clash").limit(1).count() == 0:
-            return checked.select("kind", "value", "replacement")
+            done = checked.select("kind", "value", "replacement")
+            return done if settled is None else done.union(settled)
         now = checked.select("kind", "value", (F.col("draw") + F.col("clash").cast("int")).alias("draw"))
-    raise RuntimeError(f"Replacements still clash after {MOST_DRAWS} draws.")
+
+
+def _form(kind: Column, value: Column) -> tuple[Column, Column, Column]:
+    """What a replacement of a fixed kind keeps of the value, the number of its free digits, and the number of its forms."""
+    size = F.char_length(value)
+    valid = (_luhn(value) == 0).cast("int")
+    issued = F.when(size < 16, 2).otherwise(1)
+    free = F.when(kind == "card", size - issued - valid).when(kind == "phone", size - 2).when(kind == "national_id", 8).otherwise(0)
+    fixed = F.when(kind == "card", F.concat(F.left(value, issued), valid.cast("string"))).otherwise("")
+    ten = F.rpad(F.lit("1"), free + 1, "0").cast("decimal(20,0)")
+    first = F.when(kind == "phone", 64).when(kind == "national_id", 8).when(kind == "address", 223 * 256**3).otherwise(1)
+    return fixed, free, (ten * first.cast("decimal(12,0)")).cast("decimal(32,0)")
+
+
+def _of_form(kind: Column, fixed: Column, free: Column, number: Column) -> Column:
+    """The form of a number below the number of forms."""
+
+    def part(by: int) -> Column:
+        return F.call_function("div", number, F.lit(by).cast("decimal(12,0)"))
+
+    def digit(over: int) -> Column:
+        return (part(over) % 8 + 2).cast("string")
+
+    rest = lambda by: F.when(free > 0, F.lpad(part(by).cast("string"), free, "0")).otherwise("")
+    issued = F.left(fixed, F.char_length(fixed) - 1)
+    card = F.concat(issued, rest(1))
+    octets = [(part(1) % 223 + 1).cast("string"), *[(part(223 * 256**k) % 256).cast("string") for k in range(3)]]
+    return (
+        F.when(kind == "phone", F.concat(digit(1), F.left(rest(64), F.lit(2)), digit(8), F.substring(rest(64), F.lit(3), free)))
+        .when(kind == "national_id", F.concat(digit(1), rest(8)))
+        .when(kind == "address", F.concat_ws(".", *octets))
+        .when(F.right(fixed, F.lit(1)) == "1", F.concat(card, ((10 - _luhn(card, 1)) % 10).cast("string")))
+        .otherwise(card)
+    )
+
+
+def numbered_forms(late: DataFrame, settled: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, replacement) for values of fixed kinds that clash in all draws, by numbers instead of draws.
+
+    A keyed permutation of all forms of a kind lists candidates, as many as forms can be taken and one for each value. Those
+    that are no replacement and no value of the corpus are dealt out in order; only where a corpus holds more than half of all
+    forms, forms that are another entity's value follow. As there are no more values than forms, each gets one of its own.
+    """
+    fixed, free, forms = _form(F.col("kind"), F.col("value"))
+    shaped = kept(late.select("kind", "value", fixed.alias("fixed"), free.alias("free"), forms.alias("forms")), "late")
+    shape = ["kind", "fixed", "free", "forms"]
+    known = entities.filter(F.col("kind").isin(*FIXED)).select("kind", F.col("value").alias("replacement"), F.lit(False).alias("used"))
+    known = known.union(settled.filter(F.col("kind").isin(*FIXED)).select("kind", "replacement", F.lit(True)))
+    known = kept(known.groupBy("kind", "replacement").agg(F.max("used").alias("used")), "known-forms")
+    held = known.groupBy("kind").agg(F.count(F.lit(1)).alias("held"))
+    wanted = shaped.groupBy(*shape).agg(F.count(F.lit(1)).alias("wanted")).join(held, "kind")
+    most = F.least(F.col("forms"), (F.col("wanted") + F.col("held")).cast("decimal(32,0)")).cast("bigint")
+    chunks = wanted.withColumn("most", most).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("most") - 1) / CHUNK))))
+    last = F.least(F.col("most"), (F.col("chunk") + 1) * CHUNK) - 1
+    listed = chunks.select(*shape, F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("i"))
+    # The factor is a prime that divides no number of forms, so the numbers of a shape are a permutation.
+    begin = F.conv(F.left(F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "fixed"), 256), F.lit(12)), 16, 10).cast("decimal(20,0)")
+    number = (F.col("i").cast("decimal(20,0)") * F.lit(2654435761).cast("decimal(12,0)") + begin) % F.col("forms")
+    forms_listed = listed.withColumn("number", number.cast("decimal(32,0)"))
+    forms_listed = forms_listed.withColumn("replacement", _of_form(F.col("kind"), F.col("fixed"), F.col("free"), F.col("number")))
+    open_forms = forms_listed.join(known, ["kind", "replacement"], "left").filter("used is null or not used")
+    order = [*shape[:3], F.col("used").isNotNull(), "i"]
+    places = ranked(open_forms.select(*shape[:3], "used", "i", "replacement"), order, "place")
+    askers = ranked(shaped.select(*shape[:3], "value"), [*shape[:3], "value"], "place")
+    both = []
+    for rows, name in ((places, "replacement"), (askers, "value")):
+        first = kept(rows.groupBy(*shape[:3]).agg(F.min("place").alias("first")), "first-places")
+        both.append(rows.join(first, shape[:3]).select(*shape[:3], (F.col("place") - F.col("first")).alias("nth"), name))
+    return both[0].join(both[1], [*shape[:3], "nth"]).select("kind", "value", "replacement")
 
 
 def replaced(docs: DataFrame, text_column: str = "text", key: str = "turnweave", count_column: str | None = None) -> DataFrame:
@@ -285,11 +365,11 @@ def replaced(docs: DataFrame, text_column: str = "text", key: str = "turnweave",
     Null and empty texts, and texts without entities, stay unchanged. ``count_column`` adds the number of replaced
     mentions. Rows that repeat are replaced alike. ``key`` decides the replacements; keep it secret.
     """
-    text = F.col(text_column)
+    (text,) = named([text_column])
     holds = F.coalesce(may_hold(text) & text.rlike(PATTERN), F.lit(False))
     count = [] if count_column is None else [F.lit(0).alias(count_column)]
-    clean = docs.filter(~holds).select(*docs.columns, *count)
-    row = F.struct(*docs.columns).alias("row")
+    clean = docs.filter(~holds).select(*named(docs.columns), *count)
+    row = F.struct(*named(docs.columns)).alias("row")
     held = kept(docs.filter(holds).select(row, text.alias("body"), F.sha2(text, 256).alias("place")), "held-texts")
     # Texts are told apart by their digest; copies of a text are looked at once.
     mentions = kept(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnweave.session import scratch_path
 
@@ -45,6 +45,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, which may hold dots and other signs."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and the offset of each text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
