@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnweave.llm import difference_cover, subwords, superminhash, surrogates
 from turnweave.llm.op_pack import packed_documents
 from turnweave.llm.op_quality import quality_model
-from turnweave.llm.tables import kept, table
+from turnweave.llm.tables import kept, named, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,28 +21,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates: five-word shingles, similarity 0.8. Null ids stay."""
+    """The smallest id of each group of near duplicates: five-word shingles, similarity 0.8. Null ids stay.
+
+    An id with several texts is linked by all of them, and keeps or loses all of them.
+    """
     groups = superminhash.near_duplicates(docs, words=5, percent=80)
     gone = kept(groups.filter("not kept").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word passages that start in a document of a smaller id; all others stay as they are.
 
-    A text that loses words has the rest joined by blanks, and one that loses all of them is empty.
+    A text that loses words has the rest joined by blanks, and one that loses all of them is empty. Texts of one id are
+    not compared with each other.
     """
-    starts = difference_cover.repeated_windows(docs)
-    ids = starts.select(F.col("_row_id").alias("doc_id"))
-    held = docs.select(F.col("doc_id").alias("_row_id"), F.col("text").alias("_text")).dropDuplicates(["_row_id"])
-    left = difference_cover.stripped(held.join(starts, "_row_id"))
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    changed = (
-        docs.select(*others)
-        .join(left.select(F.col("_row_id").alias("doc_id"), "text"), "doc_id")
-        .withColumn("n_chars", F.char_length("text").cast("bigint"))
+    texts = difference_cover.numbered_texts(docs)
+    starts = difference_cover.repeated_windows(texts)
+    held = texts.join(starts, ["_row_id", "_copy"]).dropDuplicates(["_row_id", "_copy"])
+    left = kept(difference_cover.stripped(held).select("_row_id", "_copy", "text"), "stripped")
+    found = texts.join(left.withColumn("_changed", F.lit(True)), ["_row_id", "_copy"], "left")
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
+    return found.select(
+        *[F.when(F.col("_changed"), new[c]).otherwise(F.col("_row")[c]).alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns]
     )
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(changed.select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
