@@ -14,11 +14,29 @@ SPACES = (
 # The same as a pattern; Java's \s alone is ASCII only. Measured faster than a class of ranges or a translation.
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
+ASCII_SPACE_RUN = r"[\s\x1c-\x1f]+"
+
 # Lower-case letters that full case folding changes, by Unicode's own tables: one to one, and one to several.
 _FOLDED = [(c, c.casefold()) for c in map(chr, range(0x110000)) if c == c.lower() != c.casefold()]
 FOLDED_ALIKE = [(c, folded) for c, folded in _FOLDED if len(folded) == 1]
 FOLDED_LONGER = [(c, folded) for c, folded in _FOLDED if len(folded) > 1]
 
+
+
+def _stretches(letters: list[str], gap: int = 48) -> str:
+    """A short character class that holds all letters, and others between them."""
+    found: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if found and code - found[-1][1] <= gap:
+            found[-1][1] = code
+        else:
+            found.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in found) + "]"
+
+
+# Texts without a letter of these stretches need no folding beyond lower case; the sharp s is common and handled by itself.
+SELDOM_FOLDED = _stretches([c for c, _ in _FOLDED if c != "ß"])
+
 # File extensions accepted when none are configured.
 DEFAULT_EXTENSIONS = (".mp3", ".wav", ".m4a", ".aac", ".flac")
 
@@ -48,17 +66,23 @@ def compact(text: Column) -> Column:
 
 def comparable(text: Column) -> Column:
     """Text without any whitespace, case folded, for equality tests."""
-    folded = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, ""))
-    folded = F.translate(folded, "".join(c for c, _ in FOLDED_ALIKE), "".join(f for _, f in FOLDED_ALIKE))
+    given = F.coalesce(text, F.lit(""))
 
-    def longer(value: Column) -> Column:
+    def fully(value: Column) -> Column:
+        value = F.translate(value, "".join(c for c, _ in FOLDED_ALIKE), "".join(f for _, f in FOLDED_ALIKE))
         for letter, replacement in FOLDED_LONGER:
             value = F.replace(value, F.lit(letter), F.lit(replacement))
         return value
 
-    # Few texts have such letters; the others skip the replacements.
-    some = "[" + "".join(c for c, _ in FOLDED_LONGER) + "]"
-    return bind(folded, lambda value: F.when(value.rlike(some), longer(value)).otherwise(value))
+    def folded(value: Column) -> Column:
+        plain = F.replace(value, F.lit("ß"), F.lit("ss"))
+        return F.when(value.rlike(SELDOM_FOLDED), bind(value, fully)).otherwise(plain)
+
+    # Most texts are ASCII, which one cheap test tells; few of the others hold a letter that lower case leaves unfolded.
+    ascii_only = F.octet_length(given) == F.char_length(given)
+    return F.when(ascii_only, F.lower(F.regexp_replace(given, ASCII_SPACE_RUN, ""))).otherwise(
+        bind(F.lower(F.regexp_replace(given, SPACE_RUN, "")), folded)
+    )
 
 
 def identity_key(identity: Column) -> Column:

@@ -17,6 +17,8 @@ ISO_PATTERN = (
     r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?)?"
     r"(Z|[+-]\d{2}(?::?\d{2})?)?$"
 )
+# The usual writing, which needs no parts: a date and a time to the second, in UTC or without an offset.
+PLAIN_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}Z?$"
 # Fixed value: how recorders put a time into a file name.
 FILE_NAME_PATTERN = r"\d{4}-\d{2}-\d{2}[ _]\d{2}-\d{2}-\d{2}|\d{8}-?\d{6}"
 
@@ -71,19 +73,33 @@ def _offset_interval(offset: Column) -> Column:
     )
 
 
+def _plain_first(text: Column, plain: Callable[[Column], Column], build: Callable[[Column], Column]) -> Column:
+    """``plain`` of a text in the usual writing, else ``build`` of the parts of an ISO text."""
+    given = strip(text)
+    return F.when(given.rlike(PLAIN_PATTERN), plain(given)).otherwise(_with_parts(given, build))
+
+
+def _plain_local(given: Column) -> Column:
+    return F.substring(given, 1, 19).try_cast("timestamp_ntz")
+
+
+def _plain_offset(given: Column) -> Column:
+    return F.when(F.char_length(given) == 20, "+00:00").otherwise("")
+
+
 def local_datetime(text: Column) -> Column:
     """The date-time part of an ISO text, without its offset; null when it is not ISO."""
-    return _with_parts(text, _local)
+    return _plain_first(text, _plain_local, _local)
 
 
 def utc_offset(text: Column) -> Column:
     """``+hh:mm``; empty when the text carries no offset."""
-    return _with_parts(text, _offset)
+    return _plain_first(text, _plain_offset, _offset)
 
 
 def utc_datetime(text: Column) -> Column:
     """ISO text as a UTC date-time; text without offset counts as UTC; junk becomes null."""
-    return _with_parts(text, lambda parts: _local(parts) - _offset_interval(_offset(parts)))
+    return _plain_first(text, _plain_local, lambda parts: _local(parts) - _offset_interval(_offset(parts)))
 
 
 def iso_text(moment: Column) -> Column:
@@ -101,7 +117,11 @@ def seconds_interval(seconds: Column) -> Column:
 def absolute_at(recorded_at: Column, offset_seconds: Column) -> Column:
     """ISO text of ``recorded_at`` plus an offset, in the zone of ``recorded_at``."""
     step = seconds_interval(F.coalesce(offset_seconds, F.lit(0.0)).cast("double"))
-    return _with_parts(recorded_at, lambda parts: F.concat(iso_text(_local(parts) + step), _offset(parts)))
+    return _plain_first(
+        recorded_at,
+        lambda given: F.concat(iso_text(_plain_local(given) + step), _plain_offset(given)),
+        lambda parts: F.concat(iso_text(_local(parts) + step), _offset(parts)),
+    )
 
 
 def iso_from_epoch(epoch_seconds: Column, offset: str = "+00:00") -> Column:
