@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from turnweave.operators import catalog, items, ordering, paths, refresh
+from turnweave.operators import catalog, items, listing, ordering, paths, refresh
 
 CATALOG = (
     "catalog_pos long, audio_id string, source_file_identity string, source_hash string, "
@@ -252,3 +252,40 @@ def test_removal_falls_back_to_the_run_folder(spark):
     assert planned["i1"].item_dir == "/out/run-1/media/m1" and planned["i1"].remove_folder
     assert planned["i2"].item_dir == "/out/.data/media/m2" and not planned["i2"].folder_safe
     assert planned["i3"].item_dir == "/out/x"
+
+
+def test_list_of_items(spark):
+    rows = spark.createDataFrame(
+        [(0, "a", "r1", "/runs/r1", "/out/a", None, 2.5, "c0", None), (1, "b", "r1", "/runs/r1", None, "/out/gone.json", 0.0, "c1", "u1"),
+         (2, "c", None, "/out/r2", None, None, None, "", None), (3, "d", None, None, "/else/d", "/else/d/t.json", 1.0, "c3", None)],
+        "catalog_pos long, audio_id string, run_id string, run_dir string, item_dir string, artifact_path string, "
+        "duration_seconds double, created_at string, updated_at string",
+    ).selectExpr("*", "concat('s::x/', audio_id, '.wav') as source_file_identity", "'h' as source_hash", "'sig' as conversion_signature",
+                 "'s' as source_id", "if(catalog_pos = 0, 'x/a.wav', null) as source_relative_path")
+    existing = spark.createDataFrame(
+        [("/out/a/timeline.json", "t1"), ("/out/a/convert_info.json", "t2"), ("/out/r2/media/c/timeline.json", "t3"), ("/else/d/t.json", "t4")],
+        "path string, modified_at string",
+    )
+    summaries = spark.createDataFrame([("/out/a/timeline.json", 7, 2)], "artifact_path string, turn_count long, speaker_count long")
+    info = spark.createDataFrame([("/out/r2/media/c", " Talk c ", None), ("/out/a", "", "/in/o.wav")], "media_dir string, display_name string, original_path string")
+    found = {r["media_id"]: r for r in listing.list_items(rows, existing, "/out", summaries, info).collect()}
+    shown = lambda i: tuple(found[i][c] for c in ("status", "artifact_path", "media_dir", "updated_at", "source_file_name", "turn_count", "duration_sec"))
+    assert shown("a") == ("available", "/out/a/timeline.json", "/out/a", "t2", "a.wav", 7, 2.5)
+    assert shown("b") == ("missing_artifact", "", "", "u1", "b", 0, None)
+    assert shown("c") == ("available", "/out/r2/media/c/timeline.json", "/out/r2/media/c", "t3", "Talk c", 0, None)
+    assert shown("d") == ("available", "/else/d/t.json", "", "t4", "d", 0, 1.0)
+    assert len(found["a"].asDict()) == 19
+
+
+def test_list_of_files(spark):
+    files = spark.createDataFrame(
+        [("/m/x/a b.wav", "S1", "x/a b.wav", 5, "2026", "completed", "m1", "r", None), ("/m/c.wav", "", "c.wav", 1, "2025", "unprocessed", "", "", 3.0)],
+        "path string, source_id string, relative_path string, size_bytes long, modified_at string, status string, media_id string, run_id string, duration_sec double",
+    ).withColumn("source_file_identity", F.concat("source_id", F.lit("::"), "relative_path"))
+    roots = spark.createDataFrame([("s1", "E:\\Rec\\")], "source_id string, root_path string")
+    summaries = spark.createDataFrame([("m1", 0, 0)], "media_id string, turn_count long, speaker_count long")
+    probes = spark.createDataFrame([("/m/x/a b.wav", 1.23456), ("/m/c.wav", 9.0)], "path string, probe_seconds double")
+    one, other = listing.list_files(files, roots, summaries, probes).orderBy(F.desc("modified_at")).collect()
+    assert (one.display_path, one.directory, one.file_name, one.duration_sec) == ("E:\\Rec\\x\\a b.wav", "x", "a b.wav", 1.235)
+    assert (one.has_timeline, one.run_id, one.has_audio) == (True, "r", False)
+    assert (other.source_display_name, other.display_path, other.directory, other.duration_sec, other.has_timeline) == ("Audio", "/m/c.wav", "", 3.0, False)

@@ -85,23 +85,23 @@ def test_run_folders(spark, tmp_path):
 def test_probe_facts(spark):
     payload = {
         "format": {
-            "duration": "120.5", "size": "1000", "bit_rate": "256000", "format_name": "mov,mp4,m4a",
-            "tags": {"creation_time": "2026-03-25T01:02:03Z", "date": "2026-03-24T23:59:59Z"},
+            "duration": "73.25", "size": "4096", "bit_rate": "192000", "format_name": "ogg,oga",
+            "tags": {"creation_time": "2025-11-08T17:40:12Z", "date": "2025-11-07T06:05:04Z"},
         },
         "streams": [
-            {"codec_type": "audio", "codec_name": "aac", "channels": 2, "sample_rate": "48000",
-             "tags": {"encoded_date": "2026-03-25T00:30:00Z"}}
+            {"codec_type": "audio", "codec_name": "vorbis", "channels": 6, "sample_rate": "22050",
+             "tags": {"encoded_date": "2025-11-08T09:15:00Z"}}
         ],
     }
     rows = spark.createDataFrame([("/a/B.M4A", json.dumps(payload)), ("/a/c", "{}"), ("/a/d", "nonsense")], "path string, probe_json string")
     facts = {r.path: r for r in probe.probe_facts(rows).collect()}
     full = facts["/a/B.M4A"]
     assert (full.container_name, full.audio_codec, full.audio_channels, full.audio_sample_rate, full.bitrate) == (
-        "mov", "aac", 2, 48000, 256000
+        "ogg", "vorbis", 6, 22050, 192000
     )
-    assert (full.duration_seconds, full.size_bytes_probed, full.extension) == (120.5, 1000, ".m4a")
-    assert full.captured_at == "2026-03-24T23:59:59Z"
-    assert full.metadata_timestamp_candidates == ["2026-03-24T23:59:59Z", "2026-03-25T00:30:00Z", "2026-03-25T01:02:03Z"]
+    assert (full.duration_seconds, full.size_bytes_probed, full.extension) == (73.25, 4096, ".m4a")
+    assert full.captured_at == "2025-11-07T06:05:04Z"
+    assert full.metadata_timestamp_candidates == ["2025-11-07T06:05:04Z", "2025-11-08T09:15:00Z", "2025-11-08T17:40:12Z"]
     assert not facts["/a/d"].readable and facts["/a/c"].captured_at is None
     assert facts["/a/c"].readable and facts["/a/c"].duration_seconds == 0
     stated = [("N/A", "5"), ("3.5", "N/A"), ("", "5"), (" 2 ", " 7 ")]
@@ -227,3 +227,36 @@ def test_sessions_close_after_the_gap(spark, tmp_path):
     query.awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out")).select("run_id", F.unix_seconds("interrupted_at"), "updates").collect()
     assert [tuple(r) for r in found] == [("r", 50, 2)]
+
+
+def test_run_folders_are_written_and_read_back(spark, tmp_path):
+    work = spark.createDataFrame(
+        [("run-a", f"ref-{n:04d}", f"/in/{n}.wav", f"{n}.wav", n, "s", f"{n}.wav", f"s::{n}.wav") for n in range(700, 0, -1)]
+        + [("run-b", "ref-0001", "/in/é.wav", "é.wav", None, "s", "é.wav", "s::é.wav")],
+        "run_id string, input_id string, path string, file_name string, size_bytes long, source_id string, relative_path string, source_file_identity string",
+    )
+    assert sinks.write_runs(work, str(tmp_path), "2026", {"compute_mode": "gpu", "reprocess_duplicates": False}) == 8
+    request = json.loads((tmp_path / "run-a" / "request.json").read_text())
+    assert [i["input_id"] for i in request["input_items"]] == [f"ref-{n:04d}" for n in range(1, 701)]
+    assert (request["compute_mode"], request["reprocess_duplicates"], request["input_items"][0]["uploaded_path"]) == ("gpu", False, None)
+    assert json.loads((tmp_path / "run-b" / "manifest.json").read_text())["items"] == []
+    assert json.loads((tmp_path / "run-b" / "result.json").read_text())["state"] == "pending"
+    runs = run_folders.read_runs(spark, [str(tmp_path)])
+    rows = {r.run_id: r for r in runs.collect()}
+    assert {i: (r.state, r.items_total, r.warnings, len(r["items"])) for i, r in rows.items()} == {"run-a": ("pending", 700, [], 0), "run-b": ("pending", 1, [], 0)}
+    listed = run_folders.input_items(runs).filter("run_id = 'run-b'").collect()
+    assert [(r.item_pos, r.original_path, r.size_bytes) for r in listed] == [(0, "/in/é.wav", 0)]
+
+
+def test_source_records_by_the_first_file(spark, tmp_path):
+    assert documents.read_source_info(spark, str(tmp_path)).collect() == []
+    write(tmp_path / "a" / "source" / "source-record.json", {"display_name": "record"})
+    write(tmp_path / "a" / "source.json", {"display_name": "source"})
+    write(tmp_path / "b" / "source.json", "{broken")
+    write(tmp_path / "b" / "timeline.json", {"source": {"display_name": "timeline"}})
+    write(tmp_path / "c" / "timeline.json", {"source": {"display_name": "timeline", "original_path": "/in/c"}, "turns": [{}]})
+    write(tmp_path / "d" / "timeline.json", {"source": "text"})
+    write(tmp_path / ".e" / "source.json", {"display_name": "hidden"})
+    rows = documents.read_source_info(spark, str(tmp_path)).collect()
+    found = {r.media_dir.rsplit("/", 1)[1]: (r.display_name, r.original_path) for r in rows}
+    assert found == {"a": ("record", None), "b": (None, None), "c": ("timeline", "/in/c"), "d": (None, None)}

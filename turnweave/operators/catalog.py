@@ -120,8 +120,8 @@ def file_status(
 
     Identities are compared as they are. ``inventory.source_hash`` may be null; the signature alone decides then.
     ``manifest`` has ``source_file_identity``, ``run_state``, ``status``, ``run_name``, ``item_pos``; the oldest run
-    and in it the last item wins. A file that its run decides also has the run's media id and ``duration_seconds``, where
-    the manifest has that column.
+    and in it the last item wins. ``run_id`` is that of the row that decides, empty where it is unknown. A file that its run
+    decides also has the run's media id and ``duration_seconds``, where the manifest has that column.
     """
     files = inventory.withColumn("_identity", strip(F.col("source_file_identity")))
     rows = (
@@ -134,9 +134,10 @@ def file_status(
             F.col("first_pos").alias("_pos"),
             F.col("audio_id").alias("_audio_id"),
             *([F.col("duration_seconds").alias("_duration")] if "duration_seconds" in catalog.columns else []),
+            *([F.col("run_id").alias("_run_id")] if "run_id" in catalog.columns else []),
         )
     )
-    extras = [c for c in ("_duration",) if c in rows.columns]
+    extras = [c for c in ("_duration", "_run_id") if c in rows.columns]
     entry = F.struct("_pos", "_audio_id", *extras)
     # First row per (file, content) and per file, each with and without the signature: every later join finds at most
     # one row, however many catalog rows a file has.
@@ -163,7 +164,8 @@ def file_status(
         .drop("_hash", "_signed_same", "_same", "_signed_any", "_any")
     )
     media, timed = F.col("_best._audio_id"), manifest is not None and "duration_seconds" in manifest.columns
-    duration = F.col("_best._duration") if extras else F.lit(None).cast("double")
+    duration = F.col("_best._duration") if "_duration" in extras else F.lit(None).cast("double")
+    run = F.col("_best._run_id") if "_run_id" in extras else F.lit(None).cast("string")
     if manifest is not None:
         active = F.lower("run_state").isin("pending", "running", "failed")
         runs = (
@@ -199,10 +201,11 @@ def file_status(
             )
         )
         media = F.when(F.col("_by_run"), F.col("_run.audio_id")).otherwise(media)
+        run = F.when(F.col("_by_run"), F.col("_run.run_id").cast("string")).otherwise(run)
         if timed:
             duration = F.when(F.col("_by_run"), F.col("_run.duration")).otherwise(duration)
-    kept = joined.withColumn("media_id", F.coalesce(media, F.lit("")))
-    if extras or timed:
+    kept = joined.withColumn("media_id", F.coalesce(media, F.lit(""))).withColumn("run_id", F.coalesce(run, F.lit("")))
+    if "_duration" in extras or timed:
         kept = kept.withColumn("duration_sec", round_to(F.nullif(duration, F.lit(0.0)), 3))
     return kept.drop("_identity", "_best", "_run", "_by_run")
 

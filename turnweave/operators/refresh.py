@@ -70,6 +70,25 @@ def refresh_summary(plan: DataFrame) -> DataFrame:
     )
 
 
+def refresh_report(
+    plan: DataFrame, discovered: DataFrame, missing_roots: Sequence[str], signature: str, limit: int | None = None
+) -> DataFrame:
+    """``refresh_summary`` with what was found before roots were chosen: all discovered files, the roots that do not exist, the
+    limit and the signature that was asked for."""
+    missing = F.array(*[F.lit(root) for root in missing_roots]).cast("array<string>")
+    counts = ("selected_count", "queued_count", "skipped_count", "deferred_count")
+    found = discovered.agg(F.count(F.lit(1)).alias("total_discovered"))
+    both = found.unionByName(refresh_summary(plan), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("total_discovered", *counts)]).select(
+        "total_discovered",
+        missing.alias("missing_sources"),
+        *counts,
+        F.lit(limit).cast("bigint").alias("queued_limit"),
+        F.lit(signature).alias("generation_signature"),
+        F.lit("timeline").alias("artifact"),
+    )
+
+
 def work_list(plan: DataFrame, path: str = "path", prefix: str = "ref", limited: bool = False) -> DataFrame:
     """Queued files with running ids ``ref-0001``, ``ref-0002``, ... in path order, or smallest first as a limited plan
     chose them."""

@@ -43,10 +43,10 @@ def even_bins(df: DataFrame, keys: Sequence[str], position: str, name: str = "_b
     Only keys of more rows have a width, so the table that is joined has fewer rows than there are bins.
     """
     most = size or POSITION_BIN
-    ends = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_low"), F.max(position).alias("_high"))
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / most))
-    wide = ends.filter(F.col("_n") > most).select(*keys, "_low", width.alias("_width"))
-    nth = F.floor((F.col(position) - F.col("_low")) / F.col("_width"))
+    ends = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_bin_low"), F.max(position).alias("_high"))
+    width = F.ceil((F.col("_high") - F.col("_bin_low") + 1) / F.ceil(F.col("_n") / most))
+    wide = ends.filter(F.col("_n") > most).select(*keys, "_bin_low", width.alias("_bin_width"))
+    nth = F.floor((F.col(position) - F.col("_bin_low")) / F.col("_bin_width"))
     return df.join(wide, list(keys), "left").select(*df.columns, F.coalesce(nth, F.lit(0)).cast("bigint").alias(name))
 
 

@@ -227,14 +227,13 @@ def with_progress(status: DataFrame) -> DataFrame:
     )
 
 
-def job_view(runs: DataFrame) -> DataFrame:
-    """What a caller sees of a run: state vocabulary, clamped percentage, counts and error text."""
+def _view(runs: DataFrame) -> list[Column]:
     state = job_state(F.col("state"))
     percent = F.coalesce(
         F.nullif(F.col("progress_percent"), F.lit(0.0)),
         F.when(state.isin(*DONE_STATES), F.lit(100.0)).otherwise(F.lit(0.0)),
     )
-    return runs.select(
+    return [
         F.col("run_id").alias("job_id"),
         state.alias("state"),
         F.coalesce("current_stage", F.lit("")).alias("stage"),
@@ -243,6 +242,29 @@ def job_view(runs: DataFrame) -> DataFrame:
         (_zero("items_done") + _zero("items_skipped") + _zero("items_failed")).alias("current"),
         _zero("items_total").alias("total"),
         F.when(state.isin(*ERROR_STATES), F.coalesce("message", F.lit(""))).alias("error"),
+    ]
+
+
+def job_view(runs: DataFrame) -> DataFrame:
+    """What a caller sees of a run: state vocabulary, clamped percentage, counts and error text."""
+    return runs.select(*_view(runs))
+
+
+def job_payload(runs: DataFrame) -> DataFrame:
+    """``job_view`` with the item in work, the remaining seconds, the times and the warnings of each run.
+
+    Texts that are missing are empty, a missing list of warnings has none; the remaining seconds stay null when unknown.
+    """
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+    empty = F.array().cast("array<string>")
+    return runs.select(
+        *_view(runs),
+        text("current_item"),
+        F.col("estimated_remaining_sec").cast("double").alias("estimated_remaining_sec"),
+        text("started_at"),
+        text("updated_at"),
+        text("completed_at"),
+        F.coalesce("warnings", empty).alias("warnings"),
     )
 
 

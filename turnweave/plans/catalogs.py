@@ -22,7 +22,7 @@ def plan(spark: SparkSession, sf: str, **options) -> DataFrame:
     return refresh.plan_refresh(named_inventory(spark, sf), views.catalog(spark, sf), SIGNATURE, **options)
 
 
-_FOUND = """
+FOUND = """
 exact as (
   select * from (
     select *, lower(source_file_identity) as ik, row_number() over (
@@ -46,7 +46,7 @@ planned as (
   left join reusable r on r.ik = lower(i.source_file_identity) and r.source_hash = i.source_hash)"""
 
 LIMITED = f"""
-{_FOUND},
+{FOUND},
 limited as (
   select *, case when action = 'queued' then row_number() over (
     partition by action order by size_bytes, lower(relative_path), source_file_identity) end as n from planned)"""
@@ -107,7 +107,7 @@ def latest(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(key.alias("catalog_key"), "audio_id", "artifact_exists", "first_pos")
 
 
-def file_status(spark: SparkSession, sf: str) -> DataFrame:
+def all_file_status(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint")
     inventory = named_inventory(spark, sf)
     stored = views.catalog(spark, sf).withColumn(
@@ -131,9 +131,11 @@ def file_status(spark: SparkSession, sf: str) -> DataFrame:
         (number % 50 + F.lit(0.5)).alias("duration_seconds"),
     )
     known = inventory.withColumn("source_hash", F.when(doc % 6 == 5, None).otherwise(F.col("source_hash")))
-    return catalog.file_status(known, stored, SIGNATURE, manifest).select(
-        "source_file_identity", "status", "media_id", "duration_sec"
-    )
+    return catalog.file_status(known, stored, SIGNATURE, manifest)
+
+
+def file_status(spark: SparkSession, sf: str) -> DataFrame:
+    return all_file_status(spark, sf).select("source_file_identity", "status", "media_id", "duration_sec")
 
 
 def classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +157,7 @@ def skip_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CLASSIFIED = f"""
-{_FOUND},
+{FOUND},
 classified as (
   select source_id, source_file_identity,
     case when d % 17 = 0 then 'skipped_invalid' when d % 40 < 8 then 'skipped_too_short' else 'queued' end as status,
@@ -242,7 +244,7 @@ def pruned_runs(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.prune_runs(_items(spark, sf), doomed).select("catalog_pos", "run_id")
 
 
-def _listing(spark: SparkSession, sf: str) -> DataFrame:
+def listing(spark: SparkSession, sf: str) -> DataFrame:
     pos = F.col("catalog_pos")
     day = F.lpad((1 + pos % 28).cast("string"), 2, "0")
     return (
@@ -256,7 +258,7 @@ def _listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_list(spark: SparkSession, sf: str) -> DataFrame:
-    stored = _listing(spark, sf)
+    stored = listing(spark, sf)
     pos = F.col("catalog_pos")
     info = stored.filter(pos % 6 == 1).select(
         "catalog_pos",
@@ -271,12 +273,12 @@ def item_list(spark: SparkSession, sf: str) -> DataFrame:
 
 def item_page(spark: SparkSession, sf: str) -> DataFrame:
     order = items.newest_first("updated_at", "created_at", "item_id") + [F.col("catalog_pos")]
-    rows = ordering.page_rows(_listing(spark, sf), order, page=3, page_size=40)
+    rows = ordering.page_rows(listing(spark, sf), order, page=3, page_size=40)
     return rows.select("catalog_pos", "item_id", "updated_at")
 
 
 def item_page_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return ordering.page_summary(_listing(spark, sf), page=3, page_size=40)
+    return ordering.page_summary(listing(spark, sf), page=3, page_size=40)
 
 
 def ranked_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -401,7 +403,7 @@ def catalog_durations(spark: SparkSession, sf: str) -> DataFrame:
 def updated_times(spark: SparkSession, sf: str) -> DataFrame:
     pos = F.col("catalog_pos")
     stamp = lambda day: F.concat(F.lit("2026-05-"), F.lpad(day.cast("string"), 2, "0"))
-    rows = _listing(spark, sf).select(
+    rows = listing(spark, sf).select(
         "catalog_pos",
         "created_at",
         F.when(pos % 3 == 0, F.col("updated_at")).alias("updated_at"),
@@ -414,7 +416,7 @@ def updated_times(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("catalog_pos", found.alias("item_updated_at"))
 
 
-_LISTING = f"""
+LISTING = f"""
 {_ITEMS},
 listing as (
   select *, '2026-05-' || lpad(cast(1 + catalog_pos % 28 as varchar), 2, '0') || 'T00:00:00+09:00' as updated_at,
@@ -440,7 +442,7 @@ def _inv(query: str) -> str:
 QUERIES = {
     "j1_j2_catalog_look_up": (
         look_up,
-        _inv(f"""with {_FOUND} select source_file_identity, exact_id, exact_artifact, reusable_id, reusable_signature
+        _inv(f"""with {FOUND} select source_file_identity, exact_id, exact_artifact, reusable_id, reusable_signature
         from planned"""),
     ),
     "j2_hash_look_up": (
@@ -460,7 +462,7 @@ QUERIES = {
     ),
     "k7_plan_refresh": (
         plan_refresh,
-        _inv(f"with {_FOUND} select source_file_identity, action, reason, duplicate_of from planned"),
+        _inv(f"with {FOUND} select source_file_identity, action, reason, duplicate_of from planned"),
     ),
     "w7_o2_batch_limit": (
         plan_limited,
@@ -477,7 +479,7 @@ QUERIES = {
     ),
     "k7_work_list": (
         work_list,
-        _inv(f"""with {_FOUND} select 'ref-' || printf('%04d', n) as input_id, source_file_identity, size_bytes from (
+        _inv(f"""with {FOUND} select 'ref-' || printf('%04d', n) as input_id, source_file_identity, size_bytes from (
           select *, row_number() over (order by lower(relative_path), source_file_identity) as n
           from planned where action = 'queued')"""),
     ),
@@ -567,7 +569,7 @@ QUERIES = {
     ),
     "j16_item_list": (
         item_list,
-        with_views("catalog", "raw_segments", query=f"""with {_LISTING},
+        with_views("catalog", "raw_segments", query=f"""with {LISTING},
         counts as (select media_id * 2 as catalog_pos, count(*) as turn_count,
           count(distinct seg_index % 3) as speaker_count from raw_segments group by 1)
         select l.catalog_pos, case when l.catalog_pos % 3 = 0 then ' ' else audio_id end as media_id,
@@ -584,7 +586,7 @@ QUERIES = {
     ),
     "w8_o3_item_page": (
         item_page,
-        with_views("catalog", query=f"""with {_LISTING} select catalog_pos, item_id, updated_at from listing
+        with_views("catalog", query=f"""with {LISTING} select catalog_pos, item_id, updated_at from listing
         order by updated_at desc, created_at desc, item_id desc, catalog_pos limit 40 offset 80"""),
     ),
     "w8_page_summary": (
@@ -683,7 +685,7 @@ QUERIES = {
     ),
     "p31_item_updated_at": (
         updated_times,
-        with_views("catalog", query=f"""with {_LISTING} select catalog_pos, coalesce(greatest(
+        with_views("catalog", query=f"""with {LISTING} select catalog_pos, coalesce(greatest(
           case when catalog_pos % 4 < 2 then '2026-05-' || lpad(cast(1 + catalog_pos % 20 as varchar), 2, '0') end,
           case when catalog_pos % 4 = 1 then '2026-05-' || lpad(cast(1 + catalog_pos % 17 as varchar), 2, '0') end),
           case when catalog_pos % 3 = 0 then updated_at end, created_at) as item_updated_at from listing"""),

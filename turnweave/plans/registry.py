@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from turnweave.plans import catalogs, files, runs, scalars, segments
+from turnweave.plans import catalogs, files, lists, runs, scalars, segments
 
 ALL = {
     name: entry
-    for module in (segments, catalogs, runs, scalars, files)
+    for module in (segments, catalogs, runs, scalars, files, lists)
     for name, entry in module.QUERIES.items()
 }

@@ -178,7 +178,7 @@ def remaining_naive(spark: SparkSession, sf: str) -> DataFrame:
     return _status_rows(spark, sf).select("run_id", F.floor(found * 1000 + F.lit(0.5)).alias("remaining_ms"))
 
 
-def _runs(spark: SparkSession, sf: str) -> DataFrame:
+def made_runs(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey")
     names = ("pending", "RUNNING", "completed", "failed", "cancelled", "skipped", "interrupted", "", "Odd ",
              "completed_with_errors")
@@ -200,7 +200,7 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_RUNS = """
+RUNS = """
 runs as (
   select 'run-' || o_orderkey as run_id, 'run-' || lpad(cast(o_orderkey * 7919 % 1000003 as varchar), 7, '0') as run_name,
     '/runs/' || lpad(cast(o_orderkey as varchar), 9, '0') as run_dir, o_orderkey as k,
@@ -216,11 +216,11 @@ runs as (
 
 
 def job_views(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.job_view(_runs(spark, sf))
+    return runs.job_view(made_runs(spark, sf))
 
 
 def stale(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.classify_stale(_runs(spark, sf), F.lit(100)).select("run_id", "stale", "state_now")
+    return runs.classify_stale(made_runs(spark, sf), F.lit(100)).select("run_id", "stale", "state_now")
 
 
 def run_dirs(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,12 +234,12 @@ def run_dirs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def active(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.active_run(_runs(spark, sf)).select("run_id", "run_name")
+    return runs.active_run(made_runs(spark, sf)).select("run_id", "run_name")
 
 
 def pending(spark: SparkSession, sf: str) -> DataFrame:
     marked = table(spark, sf, "supplier").select(F.concat(F.lit("run-"), F.col("s_suppkey").cast("string")).alias("run_id"))
-    return runs.runs_in_state(_runs(spark, sf), ["Pending", "running"], marked).select("run_id", "state")
+    return runs.runs_in_state(made_runs(spark, sf), ["Pending", "running"], marked).select("run_id", "state")
 
 
 def next_ready(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +250,7 @@ def next_ready(spark: SparkSession, sf: str) -> DataFrame:
     existing = table(spark, sf, "part").filter("p_partkey % 7 <> 3").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path")
     )
-    return runs.next_run(_runs(spark, sf).filter("state = 'pending'"), lines, existing).select("run_id", "run_dir")
+    return runs.next_run(made_runs(spark, sf).filter("state = 'pending'"), lines, existing).select("run_id", "run_dir")
 
 
 def warnings(spark: SparkSession, sf: str) -> DataFrame:
@@ -528,7 +528,7 @@ QUERIES = {
     ),
     "p28_p29_job_view": (
         job_views,
-        f"""with {_RUNS} select run_id as job_id, job_state as state, 'transcribe_audio' as stage, 'm' || k % 5 as message,
+        f"""with {RUNS} select run_id as job_id, job_state as state, 'transcribe_audio' as stage, 'm' || k % 5 as message,
           floor(greatest(0::double, least(100::double, coalesce(nullif(progress, 0),
             case when job_state in ('completed', 'completed_with_errors') then 100 else 0 end))) * 100 + 0.5::double) / 100
             as percent,
@@ -538,7 +538,7 @@ QUERIES = {
     ),
     "t2_classify_stale": (
         stale,
-        f"""with {_RUNS}, s as (select *, locked_at is not null and coalesce(100 - case when lower(state) = 'running'
+        f"""with {RUNS}, s as (select *, locked_at is not null and coalesce(100 - case when lower(state) = 'running'
             then coalesce(updated_at, started_at, locked_at) else locked_at end > 30, false) as stale from runs)
         select run_id, stale, case when lower(state) = 'running' and (stale or locked_at is null) then 'interrupted'
           else trim(lower(state)) end as state_now from s""",
@@ -550,17 +550,17 @@ QUERIES = {
     ),
     "o6_active_run": (
         active,
-        f"""with {_RUNS} select run_id, run_name from runs where lower(state) in ('pending', 'running')
+        f"""with {RUNS} select run_id, run_name from runs where lower(state) in ('pending', 'running')
         order by run_name desc limit 1""",
     ),
     "o8_runs_in_state": (
         pending,
-        f"""with {_RUNS} select run_id, state from runs where lower(state) in ('pending', 'running')
+        f"""with {RUNS} select run_id, state from runs where lower(state) in ('pending', 'running')
         and run_id not in (select 'run-' || s_suppkey from supplier)""",
     ),
     "o8_next_run": (
         next_ready,
-        f"""with {_RUNS} select run_id, run_dir from runs where state = 'pending' and run_id not in (
+        f"""with {RUNS} select run_id, run_dir from runs where state = 'pending' and run_id not in (
           select 'run-' || l_orderkey from lineitem
           where l_partkey not in (select p_partkey from part where p_partkey % 7 <> 3))
         order by run_dir limit 1""",

@@ -20,7 +20,7 @@ from turnweave.operators.ordering import ranked
 from turnweave.session import stored
 from turnweave.sources.files import paths_matching, paths_of
 
-BUCKETS = 256
+BUCKETS = 64  # of each side; to be raised before the first merge of a catalog that outgrows them
 POSITION = ("commit", "place")
 # Columns of a catalog row; the writer adds those that a caller leaves out.
 COLUMNS = {

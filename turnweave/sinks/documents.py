@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from turnweave.operators.timeline import document_pieces
+from turnweave.operators.ordering import ranked
+from turnweave.operators.running import numbered
+from turnweave.operators.timeline import PIECE, document_pieces
 from turnweave.sources.item_folders import write_pieces
 
 
@@ -14,6 +16,70 @@ def _spread(documents: DataFrame, key: str) -> DataFrame:
     return documents.repartition(partitions, key)
 
 
+def run_pieces(work: DataFrame, output_root: str, created_at: str, settings: dict, run: str = "run_id") -> DataFrame:
+    """The documents of new runs as pieces for ``item_folders``: request, status, result and an empty manifest.
+
+    ``work`` holds the files of each run (``run_id``, ``input_id``, ``path``, ``file_name``, ``size_bytes``, ``source_id``,
+    ``relative_path``, ``source_file_identity``). ``settings`` become fields of the request, after its own ones. A request lists its
+    files in the order of their input ids, in pieces, so a run may have any number of them.
+    """
+    root = output_root.rstrip("/")
+    counted = work.groupBy(F.col(run).alias("run_id")).agg(F.count(F.lit(1)).alias("items_total"))
+    none, no_text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    options = {"ignoreNullFields": "false"}
+    given = {name: F.lit(value) for name, value in settings.items()}
+    request = F.struct(
+        F.lit(1).alias("schema_version"), "run_id", F.lit(created_at).alias("created_at"), F.lit(root).alias("output_root_path"),
+        *[value.alias(name) for name, value in given.items()],
+    )
+    status = F.struct(
+        F.lit(1).alias("schema_version"), "run_id", F.lit("pending").alias("state"), F.lit("queued").alias("current_stage"),
+        F.lit("Queued for worker pickup.").alias("message"), none.alias("warnings"), "items_total",
+        *[F.lit(0).alias(c) for c in ("items_done", "items_skipped", "items_failed")], no_text.alias("current_item"),
+        *[F.lit(0.0).alias(c) for c in ("current_item_elapsed_sec", "current_stage_elapsed_sec", "processed_duration_sec", "total_duration_sec")],
+        F.lit(None).cast("double").alias("estimated_remaining_sec"), F.lit(0.0).alias("progress_percent"),
+        no_text.alias("started_at"), F.lit(created_at).alias("updated_at"), no_text.alias("completed_at"),
+    )
+    result = F.struct(
+        F.lit(1).alias("schema_version"), "run_id", F.lit("pending").alias("state"),
+        F.concat(F.lit(f"{root}/"), "run_id").alias("run_dir"), F.lit(root).alias("output_root_path"),
+        *[F.lit(0).alias(c) for c in ("processed_count", "skipped_count", "error_count", "batch_count")],
+        no_text.alias("timeline_index_path"), none.alias("warnings"),
+    )
+    manifest = F.struct(
+        F.lit(1).alias("schema_version"), "run_id", F.lit(created_at).alias("generated_at"), none.alias("items")
+    )
+    item = F.struct(
+        "input_id", F.lit("configured_directory").alias("source_kind"), "source_id", F.col("path").alias("original_path"),
+        F.col("file_name").alias("display_name"), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), no_text.alias("uploaded_path"),
+        F.col("relative_path").alias("source_relative_path"), "source_file_identity",
+    )
+    numbered_work = numbered(ranked(work.withColumnRenamed(run, "run_id"), ["run_id", "input_id"], "_order"), ["run_id"], "_order", "_nth")
+    place = F.floor((F.col("_nth") - 1) / F.lit(PIECE)) + 1
+    line = F.struct("_nth", F.to_json(item, options).alias("line"))
+    grouped = numbered_work.select("run_id", place.alias("piece"), line.alias("line")).groupBy("run_id", "piece")
+    lines = grouped.agg(F.array_join(F.array_sort(F.collect_list("line")).getField("line"), ",").alias("lines"))
+
+    def piece(rows: DataFrame, document: str, at, text) -> DataFrame:
+        return rows.select(F.col("run_id").alias("item_id"), F.lit(document).alias("document"), at.cast("bigint").alias("piece"), text.alias("text"))
+
+    opened = F.concat(F.regexp_replace(F.to_json(request, options), r"\}$", ""), F.lit(',"input_items":['))
+    comma = F.when(F.col("piece") > 1, ",").otherwise("")
+    return (
+        piece(counted, "request", F.lit(0), opened)
+        .union(piece(lines, "request", F.col("piece"), F.concat(comma, "lines")))
+        .union(piece(counted, "request", F.lit(2**62), F.lit("]}")))
+        .union(piece(counted, "status", F.lit(0), F.to_json(status, options)))
+        .union(piece(counted, "result", F.lit(0), F.to_json(result, options)))
+        .union(piece(counted, "manifest", F.lit(0), F.to_json(manifest, options)))
+    )
+
+
+def write_runs(work: DataFrame, output_root: str, created_at: str, settings: dict) -> int:
+    """Create the run folders of ``work`` below the output root; the number of documents."""
+    return write_pieces(run_pieces(work, output_root, created_at, settings), output_root)
+
+
 def write_documents(documents: DataFrame, folder: str, key: str = "media_id", per_item: bool = False) -> None:
     """Documents as JSON, one line each, with null fields written out.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnweave.functions.text import non_blank
 from turnweave.session import stored
+from turnweave.sources.files import paths_matching
 from turnweave.sources.item_folders import read_pieces
 
 SOURCE_SCHEMA = (
@@ -213,6 +214,33 @@ def timeline_summary(documents: DataFrame, payload: str = "timeline_json", key:
     return whole.unionByName(joined)
 
 
+def read_source_info(spark: SparkSession, root: str) -> DataFrame:
+    """(media_dir, display_name, original_path, ...) of every item folder, from the first of three files that exists:
+    ``source/source-record.json``, ``source.json``, or the ``source`` of ``timeline.json``.
+
+    A file that exists but cannot be read gives empty fields; the next one is not tried then. Text after the ``source`` of a timeline
+    is not kept.
+    """
+    base = root.rstrip("/")
+    found = None
+    for rank, (pattern, inner) in enumerate((("source/source-record.json", False), ("source.json", False), ("timeline.json", True))):
+        if not paths_matching(spark, [f"{base}/*/{pattern}"]):
+            continue
+        text = spark.read.text(f"{base}/*/{pattern}", wholetext=True)
+        path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^file:/+", "/")
+        folder = F.regexp_replace(path, "/" + pattern.replace(".", r"\.") + "$", "")
+        text = text.select(folder.alias("media_dir"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        source = (
+            F.from_json("value", f"source {SOURCE_SCHEMA}").getField("source") if inner else F.from_json("value", SOURCE_SCHEMA)
+        )
+        rows = text.filter(~F.regexp_extract("media_dir", r"([^/]+)$", 1).startswith(".")).select("media_dir", F.lit(rank).alias("_rank"), source.alias("_source"))
+        found = rows if found is None else found.union(rows)
+    if found is None:
+        found = spark.createDataFrame([], f"media_dir string, _rank int, _source {SOURCE_SCHEMA}")
+    firsts = found.groupBy("media_dir").agg(F.min_by(F.struct("_source"), "_rank").alias("_first"))
+    return firsts.select("media_dir", "_first._source.*")
+
+
 def source_info(items: DataFrame, record: str, source: str, timeline_source: str) -> DataFrame:
     """``source_info``: the first of three optional source structs."""
     return items.withColumn("source_info", F.coalesce(F.col(record), F.col(source), F.col(timeline_source)))

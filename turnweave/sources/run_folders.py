@@ -19,7 +19,8 @@ STATUS_SCHEMA = (
     "state string, current_stage string, message string, items_total bigint, items_done bigint, items_skipped bigint, "
     "items_failed bigint, videos_total bigint, videos_done bigint, videos_skipped bigint, videos_failed bigint, "
     "processed_duration_sec double, total_duration_sec double, progress_percent double, started_at string, "
-    "updated_at string, completed_at string"
+    "updated_at string, completed_at string, current_item string, estimated_remaining_sec double, "
+    "current_item_elapsed_sec double, current_stage_elapsed_sec double, warnings array<string>"
 )
 MANIFEST_SCHEMA = (
     "items array<struct<input_id:string, file_name:string, size_bytes:bigint, duration_seconds:double, "
@@ -97,13 +98,26 @@ def assemble_runs(request: DataFrame, status: DataFrame, manifest: DataFrame) ->
         "progress_percent",
         "started_at",
         "updated_at",
+        "completed_at",
+        "current_item",
+        "estimated_remaining_sec",
+        "current_item_elapsed_sec",
+        "current_stage_elapsed_sec",
+        F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
         "created_at",
         "compute_mode",
         F.coalesce("generation_signature", "conversion_signature").alias("conversion_signature"),
         F.coalesce("items", F.array().cast(manifest.schema["items"].dataType)).alias("items"),
+        F.coalesce("input_items", F.array().cast(request.schema["input_items"].dataType)).alias("input_items"),
     )
 
 
+def input_items(runs: DataFrame) -> DataFrame:
+    """One row per file that a run was asked to process, with its place in the request."""
+    rows = runs.select("run_id", "run_dir", F.posexplode("input_items").alias("item_pos", "_item"))
+    return rows.select("run_id", "run_dir", "item_pos", "_item.*")
+
+
 def manifest_items(runs: DataFrame) -> DataFrame:
     """One row per manifest item with its run and position."""
     rows = runs.select(
