@@ -250,3 +250,18 @@ def prune_runs(catalog: DataFrame, runs: DataFrame) -> DataFrame:
     kept = catalog.withColumn("_id", F.lower("run_id")).join(by_id, "_id", "left_anti")
     kept = kept.withColumn("_folder", F.regexp_replace("run_dir", "/+$", "")).join(by_folder, "_folder", "left_anti")
     return kept.drop("_id", "_folder")
+
+
+def prune_lines(lines: DataFrame, runs: DataFrame, line: str = "value") -> DataFrame:
+    """Catalog lines as they are, without those of the given runs (``run_id`` without case, or ``run_dir``).
+
+    Lines that cannot be read stay, so nothing is lost by a rewrite; blank lines go. ``job_id`` counts as the older name of the run id.
+    """
+    schema = "run_id string, job_id string, run_dir string, _bad string"
+    parsed = F.from_json(F.col(line), schema, {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.filter(strip(F.col(line)) != "").withColumn("_row", parsed)
+    readable = F.col("_row").isNotNull() & F.col("_row._bad").isNull()
+    named = rows.filter(readable).select(
+        *lines.columns, F.coalesce("_row.run_id", "_row.job_id").alias("run_id"), F.col("_row.run_dir").alias("run_dir")
+    )
+    return prune_runs(named, runs).select(lines.columns).unionByName(rows.filter(~readable).select(lines.columns))

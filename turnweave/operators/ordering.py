@@ -27,8 +27,15 @@ def ranked(df: DataFrame, order: Sequence[Column | str], name: str = "rank") ->
     return joined.withColumn(name, F.col("_before") + within + F.lit(1)).drop("_part", "_place", "_before")
 
 
+# Up to this many rows each task keeps its own first rows and one task merges these; more of them are ranked.
+MOST_MERGED = 1_000
+
+
 def first_rows(df: DataFrame, order: Sequence[Column | str], count: int) -> DataFrame:
-    """The first ``count`` rows of the order, by rank whatever their number, so no task merges them all."""
+    """The first ``count`` rows of the order. Few of them need no sort of all rows; many are found by rank, so that no task
+    merges them all."""
+    if count <= MOST_MERGED:
+        return df.orderBy(*order).limit(count)
     return ranked(df, order, "_rank").filter(F.col("_rank") <= count).drop("_rank")
 
 
@@ -41,6 +48,8 @@ def page_rows(
         return df.orderBy(*order)
     size = page_size or 100
     start = ((page or 1) - 1) * size
+    if start + size <= MOST_MERGED:
+        return df.orderBy(*order).offset(start).limit(size)
     chosen = ranked(df, order, "_rank").filter((F.col("_rank") > start) & (F.col("_rank") <= start + size))
     return chosen.orderBy("_rank").drop("_rank")
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnweave.functions.text import extension, media_id, normalize_extensions
 from turnweave.functions.vocabulary import MIN_DURATION_SECONDS, skip_warning
 from turnweave.operators.catalog import look_up
-from turnweave.operators.ordering import ranked
+from turnweave.operators.ordering import MOST_MERGED, first_rows, ranked
 from turnweave.operators.running import Running, even_bins, running
+from turnweave.session import stored
 
 
 def plan_refresh(
@@ -46,13 +47,37 @@ def plan_refresh(
         return planned
     if limit <= 0:
         raise ValueError("max_items must be greater than 0.")
-    # Every queued row has a rank of its own, so rows that share an identity, or have none, are counted one by one.
-    placed = ranked(planned.filter("action = 'queued'"), _smallest_first(path), "_rank")
-    over = F.col("_rank") > limit
-    limited = placed.withColumn("action", F.when(over, "deferred").otherwise(F.col("action"))).withColumn(
+    order = _smallest_first(path)
+    if limit > MOST_MERGED:
+        queued = ranked(planned.filter("action = 'queued'"), order, "_rank").withColumn("_over", F.col("_rank") > limit)
+        return planned.filter("action <> 'queued'").unionByName(_deferred(queued, planned.columns))
+    # The last row within the limit tells of all others whether they are in, so they need no order.
+    planned = stored(planned, "planned")
+    key = F.struct(*[value.alias(f"k{n}") for n, value in enumerate(order)])
+    queued = planned.filter("action = 'queued'").withColumn("_key", key)
+    last = first_rows(queued.select("_key"), ["_key"], limit).agg(F.max("_key").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    found = last.first()
+    if found["_n"] < limit:
+        return planned
+    placed = queued.withColumn("_last", _literal(found["_last"], queued.schema["_key"].dataType))
+    before = placed.filter(F.col("_key") < F.col("_last")).count()
+    # Rows that tie with it are counted one by one, so rows that share an identity, or have none, are too.
+    ties = ranked(placed.filter(F.col("_key").eqNullSafe(F.col("_last"))), ["_key"], "_rank")
+    ties = ties.withColumn("_over", F.col("_rank") > limit - before)
+    others = placed.filter(~F.col("_key").eqNullSafe(F.col("_last"))).withColumn("_over", F.col("_key") > F.col("_last"))
+    return planned.filter("action <> 'queued'").unionByName(_deferred(others, planned.columns)).unionByName(_deferred(ties, planned.columns))
+
+
+def _literal(row, kind) -> Column:
+    """A row that came to the driver as a struct again."""
+    return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+
+
+def _deferred(queued: DataFrame, columns: list[str]) -> DataFrame:
+    over = F.col("_over")
+    return queued.withColumn("action", F.when(over, "deferred").otherwise(F.col("action"))).withColumn(
         "reason", F.when(over, "batch_limit").otherwise(F.col("reason"))
-    )
-    return planned.filter("action <> 'queued'").unionByName(limited.select(planned.columns))
+    ).select(columns)
 
 
 def _smallest_first(path: str) -> list[Column]:

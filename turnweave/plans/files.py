@@ -15,7 +15,7 @@ from turnweave.sources.documents import read_items
 from turnweave.sources.files import content_hashes, discover_files, table
 from turnweave.sources.item_folders import read_pieces
 from turnweave.streaming.intake import start_intake
-from turnweave.streaming.stale import closed_sessions
+from turnweave.streaming.stale import closed_sessions, silent_runs
 
 
 def _supplier_files(spark: SparkSession, sf: str) -> str:
@@ -283,6 +283,30 @@ def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def streamed_silent(spark: SparkSession, sf: str) -> DataFrame:
+    """Sign-ups as locks and other events as updates: who gives no event within three days of signing up."""
+    folder = scratch_path(spark, "silent")
+    schema = table(spark, sf, "events").schema
+
+    def stream(test: str) -> DataFrame:
+        events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).filter(test)
+        return events.select(F.col("user_id").alias("run_id"), F.timestamp_millis(views.at_ms(F.col("ts"))).alias("at"))
+
+    locks = stream("event_type = 'signup'").withColumnRenamed("at", "locked_at")
+    updates = stream("event_type <> 'signup'").withColumnRenamed("at", "updated_at")
+    silent = silent_runs(locks, updates, "0 seconds", gap="3 days")
+    query = (
+        silent.select("run_id", F.unix_millis("locked_at").alias("locked_ms"))
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("run_id bigint, locked_ms bigint").parquet(f"{folder}/out")
+
+
 _DOCUMENTED = f"""with {segments.VALIDATED},
   m as (select media_id, max(end_ms) / 1000.0::double as duration, count(*) filter (state = 'validated') as accepted
     from validated group by 1)"""
@@ -362,6 +386,15 @@ QUERIES = {
     "k3_s5_catalog_log": (logged_look_up, catalogs.QUERIES["j1_j2_catalog_look_up"][1]),
     "t1_indexed_plan": (indexed_plan, catalogs.QUERIES["k7_plan_refresh"][1]),
     "t1_streamed_plan": (streamed_plan, catalogs.QUERIES["k7_plan_refresh"][1]),
+    "t2_streamed_silent": (
+        streamed_silent,
+        with_views("stage_events", query="""with locks as (select item_id, at_ms from stage_events where stage = 'extract_audio'),
+        updates as (select item_id, at_ms from stage_events where stage <> 'extract_audio'),
+        mark as (select least((select max(at_ms) from locks), (select max(at_ms) from updates)) as m)
+        select item_id as run_id, at_ms as locked_ms from locks l, mark
+        where at_ms + 259200000 < m and not exists (
+          select 1 from updates u where u.item_id = l.item_id and u.at_ms between l.at_ms and l.at_ms + 259200000)"""),
+    ),
     "t2_streamed_sessions": (
         streamed_sessions,
         with_views("stage_events", query="""with e as (

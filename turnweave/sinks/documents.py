@@ -119,8 +119,13 @@ def catalog_rows(items: DataFrame, output_root: str, created_at) -> DataFrame:
 
 
 def write_manifest(classified: DataFrame, folder: str, run: str = "run_id") -> None:
-    """The classification of every input, partitioned by run."""
-    classified.write.mode("append").partitionBy(run).parquet(folder)
+    """The classification of every input, partitioned by run.
+
+    Rows are sorted into ranges of runs first, and within a run by their own values, so a run of few rows is one file and
+    a run of very many is written by several tasks: as many files as there are runs and tasks, not their product.
+    """
+    spread = F.xxhash64(*[c for c in classified.columns if c != run])
+    classified.repartitionByRange(run, spread).write.mode("append").partitionBy(run).parquet(folder)
 
 
 def write_performance(performance: DataFrame, folder: str, run: str = "run_id") -> None:
