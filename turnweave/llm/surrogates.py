@@ -26,8 +26,11 @@ CHUNK = 65_536  # numbers that a row is split into at once
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 
+# Titles of a degree, which tell no gender and may follow another title.
+DEGREES = ("Dr", "Prof", "Professor", "Доктор", "Профессор")
+
 # Titles that are no other word when written small.
-SMALL = ("Mrs", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Mr", "Herr", "Monsieur", "Señor", "Господин")
+SMALL = ("Professor", "Доктор", "Профессор", "Mrs", "Frau", "Madame", "Mme", "Señora", "Госпожа", "Mr", "Herr", "Monsieur", "Señor", "Господин")
 
 # Letters by script for replaced letters, and syllables and endings for drawn names.
 LOWER, UPPER, HEX, UPPER_HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF"
@@ -55,16 +58,20 @@ ENDINGS = {
     ("latin", "female"): ("na", "lia", "ra", "ssa"),
     ("latin", "male"): ("n", "rt", "s", "ld"),
     ("latin", "family"): ("ner", "son", "mann", "ley"),
+    ("latin", "given"): ("en", "i", "o", "is"),
     ("cyrillic", "female"): ("на", "ля", "ра", "са"),
     ("cyrillic", "male"): ("н", "р", "с", "л"),
     ("cyrillic", "family"): ("ко", "дзе", "ян", "чук"),
+    ("cyrillic", "given"): ("ей", "и", "о", "ис"),
 }
 
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_CAPITAL = r"\p{Lu}\p{L}++"
+# A name: apostrophes behind its first letter and hyphens before a capital belong to it, a possessive does not.
+_CAPITAL = r"\p{Lu}(?:['’]\p{Lu})?\p{L}++(?:[-‐]\p{Lu}\p{L}++)*+"
+_GROUP = r"[0-9A-Fa-f]{1,4}"
 
 
-def _title(titles: tuple[str, ...]) -> str:
+def _titles(titles: tuple[str, ...]) -> str:
     words = [f"[{t[0]}{t[0].lower()}]{t[1:]}" if t in SMALL else t for t in titles]
     return rf"(?:{'|'.join(words)})\.? "
 
@@ -74,25 +81,25 @@ def _title(titles: tuple[str, ...]) -> str:
 # longer names. Fixed values.
 PATTERNS = [
     ("secret", rf"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:[_.-]?(?i:key|value|hash|string)(?![\p{{L}}\p{{N}}])|[_.-][\p{{L}}\p{{N}}_.-]{{0,40}}+|\d{{1,4}}+)?[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?!{_MASK}++(?:[\s\"'=:]|$))[^\s\"'=:]{{6,}}+"),
+    ("login", r"(?<=://)[^\s/@:]{1,64}:[^\s/@]{1,128}(?=@)"),
     ("email", r"[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,8}\p{L}{2,24}"),
     ("access_key", r"(?:AKIA[0-9A-Z]{16}|[sp]k-[A-Za-z0-9]{20,}+|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![\p{L}\p{N}])"),
+    ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
+    ("network", rf"(?=[0-9A-Fa-f:]*\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{2,7}}:)(?![\p{{L}}\p{{N}}:])"),
     ("card", r"(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\d-])|(?<![.-])3[47]\d\d[ -]?\d{6}[ -]?\d{5}(?![\d-])|(?<![.-])3(?:0[0-5]|[68]\d)\d[ -]?\d{6}[ -]?\d{4}(?![\d-])"),
-    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?=(?:[ .-]?[()]?\d){8,15}+(?!\d))\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}+(?!\d)|(?<![.-])(?<!\d )\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d|[.-]\d)"),
+    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?=(?:[ .-]?[()]?\d){8,15}+(?!\d))\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}+(?!\d)|(?<![.-])(?<!\d )\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d|[.-]\d)|(?<![.,/-])(?<!\d )0\d{2,4}[ /-]\d{5,8}(?!\d|[.,/-]\d)"),
     ("national_id", r"(?<![.-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("address", rf"(?<!\.)(?:{_BYTE}\.){{3}}{_BYTE}(?![\p{{L}}\d]|\.\d)"),
-    ("female_name", rf"{_title(FEMALE)}{_CAPITAL}(?= \p{{Lu}}\p{{L}})"),
-    ("male_name", rf"{_title(MALE)}{_CAPITAL}(?= \p{{Lu}}\p{{L}})"),
-    ("family_name", rf"{_title(FEMALE + MALE)}{_CAPITAL}"),
+    ("person", rf"{_titles(FEMALE + MALE + DEGREES)}(?:{_titles(DEGREES)}){{0,2}}{_CAPITAL}(?: {_CAPITAL})?"),
 ]
-# A family name behind a given name begins where that match ended.
-_FAMILY = rf"(?<!^)\G(?<={_title(FEMALE + MALE)}\p{{Lu}}\p{{L}}{{1,30}}) {_CAPITAL}"
-KINDS = [kind for kind, _ in PATTERNS]
-PATTERN = rf"({PATTERNS[0][1]})|(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'({p})' for _, p in PATTERNS[1:])})|{_FAMILY}"
+PATTERN = rf"{PATTERNS[0][1]}|(?<![\p{{L}}\p{{N}}])(?:{'|'.join(p for _, p in PATTERNS[1:])})"
+# The two parts of a person: titles, and one or two names.
+PERSON = rf"^((?:{_titles(FEMALE + MALE + DEGREES)})+)({_CAPITAL})(?: ({_CAPITAL}))?$"
 
 
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with an entity passes: a digit, an at sign, a title or a key word."""
-    titles = [*FEMALE, *MALE, *[f"{t.lower()}{end}" for t in SMALL for end in (" ", ". ")]]
+    titles = [*FEMALE, *MALE, *DEGREES, *[f"{t.lower()}{end}" for t in SMALL for end in (" ", ". ")]]
     words = ("passw", "pwd", "secret", "token", "api")
     issued = ("AKIA", "sk-", "pk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")
     tests = [text.contains(w) for w in (*titles, *issued)] + [F.lower(text).contains(w) for w in words]
@@ -100,23 +107,50 @@ def may_hold(text: Column) -> Column:
 
 
 def found_in(text: Column) -> Column:
-    """Entities of a text in order: (kind, lead, mention). The lead introduces the mention and stays."""
-    groups = [F.regexp_extract_all(text, F.lit(PATTERN), F.lit(k + 1)) for k in range(len(KINDS))]
-    whole = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    zipped = F.arrays_zip(whole.alias("whole"), *[g.alias(k) for g, k in zip(groups, KINDS, strict=True)])
-
-    def entity(row: Column) -> Column:
-        first = F.when(F.length(row[KINDS[0]]) > 0, KINDS[0])
-        kind = reduce(lambda c, k: c.when(F.length(row[k]) > 0, k), KINDS[1:], first).otherwise("family_name")
-        lead = (
-            F.when(kind == "secret", F.regexp_extract(row["whole"], r"(?s)^(.*[=:]\s{0,3}[\"']?)", 1))
-            .when(kind.endswith("_name"), F.regexp_extract(row["whole"], "^(.* )", 1))
-            .otherwise("")
-        )
-        mention = F.substring(row["whole"], F.char_length(lead) + 1, F.char_length(row["whole"]))
+    """Entities of a text in order: (match, lead, kind, mention). The lead introduces the mention and stays.
+
+    The text is searched once; what a match is, is told from the match alone. A person gives one or two entities of one
+    match. What only looks like a bank account has no kind and stays.
+    """
+
+    def entity(kind: Column, lead: Column, mention: Column) -> Column:
         return F.struct(kind.alias("kind"), lead.alias("lead"), mention.alias("mention"))
 
-    return F.transform(zipped, entity)
+    def entities(whole: Column) -> Column:
+        title = F.regexp_extract(whole, PERSON, 1)
+        first, second = F.regexp_extract(whole, PERSON, 2), F.regexp_extract(whole, PERSON, 3)
+        given = F.when(title.rlike(_titles(FEMALE)), "female_name").when(title.rlike(_titles(MALE)), "male_name").otherwise("given_name")
+        person = F.when(
+            F.length(second) > 0, F.array(entity(given, title, first), entity(F.lit("family_name"), F.lit(" "), second))
+        ).otherwise(F.array(entity(F.lit("family_name"), title, first)))
+        # What stands before a login tells it, which the match alone does not hold: it is what nothing else fits.
+        plain = F.lit("login")
+        for kind, pattern in reversed(PATTERNS[:-1]):
+            if kind != "login":
+                name = F.when(valid_iban(canonical(F.lit("iban"), whole)), kind) if kind == "iban" else F.lit(kind)
+                plain = F.when(whole.rlike(rf"\A(?:{pattern})\z"), name).otherwise(plain)
+        lead = F.when(plain == "secret", F.regexp_extract(whole, r"(?s)^(.*[=:]\s{0,3}[\"']?)", 1)).otherwise("")
+        other = F.array(entity(plain, lead, F.substring(whole, F.char_length(lead) + 1, F.char_length(whole))))
+        return F.when(F.length(first) > 0, person).otherwise(other)
+
+    matches = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), entities)
+    numbered = F.transform(
+        matches,
+        lambda found, at: F.transform(found, lambda e: F.struct((at + 1).alias("match"), e["lead"].alias("lead"), e["kind"].alias("kind"), e["mention"].alias("mention"))),
+    )
+    return F.flatten(numbered)
+
+
+def _remainder(digits: Column) -> Column:
+    """Remainder by 97 of a number written with letters as 10 to 35."""
+    code = lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(c.try_cast("int"))
+    step = lambda rest, c: (rest * F.when(code(c) > 9, 100).otherwise(10) + code(c)) % 97
+    return F.aggregate(F.split(digits, ""), F.lit(0), lambda rest, c: F.when(F.length(c) == 0, rest).otherwise(step(rest, c)))
+
+
+def valid_iban(value: Column) -> Column:
+    """Whether an account number without blanks has the right check digits."""
+    return _remainder(F.concat(F.substring(value, F.lit(5), F.char_length(value)), F.left(value, F.lit(4)))) == 1
 
 
 def canonical(kind: Column, mention: Column) -> Column:
@@ -125,7 +159,8 @@ def canonical(kind: Column, mention: Column) -> Column:
     return (
         F.when(kind == "phone", F.right(digits, F.lit(10)))
         .when(kind.isin("card", "national_id"), digits)
-        .when(kind.isin("secret", "access_key", "address"), mention)
+        .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
+        .when(kind.isin("secret", "access_key", "address", "login"), mention)
         .otherwise(F.lower(mention))
     )
 
@@ -155,9 +190,11 @@ def _bound(body: Callable[[Column], Column], **values: Column) -> Column:
     return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
 
 
-def _like(value: Column, noise: Column) -> Column:
+def _like(value: Column, noise: Column, hexadecimal: bool = True) -> Column:
     """Each letter and digit replaced by one of its script, class and case; other characters stay.
 
+    Long hexadecimal numbers stay such, unless ``hexadecimal`` is false.
+
     Letters and digits of scripts without an alphabet become Latin letters and ASCII digits. In a value without any letter
     or digit the symbols themselves are drawn, so no value stays as it is in every draw.
     """
@@ -177,11 +214,20 @@ def _like(value: Column, noise: Column) -> Column:
         chars = F.transform(places, lambda at: F.struct(at.alias("at"), F.substring(row["value"], at, F.lit(1)).alias("char")))
         return F.array_join(F.transform(chars, lambda c: one(row, c["at"], c["char"])), "")
 
-    hexadecimal, plain = value.rlike("^[0-9a-f]{16,}$"), ~value.rlike(r"[\p{L}\p{N}]")
-    row = {"hexadecimal": hexadecimal, "upper_hex": value.rlike("^[0-9A-F]{16,}$"), "plain": plain}
+    small, large = (value.rlike(p) if hexadecimal else F.lit(False) for p in ("^[0-9a-f]{16,}$", "^[0-9A-F]{16,}$"))
+    row = {"hexadecimal": small, "upper_hex": large, "plain": ~value.rlike(r"[\p{L}\p{N}]")}
     return F.when(F.char_length(value) > 0, _bound(whole, value=value, noise=noise, **row)).otherwise("")
 
 
+def _hexadecimal(value: Column, noise: Column) -> Column:
+    """Each hexadecimal digit replaced by another draw; colons stay."""
+    chars = F.transform(
+        F.sequence(F.lit(1), F.char_length(value)),
+        lambda at: F.when(F.substring(value, at, F.lit(1)) == ":", ":").otherwise(F.substring(noise, at + 64, F.lit(1))),
+    )
+    return F.array_join(chars, "")
+
+
 def _name(kind: str, script: str, noise: Column) -> Column:
     syllables, endings = SYLLABLES[script], ENDINGS[script, kind]
     parts = [F.element_at(F.array(*map(F.lit, syllables)), _drawn(noise, F.lit(k), len(syllables)) + 1) for k in range(2)]
@@ -224,10 +270,19 @@ def _surrogate(row: Column) -> Column:
     names = {
         k: F.when(cyrillic, F.concat(_longer("cyrillic", noise, draw), _name(k, "cyrillic", noise)))
         .otherwise(F.concat(_longer("latin", noise, draw), _name(k, "latin", noise)))
-        for k in ("female", "male", "family")
+        for k in ("female", "male", "family", "given")
     }
+    body = _like(F.substring(value, F.lit(5), F.char_length(value)), noise, hexadecimal=False)
+    checked = 98 - _remainder(F.concat(body, F.left(value, F.lit(2)), F.lit("00")))
+    iban = F.concat(F.left(value, F.lit(2)), F.lpad(checked.cast("string"), 2, "0"), body)
+    # Short network addresses have few forms, so later draws are written in full.
+    groups = F.concat_ws(":", *[F.substring(noise, 4 * k + 1, 4) for k in range(8)])
+    network = F.when(draw > 2, groups).otherwise(_hexadecimal(value, noise))
     return (
-        F.when(kind.isin("email", "access_key", "secret"), F.concat(issuer, free, top))
+        F.when(kind.isin("email", "access_key", "secret", "login"), F.concat(issuer, free, top))
+        .when(kind == "iban", iban)
+        .when(kind == "network", network)
+        .when((kind == "phone") & F.startswith(value, F.lit("0")), F.left(F.concat(F.lit("0"), above(1), _digits(noise, 2, 8)), F.char_length(value)))
         .when(kind == "phone", F.left(F.concat(above(0), _digits(noise, 1, 2), above(3), _digits(noise, 4, 6)), F.char_length(value)))
         .when((kind == "card") & (_luhn(value) == 0), card)
         .when(kind == "card", F.concat(number, _digits(noise, 16, 1)))
@@ -235,33 +290,59 @@ def _surrogate(row: Column) -> Column:
         .when(kind == "national_id", F.concat(above(0), _digits(noise, 1, 8)))
         .when(kind == "female_name", names["female"])
         .when(kind == "male_name", names["male"])
+        .when(kind == "given_name", names["given"])
         .otherwise(names["family"])
     )
 
 
+def _grouped(mention: Column, written: Column, counted: str) -> Column:
+    """The characters of ``written`` in the places of the mention that ``counted`` matches; all between stays."""
+    gaps = F.split(mention, counted, -1)
+    places = F.sequence(F.lit(1), F.size(gaps) - 1)
+    turns = F.transform(places, lambda k: F.concat(F.element_at(gaps, k), F.substring(written, k, F.lit(1))))
+    return F.concat(F.array_join(turns, ""), F.element_at(gaps, -1))
+
+
 def rendered(kind: Column, mention: Column, replacement: Column) -> Column:
     """The replacement in the writing of the mention: grouping of numbers, case of words."""
-    gaps = F.split(mention, "[0-9]", -1)
-    kept_digits = F.size(gaps) - 1 - F.char_length(replacement)
-    digits = F.concat(F.left(F.regexp_replace(mention, r"\D", ""), kept_digits), replacement)
-    # Gaps and digits take turns.
-    grouped = F.concat(
-        F.array_join(
-            F.transform(
-                F.sequence(F.lit(1), F.size(gaps) - 1),
-                lambda k: F.concat(F.element_at(gaps, k), F.substring(digits, k, F.lit(1))),
-            ),
-            "",
-        ),
-        F.element_at(gaps, -1),
+    digits = F.regexp_replace(mention, r"\D", "")
+    whole = F.concat(F.left(digits, F.char_length(digits) - F.char_length(replacement)), replacement)
+    return (
+        F.when(kind.isin("phone", "card", "national_id"), _grouped(mention, whole, "[0-9]"))
+        .when(kind == "iban", _grouped(mention, replacement, "[A-Z0-9]"))
+        .when(kind.isin("secret", "access_key", "address", "login"), replacement)
+        .when(kind == "network", F.when(F.upper(mention) == mention, F.upper(replacement)).otherwise(replacement))
+        .otherwise(_cased(mention, replacement))
     )
+
+
+def _cased(mention: Column, replacement: Column) -> Column:
     first = F.left(mention, F.lit(1))
-    cased = (
+    rest = F.substring(replacement, F.lit(2), F.char_length(replacement))
+    return (
         F.when((F.upper(mention) == mention) & (F.char_length(mention) > 1), F.upper(replacement))
-        .when(F.upper(first) == first, F.concat(F.upper(F.left(replacement, F.lit(1))), F.substring(replacement, F.lit(2), F.char_length(replacement))))
+        .when(F.upper(first) == first, F.concat(F.upper(F.left(replacement, F.lit(1))), rest))
         .otherwise(replacement)
-    )
-    return F.when(kind.isin("phone", "card", "national_id"), grouped).when(kind.isin("secret", "access_key", "address"), replacement).otherwise(cased)
+    )
+
+
+def _again(text: Column, names: Column) -> Column:
+    """Bare mentions of the names of a text, (kind, value, replacement): as they are written behind a title, in capitals and,
+    for family names, small. A name right behind a title in capitals stays, as that is read as no title."""
+    edge = r"(?![\p{L}\p{N}])"
+
+    def one(body: Column, name: Column) -> Column:
+        value, shown = name["value"], name["replacement"]
+        initial = F.concat(F.upper(F.left(shown, F.lit(1))), F.substring(shown, F.lit(2), F.char_length(shown)))
+        written = F.regexp_replace(F.initcap(F.regexp_replace(value, "['’‐-]", " $0 ")), " (['’‐-]) ", "$1")
+        body = F.regexp_replace(body, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), written, F.lit(edge)), initial)
+        body = F.regexp_replace(
+            body, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<!\b(?:MR|MRS|MS|MISS|HERR|FRAU|DR|PROF)\.? )"), F.upper(value), F.lit(edge)), F.upper(shown)
+        )
+        small = F.regexp_replace(body, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), value, F.lit(edge)), shown)
+        return F.when(name["kind"] == "family_name", small).otherwise(body)
+
+    return F.aggregate(names, text, one)
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
@@ -363,7 +444,8 @@ def replaced(docs: DataFrame, text_column: str = "text", key: str = "turnweave",
     """``docs`` with every entity of the text replaced; all other columns stay as they are, whatever their names.
 
     Null and empty texts, and texts without entities, stay unchanged. ``count_column`` adds the number of replaced
-    mentions. Rows that repeat are replaced alike. ``key`` decides the replacements; keep it secret.
+    mentions (bare mentions of a name are not counted). Rows that repeat are replaced alike. ``key`` decides the
+    replacements; keep it secret. Once a name stands behind a title, it is replaced wherever that text repeats it.
     """
     (text,) = named([text_column])
     holds = F.coalesce(may_hold(text) & text.rlike(PATTERN), F.lit(False))
@@ -371,32 +453,40 @@ def replaced(docs: DataFrame, text_column: str = "text", key: str = "turnweave",
     clean = docs.filter(~holds).select(*named(docs.columns), *count)
     row = F.struct(*named(docs.columns)).alias("row")
     held = kept(docs.filter(holds).select(row, text.alias("body"), F.sha2(text, 256).alias("place")), "held-texts")
-    # Texts are told apart by their digest; copies of a text are looked at once.
+    # Texts are told apart by their digest; copies of a text are looked at once. The number of tasks is that of shuffles,
+    # as searching costs far more than the bytes of the texts tell.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mentions = kept(
-        held.groupBy("place")
+        held.select("place", "body").repartition(tasks, "place")
+        .groupBy("place")
         .agg(F.first("body").alias("body"))
         .select("place", F.posexplode(found_in(F.col("body"))).alias("nth", "found"))
         .select("place", "nth", "found.*", canonical(F.col("found.kind"), F.col("found.mention")).alias("value")),
         "mentions",
     )
-    table = surrogate_table(mentions.select("kind", "value").distinct(), key)
-    written = mentions.join(table, ["kind", "value"]).select(
-        "place", "nth", F.concat("lead", rendered(F.col("kind"), F.col("mention"), F.col("replacement"))).alias("shown")
+    table = kept(surrogate_table(mentions.filter("kind is not null").select("kind", "value").distinct(), key), "surrogates")
+    shown = F.coalesce(rendered(F.col("kind"), F.col("mention"), F.col("replacement")), F.col("mention"))
+    is_name = F.col("kind").endswith("_name")
+    written = mentions.join(table, ["kind", "value"], "left").select(
+        "place", F.struct("nth", "match", F.concat("lead", shown).alias("shown"), F.col("kind").isNotNull().alias("changed")).alias("entity"),
+        F.when(is_name, F.struct((-F.char_length("value")).alias("order"), "value", "kind", "replacement")).alias("name"),
+    )
+    lines = written.groupBy("place").agg(
+        F.array_sort(F.collect_list("entity")).alias("shown"), F.array_sort(F.collect_set("name")).alias("names")
     )
-    lines = written.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("nth", "shown"))).alias("shown"))
     gaps = F.split("body", PATTERN, -1)
-    # Between the gaps of a text stand its entities, in order.
-    body = F.concat(
-        F.array_join(
-            F.transform(F.sequence(F.lit(1), F.size("shown")), lambda k: F.concat(F.element_at(gaps, k), F.element_at("shown.shown", k))),
-            "",
-        ),
-        F.element_at(gaps, -1),
-    )
-    joined = held.join(lines, "place").withColumn("_gaps", gaps)
-    new = body
-    count = [] if count_column is None else [F.size("shown").alias(count_column)]
+    # Before each match stands a gap of the text, in which names come up again without a title.
+    again = F.when(F.size("names") > 0, F.transform(gaps, lambda gap: _again(gap, F.col("names")))).otherwise(gaps)
+
+    def assembled(row: Column) -> Column:
+        entities, between = row["shown"], row["gaps"]
+        before = lambda e, at: F.when((at > 0) & (F.get(entities, at - 1)["match"] == e["match"]), "").otherwise(F.element_at(between, e["match"]))
+        told = F.transform(entities, lambda e, at: F.concat(before(e, at), e["shown"]))
+        return F.concat(F.array_join(told, ""), F.element_at(between, -1))
+
+    joined = held.join(lines, "place").withColumn("_new", _bound(assembled, shown=F.col("shown"), gaps=again))
+    count = [] if count_column is None else [F.size(F.filter("shown", lambda e: e["changed"])).alias(count_column)]
     changed = joined.select(
-        *[new.alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns], *count
+        *[F.col("_new").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns], *count
     )
     return clean.unionByName(changed)
