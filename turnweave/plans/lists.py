@@ -9,7 +9,7 @@ from turnweave.plans import catalogs, runs, views
 from turnweave.plans.views import with_views
 from turnweave.session import scratch_path
 from turnweave.sinks import documents as sinks
-from turnweave.sources import documents as document_sources
+from turnweave.sources import documents as document_sources, stages
 from turnweave.sources.files import table
 from turnweave.sources.item_folders import write_pieces
 from turnweave.sources.run_folders import input_items, read_runs
@@ -118,6 +118,35 @@ def source_records(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.regexp_extract("media_dir", "([^/]+)$", 1).alias("item_id"), "display_name")
 
 
+def _stage_folder(spark: SparkSession, sf: str) -> str:
+    """Both tool outputs of every recording as JSON files in its folder."""
+    folder = scratch_path(spark, "stages")
+    turns = views.speaker_turns(spark, sf).groupBy(F.col("media_id").cast("string").alias("item_id")).agg(
+        F.array_sort(F.collect_list(F.struct("turn_pos", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "speaker"))).alias("turns")
+    )
+    line = F.struct(
+        F.col("seg_index").alias("index"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"),
+        F.concat(F.lit("  "), "text").alias("text"), F.when(F.col("seg_index") % 2 == 0, F.col("logprob_milli") / 1000).alias("avg_logprob"),
+    )
+    said = views.raw_segments(spark, sf).groupBy(F.col("media_id").cast("string").alias("item_id")).agg(F.array_sort(F.collect_list(line)).alias("segments"))
+    whole = lambda df, name: df.select("item_id", F.lit(name).alias("document"), F.lit(0).alias("piece"), F.to_json(F.struct(F.lit("ok").alias("status"), df.columns[1])).alias("text"))
+    write_pieces(whole(turns, "diarize").union(whole(said, "transcribe")), folder)
+    return folder
+
+
+def read_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Speaker turns from the files that the diarization tool leaves."""
+    found, _ = stages.read_stage_outputs(spark, _stage_folder(spark, sf))
+    return found.select("media_id", "turn_pos", F.round(F.col("start") * 1000).cast("bigint").alias("start_ms"), "speaker")
+
+
+def read_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Transcript segments from the files that the transcription tool leaves."""
+    _, found = stages.read_stage_outputs(spark, _stage_folder(spark, sf))
+    milli = lambda name: F.round(F.col(name) * 1000).cast("bigint").alias(f"{name}_milli")
+    return found.select("media_id", "seg_index", milli("start"), milli("end"), milli("avg_logprob"), F.regexp_count("text", F.lit(" ")).alias("blanks"))
+
+
 _QUEUED = f"""with {catalogs.FOUND},
 queued as (
   select 'run-' || source_id as run_id, 'ref-' || lpad(d, 12, '0') as input_id, '/in/' || relative_path as original_path,
@@ -194,6 +223,20 @@ QUERIES = {
         select run_id, row_number() over (partition by run_id order by input_id) - 1 as item_pos, input_id, original_path, display_name,
           size_bytes, source_relative_path, source_file_identity from queued"""),
     ),
+    "s9_read_turns": (
+        read_turns,
+        with_views("speaker_turns", query="""select cast(media_id as varchar) as media_id,
+          row_number() over (partition by media_id order by turn_pos) - 1 as turn_pos, start_ms, speaker from speaker_turns"""),
+    ),
+    "s9_read_segments": (
+        read_segments,
+        with_views("raw_segments", query="""with read as (
+          select media_id, row_number() over (partition by media_id order by seg_index) as seg_index, start_ms as start_milli, end_ms as end_milli,
+            case when seg_index % 2 = 0 then logprob_milli end as avg_logprob_milli, trim(regexp_replace(text, '\\s+', ' ', 'g')) as said
+          from raw_segments)
+        select cast(media_id as varchar) as media_id, seg_index, start_milli, end_milli, avg_logprob_milli,
+          length(said) - length(replace(said, ' ', '')) as blanks from read where said <> ''"""),
+    ),
     "s11_read_source_info": (
         source_records,
         """select cast(doc_id as varchar) as item_id, case when doc_id % 6 = 0 then null when doc_id % 2 = 0 then 'source ' || doc_id
