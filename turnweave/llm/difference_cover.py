@@ -17,16 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnweave.llm.hashing import Windows, word_bounds, word_hashes
+from turnweave.llm.hashing import Windows, mix, word_bounds, word_hashes
 from turnweave.llm.tables import kept, slices
 from turnweave.operators.ordering import ranked
 
 # Perfect difference sets by period: each non-zero residue is one difference of two members.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 SLICE_BYTES = 1 << 18
+# Anchors are found by one hash; whole windows, on whose equality words are removed, are told apart by two.
 # ``at`` is a word place, above it the number of the text where an id has several.
 SEEN = "h long, doc long, at long"
-SEEN_ARROW = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
+WHOLE = "h long, g long, doc long, at long"
 
 
 def period_for(window: int) -> int:
@@ -39,10 +40,11 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return Windows(word_hashes(data, starts, ends)), starts, ends, before
 
 
-def _emit(hashes: np.ndarray, part: pa.RecordBatch, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _emit(part: pa.RecordBatch, row: np.ndarray, place: np.ndarray, **hashes: np.ndarray) -> pa.RecordBatch:
     doc, copy = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    at = (copy[row] << 32) + place
-    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc[row]), pa.array(at)], schema=SEEN_ARROW)
+    columns = {name: pa.array(values.view(np.int64)) for name, values in hashes.items()}
+    columns |= {"doc": pa.array(doc[row], pa.int64()), "at": pa.array((copy[row] << 32) + place, pa.int64())}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _anchors(window: int):
@@ -59,7 +61,7 @@ def _anchors(window: int):
             place = np.arange(len(row)) - before[:-1][row]
             # Documents of fewer words than a window cannot hold one.
             chosen = np.flatnonzero(covered[place % period] & (place + length <= count[row]) & (count[row] >= window))
-            yield _emit(windows(chosen, chosen + length, 21), part, row[chosen], place[chosen])
+            yield _emit(part, row[chosen], place[chosen], h=windows(chosen, chosen + length, 21))
 
     return run
 
@@ -70,7 +72,9 @@ def _candidates(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
-            windows, _, _, before = _words(data, offsets)
+            starts, ends, before = word_bounds(data, offsets)
+            hashes = word_hashes(data, starts, ends)
+            windows, other = Windows(hashes), Windows(mix(hashes, 99))
             row, place = _flat(part.column(part.schema.get_field_index("places")), before)
             total = int(before[-1])
             step = np.zeros(total + 1, np.int32)
@@ -79,7 +83,8 @@ def _candidates(window: int):
             near = np.cumsum(step)[:-1] > 0
             text_of = np.repeat(np.arange(len(before) - 1), np.diff(before))
             chosen = np.flatnonzero(near & (np.arange(total) + window <= before[1:][text_of]))
-            yield _emit(windows(chosen, chosen + window, 22), part, text_of[chosen], chosen - before[:-1][text_of[chosen]])
+            place = chosen - before[:-1][text_of[chosen]]
+            yield _emit(part, text_of[chosen], place, h=windows(chosen, chosen + window, 22), g=other(chosen, chosen + window, 23))
 
     return run
 
@@ -93,11 +98,11 @@ def _flat(column: pa.Array, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row[inside], place[inside]
 
 
-def _shared(seen: DataFrame) -> DataFrame:
-    """Rows whose hash occurs in two documents, with the smallest of these documents."""
-    shared = seen.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+def _shared(seen: DataFrame, *hashes: str) -> DataFrame:
+    """Rows whose hashes occur in two documents, with the smallest of these documents."""
+    shared = seen.groupBy(*hashes).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     # Written first: the join then deals out its rows anew, and adaptive execution can split a frequent hash.
-    return seen.join(kept(shared.select("h", "low"), "shared"), "h")
+    return seen.join(kept(shared.select(*hashes, "low"), "shared"), list(hashes))
 
 
 def numbered_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -121,9 +126,9 @@ def repeated_windows(texts: DataFrame, window: int = 50) -> DataFrame:
     """(_row_id, _copy, starts) of ``numbered_texts``: the word places at which a window starts that also starts in a text of a smaller id."""
     rows = texts.select("_row_id", "_copy", "_text").filter("_row_id is not null and length(_text) > 0")
     seen = rows.mapInArrow(_anchors(window), SEEN)
-    places = kept(_listed(_shared(seen), "places"), "anchors")
-    wide = rows.join(places, ["_row_id", "_copy"]).mapInArrow(_candidates(window), SEEN)
-    return kept(_listed(_shared(wide).filter("doc > low"), "starts"), "repeats")
+    places = kept(_listed(_shared(seen, "h"), "places"), "anchors")
+    wide = rows.join(places, ["_row_id", "_copy"]).mapInArrow(_candidates(window), WHOLE)
+    return kept(_listed(_shared(wide, "h", "g").filter("doc > low"), "starts"), "repeats")
 
 
 def _strip(window: int):
