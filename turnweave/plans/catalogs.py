@@ -291,7 +291,7 @@ def union_catalog(spark: SparkSession, sf: str) -> DataFrame:
     pos = F.col("catalog_pos")
     path = F.concat(F.when(pos % 2 == 0, "/Out/").otherwise("/out/"), (pos - pos % 4).cast("string"))
     scanned = stored.filter(pos % 3 == 0).withColumn("artifact_path", path)
-    cached = stored.filter(pos % 3 != 1).withColumn("artifact_path", F.when(pos % 9 != 5, path).otherwise(F.lit("")))
+    cached = stored.withColumn("artifact_path", F.when(pos % 9 != 5, path).otherwise(F.lit("")))
     united = catalog.union_catalog(scanned, cached)
     return united.select("catalog_pos", "artifact_path", F.col("catalog_order._origin").alias("origin"))
 
@@ -618,7 +618,7 @@ QUERIES = {
         scanned as (select * from p where catalog_pos % 3 = 0),
         cached as (
           select *, row_number() over (partition by lower(artifact_path) order by catalog_pos) as n from p
-          where catalog_pos % 3 <> 1 and catalog_pos % 9 <> 5
+          where catalog_pos % 9 <> 5
             and lower(artifact_path) not in (select lower(artifact_path) from scanned))
         select catalog_pos, artifact_path, 0 as origin from scanned
         union all select catalog_pos, artifact_path, 1 from cached where n = 1"""),

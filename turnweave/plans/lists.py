@@ -151,7 +151,7 @@ _QUEUED = f"""with {catalogs.FOUND},
 queued as (
   select 'run-' || source_id as run_id, 'ref-' || lpad(d, 12, '0') as input_id, '/in/' || relative_path as original_path,
     d || '.wav' as display_name, size_bytes, relative_path as source_relative_path, source_file_identity
-  from (select *, regexp_extract(relative_path, '([0-9]+)\.wav$', 1) as d from planned) where action = 'queued')"""
+  from (select *, regexp_extract(relative_path, '([0-9]+)\\.wav$', 1) as d from planned) where action = 'queued')"""
 
 QUERIES = {
     "j16_p31_list_items": (
@@ -180,7 +180,7 @@ QUERIES = {
         with_views("inventory", "catalog", query=f"""with status as ({catalogs.QUERIES["j6_file_status"][1]}),
         summaries as (select audio_id as media_id, max(catalog_pos % 9) as turns, max(catalog_pos % 4) as speakers
           from catalog where catalog_pos % 3 <> 0 group by 1),
-        files as (select *, cast(regexp_extract(relative_path, '([0-9]+)\.wav$', 1) as bigint) as d,
+        files as (select *, cast(regexp_extract(relative_path, '([0-9]+)\\.wav$', 1) as bigint) as d,
           lang_of, case when length(source_id) > 4 then 'D:\\Audio\\' || upper(source_id) else '/host/' || upper(source_id) end as root
           from (select *, regexp_extract(relative_path, '^(.*)/', 1) as lang_of from inventory))
         select source_id, source_id as source_display_name, root as root_path, relative_path, lang_of as directory, d || '.wav' as file_name,

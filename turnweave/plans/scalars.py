@@ -268,12 +268,13 @@ def source_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Both documents of every recording parsed from JSON text; some lack a source, a pipeline or a document."""
-    media = F.col("doc_id")
+    """Both documents of every recording parsed from JSON text; some lack a source or a pipeline. Further items have one of
+    the documents only."""
+    media, documents = F.col("doc_id"), table(spark, sf, "documents")
     source = F.struct(_stamp("h", media.cast("string")).alias("source_hash"), (media / F.lit(4.0)).alias("duration_sec"))
     pipeline = F.struct(_stamp("sig", (media % 3).cast("string")).alias("generation_signature"))
 
-    def made(name: str, kept, with_source, with_pipeline) -> DataFrame:
+    def made(name: str, alone, with_source, with_pipeline) -> DataFrame:
         payload = F.to_json(
             F.struct(
                 F.lit(name).alias("generated_at"),
@@ -281,23 +282,25 @@ def item_documents(spark: SparkSession, sf: str) -> DataFrame:
                 F.when(with_pipeline, pipeline).alias("pipeline"),
             )
         )
-        folder = _stamp("/out/", media.cast("string"))
+        item, only = media.cast("string"), _stamp(media.cast("string"), "-only-", name)
+        rows = documents.select("doc_id", item.alias("item")).union(documents.filter(alone).select("doc_id", only))
+        folder = _stamp("/out/", F.col("item"))
         parsed = F.from_json(payload, document_sources.DOCUMENT_SCHEMA)
-        return table(spark, sf, "documents").filter(kept).select(
-            media.cast("string").alias("audio_id"), folder.alias("item_dir"),
+        return rows.select(
+            F.col("item").alias("audio_id"), folder.alias("item_dir"),
             _stamp(folder, "/", name).alias("document_path"), F.lit(None).cast("timestamp").alias("modified_at"),
             parsed.alias("_d"),
         ).select("audio_id", "item_dir", "document_path", "modified_at", "_d.*")
 
     found = document_sources.assemble_items(
-        made("timeline.json", media % 7 != 0, media % 2 == 0, media % 5 == 0),
-        made("convert_info.json", media % 11 != 0, media % 3 == 0, media % 3 == 0),
+        made("timeline.json", media % 7 == 0, (media % 2 == 0) | (media % 5 != 0), media % 5 == 0),
+        made("convert_info.json", media % 11 == 0, media % 3 == 0, media % 3 == 0),
     )
     return found.select("audio_id", "artifact_path", "source_hash", "duration_seconds", "conversion_signature")
 
 
 def run_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Run documents parsed from JSON text: old counter names, missing states, runs without a manifest."""
+    """Run documents parsed from JSON text: old counter names, missing states, runs without a manifest. Further runs have no status."""
     key = F.col("o_orderkey")
     orders = table(spark, sf, "orders").withColumn("run_dir", _stamp("/runs/run-", key.cast("string")))
     request = F.to_json(F.struct(F.when(key % 3 != 0, _stamp("r", key.cast("string"))).alias("run_id")))
@@ -315,8 +318,8 @@ def run_documents(spark: SparkSession, sf: str) -> DataFrame:
         return rows.select("run_dir", F.from_json(payload, schema).alias("_d")).select("run_dir", "_d.*")
 
     runs = run_folders.assemble_runs(
-        parsed(request, run_folders.REQUEST_SCHEMA, orders),
-        parsed(status, run_folders.STATUS_SCHEMA, orders.filter(key % 5 != 0)),
+        parsed(request, run_folders.REQUEST_SCHEMA, orders.union(orders.filter(key % 5 == 0).withColumn("run_dir", _stamp(F.col("run_dir"), "-bare")))),
+        parsed(status, run_folders.STATUS_SCHEMA, orders),
         parsed(manifest, run_folders.MANIFEST_SCHEMA, orders.filter(key % 6 != 0)),
     )
     sums = F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, i: acc + i.getField("size_bytes"))
@@ -464,10 +467,10 @@ QUERIES = {
     "s4_j7_item_documents": (
         item_documents,
         """select cast(doc_id as varchar) as audio_id, '/out/' || doc_id || '/timeline.json' as artifact_path,
-          case when doc_id % 3 = 0 or doc_id % 2 = 0 then 'h' || doc_id end as source_hash,
-          case when doc_id % 3 = 0 or doc_id % 2 = 0 then doc_id / 4.0::double end as duration_seconds,
+          case when doc_id % 3 = 0 or doc_id % 2 = 0 or doc_id % 5 <> 0 then 'h' || doc_id end as source_hash,
+          case when doc_id % 3 = 0 or doc_id % 2 = 0 or doc_id % 5 <> 0 then doc_id / 4.0::double end as duration_seconds,
           case when doc_id % 3 = 0 or doc_id % 5 = 0 then 'sig' || doc_id % 3 end as conversion_signature
-        from documents where doc_id % 7 <> 0 and doc_id % 11 <> 0 and (doc_id % 3 = 0 or doc_id % 2 = 0 or doc_id % 5 = 0)""",
+        from documents""",
     ),
     "s6_j8_run_documents": (
         run_documents,
@@ -475,6 +478,6 @@ QUERIES = {
           'run-' || o_orderkey as run_name, case when o_orderkey % 4 <> 0 then 'running' else 'unknown' end as state,
           case when o_orderkey % 2 = 0 then o_orderkey % 10 else o_orderkey % 7 end as items_done,
           case when o_orderkey % 6 <> 0 then o_orderkey * 4 else 0 end as total_size_bytes
-        from orders where o_orderkey % 5 <> 0""",
+        from orders""",
     ),
 }

@@ -125,10 +125,12 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     doc = F.col("doc_id")
     identity = F.concat("source", F.lit("::"), "lang", F.lit("/"), doc.cast("string"), F.lit(".wav"))
-    first = documents.filter(doc % 5 != 0).select(
+    # Every fifth file was moved since: its row holds the place where it was, so the file itself is new to the catalog.
+    moved = F.when(doc % 5 == 0, F.concat(F.lit("moved-"), identity)).otherwise(identity)
+    first = documents.select(
         (doc * 2).alias("catalog_pos"),
         F.concat(F.lit("item-"), doc.cast("string")).alias("audio_id"),
-        F.upper(identity).alias("source_file_identity"),
+        F.upper(moved).alias("source_file_identity"),
         F.when(doc % 7 == 0, F.sha2(F.concat("text", F.lit("x")), 256))
         .otherwise(F.sha2("text", 256))
         .alias("source_hash"),
@@ -247,11 +249,12 @@ SQL_VIEWS = {
         from documents""",
     "catalog": """
         select doc_id * 2 as catalog_pos, concat('item-', cast(doc_id as varchar)) as audio_id,
-          upper(concat(source, '::', lang, '/', cast(doc_id as varchar), '.wav')) as source_file_identity,
+          upper(concat(case when doc_id % 5 = 0 then 'moved-' else '' end, source, '::', lang, '/', cast(doc_id as varchar), '.wav'))
+            as source_file_identity,
           case when doc_id % 7 = 0 then sha256(concat(text, 'x')) else sha256(text) end as source_hash,
           case when doc_id % 3 = 0 then 'sig-gpu' else 'sig-cpu' end as conversion_signature,
           doc_id % 11 <> 0 as artifact_exists
-        from documents where doc_id % 5 <> 0
+        from documents
         union all
         select doc_id * 2 + 1, concat('item-', cast(doc_id as varchar), '-b'),
           concat(source, '::', lang, '/', cast(doc_id as varchar), '.wav'), sha256(text), 'sig-cpu', true
