@@ -267,3 +267,27 @@ def test_vectors_of_more_lengths_than_cells_are_compared(spark, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
     found = embedding_groups(table).collect()
     assert sorted((r[0], r["component_id"]) for r in found) == [(10 * n + k, 10 * n) for n in (1, 2, 3) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("split, most", [(40, 4), (15, 3)])
+def test_large_cells_are_cut_again(spark, monkeypatch, split, most):
+    from turnweave.llm import embedding_cells
+
+    for name, value in {"CELL_ROWS": 12, "MOST_CELLS": most, "SPLIT_ROWS": split, "PART_SAMPLE": 30, "CHUNK": 25, "BLOCK": 8}.items():
+        monkeypatch.setattr(embedding_cells, name, value)
+    rng = np.random.default_rng(split)
+    rows = []
+    for k in range(420):
+        width = 6 if k % 9 else 4
+        centre = np.random.default_rng(k % 60).normal(size=width)
+        rows.append((k, (centre + rng.normal(size=width) * rng.choice([0.05, 0.2, 0.6])).tolist(), k % 2))
+    rows += [(500 + k, rows[k][1], rows[k][2]) for k in range(0, 40, 3)] + [(600, [1.0, 2.0, 3.0], 0), (601, [2.0, 4.0, 6.0], 0)]
+    found = {r["vec_id"]: r for r in embedding_groups(vectors(spark, rows)).collect()}
+    unit = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    label = {i: l for i, _, l in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and label[a] == label[b] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
+    want = united(unit, links)
+    degree = Counter(x for pair in links for x in pair)
+    assert len(links) > 100
+    assert {i: (found[i]["n_links"], found[i]["component_id"]) for i in unit} == {i: (degree[i], want[i]) for i in unit}

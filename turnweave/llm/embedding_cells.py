@@ -5,6 +5,10 @@ at home in cell j, the plane between both centroids separates them, so their ang
 plane. Hence x has to visit cell j only if that angle is within the limit, and of two cells the later one visits the
 earlier one, which finds each pair once.
 
+Cells follow the rows: the first level has at most ``MOST_CELLS`` centroids, fitted on a bounded sample, and every cell of a
+label that still holds many vectors is cut again by centroids of its own, fitted inside a task on a bounded sample of the
+cell. The same rule tells which vectors visit which part; two visitors of a cell are compared where one of them is at home.
+
 Equal vectors (one vector may make up a third of all rows) are counted and merged first. Cells are cut into blocks of
 ``BLOCK`` vectors, and each task multiplies two blocks, so a large cell is many tasks. A task returns link counts and a
 spanning star per group it sees, never all pairs.
@@ -24,7 +28,10 @@ from turnweave.llm.tables import kept, lists
 
 SAMPLE_ROWS = 20_000  # distinct vectors the centroids are fitted on
 CELL_ROWS = 4_096  # vectors aimed at per cell
-MOST_CELLS = 1_024
+MOST_CELLS = 1_024  # centroids fitted at once
+SPLIT_ROWS = 16_384  # vectors of one label in a cell above which it is cut again
+PART_SAMPLE = 8_192  # vectors of a cell its own centroids are fitted on
+CHUNK = 8_192  # vectors of a cell that a task places at once
 BLOCK = 1_024
 ITERATIONS = 8
 SLACK = 1e-9
@@ -77,50 +84,100 @@ def _units():
     return run, "_row_id long, label string, unit array<double>"
 
 
-def _homes(centroids: np.ndarray, least: float):
-    """Each vector at home in its cell, and as a visitor in the earlier cells that may hold a partner."""
-    schema = pa.schema(
-        [("rep", pa.int64()), ("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("unit", pa.list_(pa.float64()))]
-    )
-    reach = np.sqrt(max(0.0, 1 - least * least)) + SLACK
-    width = centroids.shape[1]
-    apart = np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2)
+def _visits(units: np.ndarray, centroids: np.ndarray, apart: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own cell of each vector, and (row, cell) of the earlier cells that may hold a partner."""
+    near = units @ centroids.T
+    own = near.argmax(axis=1)
+    margin = near[np.arange(len(own)), own][:, None] - near
+    # Centroids that coincide leave no plane between them.
+    row, cell = np.nonzero((margin <= reach * apart[own]) & (np.arange(len(centroids))[None, :] < own[:, None]))
+    return own, row, cell
+
+
+def _apart(centroids: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2)
+
+
+def _reach(least: float) -> float:
+    return float(np.sqrt(max(0.0, 1 - least * least)) + SLACK)
+
+
+PLACED = [("rep", pa.int64()), ("label", pa.string()), ("copies", pa.int64()), ("width", pa.int32()), ("cell", pa.int32())]
+
+
+def _homes(fitted: dict[int, np.ndarray], least: float):
+    """Each vector at home in its cell, and as a guest in the earlier cells that may hold a partner; lengths have cells of their own."""
+    schema = pa.schema([*PLACED, ("guest", pa.bool_()), ("unit", pa.list_(pa.float64()))])
+    reach = _reach(least)
+    between = {width: _apart(centroids) for width, centroids in fitted.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 2048):
-                batch = whole.slice(first, 2048)
-                units = _matrix(batch.column(2), width)
-                near = units @ centroids.T
-                own = near.argmax(axis=1)
-                margin = near[np.arange(len(own)), own][:, None] - near
-                # Centroids that coincide leave no plane between them.
-                visits = (margin <= reach * apart[own]) & (np.arange(len(centroids))[None, :] < own[:, None])
-                row, cell = np.nonzero(visits)
-                row = np.concatenate([np.arange(len(own)), row])
-                cell = np.concatenate([own, cell])
-                home = np.arange(len(row)) < len(own)
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(cell.astype(np.int32)), pa.array(home), taken.column(2)],
-                    schema=schema,
-                )
-
-    return run, "rep long, label string, cell int, home boolean, unit array<double>"
-
-
-def _products(least: float, width: int):
+            sizes = pc.list_value_length(whole.column(3)).to_numpy(zero_copy_only=False)
+            for width in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == width)
+                for first in range(0, len(rows), 2048):
+                    batch = whole.take(pa.array(rows[first : first + 2048]))
+                    if width in fitted:
+                        own, row, cell = _visits(_matrix(batch.column(3), width), fitted[width], between[width], reach)
+                    else:
+                        own, row, cell = np.zeros(batch.num_rows, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    taken = batch.take(pa.array(np.concatenate([np.arange(len(own)), row])))
+                    cell = np.concatenate([own, cell]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [taken.column(0), taken.column(1), taken.column(2), pa.array(np.full(len(cell), width, np.int32)), pa.array(cell),
+                         pa.array(np.arange(len(cell)) >= len(own)), taken.column(3)],
+                        schema=schema,
+                    )
+
+    return run, "rep long, label string, copies long, width int, cell int, guest boolean, unit array<double>"
+
+
+def _fit_parts(group: pa.Table) -> pa.Table:
+    """Centroids of one cell, from a sample of its vectors."""
+    width, rows = group["width"][0].as_py(), group["rows"][0].as_py()
+    group = group.sort_by("rep")
+    units = _matrix(group["unit"], width)
+    parts = int(min(MOST_CELLS, len(units), max(1, -(-rows // CELL_ROWS))))
+    centroids = spherical_k_means(units, parts)
+    key = [pa.array([group[c][0].as_py()], t) for c, t in (("label", pa.string()), ("width", pa.int32()), ("cell", pa.int32()))]
+    return pa.table([*key, lists(centroids.reshape(-1), np.array([centroids.size]), pa.float64())], names=["label", "width", "cell", "centroids"])
+
+
+def _parts(least: float):
+    """Vectors of a chunk of a cell settled in a part of it, and as visitors in the earlier parts that may hold a partner."""
+    schema = pa.schema([*PLACED, ("part", pa.int32()), ("settled", pa.bool_()), ("guest", pa.bool_()), ("unit", pa.list_(pa.float64()))])
+    reach = _reach(least)
+
+    def run(chunk: pa.Table, fitted: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return schema.empty_table()
+        width = chunk["width"][0].as_py()
+        centroids = _matrix(fitted["centroids"], width)
+        own, row, part = _visits(_matrix(chunk["unit"], width), centroids, _apart(centroids), reach)
+        taken = chunk.take(pa.array(np.concatenate([np.arange(len(own)), row])))
+        part = np.concatenate([own, part]).astype(np.int32)
+        columns = {name: taken[name] for name in schema.names if name in taken.column_names}
+        columns |= {"part": pa.array(part), "settled": pa.array(np.arange(len(part)) < len(own))}
+        return pa.table([columns[name] for name in schema.names], schema=schema)
+
+    return run, "rep long, label string, copies long, width int, cell int, part int, settled boolean, guest boolean, unit array<double>"
+
+
+def _products(least: float):
     schema = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
         rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-        units = _matrix(group.column("unit"), width)
+        units = _matrix(group.column("unit"), group.column("width")[0].as_py())
+        guest = group.column("guest").to_numpy()
         one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         within = not len(other)
         if within:
             other = one
-        close = units[one] @ units[other].T >= least
+        # Two guests of a cell meet in the cell of one of them.
+        close = (units[one] @ units[other].T >= least) & ~(guest[one][:, None] & guest[other][None, :])
         if within:
             np.fill_diagonal(close, False)
         i, j = np.nonzero(close)
@@ -178,20 +235,11 @@ def embedding_groups(
     members = kept(members, "vector-members")
     # An id that several rows carry joins their vectors; other rows of equal vectors follow their representative.
     twice = members.groupBy("_row_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a > b")
-    counted, links = [], members.join(twice.select("_row_id", "b"), "_row_id").select(F.col("rep").alias("a"), "b")
-    for width in [r[0] for r in same.select(F.size("unit").alias("w")).distinct().collect()]:
-        found = kept(_compared(same.filter(F.size("unit") == width), width, least), "products")
-        counted.append(found.groupBy("rep").agg(F.sum("links").alias("far")))
-        links = links.union(found.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    links = members.join(twice.select("_row_id", "b"), "_row_id").select(F.col("rep").alias("a"), "b")
+    found = kept(_compared(same, least), "products")
+    links = links.union(found.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     groups = components(links)
-    totals = members
-    if counted:
-        far = counted[0]
-        for more in counted[1:]:
-            far = far.union(more)
-        totals = members.join(far, "rep", "left")
-    else:
-        totals = members.withColumn("far", F.lit(0).cast("bigint"))
+    totals = members.join(found.groupBy("rep").agg(F.sum("links").alias("far")), "rep", "left")
     totals = totals.join(groups.withColumnRenamed("id", "rep"), "rep", "left").groupBy("_row_id").agg(
         F.max(F.coalesce("far", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"),
         F.min(F.coalesce("component", "rep")).alias("component"),
@@ -208,41 +256,71 @@ def embedding_groups(
     )
 
 
-def _compared(same: DataFrame, width: int, least: float) -> DataFrame:
-    total = same.count()
-    cells = int(min(MOST_CELLS, max(1, total // CELL_ROWS)))
-    # A bounded sample (SAMPLE_ROWS rows) comes to the driver to fit the centroids; all vectors are assigned.
-    share = min(1.0, 1.2 * SAMPLE_ROWS / max(1, total))
-    picked = same.filter(F.abs(F.hash("rep")) % 1_000_000 < F.lit(int(share * 1_000_000) + 1)).select("unit").limit(SAMPLE_ROWS)
-    sample = np.array([r[0] for r in picked.collect()], dtype=np.float64).reshape(-1, width)
-    cells = max(1, min(cells, len(sample)))
-    centroids = spherical_k_means(sample, cells) if len(sample) else np.zeros((1, width))
-    run, kind = _homes(centroids, least)
-    placed = same.select("rep", "label", "unit").mapInArrow(run, kind)
-    placed = kept(placed.join(same.select("rep", "label", "copies"), ["rep", "label"]), "cells")
-    sizes = placed.groupBy("label", "cell").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("homes"),
-        F.ceil(F.sum((~F.col("home")).cast("int")) / BLOCK).cast("int").alias("visitors"),
+def _fitted(same: DataFrame) -> dict[int, np.ndarray]:
+    """Centroids of the vector lengths that fill more than one cell, fitted on at most SAMPLE_ROWS vectors on the driver."""
+    many = {r["w"]: r["n"] for r in same.groupBy(F.size("unit").alias("w")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * CELL_ROWS).collect()}
+    total = sum(many.values())
+    if not total:
+        return {}
+    share = min(1.0, 1.2 * SAMPLE_ROWS / total)
+    picked = same.filter(F.size("unit").isin(*many)).filter(F.abs(F.hash("rep")) % 1_000_000 < F.lit(int(share * 1_000_000) + 1))
+    sample: dict[int, list] = {}
+    for row in picked.select("unit").limit(SAMPLE_ROWS).collect():
+        sample.setdefault(len(row[0]), []).append(row[0])
+    return {
+        width: spherical_k_means(np.array(units, np.float64), min(MOST_CELLS, many[width] // CELL_ROWS, len(units)))
+        for width, units in sample.items()
+    }
+
+
+def _compared(same: DataFrame, least: float) -> DataFrame:
+    """(rep, other, links): numbers of links of each vector per task, and a vector it is connected with."""
+    run, kind = _homes(_fitted(same), least)
+    placed = kept(same.select("rep", "label", "copies", "unit").mapInArrow(run, kind), "cells")
+    cell = ["label", "width", "cell"]
+    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("guest")).alias("own"))
+    large = kept(sizes.filter(F.col("own") > SPLIT_ROWS), "large-cells")
+    whole = placed.join(large.select(*cell), cell, "left_anti").select(
+        *[n for n, _ in PLACED], F.lit(0).alias("part"), (~F.col("guest")).alias("settled"), "guest", "unit"
+    )
+    if large.limit(1).count():
+        # Vectors of a large cell are dealt out by hash, so no task fits or places more than a bounded number of them.
+        inside = placed.join(large, cell)
+        share = F.abs(F.hash("rep", F.lit(1))) % 1_000_000 < F.lit(1_000_000) * PART_SAMPLE / F.col("own")
+        sample = inside.filter(~F.col("guest") & share).select(*cell, "rep", "unit", F.col("rows"))
+        fitted = kept(sample.groupBy(*cell).applyInArrow(_fit_parts, "label string, width int, cell int, centroids array<double>"), "part-centroids")
+        chunks = F.ceil(F.col("rows") / CHUNK).cast("bigint")
+        dealt = inside.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).select(*[n for n, _ in PLACED], "guest", "unit", "chunk")
+        wanted = large.select(*cell, F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk")).join(fitted, cell)
+        run, kind = _parts(least)
+        key = [*cell, "chunk"]
+        whole = whole.unionByName(dealt.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(run, kind))
+        whole = kept(whole, "parts")
+    return _block_products(whole, [*cell, "part"], least)
+
+
+def _block_products(placed: DataFrame, cell: list[str], least: float) -> DataFrame:
+    sizes = placed.groupBy(*cell).agg(
+        F.ceil(F.sum(F.col("settled").cast("int")) / BLOCK).cast("int").alias("homes"),
+        F.ceil(F.sum((~F.col("settled")).cast("int")) / BLOCK).cast("int").alias("visitors"),
     )
-    spread = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visitors")).cast("bigint"))
-    blocked = placed.join(sizes, ["label", "cell"]).filter("homes > 0").withColumn("block", spread.cast("int"))
+    spread = F.pmod(F.xxhash64("rep"), F.when(F.col("settled"), F.col("homes")).otherwise(F.col("visitors")).cast("bigint"))
+    blocked = placed.join(sizes, cell).filter("homes > 0").withColumn("block", spread.cast("int"))
     # Home blocks meet each other once (first <= second); visitors' blocks follow them in the numbering.
-    home_tasks = F.concat(
-        F.transform(
-            F.sequence(F.lit(0), F.col("homes") + F.col("visitors") - 1),
-            lambda k: F.struct(
-                F.least(k, F.col("block")).alias("p"),
-                F.greatest(k, F.col("block")).alias("q"),
-                F.when(k < F.col("block"), 1).otherwise(0).alias("side"),
-            ),
-        )
+    home_tasks = F.transform(
+        F.sequence(F.lit(0), F.col("homes") + F.col("visitors") - 1),
+        lambda k: F.struct(
+            F.least(k, F.col("block")).alias("p"),
+            F.greatest(k, F.col("block")).alias("q"),
+            F.when(k < F.col("block"), 1).otherwise(0).alias("side"),
+        ),
     )
     visitor_tasks = F.transform(
         F.sequence(F.lit(0), F.col("homes") - 1),
         lambda k: F.struct(k.alias("p"), (F.col("homes") + F.col("block")).alias("q"), F.lit(1).alias("side")),
     )
-    tasks = blocked.withColumn("task", F.explode(F.when(F.col("home"), home_tasks).otherwise(visitor_tasks))).select(
-        "label", "cell", "task.p", "task.q", "task.side", "rep", "copies", "unit"
+    tasks = blocked.withColumn("task", F.explode(F.when(F.col("settled"), home_tasks).otherwise(visitor_tasks))).select(
+        *cell, "task.p", "task.q", "task.side", "rep", "copies", "guest", "unit"
     )
-    run, kind = _products(least, width)
-    return tasks.groupBy("label", "cell", "p", "q").applyInArrow(run, kind)
+    run, kind = _products(least)
+    return tasks.groupBy(*cell, "p", "q").applyInArrow(run, kind)
