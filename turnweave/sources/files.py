@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -38,6 +39,14 @@ def paths_matching(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
     return [pattern for pattern in patterns if matches(pattern)]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A folder as Spark's readers name the files in it: with its file system, but for local ones; without a trailing slash."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub(r"^file:/+", "/", whole).rstrip("/")
+
+
 def paths_of(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that a glob pattern matches, in byte order."""
     context = spark.sparkContext
@@ -58,7 +67,7 @@ def discover_files(
     allowed = normalize_extensions(extensions)
     present = paths_matching(spark, [root["path"] for root in roots])
     missing = [root["path"] for root in roots if root["path"] not in present]
-    schema = "source_id string, root_path string, path string, size_bytes bigint, modified_at timestamp"
+    schema = "source_id string, root_path string, _below string, path string, size_bytes bigint, modified_at timestamp"
     found = spark.createDataFrame([], schema)
     for root in roots:
         if root["path"] in missing:
@@ -70,18 +79,19 @@ def discover_files(
         listed = reader.load(base).select(
             F.lit(root["source_id"]).alias("source_id"),
             F.lit(base).alias("root_path"),
+            F.lit(qualified(spark, base)).alias("_below"),
             _local_path(F.col("path")).alias("path"),
             F.col("length").alias("size_bytes"),
             F.col("modificationTime").alias("modified_at"),
         )
         found = found.unionByName(listed)
-    relative = relative_to(F.col("path"), F.col("root_path"))
+    relative = relative_to(F.col("path"), F.col("_below"))
     kept = found.filter(extension(F.col("path")).isin(*allowed)).select(
         "*",
         relative.alias("relative_path"),
         source_identity(F.col("source_id"), relative).alias("source_file_identity"),
         file_name(F.col("path")).alias("file_name"),
-    )
+    ).drop("_below")
     return kept, missing
 
 

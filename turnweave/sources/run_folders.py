@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnweave.sources.files import paths_matching
+from turnweave.sources.files import paths_matching, qualified
 
 REQUEST_SCHEMA = (
     "run_id string, created_at string, output_root_path string, compute_mode string, conversion_signature string, "
@@ -34,7 +33,7 @@ MANIFEST_SCHEMA = (
 def _documents(spark: SparkSession, parents: Sequence[str], file: str, schema: str) -> DataFrame:
     # Only the parents are looked up on the driver; the reader lists the run folders below them.
     present = paths_matching(spark, parents)
-    below = [re.sub(r"^file:/+", "/", parent).rstrip("/") for parent in present]
+    below = [qualified(spark, parent) for parent in present]
     folder = F.regexp_extract(
         F.regexp_replace(F.url_decode("_metadata.file_path"), r"^file:/+", "/"), r"^(.*)/[^/]+$", 1
     )

@@ -18,7 +18,7 @@ from turnweave.functions.text import (
 )
 from turnweave.operators.refresh import plan_refresh
 from turnweave.sinks.catalog_log import known_rows, merge_index
-from turnweave.sources.files import hash_files
+from turnweave.sources.files import hash_files, qualified
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -29,7 +29,7 @@ def new_files(spark: SparkSession, source_id: str, folder: str, extensions: Sequ
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(folder)
     )
     path = F.regexp_replace("path", r"^file:/+", "/")
-    relative = relative_to(path, F.lit(folder.rstrip("/")))
+    relative = relative_to(path, F.lit(qualified(spark, folder)))
     return files.filter(extension(F.col("path")).isin(*normalize_extensions(extensions))).select(
         F.lit(source_id).alias("source_id"),
         path.alias("path"),
