@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnweave.functions.numbers import round_to
-from turnweave.functions.text import directory, display_path, file_name, non_blank, strip
+from turnweave.functions.text import directory, display_path, file_name, non_blank
 from turnweave.operators.catalog import with_item_ids
 from turnweave.operators.items import artifact_location, folder_is_safe, item_updated_at
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnweave.functions.text import identity_key, lowered, non_blank, strip
 from turnweave.operators.ordering import ranked
 from turnweave.session import stored
-from turnweave.sources.files import paths_matching, paths_of
+from turnweave.sources.files import paths_of
 
 BUCKETS = 64  # of each side; to be raised before the first merge of a catalog that outgrows them
 POSITION = ("commit", "place")
