@@ -98,7 +98,7 @@ def test_stages_bear_awkward_tables(spark, tmp_path):
 
 
 def test_stages_bear_repeated_ids_and_odd_names(spark):
-    a, b, c = (" ".join(f"w{(k * 31 + seed) % 97}" for k in range(80)) for seed in (1, 40, 70))
+    a, b, c = (" ".join(f"w{seed}x{k * 31 % 97}" for k in range(80)) for seed in (1, 40, 70))
     rows = docs(spark, [(1, a), (2, a + " x"), (2, b), (3, c + " mail me@here.org"), (3, ""), (4, None), (5, "long " * 30000)])
     rows = rows.select("*", F.lit("k").alias("a.b"), F.lit(1).alias("_row"), F.lit(2).alias("_copy"), F.lit(3).alias("b`c"))
     stages = dict(corpus_pipeline.STAGES)
