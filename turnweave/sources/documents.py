@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnweave.functions.text import non_blank
 from turnweave.session import stored
-from turnweave.sources.files import paths_matching
-from turnweave.sources.item_folders import read_pieces
+from turnweave.sources.item_folders import read_first, read_pieces
 
 SOURCE_SCHEMA = (
     "struct<file_name:string, display_name:string, original_path:string, source_kind:string, source_id:string, "
@@ -222,23 +221,13 @@ def read_source_info(spark: SparkSession, root: str) -> DataFrame:
     is not kept.
     """
     base = root.rstrip("/")
-    found = None
-    for rank, (pattern, inner) in enumerate((("source/source-record.json", False), ("source.json", False), ("timeline.json", True))):
-        if not paths_matching(spark, [f"{base}/*/{pattern}"]):
-            continue
-        text = spark.read.text(f"{base}/*/{pattern}", wholetext=True)
-        path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^file:/+", "/")
-        folder = F.regexp_replace(path, "/" + pattern.replace(".", r"\.") + "$", "")
-        text = text.select(folder.alias("media_dir"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-        source = (
-            F.from_json("value", f"source {SOURCE_SCHEMA}").getField("source") if inner else F.from_json("value", SOURCE_SCHEMA)
-        )
-        rows = text.filter(~F.regexp_extract("media_dir", r"([^/]+)$", 1).startswith(".")).select("media_dir", F.lit(rank).alias("_rank"), source.alias("_source"))
-        found = rows if found is None else found.union(rows)
-    if found is None:
-        found = spark.createDataFrame([], f"media_dir string, _rank int, _source {SOURCE_SCHEMA}")
-    firsts = found.groupBy("media_dir").agg(F.min_by(F.struct("_source"), "_rank").alias("_first"))
-    return firsts.select("media_dir", "_first._source.*")
+    rows = read_first(spark, base, ("source/source-record.json", "source.json", "timeline.json"))
+    whole = F.from_json("text", SOURCE_SCHEMA)
+    inner = F.from_json("text", f"source {SOURCE_SCHEMA}").getField("source")
+    source = F.when(F.col("document") == "timeline.json", inner).otherwise(whole)
+    # The folder of an item is its file's path without the file's place in it.
+    folder = F.expr("left(document_path, length(document_path) - length(document) - 1)")
+    return rows.select(folder.alias("media_dir"), source.alias("_source")).select("media_dir", "_source.*")
 
 
 def source_info(items: DataFrame, record: str, source: str, timeline_source: str) -> DataFrame:

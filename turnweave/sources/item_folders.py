@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -43,7 +43,11 @@ def _folder_name(item: str) -> str:
 
 
 class ItemFolders(DataSource):
-    """``path`` is the root; a write also needs ``staging``, the name of its hidden folder below the root."""
+    """``path`` is the root; a write also needs ``staging``, the name of its hidden folder below the root.
+
+    A read gives both documents of items that hold both. With ``first``, a list of files separated by commas, it gives of
+    every item the first of these files that exists, by its place below the item.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -53,7 +57,8 @@ class ItemFolders(DataSource):
         return READ
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        first = self.options.get("first")
+        return _FirstReader(self.options["path"], first.split(",")) if first else _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(f"{self.options['path'].rstrip('/')}/{self.options['staging']}")
@@ -128,6 +133,24 @@ class _Reader(DataSourceReader):
                     yield unquote(name), document, info.path, info.mtime, text
 
 
+class _FirstReader(_Reader):
+    """One row per item that is not hidden: the first of several files that exists. The others are not read."""
+
+    def __init__(self, path: str, places: list[str]):
+        super().__init__(path)
+        self.places = places
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        files, root = _opened(self.path)
+        for name in partition.names:
+            for place in self.places:
+                info = files.get_file_info(f"{root}/{name}/{place}")
+                if info.type == fs.FileType.File:
+                    with files.open_input_stream(info.path) as stream:
+                        yield unquote(name), place, info.path, info.mtime, stream.readall().decode("utf-8-sig", errors="replace")
+                    break
+
+
 def _removed(path: str) -> None:
     files, folder = _opened(path)
     if files.get_file_info(folder).type == fs.FileType.Directory:
@@ -186,3 +209,9 @@ def read_pieces(spark: SparkSession, root: str) -> DataFrame:
     """(item_id, document, document_path, modified_at, text) of every item folder with both documents."""
     spark.dataSource.register(ItemFolders)
     return spark.read.format(FORMAT).option("path", root).load()
+
+
+def read_first(spark: SparkSession, root: str, places: Sequence[str]) -> DataFrame:
+    """(item_id, document, document_path, modified_at, text): of every item folder the first of the files that exists."""
+    spark.dataSource.register(ItemFolders)
+    return spark.read.format(FORMAT).option("path", root).option("first", ",".join(places)).load()
