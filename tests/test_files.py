@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnweave.operators import items, timeline
 from turnweave.sinks import documents as sinks
+from turnweave.sinks.lines import write_lines
 from turnweave.sources import documents, files, probe, run_folders, silence, stages
 from turnweave.streaming.intake import new_files, start_intake
 from turnweave.streaming.stale import closed_sessions
@@ -260,3 +261,37 @@ def test_source_records_by_the_first_file(spark, tmp_path):
     rows = documents.read_source_info(spark, str(tmp_path)).collect()
     found = {r.media_dir.rsplit("/", 1)[1]: (r.display_name, r.original_path) for r in rows}
     assert found == {"a": ("record", None), "b": (None, None), "c": ("timeline", "/in/c"), "d": (None, None)}
+
+
+def tasks_of(spark, group, action):
+    """Tasks per stage of the jobs that an action starts."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages_ = [s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    return [info.numTasks for info in map(tracker.getStageInfo, stages_) if info]
+
+
+def test_hashes_of_many_folders_take_few_listing_tasks_and_several_hashing_tasks(spark, tmp_path):
+    for k in range(100):
+        write(tmp_path / "all" / f"k={k}" / "a.txt", str(k))
+    before = spark.conf.get(files.LISTING)
+    found = []
+    listed = tasks_of(spark, "list", lambda: found.append(files.content_hashes(spark, str(tmp_path / "all"))))
+    assert listed and max(listed) < 100
+    assert spark.conf.get(files.LISTING) == before
+    rows = found[0].withColumn("part", F.spark_partition_id()).collect()
+    assert {r.source_hash for r in rows} == {hashlib.sha256(str(k).encode()).hexdigest() for k in range(100)}
+    assert len({r.part for r in rows}) > 1
+
+
+def test_lines_of_a_folder_are_one_file(spark, tmp_path):
+    rows = [("k=1", "b"), ("k=1", "a"), ("k=2", None), ("k=1", "b"), ("k=3", "ü")]
+    write_lines(spark.createDataFrame(rows, "folder string, value string"), str(tmp_path / "out"))
+    found = {str(p.relative_to(tmp_path / "out")): p.read_text("utf-8") for p in (tmp_path / "out").rglob("*.txt")}
+    assert found == {"k=1/part-0.txt": "a\nb\nb\n", "k=2/part-0.txt": "\n", "k=3/part-0.txt": "ü\n"}
+    write_lines(spark.createDataFrame([], "folder string, value string"), str(tmp_path / "none"))
+    assert files.content_hashes(spark, str(tmp_path / "none")).count() == 0
