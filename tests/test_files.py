@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnweave.operators import items, timeline
+from turnweave.plans import files as plans
 from turnweave.sinks import documents as sinks
 from turnweave.sinks.lines import write_lines
 from turnweave.sources import documents, files, probe, run_folders, silence, stages
@@ -295,3 +296,25 @@ def test_lines_of_a_folder_are_one_file(spark, tmp_path):
     assert found == {"k=1/part-0.txt": "a\nb\nb\n", "k=2/part-0.txt": "\n", "k=3/part-0.txt": "ü\n"}
     write_lines(spark.createDataFrame([], "folder string, value string"), str(tmp_path / "none"))
     assert files.content_hashes(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_streamed_tables_may_be_folders_of_files(spark, tmp_path):
+    for name in ("documents", "events"):
+        rows = spark.range(20).withColumn("part", F.col("id") % 3)
+        rows.repartition(3, "part").write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "single"))
+    next((tmp_path / "single").glob("*.parquet")).rename(tmp_path / "one.parquet")
+    for name, count in (("documents", 20), ("one", 5)):
+        stream = files.table_stream(spark, str(tmp_path), name)
+        out, state = str(tmp_path / f"out-{name}"), str(tmp_path / f"state-{name}")
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        query.trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(out).select("id").distinct().count() == count
+
+
+def test_plan_is_streamed_from_a_folder_of_files(spark, tmp_path):
+    rows = [(k, f"text {k}", "en", "web", 6) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    planned = plans.streamed_plan(spark, str(tmp_path))
+    assert planned.count() == 10 and planned.filter("action = 'skipped'").count() > 0
