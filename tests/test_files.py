@@ -298,6 +298,16 @@ def test_lines_of_a_folder_are_one_file(spark, tmp_path):
     assert files.content_hashes(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_discovery_of_many_folders_takes_few_listing_tasks(spark, tmp_path):
+    for k in range(100):
+        write(tmp_path / "all" / f"k={k}" / "a.txt", str(k))
+    found = []
+    roots = [{"source_id": "s", "path": str(tmp_path / "all")}]
+    listed = tasks_of(spark, "discover", lambda: found.append(files.discover_files(spark, roots, ["txt"])[0]))
+    assert listed and max(listed) < 100
+    assert found[0].count() == 100
+
+
 def test_streamed_tables_may_be_folders_of_files(spark, tmp_path):
     for name in ("documents", "events"):
         rows = spark.range(20).withColumn("part", F.col("id") % 3)
