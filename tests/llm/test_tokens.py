@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import awkward, docs
@@ -124,3 +125,12 @@ def test_sweeps_equal_best_fit_one_by_one(seed):
 def test_digest_of_ids_is_little_endian(wanted):
     ids = wanted.encode_ordinary("hello world")
     assert hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+
+
+def test_words_are_encoded_once_for_the_tasks_of_a_worker(monkeypatch):
+    new, made = [], packing.WordTokens._new
+    monkeypatch.setattr(packing.WordTokens, "_new", lambda self, *given: new.append(1) or made(self, *given))
+    run, _ = packing._pieces(Path(WORDS).read_text("utf-8"), 4096, 1)
+    batch = pa.RecordBatch.from_pydict({"_row_id": [1, 2], "_text": ["some words of a worker", "words of some"]})
+    first, second = (list(run(iter([batch]))) for _ in range(2))
+    assert first == second and len(new) <= 1

@@ -17,6 +17,7 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from turnweave.operators.ordering import ranked
 
 SLICE_BYTES = 1 << 20
 BULK = 2_000  # words per string given to the tokenizer
-MOST_WORDS = 1 << 19  # distinct words whose ids a task remembers
+MOST_WORDS = 1 << 19  # distinct words whose ids a Python worker remembers
 
 
 _CODES = np.arange(256)
@@ -124,13 +125,19 @@ class WordTokens:
         return np.diff(stops, prepend=-1) - 1, np.delete(flat, stops)
 
 
+@lru_cache(maxsize=1)
+def word_tokens(definition: str) -> WordTokens:
+    """The encoder of a Python worker, which serves one task after another."""
+    return WordTokens(definition)
+
+
 def _pieces(definition: str, capacity: int, end: int):
     schema = pa.schema(
         [("_row_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(definition)
+        tokens = word_tokens(definition)
         for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
             ids, counts = tokens(data, offsets)
             stop = np.cumsum(counts)
