@@ -134,3 +134,12 @@ def test_words_are_encoded_once_for_the_tasks_of_a_worker(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"_row_id": [1, 2], "_text": ["some words of a worker", "words of some"]})
     first, second = (list(run(iter([batch]))) for _ in range(2))
     assert first == second and len(new) <= 1
+
+
+def test_pieces_are_merged_once_for_the_tasks_of_a_worker(monkeypatch):
+    merged, made = [], bpe_sql.RankTokens.merged
+    monkeypatch.setattr(bpe_sql.RankTokens, "merged", lambda self, given: merged.append(1) or made(self, given))
+    run, _ = bpe_sql._encode(RANKS, public_tokenizers.PATTERN)
+    batch = pa.RecordBatch.from_pydict({"_row_id": [1, 2], "_text": ["some pieces of a worker", "pieces of some"]})
+    first, second = (list(run(iter([batch]))) for _ in range(2))
+    assert first == second and len(merged) <= 1

@@ -1,7 +1,7 @@
 """Byte-level BPE by recursive queries: encoding and decoding of texts inside Spark tasks.
 
 Spark deals out the documents. A task splits its texts into pieces by the tokenizer's pattern and keeps the ids of
-distinct pieces. Pieces it has not met are encoded by a recursive DuckDB query over token-position rows: neighbouring
+distinct pieces, also for the next tasks of its Python worker. Pieces it has not met are encoded by a recursive DuckDB query over token-position rows: neighbouring
 tokens join the merge table, and the leftmost pair of the smallest rank of each piece is contracted, until no pair of any
 piece merges. Decoding joins ids with their bytes and aggregates them in order.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from turnweave.llm.tables import slices
 
 SLICE_BYTES = 1 << 21
-MOST_PIECES = 1 << 20  # distinct pieces whose ids a task remembers
+MOST_PIECES = 1 << 20  # distinct pieces whose ids a Python worker remembers
 QUERY_BYTES = 1 << 19  # bytes of new pieces per query
 ROUNDS = 48
 MEMORY = "600MB"
@@ -164,13 +165,18 @@ class RankTokens:
         return out
 
 
+@lru_cache(maxsize=1)
+def rank_tokens(content: bytes, pattern: str) -> RankTokens:
+    """The encoder of a Python worker, which serves one task after another."""
+    return RankTokens(content, pattern)
+
+
 def _encode(content: bytes, pattern: str):
     schema = pa.schema([("_row_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = None
         for part, _, _ in slices(batches, "_text", SLICE_BYTES):
-            tokens = tokens or RankTokens(content, pattern)
+            tokens = rank_tokens(content, pattern)
             texts = [t or "" for t in part.column(part.schema.get_field_index("_text")).to_pylist()]
             ids, counts = tokens.encode(texts)
             edge = (4 * np.concatenate([[0], np.cumsum(counts)])).astype(np.int32)
@@ -184,9 +190,8 @@ def _encode(content: bytes, pattern: str):
 
 def _decode(content: bytes, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = None
         for part, data, offsets in slices(batches, "ids", 4 * SLICE_BYTES // 4):
-            tokens = tokens or RankTokens(content, pattern)
+            tokens = rank_tokens(content, pattern)
             ids = np.frombuffer(data.tobytes(), "<u4")
             decoded = tokens.decode(ids, np.diff(offsets) // 4)
             yield part.append_column("decoded", pa.array(decoded, pa.binary()))
