@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turnweave.llm import bpe_sql, packing
+from turnweave.llm.op_bpe import op3_byte_bpe
 from turnweave.llm.op_pack import packed_documents
 
 RANKS = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
@@ -143,3 +144,30 @@ def test_pieces_are_merged_once_for_the_tasks_of_a_worker(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"_row_id": [1, 2], "_text": ["some pieces of a worker", "pieces of some"]})
     first, second = (list(run(iter([batch]))) for _ in range(2))
     assert first == second and len(merged) <= 1
+
+
+def test_frequent_pieces_stay_when_too_many_are_known(monkeypatch):
+    monkeypatch.setattr(bpe_sql, "MOST_PIECES", 60)
+    merged, made = [], bpe_sql.RankTokens.merged
+    monkeypatch.setattr(bpe_sql.RankTokens, "merged", lambda self, given: merged.extend(given) or made(self, given))
+    tokens, fresh = bpe_sql.RankTokens(RANKS, public_tokenizers.PATTERN), bpe_sql.RankTokens(RANKS, public_tokenizers.PATTERN)
+    for k in range(20):
+        text = "qwertyzx" + "".join(f" zq{chr(97 + k)}{chr(97 + j)}xv" for j in range(25))
+        ids, counts = tokens.encode([text, "", "qwertyzx"])
+        assert len(tokens.place) <= 60
+        want = [fresh.encode([t])[0].tolist() for t in (text, "", "qwertyzx")]
+        fresh._clear()
+        assert ids.tolist() == [i for part in want for i in part] and counts.tolist() == [len(part) for part in want]
+    tokens.encode(["qwertyzx"])
+    merged.clear()
+    tokens.encode([" ".join(f"yy{a}{b}qx" for a in "abcdef" for b in "abcdef")])
+    tokens.encode(["qwertyzx"])
+    assert merged and b"qwertyzx" not in merged
+
+
+def test_a_task_of_op3_needs_one_python_worker(spark, tmp_path, capsys):
+    docs(spark, [(1, "some text"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op3_byte_bpe(spark, str(tmp_path))
+    found.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert {r["doc_id"]: r["n_tokens"] for r in found.collect()} == {1: 2, 2: 0}

@@ -1,7 +1,8 @@
 """Byte-level BPE by recursive queries: encoding and decoding of texts inside Spark tasks.
 
 Spark deals out the documents. A task splits its texts into pieces by the tokenizer's pattern and keeps the ids of
-distinct pieces, also for the next tasks of its Python worker. Pieces it has not met are encoded by a recursive DuckDB query over token-position rows: neighbouring
+distinct pieces, also for the next tasks of its Python worker; of too many, those that come up again and again stay.
+Pieces it does not know are encoded by a recursive DuckDB query over token-position rows: neighbouring
 tokens join the merge table, and the leftmost pair of the smallest rank of each piece is contracted, until no pair of any
 piece merges. Decoding joins ids with their bytes and aggregates them in order.
 
@@ -13,17 +14,16 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from turnweave.llm.tables import slices
+from turnweave.llm.tables import slices, worker_cache
 
 SLICE_BYTES = 1 << 21
-MOST_PIECES = 1 << 20  # distinct pieces whose ids a Python worker remembers
+MOST_PIECES = 1 << 19  # distinct pieces whose ids a Python worker remembers
 QUERY_BYTES = 1 << 19  # bytes of new pieces per query
 ROUNDS = 48
 MEMORY = "600MB"
@@ -105,6 +105,17 @@ class RankTokens:
         self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.begin = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int32)  # slices that a piece came up in, halved whenever pieces are forgotten
+
+    def _forget(self) -> None:
+        """Keeps the pieces that came up in several slices, at most half of ``MOST_PIECES``, by their number of slices."""
+        often = np.flatnonzero(self.uses > 1)
+        stay = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: MOST_PIECES // 2]])
+        names, flat, begin, size = list(self.place), self.flat, self.begin[stay], self.sizes[stay]
+        self.place = {names[k]: n for n, k in enumerate(stay.tolist())}
+        self.sizes, self.uses = size, self.uses[stay] // 2
+        self.begin = np.cumsum(size) - size
+        self.flat = flat[np.repeat(begin - self.begin, size) + np.arange(size.sum())]
 
     def merged(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece, by contraction to the fixpoint."""
@@ -137,18 +148,21 @@ class RankTokens:
         """Ids of all texts end to end, and the number of ids per text."""
         split = [self.split(t) for t in texts]
         words = set(chain.from_iterable(split))
-        if len(self.place) + len(words) > MOST_PIECES:
-            self._clear()
         new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > MOST_PIECES:
+            self._forget()
+            new = [w for w in words if w not in self.place]
         if new:
             found = self.merged([w.encode("utf-8") for w in new])
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.sizes = np.concatenate([self.sizes, [len(x) for x in found]]).astype(np.int64)
             self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
             self.begin = np.cumsum(self.sizes) - self.sizes
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
         count = np.array([len(p) for p in split], np.int64)
         look = map(self.place.__getitem__, chain.from_iterable(split))
         word = np.fromiter(look, np.int64, int(count.sum()))
+        self.uses[word] += 1  # once a slice, however often the piece is in it
         size = self.sizes[word]
         total = np.concatenate([[0], np.cumsum(size)])
         source = np.repeat(self.begin[word] - total[:-1], size) + np.arange(total[-1])
@@ -165,9 +179,9 @@ class RankTokens:
         return out
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def rank_tokens(content: bytes, pattern: str) -> RankTokens:
-    """The encoder of a Python worker, which serves one task after another."""
+    """The encoder of a Python worker, which serves one task after another until the worker does other work."""
     return RankTokens(content, pattern)
 
 
@@ -175,7 +189,7 @@ def _encode(content: bytes, pattern: str):
     schema = pa.schema([("_row_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, _ in slices(batches, "_text", SLICE_BYTES):
+        for part, _, _ in slices(batches, "_text", SLICE_BYTES, rank_tokens):
             tokens = rank_tokens(content, pattern)
             texts = [t or "" for t in part.column(part.schema.get_field_index("_text")).to_pylist()]
             ids, counts = tokens.encode(texts)
@@ -190,7 +204,7 @@ def _encode(content: bytes, pattern: str):
 
 def _decode(content: bytes, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "ids", 4 * SLICE_BYTES // 4):
+        for part, data, offsets in slices(batches, "ids", 4 * SLICE_BYTES // 4, rank_tokens):
             tokens = rank_tokens(content, pattern)
             ids = np.frombuffer(data.tobytes(), "<u4")
             decoded = tokens.decode(ids, np.diff(offsets) // 4)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnweave.llm import bpe_sql
-from turnweave.llm.tables import table
+from turnweave.llm.tables import kept, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -17,7 +17,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFr
     """Encodes all documents and decodes the ids again. The rank file (under 1 MB) is read on the driver."""
     content = Path(ranks).read_bytes()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_row_id"), F.col("text").alias("_text"))
-    ids = bpe_sql.encoded(docs, content, public_tokenizers.PATTERN)
+    # Written first: in one stage a task would need two Python workers, each with an encoder.
+    ids = kept(bpe_sql.encoded(docs, content, public_tokenizers.PATTERN), "token-ids")
     both = bpe_sql.decoded(ids, content, public_tokenizers.PATTERN)
     return both.select(
         F.col("_row_id").alias("doc_id"),
