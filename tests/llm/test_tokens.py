@@ -13,7 +13,7 @@ from helpers import awkward, docs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from turnweave.llm import bpe_sql, packing
+from turnweave.llm import bpe_sql, difference_cover, packing
 from turnweave.llm.op_bpe import op3_byte_bpe
 from turnweave.llm.op_pack import packed_documents
 
@@ -171,3 +171,13 @@ def test_a_task_of_op3_needs_one_python_worker(spark, tmp_path, capsys):
     found.explain()
     assert capsys.readouterr().out.count("MapInArrow") == 1
     assert {r["doc_id"]: r["n_tokens"] for r in found.collect()} == {1: 2, 2: 0}
+
+
+def test_other_work_frees_the_tokens_of_a_worker():
+    batch = pa.RecordBatch.from_pydict({"_row_id": [1], "_copy": [0], "_text": ["words of a worker"]})
+    list(packing._pieces(Path(WORDS).read_text("utf-8"), 4096, 1)[0](iter([batch.select(["_row_id", "_text"])])))
+    assert packing.word_tokens.cache_info().currsize == 1
+    list(bpe_sql._encode(RANKS, public_tokenizers.PATTERN)[0](iter([batch.select(["_row_id", "_text"])])))
+    assert packing.word_tokens.cache_info().currsize == 0 and bpe_sql.rank_tokens.cache_info().currsize == 1
+    list(difference_cover._anchors(50)(iter([batch])))
+    assert bpe_sql.rank_tokens.cache_info().currsize == 0

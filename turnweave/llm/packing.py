@@ -17,14 +17,13 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from turnweave.llm.hashing import word_bounds, word_hashes
-from turnweave.llm.tables import kept, slices
+from turnweave.llm.tables import kept, slices, worker_cache
 from turnweave.operators.ordering import ranked
 
 SLICE_BYTES = 1 << 20
@@ -125,9 +124,9 @@ class WordTokens:
         return np.diff(stops, prepend=-1) - 1, np.delete(flat, stops)
 
 
-@lru_cache(maxsize=1)
+@worker_cache
 def word_tokens(definition: str) -> WordTokens:
-    """The encoder of a Python worker, which serves one task after another."""
+    """The encoder of a Python worker, which serves one task after another until the worker does other work."""
     return WordTokens(definition)
 
 
@@ -138,7 +137,7 @@ def _pieces(definition: str, capacity: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(definition)
-        for part, data, offsets in slices(batches, "_text", SLICE_BYTES):
+        for part, data, offsets in slices(batches, "_text", SLICE_BYTES, word_tokens):
             ids, counts = tokens(data, offsets)
             stop = np.cumsum(counts)
             raw = np.insert(ids, stop, end).astype("<u4").tobytes()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from turnweave.llm.hashing import byte_windows, mix, word_bounds
-from turnweave.llm.tables import kept, named, slices
+from turnweave.llm.tables import give_back, kept, named, slices
 
 TRAIN_ROWS = 4_000  # labelled rows used for training, the smallest by a hash of their id
 ENTRIES = 1 << 15
@@ -149,9 +149,9 @@ def _bags(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.nd
     of = key // ENTRIES
     edge = np.searchsorted(of, np.arange(len(offsets)))
     total = np.maximum(np.bincount(of, count, len(offsets) - 1), 1)
-    return [
-        (key[a:b] % ENTRIES, count[a:b] / total[k]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))
-    ]
+    # Views of two arrays per slice: thousands of small arrays would leave gaps in the worker's memory.
+    entries, shares = (key % ENTRIES).astype(np.int32), count / total[of]
+    return [(entries[a:b], shares[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def _fit():
@@ -168,6 +168,8 @@ def _fit():
         ids, labels = np.concatenate(ids), np.concatenate(labels).astype(np.int64)
         order = np.lexsort((labels, ids))  # the same model whatever order the rows arrive in
         model = train([texts[k] for k in order], labels[order])
+        del texts
+        give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (model.table, model.weights, model.bias)],
             schema=schema,
