@@ -207,6 +207,22 @@ def test_byte_strings(spark, length):
     assert got[None][1] == 0
 
 
+def test_byte_strings_of_texts_that_share_an_id(spark):
+    a, b, c, d = (" ".join(words(seed, 150)) for seed in range(80, 84))
+    texts = [(1, a), (1, b), (1, a[:300]), (2, a), (3, c), (3, d + c[20:520]), (3, None), (4, d[100:]), (4, "x" + a), (5, c[:390]), (5, b[:390])]
+    found = bucket_pointers.without_repeats(docs(spark, texts + [(6, b), (6, b)])).collect()
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), hashlib.sha256(bytes(r["left"])).hexdigest()) for r in found)
+    rows = texts + [(6, b), (6, b)]
+    want = brute_bytes(list(enumerate(t for _, t in rows)), 400)
+    assert got == sorted((i, *want[k]) for k, (i, _) in enumerate(rows))
+
+
+def test_clean_text_stays_beside_a_copy_of_its_id(spark):
+    a, b = " ".join(words(90, 200)), " ".join(words(91, 200))
+    found = bucket_pointers.without_repeats(docs(spark, [(1, a), (1, b), (2, a)])).collect()
+    assert sorted((r["doc_id"], bytes(r["left"]).decode()) for r in found) == [(1, ""), (1, b), (2, "")]
+
+
 def test_byte_strings_of_nothing(spark):
     assert bucket_pointers.without_repeats(docs(spark, [])).collect() == []
     with pytest.raises(ValueError):
